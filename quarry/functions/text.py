@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 # Fixed values (must stay as written for parity with the oracle and the
 # reference's text handling).
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"          # analyzer: letters/digits runs, lower-cased
+NON_TOKEN_PATTERN = r"[^\p{L}\p{N}]+"     # its complement (split form, same tokens)
 SENTENCE_PATTERN = r"[^.!?\n]+[.!?]*"     # sentence = run up to terminal punctuation
 WORD_PATTERN = r"\S+"                     # whitespace word
 CONTROL_PATTERN = r"[\n\r\t]"             # each control char -> one space
@@ -31,8 +32,10 @@ def _c(c) -> Column:
 
 
 def tokens(c) -> Column:
-    """Lower-cased letter/digit runs (the default analyzer)."""
-    return F.regexp_extract_all(F.lower(_c(c)), F.lit(TOKEN_PATTERN), 0)
+    """Lower-cased letter/digit runs (the default analyzer).  Written as a
+    split on the complement class minus empty pieces: the same tokens as
+    ``regexp_extract_all(lower(c), TOKEN_PATTERN)``, about twice as fast."""
+    return F.array_remove(F.split(F.lower(_c(c)), NON_TOKEN_PATTERN), "")
 
 
 def sentences(c) -> Column:
@@ -62,8 +65,10 @@ def null_to_empty(c) -> Column:
 
 
 def subject_of(c, n: int = 6) -> Column:
-    """First ``n`` whitespace words, joined by one space."""
-    return F.array_join(F.slice(words(c), 1, n), " ")
+    """First ``n`` whitespace words, joined by one space.  An anchored match
+    reads only the head of the text instead of splitting all of it."""
+    head = F.regexp_extract(_c(c), r"^\s*(\S+(?:\s+\S+){0,%d})" % (n - 1), 1)
+    return F.regexp_replace(head, r"\s+", " ")
 
 
 def compose_subject_body(subject, body) -> Column:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
+from quarry.session import materialize
 
 
 @dataclass
@@ -55,22 +56,32 @@ def idf_expr(df: Column, n_docs: Column) -> Column:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "contents",
-                tokenizer=tx.tokens, path: str | None = None) -> Index:
+                tokenizer=tx.tokens, path: str | None = None,
+                prepartitioned: bool = False) -> Index:
+    """Tokenize once; postings are hash-partitioned by doc_id so the per-doc
+    statistics need no further shuffle.  Postings are persisted, or written
+    to ``path`` (a shared folder) when given.
+
+    N and avgdl follow Lucene's collection statistics: documents with at
+    least one term, and total term frequency / N."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not prepartitioned:          # caller did not hash-partition by the id yet
+        docs = docs.repartition(parts, id_col)
     analyzed = analyze(docs, id_col, text_col, tokenizer)
+    postings = postings_of(analyzed)
     if path:
-        postings_of(analyzed).write.mode("overwrite").parquet(f"{path}/postings")
-        analyzed.select("doc_id", "dl").write.mode("overwrite").parquet(f"{path}/doc_stats")
-        spark = docs.sparkSession
+        postings.write.mode("overwrite").parquet(f"{path}/postings")
         postings = spark.read.parquet(f"{path}/postings")
-        doc_stats = spark.read.parquet(f"{path}/doc_stats")
     else:
-        analyzed = analyzed.persist(StorageLevel.MEMORY_AND_DISK)
-        postings = postings_of(analyzed)
-        doc_stats = analyzed.select("doc_id", "dl")
+        postings = postings.persist(StorageLevel.MEMORY_AND_DISK)
+    doc_stats = postings.groupBy("doc_id").agg(F.max("dl").alias("dl"))
     row = doc_stats.agg(F.count("*").alias("n"), F.sum("dl").alias("s")).first()
     n_docs = int(row["n"])
     total = int(row["s"] or 0)
     avgdl = (float(total) / n_docs) if n_docs else 0.0
     term_stats = (postings.groupBy("term").agg(F.count("*").alias("df"))
                   .withColumn("idf", idf_expr(F.col("df"), F.lit(float(n_docs)))))
+    if not path:
+        term_stats = materialize(term_stats)     # read by several plan branches
     return Index(postings, doc_stats, term_stats, n_docs, avgdl, total)

@@ -33,7 +33,7 @@ ds AS (SELECT doc_id, CAST(len(toks) AS BIGINT) AS dl FROM an),
 po AS (SELECT term, doc_id, dl, count(*) AS tf
        FROM (SELECT doc_id, CAST(len(toks) AS BIGINT) AS dl, unnest(toks) AS term FROM an)
        GROUP BY ALL),
-sc AS (SELECT count(*)::DOUBLE AS n, sum(dl)::DOUBLE / count(*) AS avgdl FROM ds),
+sc AS (SELECT count(*)::DOUBLE AS n, sum(dl)::DOUBLE / count(*) AS avgdl FROM ds WHERE dl > 0),
 ts AS (SELECT term, count(*) AS df,
               ln(1.0::DOUBLE + ((SELECT n FROM sc) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf
        FROM po GROUP BY term)"""

@@ -19,6 +19,7 @@ from quarry.operators import bm25, generate, metrics
 from quarry.operators.index import Index, build_index
 from quarry.operators.ranking import first_hit_rank, first_per_key
 from quarry.plans import fixtures
+from quarry.session import materialize
 
 EVAL_TYPES = ("known_item", "d2q")
 
@@ -33,15 +34,17 @@ class Bm25Run:
 
 
 def corpus_index(spark: SparkSession, sf_dir: str, path: str | None = None):
-    corp = first_per_key(fixtures.corpus(spark, sf_dir), "mid", "mid")
+    corp = materialize(first_per_key(fixtures.corpus(spark, sf_dir), "mid", "mid"))
     docs = corp.select(F.col("mid").alias("doc_id"),
                        tx.compose_contents("subject", "body_clean").alias("contents"))
-    return corp, build_index(docs, path=path)
+    # first_per_key hash-partitions the corpus by mid: the index reuses it
+    return corp, build_index(docs, path=path, prepartitioned=True)
 
 
 def evaluation_queries(spark: SparkSession, sf_dir: str, corp: DataFrame, index: Index) -> DataFrame:
     """(query_id, query_type, query, target) with F1 applied."""
-    ki = fixtures.known_items(spark, sf_dir).select(
+    ki = fixtures.known_items(spark, sf_dir, index.postings.select("term", "doc_id"),
+                              index.term_stats.select("term", "df")).select(
         F.concat(F.lit("k"), F.col("item_id").cast("string")).alias("query_id"),
         F.lit("known_item").alias("query_type"), "query",
         F.col("target").cast("string").alias("target"))
@@ -57,18 +60,18 @@ def evaluation_queries(spark: SparkSession, sf_dir: str, corp: DataFrame, index:
 
 def bm25_run(spark: SparkSession, sf_dir: str, k: int = bm25.DEPTH) -> Bm25Run:
     corp, index = corpus_index(spark, sf_dir)
-    queries = evaluation_queries(spark, sf_dir, corp, index)
+    queries = materialize(evaluation_queries(spark, sf_dir, corp, index))
     hits = bm25.bm25_search(index, queries.select("query_id", "query"), k=k)
     hits = hits.join(corp.select(F.col("mid").alias("doc_id"), F.col("text_id").alias("item")),
                      "doc_id")
-    ranks = first_hit_rank(hits, queries.select("query_id", "query_type", "target"))
+    ranks = materialize(first_hit_rank(hits, queries.select("query_id", "query_type", "target")))
     return Bm25Run(index, corp, queries, hits, ranks)
 
 
 def bm25_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-type metric rows plus the macro row."""
     run = bm25_run(spark, sf_dir)
-    per = metrics.metrics_by_type(run.ranks)
-    macro = metrics.metrics_macro(run.ranks, EVAL_TYPES)
-    return per.unionByName(macro).select(F.lit("BM25-base").alias("system"), "query_type",
+    per = materialize(metrics.metrics_by_type(run.ranks, digits=None))
+    macro = metrics.macro_of(per, EVAL_TYPES)
+    return metrics.round_metrics(per).unionByName(macro).select(F.lit("BM25-base").alias("system"), "query_type",
                                          "n_queries", "mrr_3", "mrr_20", "hits_1", "hits_10")

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.sources.tables import read_table
-from quarry.session import spread
 
 # Fixed values of the adapters.
 TITLE_REGEX = r"<title>([^<]*)</title>"
@@ -23,7 +22,7 @@ SHORT_ITEM_LIMIT = 10_000   # bound on items that need the full containment scan
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Email-corpus view of ``documents``: mid, text_id, subject, body_clean."""
-    d = spread(read_table(spark, sf_dir, "documents"), "doc_id")
+    d = read_table(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").alias("mid"),
         F.col("doc_id").cast("string").alias("text_id"),
@@ -32,7 +31,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang", "source")
 
 
-def known_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def known_items(spark: SparkSession, sf_dir: str, doc_terms: DataFrame | None = None,
+                term_df: DataFrame | None = None) -> DataFrame:
     """Benchmark passages as known-item queries; target = min doc_id whose
     text contains the passage (null when none does).
 
@@ -41,11 +41,14 @@ def known_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     equi-join on the passage's rarest interior token, then ``contains``
     verifies.  Passages with fewer than three tokens have no interior token;
     their (size-checked) set is matched by a conditional broadcast join.
+    ``doc_terms`` (term, doc_id) / ``term_df`` (term, df) reuse an index
+    built over the documents (any superset of each text's tokens works).
     """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     bench = read_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
-    doc_terms = (docs.select("doc_id", F.explode(F.array_distinct(tx.tokens("text"))).alias("term")))
-    df = doc_terms.groupBy("term").agg(F.count("*").alias("df"))
+    if doc_terms is None:
+        doc_terms = docs.select("doc_id", F.explode(F.array_distinct(tx.tokens("text"))).alias("term"))
+    df = term_df if term_df is not None else doc_terms.groupBy("term").agg(F.count("*").alias("df"))
 
     toks = bench.withColumn("toks", tx.tokens("query"))
     longer = toks.where(F.size("toks") >= 3)

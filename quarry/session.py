@@ -33,6 +33,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
         .config("spark.driver.memory", os.environ.get("QUARRY_DRIVER_MEMORY", "16g"))
         .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
     )
+    log_dir = os.environ.get("QUARRY_EVENT_LOG_DIR")   # stage timings for profiling
+    if log_dir:
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", log_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -81,3 +84,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want, *keys) if keys else df.repartition(want)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Persist and fill the cache now.  A DataFrame read by several branches
+    of one plan would otherwise be computed by each branch concurrently
+    before the cache exists.  Lost blocks are recomputed from lineage."""
+    from pyspark import StorageLevel
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    return df
