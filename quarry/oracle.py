@@ -127,3 +127,81 @@ SELECT 'BM25-base' AS system, query_type, n_queries, mrr_3, mrr_20, hits_1, hits
 FROM ({per_type()} UNION ALL {macro()})"""
 ORACLE["dedupe_first"] = f"""WITH {CORPUS}
 SELECT md5(body_clean) AS text_key, min(mid) AS doc_id FROM corpus GROUP BY 1"""
+
+# ------------------------------------------------------------------ projections
+SUBJ = f"array_to_string(regexp_extract_all(text, {WORD})[1:6], ' ')"
+LANGS = "(VALUES ('en','English'),('fr','French'),('de','German'),('es','Spanish')) AS l(lang, language)"
+PAGES = r"""pf AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+     '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'),
+     '^\s+|\s+$', '', 'g') AS passage
+  FROM pages)"""
+
+ORACLE["clean_body"] = r"SELECT doc_id, regexp_replace(text, '[\n\r\t]', ' ', 'g') AS body FROM documents"
+ORACLE["compose_subject_body"] = f"""WITH {CORPUS}
+SELECT mid AS doc_id, 'subject: ' || coalesce(subject, '') || ' body: ' ||
+       regexp_replace(coalesce(body_clean, ''), '[\\n\\r\\t]', ' ', 'g') AS body_clean_and_subject FROM corpus"""
+ORACLE["compose_contents"] = f"WITH {CORPUS} SELECT mid AS doc_id, coalesce(subject, '') || chr(10) || coalesce(body_clean, '') AS contents FROM corpus"
+ORACLE["prompt_by_lang"] = f"""WITH {CORPUS}
+SELECT c.mid AS doc_id, c.lang,
+  'Generate a ' || l.language || ' question for this passage: ' || c.subject || ' ' || c.body_clean AS prompt,
+  'Generate ' || l.language || ' question: ' || c.subject || '</s>' || c.body_clean AS dev_prompt
+FROM corpus c JOIN {LANGS} ON c.lang = l.lang"""
+ORACLE["role_prefix"] = f"""WITH {PAGES}
+SELECT page_id, 'Passage: ' || coalesce(passage, '') AS passage_text,
+  'Passage: ' || coalesce(title, '') || '</s>' || coalesce(passage, '') AS titled_text,
+  'Question: ' || coalesce(regexp_extract_all(passage, {SENT})[1], '') AS question_text FROM pf"""
+PROMPTED = """pr AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Passage: ' || coalesce(text, '')
+  WHEN 1 THEN 'Question: ' || coalesce(text, '') WHEN 2 THEN 'Passage: Question: ' || coalesce(text, '')
+  ELSE coalesce(text, '') END AS prompt FROM documents)"""
+ORACLE["strip_prompt"] = f"""WITH {PROMPTED},
+s1 AS (SELECT doc_id, CASE WHEN starts_with(prompt, 'Passage: ') THEN substr(prompt, 10) ELSE prompt END AS p FROM pr)
+SELECT doc_id, CASE WHEN starts_with(p, 'Question: ') THEN substr(p, 11) ELSE p END AS text FROM s1"""
+ORACLE["title_slice"] = f"""WITH {PAGES},
+mt AS (SELECT page_id, ' title:' || title || CASE WHEN page_id % 2 = 0 THEN '_parentSection' || url ELSE '' END || ' ' AS raw_title FROM pf),
+st AS (SELECT page_id, regexp_replace(raw_title, '^\\s+|\\s+$', '', 'g') AS t FROM mt),
+fx AS (SELECT page_id, t, CASE WHEN strpos(t, '_parentSection') = 0 THEN length(t) - 1 ELSE strpos(t, '_parentSection') - 1 END AS stop FROM st)
+SELECT page_id, substr(t, 7, greatest(stop - 6, 0)) AS title FROM fx"""
+ORACLE["flatten_newlines"] = r"SELECT doc_id, replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10), ' ') AS text FROM documents"
+ORACLE["length_features"] = f"""SELECT doc_id, CAST(length(text) AS BIGINT) AS length_character,
+  CAST(len(regexp_extract_all(text, {WORD})) AS BIGINT) AS length_word,
+  CAST(length(regexp_replace(coalesce(text, ''), '[\\n\\r\\t]', ' ', 'g')) AS BIGINT) AS clean_length_character,
+  CAST(len(regexp_extract_all(regexp_replace(coalesce(text, ''), '[\\n\\r\\t]', ' ', 'g'), {WORD})) AS BIGINT) AS clean_length_word
+FROM documents"""
+ORACLE["token_truncate"] = f"SELECT doc_id, array_to_string({toks('text')}[1:16], ' ') AS tokens FROM documents"
+ORACLE["max_id_length"] = f"WITH {CORPUS} SELECT CAST(max(len({toks('subject')})) + 1 AS BIGINT) AS max_id_length FROM corpus"
+LABELSEQ = f"""ls AS (SELECT mid AS doc_id, CASE WHEN mid % 3 = 0 THEN list_append({toks('subject')}, '-100')
+  ELSE {toks('subject')} END AS seq FROM corpus),
+um AS (SELECT doc_id, list_transform(seq, lambda x: CASE WHEN x = '-100' THEN '<pad>' ELSE x END) AS seq FROM ls)"""
+PAD8 = "list_concat(seq, list_transform(range(greatest(8 - len(seq), 0)), lambda x: '<pad>'))[1:8]"
+ORACLE["pad_sequences"] = f"WITH {CORPUS}, {LABELSEQ} SELECT doc_id, array_to_string({PAD8}, ' ') AS padded FROM um"
+ORACLE["batch_pad"] = f"""WITH {CORPUS}, {LABELSEQ},
+nb AS (SELECT doc_id, seq, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 8) AS BIGINT) AS batch FROM um),
+ml AS (SELECT *, max(len(seq)) OVER (PARTITION BY batch) AS l FROM nb)
+SELECT doc_id, batch,
+  array_to_string(list_concat(seq, list_transform(range(l - len(seq)), lambda x: '<pad>')), ' ') AS input_padded,
+  array_to_string(list_concat(seq, list_transform(range(l - len(seq)), lambda x: '-100')), ' ') AS labels_padded
+FROM ml"""
+ORACLE["decode_tokens"] = f"""WITH {CORPUS}, {LABELSEQ}
+SELECT doc_id, trim(array_to_string(list_filter(list_append({PAD8}, '</s>'),
+  lambda x: x NOT IN ('<pad>', '</s>', '<unk>')), ' ')) AS decoded FROM um"""
+RANKER = f"""rc AS (SELECT d.source, d.doc_id, (l.quality = 1 AND l.toxic = 0) AS is_positive,
+   {SUBJ.replace('text', 'd.text')} AS title, coalesce(d.text, '') AS text
+   FROM documents d JOIN labels l USING (doc_id)),
+fp AS (SELECT source, coalesce(regexp_extract_all(arg_min(text, doc_id), {SENT})[1], '') AS question
+   FROM rc WHERE is_positive GROUP BY source),
+rk AS (SELECT rc.*, fp.question FROM rc LEFT JOIN fp USING (source))"""
+ANS = "regexp_replace(regexp_extract(text, '^\\s*(\\S+(?:\\s+\\S+){0,2})', 1), '\\s+', ' ', 'g')"
+ORACLE["pair_input"] = f"""WITH {RANKER}
+SELECT source, doc_id,
+  coalesce(question, '') || '</s>' || concat_ws(' ', title, text) AS input,
+  coalesce(question, '') || '</s>' || text AS input_notitle,
+  coalesce(question, '') || '</s>' || concat_ws(' ', {ANS}, title, text) AS input_answer,
+  coalesce(question, '') || '</s>' || concat_ws(' ', {ANS}, text) AS input_answer_notitle
+FROM rk"""
+ORACLE["numeric_vocab"] = f"""WITH t AS (SELECT DISTINCT unnest({toks('text')}) AS t FROM documents),
+v AS (SELECT t AS token FROM t UNION ALL SELECT '▁' || t FROM t UNION ALL SELECT '▁' UNION ALL SELECT '</s>')
+SELECT DISTINCT token FROM v WHERE (regexp_matches(token, '^▁?[0-9]*$') AND token <> '') OR token = '</s>'"""
+ORACLE["id_kind"] = f"""WITH {CORPUS}
+SELECT id_set, bool_and(NOT regexp_matches(id, '^[0-9]+$')) AS semantic_ids FROM (
+  SELECT 'doc_id' AS id_set, text_id AS id FROM corpus UNION ALL SELECT 'subject', subject FROM corpus) GROUP BY id_set"""

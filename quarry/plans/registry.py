@@ -103,3 +103,11 @@ def q_dedupe_first(spark, sf):
     """First document per distinct text (md5 key), lowest doc_id wins."""
     d = fixtures.corpus(spark, sf).select(F.md5("body_clean").alias("text_key"), "mid")
     return first_per_key(d, "text_key", "mid").select("text_key", F.col("mid").alias("doc_id"))
+
+
+def _load_all() -> None:
+    """Import the query modules so their ``register`` calls run."""
+    from quarry.plans import text_queries  # noqa: F401
+
+
+_load_all()
