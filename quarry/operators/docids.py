@@ -1,0 +1,26 @@
+"""Semantic document ids: the top-n terms of a document by tf*idf.
+
+Used as the keyword docid for indexing pairs, the prefix trie and the
+beam retrieval.  Per-document groups are bounded by ``n_terms``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quarry.operators.bm25 import hot_terms
+from quarry.operators.index import Index
+from quarry.operators.skew import split_hot_join
+
+
+def tfidf_docids(index: Index, n_terms: int = 4) -> DataFrame:
+    """(doc_id, docid): terms ordered by round(tf*idf, 6) desc, term asc."""
+    w = split_hot_join(index.postings, index.term_stats.select("term", "idf"), "term",
+                       hot_terms(index)).select(
+        "doc_id", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("w"))
+    win = Window.partitionBy("doc_id").orderBy(F.col("w").desc(), F.col("term"))
+    top = w.withColumn("r", F.row_number().over(win)).where(F.col("r") <= n_terms)
+    return top.groupBy("doc_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))),
+                                 lambda s: s["term"]), " ").alias("docid"))

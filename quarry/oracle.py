@@ -205,3 +205,146 @@ SELECT DISTINCT token FROM v WHERE (regexp_matches(token, '^▁?[0-9]*$') AND to
 ORACLE["id_kind"] = f"""WITH {CORPUS}
 SELECT id_set, bool_and(NOT regexp_matches(id, '^[0-9]+$')) AS semantic_ids FROM (
   SELECT 'doc_id' AS id_set, text_id AS id FROM corpus UNION ALL SELECT 'subject', subject FROM corpus) GROUP BY id_set"""
+
+# ------------------------------------------------------------------ joins / aggregates / splits / builders
+QR = """cv AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+qa AS (SELECT conv_id, turn, CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS qid,
+  conv_id * 100 + turn AS docid, coalesce(text, '') AS question, coalesce(next_text, '') AS passage
+  FROM cv WHERE role = 'user' AND next_role = 'assistant'),
+qrows AS (SELECT conv_id, turn, qid, docid, 0 AS k FROM qa UNION ALL SELECT conv_id, turn, qid || 'b', docid, 1 FROM qa WHERE turn = 0),
+qr AS (SELECT 'train' AS split, qid, docid, conv_id * 1000 + turn * 10 + k AS pos FROM qrows WHERE conv_id % 5 < 4
+  UNION ALL SELECT 'dev', qid, docid, conv_id * 1000 + turn * 10 + k FROM qrows WHERE conv_id % 5 >= 4
+  UNION ALL SELECT 'dev', qid, docid, conv_id * 1000 + turn * 10 + k FROM qrows WHERE conv_id % 5 < 4 AND conv_id % 7 = 0)"""
+DOCIDS = """tw AS (SELECT po.doc_id, po.term, round(po.tf * ts.idf, 6) AS w FROM po JOIN ts USING (term)),
+tt AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) AS r FROM tw QUALIFY r <= 4),
+ids AS (SELECT doc_id, string_agg(term, ' ' ORDER BY r) AS docid FROM tt GROUP BY doc_id)"""
+
+
+def seeded(seed, x):
+    return f"md5('{seed}:' || CAST({x} AS VARCHAR))"
+
+
+def frac(key):
+    return f"(CAST(('0x' || substr({key}, 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+def bucket(key, train=0.8, validate=0.1, test=0.1):
+    t2 = train + (1.0 - train) * validate / (validate + test)
+    u = frac(key)
+    return (f"CASE WHEN {u} < {train!r}::DOUBLE THEN 'train' WHEN {u} < {t2!r}::DOUBLE THEN 'validate' "
+            f"ELSE 'test' END")
+
+
+ORACLE["attach_queries"] = f"""WITH {INDEX}, {generated(2)}
+SELECT c.mid, g.q_rank, g.query AS doctoquery FROM corpus1 c LEFT JOIN gen g ON g.doc_id = c.mid"""
+ORACLE["qrel_lookup"] = f"""WITH {QR},
+f AS (SELECT docid, qid FROM qr WHERE split = 'train' QUALIFY row_number() OVER (PARTITION BY docid ORDER BY pos) = 1)
+SELECT f.docid, f.qid, a.question, b.passage FROM f JOIN qa a ON a.qid = f.qid JOIN qa b ON b.docid = f.docid"""
+ORACLE["dev_anti_train"] = f"""WITH {QR}
+SELECT DISTINCT docid FROM qr WHERE split = 'dev' AND docid NOT IN (SELECT docid FROM qr WHERE split = 'train')"""
+ORACLE["qid_guard"] = f"""WITH {QR}
+SELECT qid, docid FROM qr WHERE split = 'dev' AND qid NOT IN (SELECT qid FROM qr WHERE split = 'train')
+QUALIFY row_number() OVER (PARTITION BY qid ORDER BY pos) = 1"""
+ORACLE["prompt_cross_lang"] = f"""WITH {CORPUS}
+SELECT c.mid AS doc_id, l.lang, 'Generate a ' || l.language || ' question for this passage: ' || c.subject || ' ' || c.body_clean AS prompt
+FROM corpus c, {LANGS}"""
+ORACLE["mrr_at_k"] = f"""WITH {BM25}
+SELECT CAST(k AS BIGINT) AS k, round(avg(CASE WHEN rank <= k THEN 1.0::DOUBLE / rank ELSE 0.0::DOUBLE END), 6) AS mrr
+FROM ranks, (VALUES (1), (3), (10), (20)) t(k) GROUP BY k"""
+ORACLE["hits_at_k"] = f"""WITH {BM25}
+SELECT CAST(k AS BIGINT) AS k, round(avg(CASE WHEN rank <= k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS hits
+FROM ranks, (VALUES (1), (3), (10), (20)) t(k) GROUP BY k"""
+ORACLE["qrel_invert"] = f"WITH {QR} SELECT split, docid, string_agg(qid, ',' ORDER BY pos, qid) AS qids FROM qr GROUP BY split, docid"
+ORACLE["distinct_ids"] = f"WITH {INDEX}, {DOCIDS} SELECT DISTINCT docid AS text_id FROM ids"
+ORACLE["source_sizes"] = "SELECT source, count(*) AS n_rows FROM documents GROUP BY ROLLUP (source)"
+ORACLE["nth_shortest"] = """SELECT doc_id, CAST(length(text) AS BIGINT) AS char_count FROM documents
+ORDER BY char_count NULLS FIRST, doc_id LIMIT 1 OFFSET 3"""
+ORACLE["seeded_sample"] = f"""SELECT doc_id, CAST(row_number() OVER (ORDER BY {seeded(313, 'doc_id')}, doc_id) AS BIGINT) AS sample_rank
+FROM documents QUALIFY sample_rank <= 100"""
+ORACLE["split_exact"] = f"""WITH n AS (SELECT count(*)::DOUBLE AS n FROM documents),
+c AS (SELECT floor(n * 0.8::DOUBLE + 1e-9::DOUBLE) AS n_train, n FROM n),
+c2 AS (SELECT n_train, floor((n - n_train) * 0.1::DOUBLE / (0.1::DOUBLE + 0.1::DOUBLE) + 1e-9::DOUBLE) AS n_val FROM c),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY {seeded(42, 'doc_id')}, doc_id) AS rn FROM documents)
+SELECT doc_id, CASE WHEN rn <= n_train THEN 'train' WHEN rn <= n_train + n_val THEN 'validate' ELSE 'test' END AS split
+FROM r, c2"""
+ORACLE["split_bucket"] = f"SELECT doc_id, {bucket(seeded(42, 'doc_id'))} AS split FROM documents"
+VIEWROWS = f"""{INDEX}, {generated(1)},
+vw AS (SELECT c.mid AS doc_id, 'subject: ' || coalesce(c.subject, '') || ' body: ' ||
+         regexp_replace(coalesce(c.body_clean, ''), '[\\n\\r\\t]', ' ', 'g') AS body_clean_and_subject, g.query AS doctoquery
+       FROM corpus1 c LEFT JOIN gen g ON g.doc_id = c.mid),
+vr AS (SELECT doc_id, 'body_clean_and_subject' AS view, body_clean_and_subject AS text FROM vw
+       UNION ALL SELECT doc_id, 'doctoquery', doctoquery FROM vw)"""
+ORACLE["split_by_doc"] = f"WITH {VIEWROWS} SELECT doc_id, view, {bucket(seeded(42, 'doc_id'))} AS split FROM vr"
+ORACLE["split_by_query"] = f"""WITH {VIEWROWS}
+SELECT doc_id, view, {bucket(seeded(42, "CAST(doc_id AS VARCHAR) || ':' || view"))} AS split FROM vr"""
+ORACLE["multi_view_pairs"] = f"""WITH {VIEWROWS}, {DOCIDS}
+SELECT v.view, coalesce(v.text, '') AS text, i.docid AS text_id, {bucket(seeded(42, 'v.doc_id'))} AS split
+FROM vr v JOIN ids i USING (doc_id)"""
+ORACLE["dense_ids"] = f"""SELECT doc_id, CAST(row_number() OVER (ORDER BY {seeded(313, 'doc_id')}, doc_id) - 1 AS BIGINT) AS rand_id
+FROM documents"""
+ORACLE["quota_fill"] = f"""WITH pref AS (SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+pool AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM pref)),
+u AS (SELECT doc_id, 0 AS priority FROM pref UNION ALL SELECT doc_id, 1 FROM pool)
+SELECT doc_id, CAST(priority AS BIGINT) AS priority,
+  CAST(row_number() OVER (ORDER BY priority, {seeded(313, 'doc_id')}, doc_id) AS BIGINT) AS fill_rank
+FROM u QUALIFY fill_rank <= (SELECT count(*) // 2 FROM documents)"""
+ORACLE["shard_rows"] = f"""WITH n AS (SELECT count(*) AS n, CAST(ceil(count(*) / 8) * 8 AS BIGINT) AS target FROM labels),
+top AS (SELECT doc_id, 1 AS copy FROM labels ORDER BY {seeded(313, 'doc_id')}, doc_id LIMIT (SELECT target - n FROM n)),
+u AS (SELECT doc_id, 0 AS copy FROM labels UNION ALL SELECT * FROM top),
+r AS (SELECT doc_id, copy, row_number() OVER (ORDER BY copy, doc_id) AS rn FROM u)
+SELECT doc_id, CAST(copy AS BIGINT) AS copy, CAST(floor((rn - 1) / ((SELECT target FROM n) // 8)) AS BIGINT) AS shard FROM r"""
+ORACLE["mix_sources"] = """WITH s AS (SELECT source, count(*) AS n_rows FROM documents GROUP BY source),
+t AS (SELECT *, sum(n_rows) OVER () AS total, row_number() OVER (ORDER BY source) AS pos, count(*) OVER () AS n_src FROM s),
+u AS (SELECT *, floor(total / 4) AS total_steps, round_even(n_rows / total * floor(total / 4), 0) AS share_steps FROM t),
+v AS (SELECT *, CASE WHEN pos = n_src THEN total_steps - sum(CASE WHEN pos < n_src THEN share_steps END) OVER ()
+       ELSE share_steps END AS steps FROM u)
+SELECT source, n_rows, CAST(steps AS BIGINT) AS steps, CAST(steps * 4 AS BIGINT) AS n_samples FROM v"""
+ORACLE["generation_input"] = f"""WITH {CORPUS}
+SELECT 'email' AS kind, mid AS doc_id, NULL::VARCHAR AS lang, 'subject: ' || subject || ' body: ' || body_clean AS text FROM corpus
+UNION ALL
+SELECT 'multilingual', c.mid, l.lang, 'Generate a ' || l.language || ' question for this passage: ' || c.subject || ' ' || c.body_clean
+FROM corpus c, {LANGS}
+UNION ALL
+SELECT 'monolingual', mid, NULL::VARCHAR, body_clean FROM corpus"""
+QAD = f"""{QR},
+fq AS (SELECT split, docid, qid FROM qr QUALIFY row_number() OVER (PARTITION BY split, docid ORDER BY pos) = 1),
+tr AS (SELECT f.docid, a.question, b.passage FROM fq f JOIN qa a ON a.qid = f.qid JOIN qa b ON b.docid = f.docid
+       WHERE f.split = 'train'),
+dv AS (SELECT f.docid, a.question, b.passage FROM fq f JOIN qa a ON a.qid = f.qid JOIN qa b ON b.docid = f.docid
+       WHERE f.split = 'dev' AND f.docid NOT IN (SELECT docid FROM fq WHERE split = 'train')),
+pool AS (SELECT doc_id + 1000000000000 AS docid, NULL::VARCHAR AS question, coalesce(text, '') AS passage FROM documents
+         WHERE doc_id + 1000000000000 NOT IN (SELECT docid FROM tr)),
+fl AS (SELECT docid, question, passage, 0 AS priority FROM tr UNION ALL SELECT docid, question, passage, 1 FROM pool),
+filled AS (SELECT *, row_number() OVER (ORDER BY priority, {seeded(313, 'docid')}, docid) AS fill_rank, 0 AS phase FROM fl
+           QUALIFY fill_rank <= (SELECT count(*) * 12 // 10 FROM tr)),
+dev AS (SELECT docid, question, passage, 2 AS priority,
+          row_number() OVER (ORDER BY {seeded(313, 'docid')}, docid) AS fill_rank, 1 AS phase FROM dv),
+allr AS (SELECT *, row_number() OVER (ORDER BY phase, fill_rank) AS position
+         FROM (SELECT * FROM filled UNION ALL SELECT * FROM dev)),
+vals AS (SELECT unnest(range((SELECT count(*) FROM allr))) AS v),
+perm AS (SELECT v, row_number() OVER (ORDER BY {seeded(313, 'v')}, v) AS position FROM vals),
+qad AS (SELECT a.*, p.v AS text_id FROM allr a JOIN perm p USING (position))"""
+ORACLE["qa_dataset_train"] = f"""WITH {QAD}
+SELECT text_id, 'Passage: ' || passage AS text FROM qad
+UNION ALL SELECT text_id, 'Question: ' || question FROM qad WHERE phase = 0 AND question IS NOT NULL"""
+ORACLE["qa_dataset_dev"] = f"WITH {QAD} SELECT text_id, 'Question: ' || question AS text FROM qad WHERE phase = 1"
+ORACLE["qa_dataset_corpus"] = f"WITH {QAD} SELECT text_id, CAST(text_id AS VARCHAR) || chr(9) || passage AS line FROM qad"
+ML = f"""{QR},
+ml0 AS (SELECT r.split, r.qid, r.docid, r.pos, a.question,
+   replace(regexp_replace(a.passage, '^\\s+|\\s+$', '', 'g'), chr(10), ' ') AS passage,
+   regexp_replace(regexp_extract(a.passage, '^\\s*(\\S+(?:\\s+\\S+){{0,2}})', 1), '\\s+', ' ', 'g') AS title,
+   ['en', 'fr', 'de', 'es'][a.conv_id % 4 + 1] AS lang
+   FROM qr r JOIN qa a ON a.qid = r.qid
+   QUALIFY row_number() OVER (PARTITION BY r.qid ORDER BY CASE WHEN r.split = 'train' THEN 0 ELSE 1 END, r.pos) = 1),
+ml AS (SELECT ml0.*, l.language FROM ml0 JOIN {LANGS} ON l.lang = ml0.lang)"""
+ORACLE["multiling_train"] = f"""WITH {ML}
+SELECT docid AS text_id, 'Passage: ' || title || '</s>' || passage AS text FROM ml WHERE split = 'train'
+UNION ALL SELECT docid, 'Question: ' || question FROM ml WHERE split = 'train'"""
+ORACLE["multiling_dev"] = f"WITH {ML} SELECT docid AS text_id, 'Question: ' || question AS text FROM ml WHERE split = 'dev'"
+ORACLE["generator_pairs"] = f"""WITH {ML}
+SELECT qid, question AS text_id, 'Generate a ' || language || ' question for this passage: ' || title || ' ' || passage AS text FROM ml"""
+ORACLE["ranker_groups"] = f"""WITH {RANKER}
+SELECT source, question, CAST(sum(CAST(is_positive AS INT)) AS BIGINT) AS n_pos,
+  CAST(sum(CAST(NOT is_positive AS INT)) AS BIGINT) AS n_neg
+FROM rk GROUP BY source, question HAVING n_pos > 0 AND n_neg > 0"""
