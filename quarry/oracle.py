@@ -348,3 +348,107 @@ ORACLE["ranker_groups"] = f"""WITH {RANKER}
 SELECT source, question, CAST(sum(CAST(is_positive AS INT)) AS BIGINT) AS n_pos,
   CAST(sum(CAST(NOT is_positive AS INT)) AS BIGINT) AS n_neg
 FROM rk GROUP BY source, question HAVING n_pos > 0 AND n_neg > 0"""
+
+# ------------------------------------------------------------------ trie / evidence / beam (U: unrolled)
+TRIE = f"""{INDEX}, {DOCIDS},
+sq AS (SELECT doc_id, list_append(string_split(docid, ' '), '</s>') AS seq FROM ids),
+st0 AS (SELECT doc_id, seq, unnest(seq) AS token, generate_subscripts(seq, 1) AS i FROM sq),
+st AS (SELECT doc_id, array_to_string(seq[1:i - 1], ' ') AS prefix, token, CAST(i - 1 AS BIGINT) AS depth FROM st0),
+edges AS (SELECT prefix, token, depth, count(*) AS n_seq FROM st GROUP BY ALL)"""
+ORACLE["trie_edges"] = f"WITH {TRIE} SELECT prefix, token, depth, n_seq FROM edges"
+ORACLE["trie_next"] = f"""WITH {TRIE},
+probes AS (SELECT DISTINCT prefix FROM st
+  UNION SELECT array_to_string({toks('subject')}[1:2], ' ') FROM corpus)
+SELECT p.prefix, e.token AS next_token FROM probes p LEFT JOIN edges e ON e.prefix = p.prefix"""
+
+
+def _trie_of(name, src, bos):
+    head = "['<s>'] || " if bos else ""
+    return f"""{name}_sq AS (SELECT doc_id, {head}list_append(string_split(docid, ' '), '</s>') AS seq FROM {src}),
+{name}_st0 AS (SELECT doc_id, seq, unnest(seq) AS token, generate_subscripts(seq, 1) AS i FROM {name}_sq),
+{name}_st AS (SELECT array_to_string(seq[1:i - 1], ' ') AS prefix, token, CAST(i - 1 AS BIGINT) AS depth FROM {name}_st0),
+{name}_e AS (SELECT DISTINCT prefix, token, depth FROM {name}_st),
+{name}_n AS (SELECT CASE WHEN prefix = '' THEN token ELSE prefix || ' ' || token END AS node FROM {name}_e
+             UNION SELECT '' FROM {name}_e WHERE depth = 0)"""
+
+
+ORACLE["trie_next_fallback"] = f"""WITH {TRIE},
+il AS (SELECT i.doc_id, i.docid, c.lang FROM ids i JOIN corpus1 c ON c.mid = i.doc_id),
+ia AS (SELECT * FROM il WHERE lang = 'en'), ib AS (SELECT * FROM il WHERE lang <> 'en'),
+{_trie_of('a', 'ia', True)},
+{_trie_of('b', 'ib', False)},
+probes AS (SELECT DISTINCT prefix FROM (SELECT prefix FROM a_st UNION ALL SELECT prefix FROM b_st)),
+pt AS (SELECT prefix, list_filter(string_split(prefix, ' '), lambda x: x <> '') AS toks FROM probes),
+pk AS (SELECT prefix, toks, unnest(range(len(toks) + 1)) AS k FROM pt),
+pm AS (SELECT prefix, toks, max(k) AS m FROM pk WHERE array_to_string(toks[1:k], ' ') IN (SELECT node FROM a_n)
+       GROUP BY prefix, toks),
+hit AS (SELECT pm.prefix, e.token AS next_token FROM pm JOIN a_e e ON e.prefix = pm.prefix WHERE pm.m = len(pm.toks)),
+swapped AS (SELECT '' AS prefix, token AS next_token FROM b_e WHERE depth = 0
+            AND EXISTS (SELECT 1 FROM hit WHERE prefix = '' AND next_token = '<s>')),
+miss AS (SELECT pm.prefix, e.token AS next_token FROM pm
+         JOIN b_e e ON e.prefix = array_to_string(pm.toks[pm.m + 1:], ' ') WHERE pm.m < len(pm.toks)),
+res AS (SELECT DISTINCT * FROM (SELECT * FROM hit WHERE next_token <> '<s>' UNION ALL SELECT * FROM swapped
+        UNION ALL SELECT * FROM miss))
+SELECT p.prefix, r.next_token FROM probes p LEFT JOIN res r USING (prefix)"""
+ORACLE["trie_leaves"] = f"""WITH {INDEX}, {DOCIDS},
+sq AS (SELECT string_split(docid, ' ') AS seq FROM ids),
+full_ AS (SELECT DISTINCT array_to_string(seq, ' ') AS sequence FROM sq),
+proper AS (SELECT DISTINCT array_to_string(seq[1:k], ' ') AS sequence
+           FROM (SELECT seq, unnest(range(1, len(seq))) AS k FROM sq))
+SELECT sequence FROM full_ WHERE sequence NOT IN (SELECT sequence FROM proper)"""
+EVID = """ev AS (SELECT st.prefix, st.token, dt.term, count(*) AS weight
+       FROM st JOIN (SELECT DISTINCT doc_id, term FROM po) dt USING (doc_id) GROUP BY ALL)"""
+ORACLE["index_evidence"] = f"WITH {TRIE}, {EVID} SELECT prefix, token, term, weight FROM ev"
+
+
+def beam_sql(steps: int = 5, beams: int = 20) -> str:
+    parts = [f"""{TRIE}, {EVID},
+kids AS (SELECT prefix, token, count(*) OVER (PARTITION BY prefix) AS n_children FROM (SELECT DISTINCT prefix, token FROM edges)),
+ki AS (SELECT b.item_id, b.text AS query,
+              (SELECT min(d.doc_id) FROM documents d WHERE contains(d.text, b.text)) AS target FROM benchmark b),
+bq AS (SELECT 'k' || CAST(item_id AS VARCHAR) AS query_id, query, target FROM ki WHERE query IS NOT NULL AND query <> ''),
+qterm AS (SELECT DISTINCT query_id, unnest({toks('query')}) AS term FROM bq),
+s0 AS (SELECT DISTINCT query_id, '' AS prefix, 0.0::DOUBLE AS lp, CAST(0 AS BIGINT) AS len, false AS done FROM qterm)"""]
+    for i in range(steps):
+        parts.append(f"""live{i} AS (SELECT query_id, prefix, lp, len FROM s{i} WHERE NOT done),
+hits{i} AS (SELECT l.query_id, l.prefix, e.token, sum(e.weight) AS ev FROM live{i} l JOIN qterm q USING (query_id)
+            JOIN ev e ON e.prefix = l.prefix AND e.term = q.term GROUP BY ALL),
+tot{i} AS (SELECT query_id, prefix, sum(ev) AS ev_total FROM hits{i} GROUP BY ALL),
+cand{i} AS (SELECT l.query_id, l.prefix, l.lp, l.len, k.token, k.n_children, coalesce(t.ev_total, 0) AS ev_total,
+              coalesce(h.ev, 0) AS ev
+            FROM live{i} l JOIN kids k ON k.prefix = l.prefix
+            LEFT JOIN tot{i} t ON t.query_id = l.query_id AND t.prefix = l.prefix
+            LEFT JOIN hits{i} h ON h.query_id = l.query_id AND h.prefix = l.prefix AND h.token = k.token),
+pool{i} AS (SELECT query_id, CASE WHEN prefix = '' THEN token ELSE prefix || ' ' || token END AS prefix,
+              round(lp + ln((1.0::DOUBLE + ev) / (1.0::DOUBLE * n_children + ev_total)), 6) AS lp,
+              len + 1 AS len, token = '</s>' AS done FROM cand{i}
+            UNION ALL SELECT * FROM s{i} WHERE done),
+s{i + 1} AS (SELECT * FROM pool{i}
+           QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(lp / len, 6) DESC, prefix) <= {beams})""")
+    parts.append(f"""beams AS (SELECT query_id,
+  CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(lp / len, 6) DESC, prefix) AS BIGINT) AS rank,
+  regexp_replace(prefix, '( |^)</s>$', '') AS docid, round(lp / len, 6) AS score FROM s{steps} WHERE done),
+tg AS (SELECT bq.query_id, i.docid AS target FROM bq LEFT JOIN ids i ON i.doc_id = bq.target),
+branks AS (SELECT tg.query_id, tg.target, min(b.rank) AS rank FROM tg
+           LEFT JOIN beams b ON b.query_id = tg.query_id AND b.docid = tg.target GROUP BY ALL)""")
+    return ",\n".join(parts)
+
+
+BEAM = beam_sql()
+ORACLE["beam_retrieve"] = f"WITH {BEAM} SELECT query_id, rank, docid, score FROM beams"
+ORACLE["beam_eval"] = f"""WITH {BEAM}
+SELECT 'DSI-base' AS system, 'known_item' AS query_type, count(*) AS n_queries, {metric_cols()} FROM branks"""
+ORACLE["beam_hits"] = f"""WITH {BEAM},
+vd AS (SELECT query_id, docid, min(rank) AS r FROM beams WHERE docid IN (SELECT docid FROM ids) GROUP BY ALL),
+rr AS (SELECT query_id, docid, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM vd),
+hr AS (SELECT tg.query_id, min(rr.rank) AS rank FROM tg LEFT JOIN rr ON rr.query_id = tg.query_id
+       AND rr.docid = tg.target AND rr.rank <= 10 GROUP BY ALL)
+SELECT count(*) AS n_queries, round(avg(CASE WHEN rank = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS hits_1,
+  round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS hits_10 FROM hr"""
+ORACLE["valid_dedupe_rank"] = f"""WITH {BEAM},
+bh AS (SELECT query_id, rank, array_to_string(string_split(docid, ' ')[1:2], ' ') AS item FROM beams),
+vi AS (SELECT DISTINCT array_to_string(string_split(i.docid, ' ')[1:2], ' ') AS item FROM ids i
+       JOIN corpus c ON c.mid = i.doc_id WHERE c.lang = 'en'),
+fr AS (SELECT query_id, item, min(rank) AS fr FROM bh GROUP BY ALL)
+SELECT query_id, item, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fr) AS BIGINT) AS rank
+FROM fr WHERE item IN (SELECT item FROM vi)"""
