@@ -452,3 +452,37 @@ vi AS (SELECT DISTINCT array_to_string(string_split(i.docid, ' ')[1:2], ' ') AS
 fr AS (SELECT query_id, item, min(rank) AS fr FROM bh GROUP BY ALL)
 SELECT query_id, item, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fr) AS BIGINT) AS rank
 FROM fr WHERE item IN (SELECT item FROM vi)"""
+
+# ------------------------------------------------------------------ re-rank
+PAIRS = f"""{RANKER},
+pp AS (SELECT source, doc_id, coalesce(question, '') AS query, concat_ws(' ', title, text) AS context FROM rk),
+pq AS (SELECT DISTINCT source, doc_id, unnest({toks('query')}) AS term FROM pp),
+pc AS (SELECT DISTINCT source, doc_id, unnest({toks('context')}) AS term FROM pp),
+psc AS (SELECT source, doc_id, sum(ts.idf) AS score FROM pq JOIN pc USING (source, doc_id, term) JOIN ts USING (term)
+        GROUP BY ALL),
+scored AS (SELECT pp.source, pp.doc_id, round(coalesce(psc.score, 0.0::DOUBLE), 6) AS score
+           FROM pp LEFT JOIN psc USING (source, doc_id))"""
+ORACLE["score_pairs"] = f"WITH {INDEX}, {PAIRS} SELECT source, doc_id, score FROM scored"
+ORACLE["rerank_queries"] = f"""WITH {INDEX},
+ss AS (SELECT mid AS doc_id, body_clean, regexp_extract_all(body_clean, {SENT}) AS s FROM corpus),
+cq AS (SELECT DISTINCT doc_id, body_clean, q AS query FROM (SELECT doc_id, body_clean, unnest([s[1], s[2], s[3], s[4], s[5], s[1]]) AS q FROM ss)
+       WHERE q IS NOT NULL),
+qt AS (SELECT DISTINCT doc_id, query, unnest({toks('query')}) AS term FROM cq),
+ct AS (SELECT DISTINCT doc_id, unnest({toks('body_clean')}) AS term FROM ss),
+rsc AS (SELECT doc_id, query, sum(ts.idf) AS score FROM qt JOIN ct USING (doc_id, term) JOIN ts USING (term) GROUP BY ALL),
+r AS (SELECT cq.doc_id, cq.query, round(coalesce(rsc.score, 0.0::DOUBLE), 6) AS score FROM cq LEFT JOIN rsc USING (doc_id, query))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, query) AS BIGINT) AS rank, query, score FROM r"""
+HNG_BODY = f"""pos AS (SELECT source, min(doc_id) AS doc_id FROM rk WHERE is_positive GROUP BY source),
+neg AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY {seeded(313, 'doc_id')}, doc_id) AS rn,
+          count(*) OVER (PARTITION BY source) AS n_neg FROM rk WHERE NOT is_positive),
+sl AS (SELECT source, doc_id, CAST(unnest(range(rn, 4, n_neg)) AS BIGINT) AS slot FROM neg WHERE rn <= 3),
+hg AS (SELECT source, CAST(0 AS BIGINT) AS slot, doc_id, true AS is_positive FROM pos WHERE source IN (SELECT source FROM neg)
+       UNION ALL SELECT source, slot, doc_id, false FROM sl WHERE source IN (SELECT source FROM pos))"""
+HNG = RANKER + ",\n" + HNG_BODY
+ORACLE["hard_negative_groups"] = f"WITH {HNG} SELECT source, slot, doc_id, is_positive FROM hg"
+ORACLE["listwise_loss"] = f"""WITH {INDEX}, {PAIRS}, {HNG_BODY},
+g AS (SELECT hg.source, hg.slot, s.score FROM hg JOIN scored s USING (source, doc_id)),
+m AS (SELECT source, max(score) AS m FROM g GROUP BY source),
+per AS (SELECT g.source, max(m.m) + ln(sum(exp(g.score - m.m))) - max(CASE WHEN g.slot = 0 THEN g.score END) AS loss
+        FROM g JOIN m USING (source) GROUP BY g.source)
+SELECT count(*) AS n_groups, round(avg(loss), 6) AS loss FROM per"""

@@ -107,7 +107,7 @@ def q_dedupe_first(spark, sf):
 
 def _load_all() -> None:
     """Import the query modules so their ``register`` calls run."""
-    from quarry.plans import data_queries, retrieval_queries, text_queries  # noqa: F401
+    from quarry.plans import data_queries, rerank_queries, retrieval_queries, text_queries  # noqa: F401
 
 
 _load_all()
