@@ -486,3 +486,31 @@ m AS (SELECT source, max(score) AS m FROM g GROUP BY source),
 per AS (SELECT g.source, max(m.m) + ln(sum(exp(g.score - m.m))) - max(CASE WHEN g.slot = 0 THEN g.score END) AS loss
         FROM g JOIN m USING (source) GROUP BY g.source)
 SELECT count(*) AS n_groups, round(avg(loss), 6) AS loss FROM per"""
+
+# ------------------------------------------------------------------ sources / sinks
+ORACLE["sink_roundtrip"] = ORACLE["scan_corpus"]
+RESULTS = """b AS (SELECT 'BM25-base' AS system, source AS size, 'base' AS experiment_type, 'v1.0' AS version,
+   round(count(*) / 1000.0::DOUBLE, 4) AS mrr_3, round(avg(n_chars) / 100000.0::DOUBLE, 4) AS mrr_20,
+   0.0::DOUBLE AS hits_1, 1.0::DOUBLE AS hits_10 FROM documents GROUP BY source),
+u AS (SELECT 'BM25-base' AS system, source AS size, CASE WHEN lang = 'en' THEN 'base' ELSE 'multilingual' END AS experiment_type,
+   'v1.0' AS version, round(count(*) / 1000.0::DOUBLE, 4) AS mrr_3, round(avg(n_chars) / 100000.0::DOUBLE, 4) AS mrr_20,
+   0.5::DOUBLE AS hits_1, 0.5::DOUBLE AS hits_10, lang AS seq FROM documents GROUP BY source, lang),
+ul AS (SELECT * EXCLUDE (seq) FROM u QUALIFY row_number() OVER (PARTITION BY system, size, experiment_type, version ORDER BY seq DESC) = 1)"""
+ORACLE["upsert_results"] = f"""WITH {RESULTS}
+SELECT * FROM b WHERE (system, size, experiment_type, version) NOT IN (SELECT (system, size, experiment_type, version) FROM ul)
+UNION ALL SELECT * FROM ul"""
+PAIRS_SQL = f"""{CORPUS},
+pr2 AS (SELECT 'subject: ' || coalesce(subject, '') || ' body: ' || regexp_replace(coalesce(body_clean, ''), '[\\n\\r\\t]', ' ', 'g') AS text,
+   text_id FROM corpus)"""
+ORACLE["jsonl_roundtrip"] = f"WITH {PAIRS_SQL} SELECT text, text_id FROM pr2"
+ORACLE["pairs_to_json"] = f"WITH {PAIRS_SQL} SELECT CAST(to_json(struct_pack(text := text, text_id := text_id)) AS VARCHAR) AS line FROM pr2"
+ORACLE["tsv_roundtrip"] = f"WITH {QR} SELECT qid, docid FROM qr"
+ORACLE["corpus_tsv"] = f"""WITH {PAGES}
+SELECT CAST(page_id AS VARCHAR) || chr(9) || passage || chr(9) || regexp_replace(title, '\\s+', ' ', 'g') AS line FROM pf"""
+ORACLE["nested_qa_flatten"] = f"""WITH {PAGES}
+SELECT pf.title, pf.passage AS context, coalesce(regexp_extract_all(pf.passage, {SENT})[1], '') AS question,
+  regexp_extract(p.html, '<html lang="([^"]*)"', 1) AS lang, CAST(pf.page_id AS VARCHAR) AS qid
+FROM pf JOIN pages p USING (page_id)"""
+ORACLE["multi_source_cap"] = f"""WITH {RANKER}
+SELECT source, doc_id, question FROM rk WHERE is_positive
+QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10"""

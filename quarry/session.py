@@ -94,3 +94,11 @@ def materialize(df: DataFrame) -> DataFrame:
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     df.count()
     return df
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory (never a
+    machine-local temp dir on a cluster)."""
+    import uuid
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/quarry-io/{name}-{uuid.uuid4().hex}"
