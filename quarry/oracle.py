@@ -514,3 +514,66 @@ FROM pf JOIN pages p USING (page_id)"""
 ORACLE["multi_source_cap"] = f"""WITH {RANKER}
 SELECT source, doc_id, question FROM rk WHERE is_positive
 QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10"""
+
+# ------------------------------------------------------------------ TextRank (U: unrolled)
+def textrank_sql(iterations: int = 5) -> str:
+    parts = [f"""{INDEX},
+stop AS (SELECT term FROM ts WHERE df > 0.1::DOUBLE * (SELECT n FROM sc)),
+tri AS (SELECT mid AS doc_id, coalesce(subject, '') || ' ' || chr(10) || ' ' || coalesce(body_clean, '') AS text FROM corpus1),
+sn0 AS (SELECT doc_id, regexp_extract_all(text, {SENT}) AS ss FROM tri),
+sn1 AS (SELECT doc_id, unnest(ss) AS raw, CAST(generate_subscripts(ss, 1) - 1 AS BIGINT) AS pos FROM sn0),
+sn AS (SELECT doc_id, pos, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS sentence FROM sn1),
+so AS (SELECT DISTINCT doc_id, pos, unnest({toks('sentence')}) AS term FROM sn),
+so2 AS (SELECT * FROM so WHERE term NOT IN (SELECT term FROM stop)),
+nn AS (SELECT doc_id, pos, count(*) AS n FROM so2 GROUP BY ALL),
+nodes AS (SELECT sn.doc_id, sn.pos, sn.sentence, len(regexp_extract_all(sn.sentence, {WORD})) AS words, nn.n
+          FROM sn JOIN nn USING (doc_id, pos)),
+pe AS (SELECT a.doc_id, a.pos AS i, b.pos AS j, count(*) AS shared FROM so2 a JOIN so2 b
+       ON a.doc_id = b.doc_id AND a.term = b.term AND a.pos <> b.pos GROUP BY ALL),
+ew AS (SELECT pe.doc_id, i, j, shared / (ln(na.n) + ln(nb.n)) AS w FROM pe
+       JOIN nn na ON na.doc_id = pe.doc_id AND na.pos = i JOIN nn nb ON nb.doc_id = pe.doc_id AND nb.pos = j
+       WHERE ln(na.n) + ln(nb.n) > 0),
+wo AS (SELECT doc_id, i, sum(w) AS wsum FROM ew GROUP BY ALL),
+r0 AS (SELECT doc_id, pos, 1.0::DOUBLE AS score FROM nodes)"""]
+    for k in range(iterations):
+        parts.append(f"""r{k + 1} AS (SELECT n.doc_id, n.pos,
+  (1.0::DOUBLE - 0.85::DOUBLE) + 0.85::DOUBLE * coalesce(x.acc, 0.0::DOUBLE) AS score FROM nodes n LEFT JOIN
+  (SELECT ew.doc_id, ew.j, sum(ew.w * r.score / wo.wsum) AS acc FROM ew
+   JOIN r{k} r ON r.doc_id = ew.doc_id AND r.pos = ew.i JOIN wo ON wo.doc_id = ew.doc_id AND wo.i = ew.i GROUP BY ALL) x
+  ON x.doc_id = n.doc_id AND x.j = n.pos)""")
+    parts.append(f"""trs AS (SELECT n.*, round(r.score, 6) AS score FROM nodes n JOIN r{iterations} r USING (doc_id, pos)),
+trg AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY score DESC, pos
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM trs),
+trg2 AS (SELECT *, max(CASE WHEN abs(15 - before - words) > abs(15 - before) THEN 1 ELSE 0 END)
+          OVER (PARTITION BY doc_id ORDER BY score DESC, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stp FROM trg),
+summ AS (SELECT doc_id, string_agg(sentence, chr(10) ORDER BY pos) AS summary FROM trg2 WHERE stp = 0 GROUP BY doc_id),
+kl AS (SELECT doc_id, {toks('text')} AS tl FROM tri),
+kt0 AS (SELECT doc_id, unnest(tl) AS term, generate_subscripts(tl, 1) AS p FROM kl),
+kt AS (SELECT * FROM kt0 WHERE term NOT IN (SELECT term FROM stop)),
+kp AS (SELECT doc_id, term, lead(term) OVER (PARTITION BY doc_id ORDER BY p) AS nxt FROM kt),
+ku AS (SELECT DISTINCT doc_id, u, v FROM (SELECT doc_id, term AS u, nxt AS v FROM kp WHERE nxt IS NOT NULL AND term <> nxt
+       UNION ALL SELECT doc_id, nxt, term FROM kp WHERE nxt IS NOT NULL AND term <> nxt)),
+kd AS (SELECT doc_id, u, count(*) AS deg FROM ku GROUP BY ALL),
+kn AS (SELECT DISTINCT doc_id, term FROM kt),
+k0 AS (SELECT doc_id, term, 1.0::DOUBLE AS score FROM kn)""")
+    for k in range(iterations):
+        parts.append(f"""k{k + 1} AS (SELECT kn.doc_id, kn.term,
+  (1.0::DOUBLE - 0.85::DOUBLE) + 0.85::DOUBLE * coalesce(x.acc, 0.0::DOUBLE) AS score FROM kn LEFT JOIN
+  (SELECT ku.doc_id, ku.v AS term, sum(k.score / kd.deg) AS acc FROM ku
+   JOIN k{k} k ON k.doc_id = ku.doc_id AND k.term = ku.u JOIN kd ON kd.doc_id = ku.doc_id AND kd.u = ku.u GROUP BY ALL) x
+  USING (doc_id, term))""")
+    parts.append(f"""ktop AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, term) AS r
+         FROM k{iterations} QUALIFY r <= 8),
+kw AS (SELECT doc_id, string_agg(term, ' ' ORDER BY r) AS keywords FROM ktop GROUP BY doc_id),
+prep AS (SELECT c.mid AS doc_id, c.subject, c.body_clean,
+   'subject: ' || coalesce(c.subject, '') || ' body: ' || regexp_replace(coalesce(c.body_clean, ''), '[\\n\\r\\t]', ' ', 'g') AS body_clean_and_subject,
+   CAST(length(regexp_replace(c.body_clean, '[\\n\\r\\t]', ' ', 'g')) AS BIGINT) AS clean_length_character,
+   coalesce(s.summary, '') AS text_rank_query, coalesce(kw.keywords, '') AS elaborative_description
+   FROM corpus1 c LEFT JOIN summ s ON s.doc_id = c.mid LEFT JOIN kw ON kw.doc_id = c.mid)""")
+    return ",\n".join(parts)
+
+
+TEXTRANK = textrank_sql()
+ORACLE["textrank_summary"] = f"WITH {TEXTRANK} SELECT doc_id, text_rank_query FROM prep"
+ORACLE["textrank_keywords"] = f"WITH {TEXTRANK} SELECT doc_id, elaborative_description FROM prep"
+ORACLE["prepare_corpus"] = f"WITH {TEXTRANK} SELECT * FROM prep"

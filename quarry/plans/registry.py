@@ -108,7 +108,7 @@ def q_dedupe_first(spark, sf):
 def _load_all() -> None:
     """Import the query modules so their ``register`` calls run."""
     from quarry.plans import (data_queries, io_queries, rerank_queries,  # noqa: F401
-                              retrieval_queries, text_queries)
+                              retrieval_queries, text_queries, textrank_queries)
 
 
 _load_all()
