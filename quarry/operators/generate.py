@@ -35,15 +35,19 @@ def sentence_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def extractive_queries(docs: DataFrame, term_stats: DataFrame, hot_terms: DataFrame,
                        n: int = 1, q_max_length: int = Q_MAX_LENGTH,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    sents = sentence_table(docs, id_col, text_col).withColumn(
-        "query", F.array_join(F.slice("toks", 1, q_max_length), " "))
-    occ = sents.select("doc_id", "sent_pos", "query", F.explode("toks").alias("term"))
+    sents = sentence_table(docs, id_col, text_col)
+    occ = sents.select("doc_id", "sent_pos", F.explode("toks").alias("term"))
     scored = (split_hot_join(occ, term_stats.select("term", "idf"), "term", hot_terms)
-              .groupBy("doc_id", "sent_pos", "query")
+              .groupBy("doc_id", "sent_pos")
               .agg(F.round(F.avg("idf"), 6).alias("score")))
     w = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), F.col("sent_pos"))
-    return (scored.withColumn("q_rank", F.row_number().over(w).cast("bigint"))
-            .where(F.col("q_rank") <= n).select("doc_id", "q_rank", "query"))
+    best = (scored.withColumn("q_rank", F.row_number().over(w).cast("bigint"))
+            .where(F.col("q_rank") <= n))
+    # the text of the chosen sentences only: re-deriving it is cheaper than
+    # carrying every sentence's text through the token-level shuffle
+    text = sents.select("doc_id", "sent_pos",
+                        F.array_join(F.slice("toks", 1, q_max_length), " ").alias("query"))
+    return best.join(text, ["doc_id", "sent_pos"]).select("doc_id", "q_rank", "query")
 
 
 def generate_with(docs: DataFrame, fn: Callable[[Iterator], Iterator],

@@ -61,7 +61,15 @@ def evaluation_queries(spark: SparkSession, sf_dir: str, corp: DataFrame, index:
 def bm25_run(spark: SparkSession, sf_dir: str, k: int = bm25.DEPTH) -> Bm25Run:
     corp, index = corpus_index(spark, sf_dir)
     queries = materialize(evaluation_queries(spark, sf_dir, corp, index))
-    hits = bm25.bm25_search(index, queries.select("query_id", "query"), k=k)
+    # a numeric key keeps the (query, doc) shuffle narrow; the string id is
+    # joined back after the top-k cut
+    keyed = queries.select("query_id", "query", F.xxhash64("query_id").alias("qkey"))
+    dup = keyed.groupBy("qkey").count().where("count > 1").count()
+    if dup:
+        raise ValueError("query key collision")
+    hits = bm25.bm25_search(index, keyed.select(F.col("qkey").alias("query_id"), "query"), k=k)
+    hits = hits.withColumnRenamed("query_id", "qkey").join(
+        keyed.select("qkey", "query_id"), "qkey").drop("qkey")
     hits = hits.join(corp.select(F.col("mid").alias("doc_id"), F.col("text_id").alias("item")),
                      "doc_id")
     ranks = materialize(first_hit_rank(hits, queries.select("query_id", "query_type", "target")))
