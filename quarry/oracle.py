@@ -396,9 +396,9 @@ full_ AS (SELECT DISTINCT array_to_string(seq, ' ') AS sequence FROM sq),
 proper AS (SELECT DISTINCT array_to_string(seq[1:k], ' ') AS sequence
            FROM (SELECT seq, unnest(range(1, len(seq))) AS k FROM sq))
 SELECT sequence FROM full_ WHERE sequence NOT IN (SELECT sequence FROM proper)"""
-EVID = """ev AS (SELECT st.prefix, st.token, dt.term, count(*) AS weight
+EVID = """ev AS (SELECT st.depth, st.prefix, st.token, dt.term, count(*) AS weight
        FROM st JOIN (SELECT DISTINCT doc_id, term FROM po) dt USING (doc_id) GROUP BY ALL)"""
-ORACLE["index_evidence"] = f"WITH {TRIE}, {EVID} SELECT prefix, token, term, weight FROM ev"
+ORACLE["index_evidence"] = f"WITH {TRIE}, {EVID} SELECT depth, prefix, token, term, weight FROM ev"
 
 
 def beam_sql(steps: int = 5, beams: int = 20) -> str:

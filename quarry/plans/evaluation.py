@@ -46,6 +46,7 @@ def evaluation_queries(spark: SparkSession, sf_dir: str, corp: DataFrame, index:
     ki = fixtures.known_items(spark, sf_dir, index.postings.select("term", "doc_id"),
                               index.term_stats.select("term", "df")).select(
         F.concat(F.lit("k"), F.col("item_id").cast("string")).alias("query_id"),
+        (F.col("item_id") * 2 + 1).alias("qkey"),
         F.lit("known_item").alias("query_type"), "query",
         F.col("target").cast("string").alias("target"))
     gen = generate.extractive_queries(corp.select(F.col("mid").alias("doc_id"), "body_clean"),
@@ -53,7 +54,7 @@ def evaluation_queries(spark: SparkSession, sf_dir: str, corp: DataFrame, index:
                                       text_col="body_clean")
     d2q = (gen.join(corp.select(F.col("mid").alias("doc_id"), "text_id"), "doc_id")
            .select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("query_id"),
-                   F.lit("d2q").alias("query_type"), "query", F.col("text_id").alias("target")))
+                   (F.col("doc_id") * 2).alias("qkey"), F.lit("d2q").alias("query_type"), "query", F.col("text_id").alias("target")))
     q = ki.unionByName(d2q)
     return q.where(F.col("query").isNotNull() & (F.col("query") != ""))
 
@@ -61,12 +62,9 @@ def evaluation_queries(spark: SparkSession, sf_dir: str, corp: DataFrame, index:
 def bm25_run(spark: SparkSession, sf_dir: str, k: int = bm25.DEPTH) -> Bm25Run:
     corp, index = corpus_index(spark, sf_dir)
     queries = materialize(evaluation_queries(spark, sf_dir, corp, index))
-    # a numeric key keeps the (query, doc) shuffle narrow; the string id is
-    # joined back after the top-k cut
-    keyed = queries.select("query_id", "query", F.xxhash64("query_id").alias("qkey"))
-    dup = keyed.groupBy("qkey").count().where("count > 1").count()
-    if dup:
-        raise ValueError("query key collision")
+    # an exact numeric key (2*id + type bit) keeps the (query, doc) shuffle
+    # narrow; the string id is joined back after the top-k cut
+    keyed = queries.select("query_id", "query", "qkey")
     hits = bm25.bm25_search(index, keyed.select(F.col("qkey").alias("query_id"), "query"), k=k)
     hits = hits.withColumnRenamed("query_id", "qkey").join(
         keyed.select("qkey", "query_id"), "qkey").drop("qkey")

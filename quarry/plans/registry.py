@@ -62,7 +62,8 @@ def q_term_stats(spark, sf):
 @register("query_set")
 def q_query_set(spark, sf):
     corp, idx = evaluation.corpus_index(spark, sf)
-    return evaluation.evaluation_queries(spark, sf, corp, idx)
+    return evaluation.evaluation_queries(spark, sf, corp, idx).select(
+        "query_id", "query_type", "query", "target")
 
 
 @register("generate_queries")

@@ -66,9 +66,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss, unlike a local one)."""
+    """Reliable checkpoint (survives executor loss, unlike a local one).
+    The frame is persisted first so writing the checkpoint files reads the
+    cached rows instead of computing the plan a second time."""
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
 
 
 def target_partitions(spark: SparkSession) -> int:
