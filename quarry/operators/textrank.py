@@ -91,9 +91,15 @@ def sentence_rank(nodes: DataFrame, occ: DataFrame, iterations: int = ITERATIONS
 
 def summarize(nodes: DataFrame, scores: DataFrame, words: int = SUMMARY_WORDS) -> DataFrame:
     """Greedy by round(score, 6) desc then position: add sentences while the
-    word total gets no farther from ``words``; output in text order."""
+    word total gets no farther from ``words``; output in text order.
+
+    Every node has at least one word and once the total reaches ``words``
+    the next sentence always stops the greedy, so only the best
+    ``words + 1`` sentences of a document can matter: that top-k cut runs
+    as a partial limit before the shuffle, however long the document."""
     s = nodes.join(scores, ["doc_id", "pos"]).withColumn("score", F.round("score", 6))
     w = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), F.col("pos"))
+    s = s.withColumn("_top", F.row_number().over(w)).where(F.col("_top") <= words + 1).drop("_top")
     before = F.coalesce(F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     s = s.withColumn("before", before)
     worse = (F.abs(F.lit(words) - F.col("before") - F.col("words")) > F.abs(F.lit(words) - F.col("before")))
@@ -104,14 +110,31 @@ def summarize(nodes: DataFrame, scores: DataFrame, words: int = SUMMARY_WORDS) -
                                  lambda r: r["sentence"]), "\n").alias("summary"))
 
 
+def consecutive(t: DataFrame, block: int = 4096) -> DataFrame:
+    """(doc_id, term, nxt): each kept token and the next kept token of its
+    document (self-pairs dropped).  The lead runs inside (doc, block of
+    positions) windows; the last token of a block links to the first token
+    of the next non-empty block through a per-block table, so one huge
+    document is spread over many tasks."""
+    t = t.withColumn("blk", F.floor(F.col("p") / block))
+    w = Window.partitionBy("doc_id", "blk").orderBy("p")
+    inner = t.select("doc_id", "blk", "p", "term", F.lead("term").over(w).alias("nxt"))
+    ends = t.groupBy("doc_id", "blk").agg(F.min_by("term", "p").alias("first"),
+                                          F.max_by("term", "p").alias("last"))
+    wb = Window.partitionBy("doc_id").orderBy("blk")          # one row per block
+    bridge = ends.select("doc_id", F.col("last").alias("term"),
+                         F.lead("first").over(wb).alias("nxt"))
+    pairs = inner.where(F.col("nxt").isNotNull()).select("doc_id", "term", "nxt").unionByName(
+        bridge.where(F.col("nxt").isNotNull()))
+    return pairs.where(F.col("term") != F.col("nxt"))
+
+
 def keyword_rank(docs: DataFrame, stops: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
+                 iterations: int = ITERATIONS, damping: float = DAMPING, block: int = 4096) -> DataFrame:
     """(doc_id, term, score): PageRank over the window-2 co-occurrence graph."""
     t = (docs.select(F.col(id_col).alias("doc_id"), F.posexplode(tx.tokens(F.col(text_col))).alias("p", "term"))
          .join(F.broadcast(stops), "term", "left_anti"))
-    w = Window.partitionBy("doc_id").orderBy("p")
-    pairs = t.select("doc_id", "term", F.lead("term").over(w).alias("nxt")).where(
-        F.col("nxt").isNotNull() & (F.col("term") != F.col("nxt")))
+    pairs = consecutive(t, block)
     und = (pairs.select("doc_id", F.col("term").alias("u"), F.col("nxt").alias("v"))
            .unionByName(pairs.select("doc_id", F.col("nxt").alias("u"), F.col("term").alias("v"))).distinct())
     und = materialize(und)

@@ -69,14 +69,50 @@ def known_items(spark: SparkSession, sf_dir: str, doc_terms: DataFrame | None =
     n_short = short.count()
     if n_short > SHORT_ITEM_LIMIT:
         raise ValueError(f"{n_short} benchmark items without interior tokens")
-    short_hits = (docs.join(F.broadcast(short), F.col("text").contains(F.col("query")))
-                  .select("item_id", "doc_id")) if n_short else None
-    hits = cand if short_hits is None else cand.unionByName(short_hits)
+    hits = cand
+    if n_short:
+        hits = cand.unionByName(substring_scan(docs, short.collect()))
     target = hits.groupBy("item_id").agg(F.min("doc_id").alias("target"))
     return (bench.join(target, "item_id", "left")
             .select("item_id", "query", F.col("target").cast("bigint").alias("target")))
 
 
+def substring_scan(docs: DataFrame, patterns) -> DataFrame:
+    """(item_id, doc_id): for each pattern, the smallest doc_id per batch
+    whose text contains it.  One Aho-Corasick pass per document over a
+    pattern list of checked size; linear in the corpus, no pair product."""
+    pats = [(int(r["item_id"]), r["query"]) for r in patterns]
+
+    def scan(batches):
+        import ahocorasick
+        import pandas as pd
+        auto = ahocorasick.Automaton()
+        empty = []
+        for item_id, q in pats:
+            if q == "":
+                empty.append(item_id)
+                continue
+            auto.add_word(q, auto.get(q, ()) + (item_id,))
+        if len(auto):
+            auto.make_automaton()
+        for pdf in batches:
+            best: dict[int, int] = {}
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+                if text is None:
+                    continue
+                found = set(empty)
+                if len(auto):
+                    for _, items in auto.iter(text):
+                        found.update(items)
+                for item in found:
+                    if item not in best or doc_id < best[item]:
+                        best[item] = int(doc_id)
+            yield pd.DataFrame({"item_id": list(best.keys()), "doc_id": list(best.values())},
+                               dtype="int64")
+
+    return docs.select("doc_id", "text").mapInPandas(scan, "item_id long, doc_id long")
+
+
 def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turn followed by an assistant turn -> (qid, docid, question, passage)."""
     c = read_table(spark, sf_dir, "conversations")

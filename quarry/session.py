@@ -81,17 +81,6 @@ def target_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition a scan that arrived in fewer partitions than the
-    cluster has slots (a single parquet file reads as one split).  Scans that
-    are already wide are left alone so no extra shuffle is planned."""
-    spark = df.sparkSession
-    want = target_partitions(spark)
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want, *keys) if keys else df.repartition(want)
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Persist and fill the cache now.  A DataFrame read by several branches
     of one plan would otherwise be computed by each branch concurrently

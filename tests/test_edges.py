@@ -43,3 +43,14 @@ def test_fewer_negatives_repeat(spark):
                                  "src string, doc_id long, is_positive boolean")
     g = rerank.hard_negative_groups(rows, "src", 4).orderBy("slot").collect()
     assert [(r["slot"], r["doc_id"]) for r in g] == [(0, 1), (1, 2), (2, 2), (3, 2)]  # h has no negatives: dropped
+
+
+def test_short_passage_containment(spark):
+    """Passages without interior tokens take the Aho-Corasick scan."""
+    from quarry.plans.fixtures import substring_scan
+    docs = spark.createDataFrame([(5, "xx hello world"), (3, "say hello"), (9, None), (7, "Hello")],
+                                 "doc_id long, text string")
+    pats = [{"item_id": 1, "query": "hello"}, {"item_id": 2, "query": "lo wor"}, {"item_id": 3, "query": "zz"},
+            {"item_id": 4, "query": ""}]
+    got = substring_scan(docs, pats).groupBy("item_id").agg(F.min("doc_id").alias("d"))
+    assert {r["item_id"]: r["d"] for r in got.collect()} == {1: 3, 2: 5, 4: 3}

@@ -81,3 +81,15 @@ def test_trie_fallback(spark):
     assert got["<s> x"] == {"y"}
     assert got["y"] == {"z"}                     # miss at depth 0 -> second trie
     assert got["<s> x q"] == {None}              # suffix 'q' unknown in the second trie
+
+
+def test_consecutive_blocks_match_plain_lead(spark):
+    from quarry.operators.textrank import consecutive
+    rows = [(d, p, f"t{(p * 7 + d) % 5}") for d in range(3) for p in range(0, 40, 1 + d) if (p + d) % 6]
+    t = spark.createDataFrame(rows, "doc_id long, p long, term string")
+    got = consecutive(t, block=4)
+    w = Window.partitionBy("doc_id").orderBy("p")
+    want = (t.select("doc_id", "term", F.lead("term").over(w).alias("nxt"))
+            .where(F.col("nxt").isNotNull() & (F.col("term") != F.col("nxt"))))
+    assert got.count() == want.count()
+    assert got.exceptAll(want).count() == 0
