@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import cut_lineage
+
 _LOW = (1 << 33) - 1
 
 
@@ -32,6 +34,9 @@ def global_row_number(df: DataFrame, order: list[str], name: str = "rn",
     tagged = ranged.withColumn("_mid", F.monotonically_increasing_id())
     tagged = tagged.withColumn("_pid", F.shiftright("_mid", 33)).withColumn(
         "_pos", F.col("_mid").bitwiseAND(F.lit(_LOW)))
+    # range bounds come from sampling: a recomputed branch could place rows
+    # differently, so both uses read one reliable checkpoint of the numbering
+    tagged = cut_lineage(tagged)
     counts = tagged.groupBy("_pid").agg(F.count("*").alias("_cnt"))
     offsets = counts.select(
         "_pid", (F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
