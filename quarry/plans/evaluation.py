@@ -22,6 +22,9 @@ from quarry.plans import fixtures
 from quarry.session import materialize
 
 EVAL_TYPES = ("known_item", "d2q")
+# System labels written to the results table.
+BM25_SYSTEM = "BM25-base"
+DSI_SYSTEM = "DSI-base"
 
 
 @dataclass
@@ -79,5 +82,5 @@ def bm25_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = bm25_run(spark, sf_dir)
     per = materialize(metrics.metrics_by_type(run.ranks, digits=None))
     macro = metrics.macro_of(per, EVAL_TYPES)
-    return metrics.round_metrics(per).unionByName(macro).select(F.lit("BM25-base").alias("system"), "query_type",
+    return metrics.round_metrics(per).unionByName(macro).select(F.lit(BM25_SYSTEM).alias("system"), "query_type",
                                          "n_queries", "mrr_3", "mrr_20", "hits_1", "hits_10")

@@ -1,5 +1,5 @@
-"""Experiment results arriving as a stream (one row per finished run, as
-the reference's ``save_result`` is called after every evaluation).
+"""Experiment results arriving as a stream (one row per finished run: the
+reference saves a result row after every evaluation).
 
 Each micro-batch is merged into the keyed results table with the batch
 ``upsert``.  Parquet has no MERGE, so every epoch writes a complete new
