@@ -134,22 +134,26 @@ def keyword_rank(docs: DataFrame, stops: DataFrame, id_col: str = "doc_id", text
     """(doc_id, term, score): PageRank over the window-2 co-occurrence graph."""
     t = (docs.select(F.col(id_col).alias("doc_id"), F.posexplode(tx.tokens(F.col(text_col))).alias("p", "term"))
          .join(F.broadcast(stops), "term", "left_anti"))
+    t = materialize(t)                 # read by the pair and the node branches
     pairs = consecutive(t, block)
-    und = (pairs.select("doc_id", F.col("term").alias("u"), F.col("nxt").alias("v"))
-           .unionByName(pairs.select("doc_id", F.col("nxt").alias("u"), F.col("term").alias("v"))).distinct())
+    both = F.explode(F.array(F.struct(F.col("term").alias("u"), F.col("nxt").alias("v")),
+                             F.struct(F.col("nxt").alias("u"), F.col("term").alias("v"))))
+    und = pairs.select("doc_id", both.alias("e")).select("doc_id", "e.u", "e.v").distinct()
     und = materialize(und)
-    deg = und.groupBy("doc_id", "u").agg(F.count("*").alias("deg"))
-    state = materialize(t.select("doc_id", "term").distinct().withColumn("score", F.lit(1.0)))
+    deg = und.groupBy("doc_id", F.col("u").alias("term")).agg(F.count("*").alias("deg"))
+    # the degree rides along in the state: one join per iteration fewer
+    state = materialize(t.select("doc_id", "term").distinct().join(deg, ["doc_id", "term"], "left")
+                        .withColumn("score", F.lit(1.0)))
     for it in range(iterations):
-        x = state.join(deg.withColumnRenamed("u", "term"), ["doc_id", "term"], "left").select(
-            "doc_id", F.col("term").alias("u"),
-            F.when(F.col("deg") > 0, F.col("score") / F.col("deg")).otherwise(F.lit(0.0)).alias("x"))
+        x = state.select("doc_id", F.col("term").alias("u"),
+                         F.when(F.col("deg") > 0, F.col("score") / F.col("deg")).otherwise(F.lit(0.0)).alias("x"))
         inc = und.join(x, ["doc_id", "u"]).groupBy("doc_id", F.col("v").alias("term")).agg(F.sum("x").alias("acc"))
-        state = (state.select("doc_id", "term").join(inc, ["doc_id", "term"], "left")
-                 .select("doc_id", "term",
+        state = (state.select("doc_id", "term", "deg").join(inc, ["doc_id", "term"], "left")
+                 .select("doc_id", "term", "deg",
                          (F.lit(1.0 - damping) + F.lit(damping) * F.coalesce("acc", F.lit(0.0))).alias("score")))
         state = cut_lineage(state)
-    return state
+    t.unpersist()
+    return state.select("doc_id", "term", "score")
 
 
 def keywords(kw_scores: DataFrame, n: int = KEYWORDS) -> DataFrame:
