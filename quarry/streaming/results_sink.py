@@ -1,8 +1,8 @@
 """Experiment results arriving as a stream (one row per finished run: the
 reference saves a result row after every evaluation).
 
-Each micro-batch is merged into the keyed results table with the batch
-``upsert``.  Parquet has no MERGE, so every epoch writes a complete new
+Each micro-batch is merged into the keyed results table: per key the row
+with the highest sequence value wins (the batch ``upsert`` rule).  Parquet has no MERGE, so every epoch writes a complete new
 version ``<table>/epoch=<n>`` built from version n-1; a replayed epoch
 rewrites the same folder (idempotent), and readers take the newest
 version.  Sequence numbers order several updates of one key inside a
@@ -14,36 +14,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql import Window
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from quarry.sources.io import RESULT_KEY, RESULT_SCHEMA, upsert
+from quarry.sources.io import RESULT_KEY, RESULT_SCHEMA
 
 
 def version_path(table: str, epoch: int) -> str:
     return f"{table}/epoch={epoch}"
 
 
+def _stored_schema(seq: str) -> StructType:
+    return StructType(RESULT_SCHEMA.fields + [StructField(seq, StringType())])
+
+
 def start_results_upsert(updates: DataFrame, table: str, checkpoint: str,
                          key=RESULT_KEY, seq: str = "seq") -> StreamingQuery:
     """Start the streaming upsert of ``updates`` (a streaming DataFrame with
-    the result columns plus ``seq``) into ``table``."""
+    the result columns plus ``seq``) into ``table``.  Each stored version
+    keeps ``seq``, so an update that arrives in a later micro-batch than a
+    higher-sequence one does not win: the result equals the batch upsert of
+    all rows, whatever the arrival order."""
 
     def merge(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
+        schema = _stored_schema(seq)
         if epoch_id == 0:
-            base = spark.createDataFrame([], RESULT_SCHEMA)
+            prev = spark.createDataFrame([], schema)
         else:
-            base = spark.read.schema(RESULT_SCHEMA).parquet(version_path(table, epoch_id - 1))
-        merged = upsert(base, batch, key, seq)
+            prev = spark.read.schema(schema).parquet(version_path(table, epoch_id - 1))
+        rows = (prev.withColumn("_new", F.lit(0))
+                .unionByName(batch.select(*schema.fieldNames()).withColumn("_new", F.lit(1))))
+        w = Window.partitionBy(*key).orderBy(F.col(seq).desc(), F.col("_new").desc())
+        merged = rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_new")
         merged.write.mode("overwrite").parquet(version_path(table, epoch_id))
 
     return (updates.writeStream.foreachBatch(merge)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def read_latest(spark: SparkSession, table: str) -> DataFrame:
+def read_latest(spark: SparkSession, table: str, seq: str = "seq") -> DataFrame:
     """The newest version (highest epoch) of the results table."""
-    schema = StructType(RESULT_SCHEMA.fields + [StructField("epoch", LongType())])
+    schema = StructType(_stored_schema(seq).fields + [StructField("epoch", LongType())])
     versions = spark.read.schema(schema).parquet(table)
     last = versions.agg(F.max("epoch")).first()[0]
-    return versions.where(F.col("epoch") == last).drop("epoch")
+    return versions.where(F.col("epoch") == last).drop("epoch", seq)

@@ -13,7 +13,8 @@ def test_stream_upsert_matches_batch(spark):
     base, upd = result_rows(spark, SF_SMALL)
     src = scratch_path(spark, "updates-src")
     rows = base.withColumn("seq", F.lit("")).unionByName(upd)
-    rows.write.mode("overwrite").parquet(src)           # result rows landing as files
+    # result rows landing as many small files, in an arbitrary order
+    rows.repartition(7).write.mode("overwrite").parquet(src)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
     table = scratch_path(spark, "results-table")
     q = start_results_upsert(stream, table, scratch_path(spark, "results-ckpt"))
