@@ -1,16 +1,19 @@
 """Session helpers: building a local session for tests/bench, checkpoint dir
 resolution and partition sizing.
 
-Library code never builds its own session; it receives one.  The helpers
-here only read settings from the session (``spark.checkpoint.dir``) and set
-a private directory when none is configured *and* the master is local.
+Library code never builds its own session; it receives one.  Intermediate
+tables and lineage cuts go to the shared folder named by
+``spark.checkpoint.dir``; where it is unset (tests, a plain local session)
+a folder inside the session's warehouse directory is used, which on a
+cluster is shared as well.  No machine-local temporary folder is ever used.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -42,34 +45,24 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint directory named by ``spark.checkpoint.dir``.
-
-    On a cluster the setting must name a shared folder; when it is unset and
-    the master is local (tests, bench) a private scratch folder is created.
-    """
+    """The checkpoint folder of the session: ``spark.checkpoint.dir`` if set,
+    else a folder inside ``spark.sql.warehouse.dir``."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-        return sc.getCheckpointDir()
-    if sc.master.startswith("local"):
-        path = tempfile.mkdtemp(prefix="quarry-ckpt-")
-        sc.setCheckpointDir(path)
-        return sc.getCheckpointDir()
-    raise RuntimeError(
-        "spark.checkpoint.dir is not set; iterative operators need a shared "
-        "checkpoint folder on a cluster")
+    if not conf_dir:
+        conf_dir = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quarry_checkpoints"
+    sc.setCheckpointDir(conf_dir)
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss, unlike a local one).
     The frame is persisted first so writing the checkpoint files reads the
     cached rows instead of computing the plan a second time."""
-    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
     out = cached.checkpoint(eager=True)
@@ -85,7 +78,6 @@ def materialize(df: DataFrame) -> DataFrame:
     """Persist and fill the cache now.  A DataFrame read by several branches
     of one plan would otherwise be computed by each branch concurrently
     before the cache exists.  Lost blocks are recomputed from lineage."""
-    from pyspark import StorageLevel
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     df.count()
     return df
@@ -93,7 +85,14 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory (never a
-    machine-local temp dir on a cluster)."""
-    import uuid
+    machine-local temp dir)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/quarry-io/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back: a
+    lineage cut that column pruning and predicates still reach."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
