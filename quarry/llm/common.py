@@ -5,7 +5,11 @@ that never leave the cluster."""
 from __future__ import annotations
 
 import math
+import os
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per
+    application, so that functions named in a task can be imported there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quarry_shipped", None) == sc.applicationId:
+        return
+    root = Path(__file__).resolve().parents[1]
+    folder = os.path.join(SparkFiles.getRootDirectory(), "quarry-source")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, "quarry_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(path)
+    sc._quarry_shipped = sc.applicationId
+
+
 def order_id(col: str | Column) -> Column:
     """The id as a non-null sort key."""
     c = F.col(col) if isinstance(col, str) else col

@@ -3,11 +3,13 @@ tables with production parameters."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import public_tokenizers
 
-from quarry.llm import fingerprints, mixing
+from quarry.llm import bpe_count, duck_bpe, fingerprints, langid, mixing
 from quarry.llm.common import table
 
+TOKEN_LIMIT = 4096
+
 
 def op1_fingerprints(spark, sf_dir):
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
@@ -17,7 +19,22 @@ def op2_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark, sf_dir):
+    return bpe_count.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), TOKEN_LIMIT)
+
+
+def op9_language_id(spark, sf_dir):
+    return langid.held_out_languages(table(spark, sf_dir, "documents"))
+
+
+def op10_byte_bpe(spark, sf_dir):
+    return duck_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_mixing": op2_mixing,
+    "op7_token_counts": op7_token_counts,
+    "op9_language_id": op9_language_id,
+    "op10_byte_bpe": op10_byte_bpe,
 }
