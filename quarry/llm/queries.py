@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quarry.llm import bpe_count, duck_bpe, fingerprints, langid, mixing
+from quarry.llm import bpe_count, duck_bpe, fingerprints, jaccard_join, langid, mixing
 from quarry.llm.common import table
 
 TOKEN_LIMIT = 4096
@@ -19,6 +19,10 @@ def op2_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op7_token_counts(spark, sf_dir):
     return bpe_count.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), TOKEN_LIMIT)
 
@@ -34,6 +38,7 @@ def op10_byte_bpe(spark, sf_dir):
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_mixing": op2_mixing,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_token_counts": op7_token_counts,
     "op9_language_id": op9_language_id,
     "op10_byte_bpe": op10_byte_bpe,
