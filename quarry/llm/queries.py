@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quarry.llm import bpe_count, duck_bpe, fingerprints, jaccard_join, langid, mixing
+from quarry.llm import bpe_count, cross_polytope, duck_bpe, fingerprints, jaccard_join, langid, mixing
 from quarry.llm.common import table
 
 TOKEN_LIMIT = 4096
@@ -23,6 +23,10 @@ def op5_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op6_embedding_near_dedup(spark, sf_dir):
+    return cross_polytope.near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op7_token_counts(spark, sf_dir):
     return bpe_count.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), TOKEN_LIMIT)
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_mixing": op2_mixing,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_token_counts": op7_token_counts,
     "op9_language_id": op9_language_id,
     "op10_byte_bpe": op10_byte_bpe,
