@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quarry.llm import bpe_count, cross_polytope, duck_bpe, fingerprints, jaccard_join, langid, mixing
+from quarry.llm import bpe_count, cross_polytope, duck_bpe, fingerprints, id_codec, jaccard_join, langid, mixing
 from quarry.llm.common import table
 
 TOKEN_LIMIT = 4096
@@ -19,6 +19,10 @@ def op2_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_token_id_output(spark, sf_dir):
+    return id_codec.encoded_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
@@ -42,6 +46,7 @@ def op10_byte_bpe(spark, sf_dir):
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_mixing": op2_mixing,
+    "op4_token_id_output": op4_token_id_output,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_token_counts": op7_token_counts,
