@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quarry.llm import bpe_count, cross_polytope, duck_bpe, fingerprints, id_codec, jaccard_join, langid, mixing
+from quarry.llm import bpe_count, cross_polytope, duck_bpe, fingerprints, id_codec, jaccard_join, langid, mixing, reshard
 from quarry.llm.common import table
 
 TOKEN_LIMIT = 4096
@@ -35,6 +35,10 @@ def op7_token_counts(spark, sf_dir):
     return bpe_count.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), TOKEN_LIMIT)
 
 
+def op8_resharding(spark, sf_dir):
+    return reshard.balanced(table(spark, sf_dir, "documents"), n_shards=16)
+
+
 def op9_language_id(spark, sf_dir):
     return langid.held_out_languages(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_resharding": op8_resharding,
     "op9_language_id": op9_language_id,
     "op10_byte_bpe": op10_byte_bpe,
 }
