@@ -32,10 +32,10 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import connected_components, ship_package
+from quarry.llm.common import connected_components, order_id, ship_package
 from quarry.llm.shingles import shingle_sets
 from quarry.session import written
 
@@ -46,7 +46,7 @@ TOKENS_PER_TASK = 500_000
 #: Broadcast the list of candidate documents up to this many rows (16 bytes each).
 BROADCAST_ROWS = 1_000_000
 SLICE = 4096
-_LIST = "k bigint, n int, doc_id bigint, prefix array<bigint>, common array<bigint>"
+_LIST = "k bigint, n int, doc_id bigint, h bigint, prefix array<bigint>, common array<bigint>"
 
 
 def least_overlap(n, percent: int):
@@ -55,7 +55,13 @@ def least_overlap(n, percent: int):
 
 
 def _text_rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
+                       text_hash().alias("h"))
+
+
+def text_hash() -> Column:
+    """Tells rows with the same id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
@@ -96,7 +102,7 @@ def shingle_counts(docs: DataFrame, size: int, bits: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, size: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(k, n, doc_id, prefix, common): each document's class, set size and
+    """(k, n, doc_id, h, prefix, common): each document's class, set size and
     prefix; ``common`` are the prefix shingles whose counter is so high that
     they may be in very many documents."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
@@ -123,7 +129,7 @@ def prefixes(docs: DataFrame, size: int, percent: int, counts: np.ndarray) -> Da
                 common.append(p[often])
             yield pa.RecordBatch.from_arrays([
                 pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), batch.column("doc_id"),
-                _lists(rare), _lists(common)], ["k", "n", "doc_id", "prefix", "common"])
+                batch.column("h"), _lists(rare), _lists(common)], ["k", "n", "doc_id", "h", "prefix", "common"])
 
     return _text_rows(docs).mapInArrow(run, _LIST)
 
@@ -299,25 +305,45 @@ def exact_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, size:
     return dealt.groupBy("task").applyInPandas(lambda pdf: product(pdf), "a bigint, b bigint")
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``: sets of
-    distinct ``size``-word shingles, links from ``percent`` per cent on."""
+def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, h, n_shingles, component_id, kept) for every row of ``docs``:
+    sets of distinct ``size``-word shingles, links from ``percent`` per cent
+    on.  ``h`` is the hash of the text; kept are the rows of one (doc_id, h)
+    of each component, the smallest."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.count("*")).first()[0]
     bits = min(22, max(12, math.ceil(math.log2(rows + 1))))
     counts = shingle_counts(docs, size, bits)
     base = written(prefixes(docs, size, percent, counts), "jaccard-prefixes")
-    members = base.select("doc_id", "n", "k")
+    members = base.select("doc_id", "h", "n", "k")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
     classes = base.where("n > 0").groupBy("k").agg(
-        F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"),
-        F.first("common").alias("common"))
+        F.first("n").alias("n"), F.min(first).alias("first"), F.first("prefix").alias("prefix"),
+        F.first("common").alias("common")).withColumn("doc_id", F.col("first.doc_id"))
     classes = written(classes, "jaccard-classes")
     clusters = connected_components(candidate_edges(classes, percent))
     links = exact_links(docs, classes, clusters, size, percent)
     found = connected_components(links)
-    lone = classes.select("k", "doc_id").join(found.withColumnRenamed("node", "k"), "k", "left") \
+    lone = classes.select("k", "first").join(found.withColumnRenamed("node", "k"), "k", "left") \
         .withColumn("component", F.coalesce("component", "k"))
-    least = lone.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = lone.join(least, "component").select("k", "component_id")
-    return members.where("n > 0").join(named, "k").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id") \
-        .union(members.where("n = 0").select("doc_id", F.lit(0).cast("bigint"), F.col("doc_id")))
+    least = lone.groupBy("component").agg(F.min("first").alias("least"))
+    named = lone.join(least, "component").select("k", "least")
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("h") == F.col("least.h"))
+    return members.where("n > 0").join(named, "k").select(
+        "doc_id", "h", F.col("n").cast("bigint").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), kept.alias("kept")) \
+        .union(members.where("n = 0").select("doc_id", "h", F.lit(0).cast("bigint"), F.col("doc_id"), F.lit(True)))
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs``."""
+    return jaccard_groups(docs, size, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near copies: one row of each component
+    stays.  The text moves once, by id."""
+    kept = jaccard_groups(docs, size, percent).where("kept").select(
+        order_id("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    rows = docs.withColumns({"_id": order_id("doc_id"), "_h": text_hash()}).join(kept, ["_id", "_h"])
+    one = Window.partitionBy("_id", "_h").orderBy(F.lit(0))
+    return rows.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(docs.columns)

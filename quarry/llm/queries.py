@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quarry.llm import bpe_count, cross_polytope, duck_bpe, fingerprints, id_codec, jaccard_join, langid, mixing, reshard
+from quarry.llm import bpe_count, cross_polytope, duck_bpe, fingerprints, id_codec, jaccard_join, langid, mixing, reshard, secrets_scan
 from quarry.llm.common import table
 
 TOKEN_LIMIT = 4096
@@ -19,6 +19,10 @@ def op2_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark, sf_dir):
+    return secrets_scan.findings(table(spark, sf_dir, "documents"))
+
+
 def op4_token_id_output(spark, sf_dir):
     return id_codec.encoded_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -50,6 +54,7 @@ def op10_byte_bpe(spark, sf_dir):
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_mixing": op2_mixing,
+    "op3_secret_scan": op3_secret_scan,
     "op4_token_id_output": op4_token_id_output,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
