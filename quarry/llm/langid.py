@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -197,11 +198,12 @@ def identify(df: DataFrame, model: LanguageModel | None, text_col: str = "text")
     else:
         shared = df.sparkSession.sparkContext.broadcast(model)
 
-        @F.pandas_udf(out)
-        def predict(texts: pd.Series) -> pd.DataFrame:
+        @F.arrow_udf(out)
+        def predict(texts: pa.Array) -> pa.Array:
             m = shared.value
-            at, score, near = m.predict([t.encode() for t in texts.fillna("")])
-            return pd.DataFrame({"lang_pred": np.array(m.languages, object)[at], "score": score, "ambiguous": near})
+            at, score, near = m.predict([(t or "").encode() for t in texts.to_pylist()])
+            return pa.StructArray.from_arrays([pa.array([m.languages[k] for k in at], pa.string()),
+                                               pa.array(score), pa.array(near)], ["lang_pred", "score", "ambiguous"])
 
         has_letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
         found = F.when(has_letter, predict(text)).otherwise(none)

@@ -122,8 +122,8 @@ def choose_blocks(blocks: list[tuple], old: list[int], sizes: list[int], n_new:
 
 
 def level(new: list[int], sizes: list[int], capacity: list[int], rounds: int = 2000) -> list[int]:
-    """Move a block from the fullest to the emptiest shard, or swap two, as
-    long as that brings both nearer to their capacities."""
+    """Move a block from a fuller to an emptier shard, or swap two, as long as
+    that brings both nearer to their capacities."""
     n = len(capacity)
     held = [-c for c in capacity]
     inside: list[list[int]] = [[] for _ in range(n)]
@@ -131,23 +131,16 @@ def level(new: list[int], sizes: list[int], capacity: list[int], rounds: int = 2
         held[s] += sizes[k]
         inside[s].append(k)
     for _ in range(rounds):
-        a, b = max(range(n), key=held.__getitem__), min(range(n), key=held.__getitem__)
-        gap = held[a] - held[b]
-        want = gap // 2
-        one = min(inside[a], key=lambda k: abs(sizes[k] - want), default=None)
-        change, x, y = (gap, None, None) if one is None else (abs(gap - 2 * sizes[one]), one, None)
-        if inside[b] and change > 1:
-            give, take = sorted(inside[a], key=sizes.__getitem__), sorted(inside[b], key=sizes.__getitem__)
-            j = 0
-            for k in give:
-                while j + 1 < len(take) and abs(sizes[k] - sizes[take[j + 1]] - want) <= abs(sizes[k] - sizes[take[j]] - want):
-                    j += 1
-                d = abs(gap - 2 * (sizes[k] - sizes[take[j]]))
-                if d < change:
-                    change, x, y = d, k, take[j]
-        if change >= gap:
+        order = sorted(range(n), key=held.__getitem__)
+        # the widest pair of shards that a change brings together; one huge block may hold up the widest
+        pairs = sorted(((a, b) for b in order for a in order if held[a] - held[b] > 1), key=lambda p: held[p[1]] - held[p[0]])
+        for a, b in pairs:
+            found = _best_change(inside[a], inside[b], sizes, held[a] - held[b])
+            if found:
+                break
+        else:
             break
-        for k, s, t in ((x, a, b), (y, b, a)):
+        for k, s, t in ((found[0], a, b), (found[1], b, a)):
             if k is not None:
                 inside[s].remove(k)
                 inside[t].append(k)
@@ -157,6 +150,21 @@ def level(new: list[int], sizes: list[int], capacity: list[int], rounds: int = 2
     return new
 
 
+def _best_change(full: list[int], empty: list[int], sizes: list[int], gap: int) -> tuple | None:
+    """(block to give, block to take or None) that narrows ``gap`` most, if any does."""
+    best, found, want = gap, None, gap // 2
+    give, take = sorted(full, key=sizes.__getitem__), sorted(empty, key=sizes.__getitem__)
+    j = 0
+    for k in give:
+        if abs(gap - 2 * sizes[k]) < best:
+            best, found = abs(gap - 2 * sizes[k]), (k, None)
+        while j + 1 < len(take) and abs(sizes[k] - sizes[take[j + 1]] - want) <= abs(sizes[k] - sizes[take[j]] - want):
+            j += 1
+        if take and abs(gap - 2 * (sizes[k] - sizes[take[j]])) < best:
+            best, found = abs(gap - 2 * (sizes[k] - sizes[take[j]])), (k, take[j])
+    return found
+
+
 @dataclass
 class Layout:
     """A set of shards: folders by shard, written as ``_shard=K``."""
