@@ -101,7 +101,8 @@ def count_trigrams(train: DataFrame, lang_col: str, text_col: str) -> dict[str,
                     np.add.at(inside, first, 1)
                     np.add.at(inside, last, -1)
                     acc += np.bincount(g[np.cumsum(inside[:-1]) > 0], minlength=size)
-        yield pd.DataFrame({"lang": list(total), "counts": [v.tobytes() for v in total.values()]})
+        if total:
+            yield pd.DataFrame({"lang": list(total), "counts": [v.tobytes() for v in total.values()]})
 
     def add(pdf):
         if not len(pdf):
