@@ -14,15 +14,19 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from quarry.plans.registry import REGISTRY  # noqa: E402
 from quarry.session import local_session  # noqa: E402
 
-# The reference's pipelines end to end: BM25 evaluation (flagship), trie-
-# constrained retrieval evaluation, corpus preparation (TextRank query and
-# keyword docid), candidate re-ranking, indexing pairs with splits, the
-# single-language dataset builder and the listwise ranker loss.
+# The reference's pipelines end to end.  ``term_stats`` builds the inverted
+# index and ``prepare_corpus`` the TextRank table (query and keyword docid, 10
+# iterations each); the later queries read those tables, as the reference's
+# evaluations read its prepared table.  Then BM25 evaluation (flagship), trie-
+# constrained retrieval evaluation, query generation, candidate re-ranking,
+# indexing pairs with splits, the dataset builder and the ranker loss.
 HEADLINE = [
+    "term_stats",
+    "prepare_corpus",
     "bm25_eval",
     "beam_eval",
-    "textrank_summary",
-    "textrank_keywords",
+    "generate_queries",
+    "attach_queries",
     "rerank_queries",
     "multi_view_pairs",
     "qa_dataset_train",

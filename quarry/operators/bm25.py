@@ -1,17 +1,24 @@
-"""R2: BM25 retrieval as one join + aggregate + per-query top-k.
+"""R2: BM25 retrieval, exact and pruned.
 
 score(q, d) = sum over query terms t of
     qf(t) * idf(t) * tf / (tf + k1 * (1 - b + b * dl / avgdl))
 
-Plan: query terms pick up idf from ``term_stats`` (query vocabulary only),
-then join the postings on term.  A very common term would put all of its
-postings into one join task; terms whose df exceeds ``n_tokens / max_hot``
-are spread over ``salt_buckets`` sub-keys (postings by doc hash, query rows
-replicated per bucket).  Since sum(df) <= n_tokens, fewer than ``max_hot``
-terms can qualify, so the hot list broadcast has a proven size bound.
-The per-(query, doc) sum uses a partial aggregate before its shuffle and
-the top-k is a ``row_number() <= k`` filter that Catalyst turns into a
-WindowGroupLimit below the exchange.
+All contributions are positive, and a term adds at most its weight times the
+largest saturated tf of its postings (``impact``).  So a query need not read
+the postings of its common terms:
+
+1. Its terms of largest bound are scored first, until their postings can fill
+   the list; the k-th partial score is a lower bound for the k-th score.
+2. Terms whose bounds together stay below it are optional: a document that has
+   only those cannot enter the list.  The postings of the other terms are
+   joined, documents that cannot reach the bound any more are dropped, and
+   the rest is completed by an equi-join on (doc_id, term).
+
+Scores are rounded to 6 decimals, so bounds are compared with a margin and
+ties at the cut survive.  No term and no document is dropped that could change
+the list.  A term with more postings than a task should get is spread over
+ceil(df / limit) sub-keys on both sides; as the sum of df is at most n_tokens
+there are at most ``max_hot`` such terms, which bounds the broadcast list.
 """
 
 from __future__ import annotations
@@ -20,12 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators.index import Index
+from quarry.operators.index import B, K1, Index, saturated
+from quarry.session import written
 
-# The reference's BM25 settings.
-K1 = 0.9
-B = 0.4
 DEPTH = 20
+MARGIN = 3e-6               # three roundings to 6 decimals
+POSTINGS_PER_TASK = 200_000
+FILL = 10                   # postings scored first, in lists of k
 
 
 def query_terms(queries: DataFrame, qid: str = "query_id", text: str = "query",
@@ -42,27 +50,31 @@ def hot_terms(index: Index, max_hot: int = 10_000) -> DataFrame:
         "term", F.lit(True).alias("is_hot"))
 
 
+def _salts(index: Index, max_hot: int = 10_000) -> DataFrame:
+    """(term, salts) of the terms with more postings than a task should get."""
+    limit = max(POSTINGS_PER_TASK, index.n_tokens // max_hot + 1)
+    return index.term_stats.where(F.col("df") > limit).select("term", F.ceil(F.col("df") / limit).cast("int").alias("salts"))
+
+
+def contributions(index: Index, weighted: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, doc_id, part): ``weighted`` (query_id, term, qw) joined with
+    the postings of its terms."""
+    salts = F.broadcast(_salts(index))
+    n = F.coalesce("salts", F.lit(1))
+    qt = weighted.join(salts, "term", "left").select(
+        "query_id", "term", "qw", F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"))
+    post = index.postings.join(salts, "term", "left").select(
+        "term", "doc_id", "tf", "dl", F.pmod(F.xxhash64("doc_id"), n).cast("int").alias("salt"))
+    return qt.join(post, ["term", "salt"]).select(
+        "query_id", "doc_id", (F.col("qw") * saturated(index.avgdl, k1, b)).alias("part"))
+
+
 def bm25_scores(index: Index, queries: DataFrame, qid: str = "query_id", text: str = "query",
-                k1: float = K1, b: float = B, salt_buckets: int = 16,
-                max_hot: int = 10_000, tokenizer=tx.tokens) -> DataFrame:
-    """All (query_id, doc_id, score) with score > 0 before the cut."""
-    qt = query_terms(queries, qid, text, tokenizer)
-    qt = qt.join(index.term_stats.select("term", "idf"), "term").select(
+                k1: float = K1, b: float = B, tokenizer=tx.tokens) -> DataFrame:
+    """All (query_id, doc_id, score) with score > 0: every posting is read."""
+    qt = query_terms(queries, qid, text, tokenizer).join(index.term_stats.select("term", "idf"), "term").select(
         "query_id", "term", (F.col("qf") * F.col("idf")).alias("qw"))
-    hot = F.broadcast(hot_terms(index, max_hot))
-    n = salt_buckets
-    qt = (qt.join(hot, "term", "left")
-          .select("query_id", "term", "qw",
-                  F.explode(F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(n - 1)))
-                            .otherwise(F.array(F.lit(0)))).alias("salt")))
-    post = (index.postings.join(hot, "term", "left")
-            .select("term", "doc_id", "tf", "dl",
-                    F.when(F.col("is_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(n)))
-                    .otherwise(F.lit(0)).cast("int").alias("salt")))
-    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(index.avgdl))
-    contrib = F.col("qw") * F.col("tf") / (F.col("tf") + norm)
-    return (qt.join(post, ["term", "salt"])
-            .groupBy("query_id", "doc_id").agg(F.sum(contrib).alias("score")))
+    return contributions(index, qt, k1, b).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
 
 
 def top_k(scores: DataFrame, k: int = DEPTH, key: str = "query_id", item: str = "doc_id",
@@ -74,6 +86,40 @@ def top_k(scores: DataFrame, k: int = DEPTH, key: str = "query_id", item: str =
             .where(F.col("rank") <= k))
 
 
-def bm25_search(index: Index, queries: DataFrame, k: int = DEPTH, **kw) -> DataFrame:
+def required_terms(index: Index, queries: DataFrame, k: int, qid: str = "query_id", text: str = "query",
+                   k1: float = K1, b: float = B, tokenizer=tx.tokens) -> DataFrame:
+    """(query_id, term, qw, required, theta, optional): which terms' postings
+    have to be read, the lower bound of the k-th score, and what the
+    optional terms can add at most."""
+    stats = index.term_stats
+    if (k1, b) != (K1, B):
+        stats = stats.drop("impact").join(
+            index.postings.groupBy("term").agg(F.max(saturated(index.avgdl, k1, b)).alias("impact")), "term")
+    qt = query_terms(queries, qid, text, tokenizer).join(stats.select("term", "idf", "df", "impact"), "term").select(
+        "query_id", "term", "df", (F.col("qf") * F.col("idf")).alias("qw"),
+        (F.col("qf") * F.col("idf") * F.col("impact")).alias("most"))
+    qt = written(qt, "bm25-terms")
+    down = Window.partitionBy("query_id").orderBy(F.col("most").desc(), "term").rowsBetween(Window.unboundedPreceding, -1)
+    first = qt.withColumn("ahead", F.coalesce(F.sum("df").over(down), F.lit(0))).where(F.col("ahead") < FILL * k)
+    partial = contributions(index, first, k1, b).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+    theta = top_k(partial, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("theta"))
+    up = Window.partitionBy("query_id").orderBy("most", "term")
+    qt = qt.join(theta, "query_id", "left").withColumn("theta", F.coalesce("theta", F.lit(0.0)))
+    qt = qt.withColumn("required", F.sum("most").over(up) >= F.col("theta") - MARGIN)
+    optional = F.sum(F.when(F.col("required"), F.lit(0.0)).otherwise(F.col("most"))).over(Window.partitionBy("query_id"))
+    return written(qt.select("query_id", "term", "qw", "required", "theta", optional.alias("optional")), "bm25-required")
+
+
+def bm25_search(index: Index, queries: DataFrame, k: int = DEPTH, qid: str = "query_id", text: str = "query",
+                k1: float = K1, b: float = B, tokenizer=tx.tokens) -> DataFrame:
     """(query_id, rank, doc_id, score) for the top ``k`` hits per query."""
-    return top_k(bm25_scores(index, queries, **kw), k).select("query_id", "rank", "doc_id", "score")
+    qt = required_terms(index, queries, k, qid, text, k1, b, tokenizer)
+    found = contributions(index, qt.where("required"), k1, b).groupBy("query_id", "doc_id").agg(F.sum("part").alias("part"))
+    bounds = qt.groupBy("query_id").agg(F.first("theta").alias("theta"), F.first("optional").alias("optional"))
+    alive = found.join(bounds, "query_id").where(F.col("part") + F.col("optional") >= F.col("theta") - MARGIN) \
+        .select("query_id", "doc_id", "part")
+    rest = alive.select("query_id", "doc_id").join(qt.where("NOT required").select("query_id", "term", "qw"), "query_id")
+    rest = rest.join(index.postings, ["doc_id", "term"]).select(
+        "query_id", "doc_id", (F.col("qw") * saturated(index.avgdl, k1, b)).alias("part"))
+    scores = alive.unionByName(rest).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+    return top_k(scores, k).select("query_id", "rank", "doc_id", "score")

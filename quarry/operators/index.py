@@ -2,7 +2,8 @@
 
 postings(term, doc_id, tf, dl)  - one row per distinct (doc, term)
 doc_stats(doc_id, dl)           - analyzed length per document
-term_stats(term, df, idf)       - document frequency and BM25 idf
+term_stats(term, df, idf, impact) - document frequency, BM25 idf and the largest
+                                  saturated tf of the term's postings
 scalars: n_docs, avgdl, n_postings
 
 The analyzed corpus is tokenized once and persisted (or written to
@@ -24,6 +25,17 @@ from quarry.functions import text as tx
 from quarry.session import materialize
 
 
+# The reference's BM25 settings.
+K1 = 0.9
+B = 0.4
+
+
+def saturated(avgdl: float, k1: float = K1, b: float = B) -> Column:
+    """tf / (tf + k1 * (1 - b + b * dl / avgdl))."""
+    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))
+    return F.col("tf") / (F.col("tf") + norm)
+
+
 @dataclass
 class Index:
     postings: DataFrame
@@ -80,8 +92,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "conten
     n_docs = int(row["n"])
     total = int(row["s"] or 0)
     avgdl = (float(total) / n_docs) if n_docs else 0.0
-    term_stats = (postings.groupBy("term").agg(F.count("*").alias("df"))
+    term_stats = (postings.groupBy("term").agg(F.count("*").alias("df"), F.max(saturated(avgdl or 1.0)).alias("impact"))
                   .withColumn("idf", idf_expr(F.col("df"), F.lit(float(n_docs)))))
-    if not path:
+    if path:
+        term_stats.write.mode("overwrite").parquet(f"{path}/terms")
+        term_stats = spark.read.parquet(f"{path}/terms")
+    else:
         term_stats = materialize(term_stats)     # read by several plan branches
     return Index(postings, doc_stats, term_stats, n_docs, avgdl, total)

@@ -24,6 +24,11 @@ def check_shares(train: float, validate: float, test: float) -> None:
                          f"(train {train}, validate {validate}, test {test})")
 
 
+def _validate_share(validate: float, test: float) -> float:
+    """Share of what train leaves; nothing when both shares are 0."""
+    return validate / (validate + test) if validate + test > 0 else 0.0
+
+
 def split_exact(df: DataFrame, id_col: str, seed: int = 42, train: float = 0.8,
                 validate: float = 0.1, test: float = 0.1) -> DataFrame:
     """Exact sizes: n_train = floor(N*train), n_val = floor((N-n_train)*v/(v+t))."""
@@ -32,7 +37,9 @@ def split_exact(df: DataFrame, id_col: str, seed: int = 42, train: float = 0.8,
     numbered = global_row_number(keyed, ["_k", id_col])
     n = df.count()
     n_train = int(n * train + SLACK)
-    n_val = int((n - n_train) * validate / (validate + test) + SLACK)
+    n_val = int((n - n_train) * _validate_share(validate, test) + SLACK)
+    if validate + test <= 0:
+        n_train = n
     rn = F.col("rn")
     split = (F.when(rn <= n_train, "train").when(rn <= n_train + n_val, "validate")
              .otherwise("test"))
@@ -49,7 +56,9 @@ def split_bucket(df: DataFrame, key: Column, train: float = 0.8, validate: float
     """Hash-bucket split: no shuffle, no global order; shares hold in expectation."""
     check_shares(train, validate, test)
     u = unit_fraction(key)
-    t2 = train + (1.0 - train) * validate / (validate + test)
+    t2 = train + (1.0 - train) * _validate_share(validate, test)
+    if validate + test <= 0:
+        return df.withColumn("split", F.lit("train"))
     return df.withColumn("split", F.when(u < F.lit(train), "train")
                          .when(u < F.lit(t2), "validate").otherwise("test"))
 
@@ -62,18 +71,26 @@ def dense_ids(df: DataFrame, id_col: str, seed: int = 313, name: str = "rand_id"
 
 
 def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = 313) -> DataFrame:
-    """The first ``n`` rows of the seeded shuffle (distributed top-n)."""
+    """The first ``n`` rows of the seeded shuffle.  The cut is a
+    distributed top-n and the ranks come from the distributed numbering, so
+    ``n`` may be large."""
     keyed = df.withColumn("_k", seeded_key(seed, id_col))
     head = keyed.orderBy("_k", id_col).limit(n)
-    w = Window.orderBy("_k", id_col)      # over at most n rows
-    return head.withColumn("sample_rank", F.row_number().over(w).cast("bigint")).drop("_k")
-
-
-def quota_fill(preferred: DataFrame, pool: DataFrame, id_col: str, quota: int,
-               seed: int = 313) -> DataFrame:
-    """Preferred rows first, then pool rows in shuffled order, up to
-    ``quota``; pool rows already preferred are excluded (no duplicates)."""
-    pool = pool.join(preferred.select(id_col), id_col, "left_anti")
+    return global_row_number(head, ["_k", id_col], "sample_rank").drop("_k")
+
+
+def quota_fill(preferred: DataFrame, pool: DataFrame, id_col: str, quota: int, seed: int = 313,
+               exclude: DataFrame | None = None, allow_duplicates: bool = False) -> DataFrame:
+    """(id, priority, fill_rank) - preferred ids first, then pool ids, each
+    in seeded order, up to ``quota``.  Pool ids that are preferred already are
+    left out unless ``allow_duplicates``; ids in ``exclude`` (held-out
+    documents) never come from the pool.  Only ids are sorted and numbered:
+    join the texts to the result."""
+    preferred, pool = preferred.select(id_col), pool.select(id_col)
+    if not allow_duplicates:
+        pool = pool.join(preferred, id_col, "left_anti")
+    if exclude is not None:
+        pool = pool.join(exclude.select(id_col), id_col, "left_anti")
     rows = (preferred.withColumn("priority", F.lit(0).cast("bigint"))
             .unionByName(pool.withColumn("priority", F.lit(1).cast("bigint")))
             .withColumn("_k", seeded_key(seed, id_col)))
@@ -101,3 +118,46 @@ def shard_rows(df: DataFrame, id_col: str, workers: int, seed: int = 313) -> Dat
     numbered = global_row_number(base, ["copy", id_col])
     per = target // workers
     return numbered.withColumn("shard", F.floor((F.col("rn") - 1) / per).cast("bigint")).drop("rn")
+
+
+def shard_contiguous(df: DataFrame, id_col: str, workers: int) -> DataFrame:
+    """X8, inference form: contiguous shards of floor(n / workers) rows in id
+    order, the last one takes the remainder; no row is used twice."""
+    per = max(1, df.count() // workers)
+    numbered = global_row_number(df, [id_col])
+    return numbered.withColumn("shard", F.least(F.floor((F.col("rn") - 1) / per), F.lit(workers - 1)).cast("bigint")).drop("rn")
+
+
+def mixed_batches(df: DataFrame, source: str, id_col: str, batch: int, epochs: int = 1, seed: int = 313) -> DataFrame:
+    """(source, pass, batch, slot, id, step) - proportional mixing.
+
+    Steps per source follow its share of ``epochs`` passes over all rows
+    (half-even rounding, the last source takes the remainder).  A source goes
+    through its rows in passes, each in a seeded order of its own and cut into
+    whole batches; its first ``steps`` batches count.  ``step`` is the seeded
+    order of all batches.  A source with less than one batch gives none."""
+    sizes = df.groupBy(source).agg(F.count("*").alias("n_rows"))
+    every = Window.partitionBy(F.lit(1))                               # one row per source
+    s = (sizes.withColumn("total_steps", F.floor(F.sum("n_rows").over(every) * epochs / batch))
+         .withColumn("share", F.bround(F.col("n_rows") / F.sum("n_rows").over(every) * F.col("total_steps"), 0))
+         .withColumn("pos", F.row_number().over(every.orderBy(source))).withColumn("n_src", F.count("*").over(every)))
+    before = F.sum(F.when(F.col("pos") < F.col("n_src"), F.col("share"))).over(every)
+    steps = F.when(F.col("pos") == F.col("n_src"), F.col("total_steps") - F.coalesce(before, F.lit(0))).otherwise(F.col("share"))
+    plan = (s.withColumn("steps", steps.cast("bigint")).withColumn("per_pass", F.floor(F.col("n_rows") / batch))
+            .where("per_pass > 0 AND steps > 0").withColumn("passes", F.ceil(F.col("steps") / F.col("per_pass")))
+            .select(source, "steps", "per_pass", "passes"))
+    rows = df.select(source, id_col).join(plan, source).withColumn(
+        "pass", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("passes") - 1)))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("pass").cast("string"), F.col(id_col).cast("string")))
+    numbered = global_row_number(rows.withColumn("_k", key), [source, "pass", "_k", id_col], "_n")
+    first = numbered.groupBy(source, "pass").agg(F.min("_n").alias("_first"))
+    at = F.col("_n") - F.col("_first")
+    cut = (numbered.join(first, [source, "pass"]).withColumn("slot", at % batch)
+           .withColumn("_b", F.floor(at / batch)).where("_b < per_pass")
+           .withColumn("batch", F.col("pass") * F.col("per_pass") + F.col("_b")).where("batch < steps"))
+    order = cut.where("slot = 0").select(source, "batch", F.md5(F.concat_ws(
+        ":", F.lit(str(seed)), F.col(source), F.col("batch").cast("string"))).alias("_k"))
+    order = global_row_number(order, ["_k", source, "batch"], "step").drop("_k")
+    return cut.join(order, [source, "batch"]).select(
+        source, F.col("pass").cast("bigint").alias("pass"), F.col("batch").cast("bigint").alias("batch"),
+        F.col("slot").cast("bigint").alias("slot"), id_col, (F.col("step") - 1).alias("step"))

@@ -16,42 +16,49 @@ quadratic blow-up for long documents or frequent terms.
 Keyword graph: consecutive kept tokens (window 2) are linked, unweighted;
 PageRank per document; the top terms become the keyword docid.
 
-Stop terms: terms in more than ``max_df`` of the documents are dropped
-(instead of language stop lists).  Their number is below
-n_tokens / (max_df * n_docs), so the list has a proven size bound and is
-broadcast.
+Stop terms: the stop lists of the documents' languages (Spark ML's default
+lists, a few hundred words each, broadcast); a document in another language
+keeps all its terms.  Adding documents never changes the result of others.
+
+The joins and aggregates over term occurrences are linear in the text, but
+for the (term, sentence length) table, which has a row per distinct length
+that a term occurs with.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators.index import Index
 from quarry.session import cut_lineage, materialize
 
 DAMPING = 0.85
 ITERATIONS = 10
 SUMMARY_WORDS = 15
 KEYWORDS = 8
-MAX_DF = 0.1
+# documents' language codes and the names of their stop lists.
+STOP_LISTS = {"en": "english", "fr": "french", "de": "german", "es": "spanish"}
 
 
-def stop_terms(index: Index, max_df: float = MAX_DF) -> DataFrame:
-    return index.term_stats.where(F.col("df") > F.lit(max_df * index.n_docs)).select("term")
+def stop_terms(spark: SparkSession) -> DataFrame:
+    """(lang, term): the stop lists, under a thousand rows."""
+    from pyspark.ml.feature import StopWordsRemover
+    rows = sorted({(lang, w) for lang, name in STOP_LISTS.items() for w in StopWordsRemover.loadDefaultStopWords(name)})
+    return spark.createDataFrame(rows, "lang string, term string")
 
 
 def sentence_nodes(docs: DataFrame, stops: DataFrame, id_col: str = "doc_id",
                    text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(nodes(doc_id, pos, sentence, words, n), occ(doc_id, pos, term, n))."""
     s = (docs.select(F.col(id_col).alias("doc_id"),
-                     F.posexplode(tx.sentences(F.col(text_col))).alias("pos", "raw"))
-         .select("doc_id", F.col("pos").cast("bigint").alias("pos"),
+                     "lang", F.posexplode(tx.sentences(F.col(text_col))).alias("pos", "raw"))
+         .select("doc_id", "lang", F.col("pos").cast("bigint").alias("pos"),
                  tx.strip_ws("raw").alias("sentence")))
     s = s.withColumn("words", tx.word_count("sentence"))
-    occ = s.select("doc_id", "pos", F.explode(F.array_distinct(tx.tokens("sentence"))).alias("term"))
-    occ = occ.join(F.broadcast(stops), "term", "left_anti")
+    occ = s.select("doc_id", "lang", "pos", F.explode(F.array_distinct(tx.tokens("sentence"))).alias("term"))
+    occ = occ.join(F.broadcast(stops), ["lang", "term"], "left_anti").drop("lang")
+    s = s.drop("lang")
     n = occ.groupBy("doc_id", "pos").agg(F.count("*").alias("n"))
     nodes = s.join(n, ["doc_id", "pos"])             # sentences with >= 1 kept term
     occ = occ.join(n, ["doc_id", "pos"])
@@ -85,7 +92,8 @@ def sentence_rank(nodes: DataFrame, occ: DataFrame, iterations: int = ITERATIONS
         state = (state.select("doc_id", "pos", "W").join(inc, ["doc_id", "pos"], "left")
                  .select("doc_id", "pos", "W",
                          (F.lit(1.0 - damping) + F.lit(damping) * F.coalesce("acc", F.lit(0.0))).alias("score")))
-        state = cut_lineage(state)
+        state = cut_lineage(state)           # an uncut plan would triple with every iteration
+    occ.unpersist()
     return state.select("doc_id", "pos", "score")
 
 
@@ -132,8 +140,9 @@ def consecutive(t: DataFrame, block: int = 4096) -> DataFrame:
 def keyword_rank(docs: DataFrame, stops: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  iterations: int = ITERATIONS, damping: float = DAMPING, block: int = 4096) -> DataFrame:
     """(doc_id, term, score): PageRank over the window-2 co-occurrence graph."""
-    t = (docs.select(F.col(id_col).alias("doc_id"), F.posexplode(tx.tokens(F.col(text_col))).alias("p", "term"))
-         .join(F.broadcast(stops), "term", "left_anti"))
+    t = (docs.select(F.col(id_col).alias("doc_id"), "lang",
+                     F.posexplode(tx.tokens(F.col(text_col))).alias("p", "term"))
+         .join(F.broadcast(stops), ["lang", "term"], "left_anti").drop("lang"))
     t = materialize(t)                 # read by the pair and the node branches
     pairs = consecutive(t, block)
     both = F.explode(F.array(F.struct(F.col("term").alias("u"), F.col("nxt").alias("v")),
@@ -151,8 +160,9 @@ def keyword_rank(docs: DataFrame, stops: DataFrame, id_col: str = "doc_id", text
         state = (state.select("doc_id", "term", "deg").join(inc, ["doc_id", "term"], "left")
                  .select("doc_id", "term", "deg",
                          (F.lit(1.0 - damping) + F.lit(damping) * F.coalesce("acc", F.lit(0.0))).alias("score")))
-        state = cut_lineage(state)
+        state = cut_lineage(state)           # an uncut plan would triple with every iteration
     t.unpersist()
+    und.unpersist()
     return state.select("doc_id", "term", "score")
 
 

@@ -8,6 +8,14 @@ Literals are typed DOUBLE so DuckDB does not switch to DECIMAL math.
 
 from __future__ import annotations
 
+import functools
+import zipfile
+from pathlib import Path
+
+import pyspark
+
+from quarry.operators.textrank import STOP_LISTS
+
 TOKEN = r"'[\p{L}\p{N}]+'"
 SENT = r"'[^.!?\n]+[.!?]*'"
 WORD = r"'\S+'"
@@ -17,13 +25,25 @@ def toks(x: str) -> str:
     return f"regexp_extract_all(lower({x}), {TOKEN})"
 
 
+@functools.lru_cache(1)
+def stop_rows() -> str:
+    """SQL rows (lang, term): the stop lists as Spark ML ships them."""
+    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
+    rows = set()
+    with zipfile.ZipFile(jar) as z:
+        for lang, name in STOP_LISTS.items():
+            text = z.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt").decode()
+            rows |= {(lang, w.replace("'", "''")) for w in text.split("\n") if w}
+    return ", ".join(f"('{a}', '{b}')" for a, b in sorted(rows))
+
+
 CORPUS = f"""
 corpus AS (
   SELECT doc_id AS mid, CAST(doc_id AS VARCHAR) AS text_id,
          array_to_string(regexp_extract_all(text, {WORD})[1:6], ' ') AS subject,
          coalesce(text, '') AS body_clean, lang, source
   FROM documents),
-corpus1 AS (SELECT * FROM corpus QUALIFY row_number() OVER (PARTITION BY mid ORDER BY mid) = 1),
+corpus1 AS (SELECT * FROM corpus QUALIFY row_number() OVER (PARTITION BY mid ORDER BY body_clean) = 1),
 contents AS (SELECT mid AS doc_id, coalesce(subject, '') || chr(10) || coalesce(body_clean, '') AS contents
              FROM corpus1)"""
 
@@ -54,16 +74,83 @@ gen AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY scor
                query FROM ss QUALIFY q_rank <= {n})"""
 
 
-BM25 = INDEX + "," + generated(1) + f""",
+# ------------------------------------------------------------------ TextRank (U: unrolled)
+def textrank_sql(iterations: int = 10) -> str:
+    parts = [f"""{INDEX},
+stop(lang, term) AS (VALUES {stop_rows()}),
+tri AS (SELECT mid AS doc_id, lang, coalesce(subject, '') || ' ' || chr(10) || ' ' || coalesce(body_clean, '') AS text FROM corpus1),
+sn0 AS (SELECT doc_id, lang, regexp_extract_all(text, {SENT}) AS ss FROM tri),
+sn1 AS (SELECT doc_id, lang, unnest(ss) AS raw, CAST(generate_subscripts(ss, 1) - 1 AS BIGINT) AS pos FROM sn0),
+sn AS (SELECT doc_id, lang, pos, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS sentence FROM sn1),
+so AS (SELECT DISTINCT doc_id, lang, pos, unnest({toks('sentence')}) AS term FROM sn),
+so2 AS MATERIALIZED (SELECT doc_id, pos, term FROM so ANTI JOIN stop USING (lang, term)),
+nn AS (SELECT doc_id, pos, count(*) AS n FROM so2 GROUP BY ALL),
+nodes AS MATERIALIZED (SELECT sn.doc_id, sn.pos, sn.sentence, len(regexp_extract_all(sn.sentence, {WORD})) AS words, nn.n
+          FROM sn JOIN nn USING (doc_id, pos)),
+pe AS (SELECT a.doc_id, a.pos AS i, b.pos AS j, count(*) AS shared FROM so2 a JOIN so2 b
+       ON a.doc_id = b.doc_id AND a.term = b.term AND a.pos <> b.pos GROUP BY ALL),
+ew AS MATERIALIZED (SELECT pe.doc_id, i, j, shared / (ln(na.n) + ln(nb.n)) AS w FROM pe
+       JOIN nn na ON na.doc_id = pe.doc_id AND na.pos = i JOIN nn nb ON nb.doc_id = pe.doc_id AND nb.pos = j
+       WHERE ln(na.n) + ln(nb.n) > 0),
+wo AS MATERIALIZED (SELECT doc_id, i, sum(w) AS wsum FROM ew GROUP BY ALL),
+r0 AS (SELECT doc_id, pos, 1.0::DOUBLE AS score FROM nodes)"""]
+    for k in range(iterations):
+        parts.append(f"""r{k + 1} AS MATERIALIZED (SELECT n.doc_id, n.pos,
+  (1.0::DOUBLE - 0.85::DOUBLE) + 0.85::DOUBLE * coalesce(x.acc, 0.0::DOUBLE) AS score FROM nodes n LEFT JOIN
+  (SELECT ew.doc_id, ew.j, sum(ew.w * r.score / wo.wsum) AS acc FROM ew
+   JOIN r{k} r ON r.doc_id = ew.doc_id AND r.pos = ew.i JOIN wo ON wo.doc_id = ew.doc_id AND wo.i = ew.i GROUP BY ALL) x
+  ON x.doc_id = n.doc_id AND x.j = n.pos)""")
+    parts.append(f"""trs AS (SELECT n.*, round(r.score, 6) AS score FROM nodes n JOIN r{iterations} r USING (doc_id, pos)),
+trg AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY score DESC, pos
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM trs),
+trg2 AS (SELECT *, max(CASE WHEN abs(15 - before - words) > abs(15 - before) THEN 1 ELSE 0 END)
+          OVER (PARTITION BY doc_id ORDER BY score DESC, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stp FROM trg),
+summ AS (SELECT doc_id, string_agg(sentence, chr(10) ORDER BY pos) AS summary FROM trg2 WHERE stp = 0 GROUP BY doc_id),
+kl AS (SELECT doc_id, lang, {toks('text')} AS tl FROM tri),
+kt0 AS (SELECT doc_id, lang, unnest(tl) AS term, generate_subscripts(tl, 1) AS p FROM kl),
+kt AS (SELECT doc_id, term, p FROM kt0 ANTI JOIN stop USING (lang, term)),
+kp AS (SELECT doc_id, term, lead(term) OVER (PARTITION BY doc_id ORDER BY p) AS nxt FROM kt),
+ku AS MATERIALIZED (SELECT DISTINCT doc_id, u, v FROM (SELECT doc_id, term AS u, nxt AS v FROM kp WHERE nxt IS NOT NULL AND term <> nxt
+       UNION ALL SELECT doc_id, nxt, term FROM kp WHERE nxt IS NOT NULL AND term <> nxt)),
+kd AS MATERIALIZED (SELECT doc_id, u, count(*) AS deg FROM ku GROUP BY ALL),
+kn AS MATERIALIZED (SELECT DISTINCT doc_id, term FROM kt),
+k0 AS (SELECT doc_id, term, 1.0::DOUBLE AS score FROM kn)""")
+    for k in range(iterations):
+        parts.append(f"""k{k + 1} AS MATERIALIZED (SELECT kn.doc_id, kn.term,
+  (1.0::DOUBLE - 0.85::DOUBLE) + 0.85::DOUBLE * coalesce(x.acc, 0.0::DOUBLE) AS score FROM kn LEFT JOIN
+  (SELECT ku.doc_id, ku.v AS term, sum(k.score / kd.deg) AS acc FROM ku
+   JOIN k{k} k ON k.doc_id = ku.doc_id AND k.term = ku.u JOIN kd ON kd.doc_id = ku.doc_id AND kd.u = ku.u GROUP BY ALL) x
+  USING (doc_id, term))""")
+    parts.append(f"""ktop AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, term) AS r
+         FROM k{iterations} QUALIFY r <= 8),
+kw AS (SELECT doc_id, string_agg(term, ' ' ORDER BY r) AS keywords FROM ktop GROUP BY doc_id),
+prep AS MATERIALIZED (SELECT c.mid AS doc_id, c.subject, c.body_clean,
+   'subject: ' || coalesce(c.subject, '') || ' body: ' || regexp_replace(coalesce(c.body_clean, ''), '[\\n\\r\\t]', ' ', 'g') AS body_clean_and_subject,
+   CAST(length(regexp_replace(c.body_clean, '[\\n\\r\\t]', ' ', 'g')) AS BIGINT) AS clean_length_character,
+   coalesce(s.summary, '') AS text_rank_query, coalesce(kw.keywords, '') AS elaborative_description
+   FROM corpus1 c LEFT JOIN summ s ON s.doc_id = c.mid LEFT JOIN kw ON kw.doc_id = c.mid)""")
+    return ",\n".join(parts)
+
+
+TEXTRANK = textrank_sql()
+
+
+DOCIDS = "ids AS (SELECT doc_id, elaborative_description AS docid FROM prep)"
+
+QUERIES = TEXTRANK + "," + generated(1) + f""",
 ki AS (SELECT b.item_id, b.text AS query,
               (SELECT min(d.doc_id) FROM documents d WHERE contains(d.text, b.text)) AS target
        FROM benchmark b),
 q AS (SELECT 'k' || CAST(item_id AS VARCHAR) AS query_id, 'known_item' AS query_type, query,
-             CAST(target AS VARCHAR) AS target FROM ki
+             p.elaborative_description AS target FROM ki LEFT JOIN prep p ON p.doc_id = ki.target
+      UNION ALL
+      SELECT 'd' || CAST(g.doc_id AS VARCHAR), 'd2q', g.query, p.elaborative_description
+      FROM gen g JOIN prep p USING (doc_id)
       UNION ALL
-      SELECT 'd' || CAST(g.doc_id AS VARCHAR), 'd2q', g.query, c.text_id
-      FROM gen g JOIN corpus1 c ON c.mid = g.doc_id),
-q2 AS (SELECT * FROM q WHERE query IS NOT NULL AND query <> ''),
+      SELECT 't' || CAST(doc_id AS VARCHAR), 'textrank', text_rank_query, elaborative_description FROM prep),
+q2 AS MATERIALIZED (SELECT * FROM q WHERE query IS NOT NULL AND query <> '')"""
+
+BM25 = QUERIES + f""",
 qt AS (SELECT query_id, term, count(*) AS qf
        FROM (SELECT query_id, unnest({toks('query')}) AS term FROM q2) GROUP BY ALL),
 sco AS (SELECT qt.query_id, po.doc_id,
@@ -74,8 +161,8 @@ topk AS (SELECT query_id, doc_id, round(score, 6) AS score,
                 CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS BIGINT) AS rank
          FROM sco QUALIFY rank <= 20),
 ranks AS (SELECT q2.query_id, q2.query_type, q2.target, min(h.rank) AS rank
-          FROM q2 LEFT JOIN (SELECT t.*, c.text_id FROM topk t JOIN corpus1 c ON c.mid = t.doc_id) h
-            ON h.query_id = q2.query_id AND h.text_id = q2.target
+          FROM q2 LEFT JOIN (SELECT t.*, p.elaborative_description FROM topk t JOIN prep p USING (doc_id)) h
+            ON h.query_id = q2.query_id AND h.elaborative_description = q2.target
           GROUP BY ALL)"""
 
 
@@ -95,7 +182,7 @@ def per_type(ranks: str = "ranks", rnd: bool = True) -> str:
 FROM {ranks} GROUP BY query_type"""
 
 
-def macro(ranks: str = "ranks", types=("known_item", "d2q")) -> str:
+def macro(ranks: str = "ranks", types=("textrank", "d2q")) -> str:
     tl = ", ".join(f"'{t}'" for t in types)
     return f"""SELECT 'macro' AS query_type, CAST(sum(n_queries) AS BIGINT) AS n_queries,
   round(avg(mrr_3), 4) AS mrr_3, round(avg(mrr_20), 4) AS mrr_20,
@@ -144,9 +231,9 @@ SELECT mid AS doc_id, 'subject: ' || coalesce(subject, '') || ' body: ' ||
 ORACLE["compose_contents"] = f"WITH {CORPUS} SELECT mid AS doc_id, coalesce(subject, '') || chr(10) || coalesce(body_clean, '') AS contents FROM corpus"
 ORACLE["prompt_by_lang"] = f"""WITH {CORPUS}
 SELECT c.mid AS doc_id, c.lang,
-  'Generate a ' || l.language || ' question for this passage: ' || c.subject || ' ' || c.body_clean AS prompt,
-  'Generate ' || l.language || ' question: ' || c.subject || '</s>' || c.body_clean AS dev_prompt
-FROM corpus c JOIN {LANGS} ON c.lang = l.lang"""
+  'Generate a ' || coalesce(l.language, c.lang, '') || ' question for this passage: ' || c.subject || ' ' || c.body_clean AS prompt,
+  'Generate ' || coalesce(l.language, c.lang, '') || ' question: ' || c.subject || '</s>' || c.body_clean AS dev_prompt
+FROM corpus c LEFT JOIN {LANGS} ON c.lang = l.lang"""
 ORACLE["role_prefix"] = f"""WITH {PAGES}
 SELECT page_id, 'Passage: ' || coalesce(passage, '') AS passage_text,
   'Passage: ' || coalesce(title, '') || '</s>' || coalesce(passage, '') AS titled_text,
@@ -169,12 +256,12 @@ ORACLE["length_features"] = f"""SELECT doc_id, CAST(length(text) AS BIGINT) AS l
   CAST(len(regexp_extract_all(regexp_replace(coalesce(text, ''), '[\\n\\r\\t]', ' ', 'g'), {WORD})) AS BIGINT) AS clean_length_word
 FROM documents"""
 ORACLE["token_truncate"] = f"SELECT doc_id, array_to_string({toks('text')}[1:16], ' ') AS tokens FROM documents"
-ORACLE["max_id_length"] = f"WITH {CORPUS} SELECT CAST(max(len({toks('subject')})) + 1 AS BIGINT) AS max_id_length FROM corpus"
-LABELSEQ = f"""ls AS (SELECT mid AS doc_id, CASE WHEN mid % 3 = 0 THEN list_append({toks('subject')}, '-100')
-  ELSE {toks('subject')} END AS seq FROM corpus),
+ORACLE["max_id_length"] = f"WITH {TEXTRANK}, {DOCIDS} SELECT CAST(max(len({toks('docid')})) + 1 AS BIGINT) AS max_id_length FROM ids"
+LABELSEQ = f"""ls AS (SELECT mid AS doc_id, CASE WHEN mid % 3 = 0 THEN list_append({toks('body_clean')}, '-100')
+  ELSE {toks('body_clean')} END AS seq FROM corpus),
 um AS (SELECT doc_id, list_transform(seq, lambda x: CASE WHEN x = '-100' THEN '<pad>' ELSE x END) AS seq FROM ls)"""
-PAD8 = "list_concat(seq, list_transform(range(greatest(8 - len(seq), 0)), lambda x: '<pad>'))[1:8]"
-ORACLE["pad_sequences"] = f"WITH {CORPUS}, {LABELSEQ} SELECT doc_id, array_to_string({PAD8}, ' ') AS padded FROM um"
+PADDED = "list_concat(seq, list_transform(range(greatest(128 - len(seq), 0)), lambda x: '<pad>'))[1:128]"
+ORACLE["pad_sequences"] = f"WITH {CORPUS}, {LABELSEQ} SELECT doc_id, array_to_string({PADDED}, ' ') AS padded FROM um"
 ORACLE["batch_pad"] = f"""WITH {CORPUS}, {LABELSEQ},
 nb AS (SELECT doc_id, seq, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 8) AS BIGINT) AS batch FROM um),
 ml AS (SELECT *, max(len(seq)) OVER (PARTITION BY batch) AS l FROM nb)
@@ -183,7 +270,7 @@ SELECT doc_id, batch,
   array_to_string(list_concat(seq, list_transform(range(l - len(seq)), lambda x: '-100')), ' ') AS labels_padded
 FROM ml"""
 ORACLE["decode_tokens"] = f"""WITH {CORPUS}, {LABELSEQ}
-SELECT doc_id, trim(array_to_string(list_filter(list_append({PAD8}, '</s>'),
+SELECT doc_id, trim(array_to_string(list_filter(list_append({PADDED}, '</s>'),
   lambda x: x NOT IN ('<pad>', '</s>', '<unk>')), ' ')) AS decoded FROM um"""
 RANKER = f"""rc AS (SELECT d.source, d.doc_id, (l.quality = 1 AND l.toxic = 0) AS is_positive,
    {SUBJ.replace('text', 'd.text')} AS title, coalesce(d.text, '') AS text
@@ -191,7 +278,7 @@ RANKER = f"""rc AS (SELECT d.source, d.doc_id, (l.quality = 1 AND l.toxic = 0) A
 fp AS (SELECT source, coalesce(regexp_extract_all(arg_min(text, doc_id), {SENT})[1], '') AS question
    FROM rc WHERE is_positive GROUP BY source),
 rk AS (SELECT rc.*, fp.question FROM rc LEFT JOIN fp USING (source))"""
-ANS = "regexp_replace(regexp_extract(text, '^\\s*(\\S+(?:\\s+\\S+){0,2})', 1), '\\s+', ' ', 'g')"
+ANS = f"regexp_replace(coalesce(regexp_extract_all(text, {SENT})[1], ''), '^\\s+|\\s+$', '', 'g')"
 ORACLE["pair_input"] = f"""WITH {RANKER}
 SELECT source, doc_id,
   coalesce(question, '') || '</s>' || concat_ws(' ', title, text) AS input,
@@ -202,23 +289,20 @@ FROM rk"""
 ORACLE["numeric_vocab"] = f"""WITH t AS (SELECT DISTINCT unnest({toks('text')}) AS t FROM documents),
 v AS (SELECT t AS token FROM t UNION ALL SELECT '▁' || t FROM t UNION ALL SELECT '▁' UNION ALL SELECT '</s>')
 SELECT DISTINCT token FROM v WHERE (regexp_matches(token, '^▁?[0-9]*$') AND token <> '') OR token = '</s>'"""
-ORACLE["id_kind"] = f"""WITH {CORPUS}
+ORACLE["id_kind"] = f"""WITH {TEXTRANK}, {DOCIDS}
 SELECT id_set, bool_and(NOT regexp_matches(id, '^[0-9]+$')) AS semantic_ids FROM (
-  SELECT 'doc_id' AS id_set, text_id AS id FROM corpus UNION ALL SELECT 'subject', subject FROM corpus) GROUP BY id_set"""
+  SELECT 'doc_id' AS id_set, CAST(doc_id AS VARCHAR) AS id FROM ids UNION ALL SELECT 'docid', docid FROM ids) GROUP BY id_set"""
 
 # ------------------------------------------------------------------ joins / aggregates / splits / builders
 QR = """cv AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 qa AS (SELECT conv_id, turn, CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS qid,
-  conv_id * 100 + turn AS docid, coalesce(text, '') AS question, coalesce(next_text, '') AS passage
+  CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS docid, coalesce(text, '') AS question, coalesce(next_text, '') AS passage
   FROM cv WHERE role = 'user' AND next_role = 'assistant'),
 qrows AS (SELECT conv_id, turn, qid, docid, 0 AS k FROM qa UNION ALL SELECT conv_id, turn, qid || 'b', docid, 1 FROM qa WHERE turn = 0),
-qr AS (SELECT 'train' AS split, qid, docid, conv_id * 1000 + turn * 10 + k AS pos FROM qrows WHERE conv_id % 5 < 4
-  UNION ALL SELECT 'dev', qid, docid, conv_id * 1000 + turn * 10 + k FROM qrows WHERE conv_id % 5 >= 4
-  UNION ALL SELECT 'dev', qid, docid, conv_id * 1000 + turn * 10 + k FROM qrows WHERE conv_id % 5 < 4 AND conv_id % 7 = 0)"""
-DOCIDS = """tw AS (SELECT po.doc_id, po.term, round(po.tf * ts.idf, 6) AS w FROM po JOIN ts USING (term)),
-tt AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) AS r FROM tw QUALIFY r <= 4),
-ids AS (SELECT doc_id, string_agg(term, ' ' ORDER BY r) AS docid FROM tt GROUP BY doc_id)"""
+qr AS (SELECT 'train' AS split, qid, docid, struct_pack(c := conv_id, t := turn, k := k) AS pos FROM qrows WHERE conv_id % 5 < 4
+  UNION ALL SELECT 'dev', qid, docid, struct_pack(c := conv_id, t := turn, k := k) FROM qrows WHERE conv_id % 5 >= 4
+  UNION ALL SELECT 'dev', qid, docid, struct_pack(c := conv_id, t := turn, k := k) FROM qrows WHERE conv_id % 5 < 4 AND conv_id % 7 = 0)"""
 
 
 def seeded(seed, x):
@@ -256,7 +340,7 @@ ORACLE["hits_at_k"] = f"""WITH {BM25}
 SELECT CAST(k AS BIGINT) AS k, round(avg(CASE WHEN rank <= k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS hits
 FROM ranks, (VALUES (1), (3), (10), (20)) t(k) GROUP BY k"""
 ORACLE["qrel_invert"] = f"WITH {QR} SELECT split, docid, string_agg(qid, ',' ORDER BY pos, qid) AS qids FROM qr GROUP BY split, docid"
-ORACLE["distinct_ids"] = f"WITH {INDEX}, {DOCIDS} SELECT DISTINCT docid AS text_id FROM ids"
+ORACLE["distinct_ids"] = f"WITH {TEXTRANK}, {DOCIDS} SELECT DISTINCT docid AS text_id FROM ids"
 ORACLE["source_sizes"] = "SELECT source, count(*) AS n_rows FROM documents GROUP BY ROLLUP (source)"
 ORACLE["nth_shortest"] = """SELECT doc_id, CAST(length(text) AS BIGINT) AS char_count FROM documents
 ORDER BY char_count NULLS FIRST, doc_id LIMIT 1 OFFSET 3"""
@@ -269,18 +353,17 @@ r AS (SELECT doc_id, row_number() OVER (ORDER BY {seeded(42, 'doc_id')}, doc_id)
 SELECT doc_id, CASE WHEN rn <= n_train THEN 'train' WHEN rn <= n_train + n_val THEN 'validate' ELSE 'test' END AS split
 FROM r, c2"""
 ORACLE["split_bucket"] = f"SELECT doc_id, {bucket(seeded(42, 'doc_id'))} AS split FROM documents"
-VIEWROWS = f"""{INDEX}, {generated(1)},
-vw AS (SELECT c.mid AS doc_id, 'subject: ' || coalesce(c.subject, '') || ' body: ' ||
-         regexp_replace(coalesce(c.body_clean, ''), '[\\n\\r\\t]', ' ', 'g') AS body_clean_and_subject, g.query AS doctoquery
-       FROM corpus1 c LEFT JOIN gen g ON g.doc_id = c.mid),
-vr AS (SELECT doc_id, 'body_clean_and_subject' AS view, body_clean_and_subject AS text FROM vw
-       UNION ALL SELECT doc_id, 'doctoquery', doctoquery FROM vw)"""
+VIEWROWS = f"""{TEXTRANK}, {generated(1)}, {DOCIDS},
+vr AS (SELECT doc_id, 'body_clean_and_subject' AS view, body_clean_and_subject AS text FROM prep
+       UNION ALL SELECT doc_id, 'text_rank_query', text_rank_query FROM prep
+       UNION ALL SELECT p.doc_id, 'doctoquery', g.query FROM prep p LEFT JOIN gen g USING (doc_id))"""
 ORACLE["split_by_doc"] = f"WITH {VIEWROWS} SELECT doc_id, view, {bucket(seeded(42, 'doc_id'))} AS split FROM vr"
 ORACLE["split_by_query"] = f"""WITH {VIEWROWS}
 SELECT doc_id, view, {bucket(seeded(42, "CAST(doc_id AS VARCHAR) || ':' || view"))} AS split FROM vr"""
-ORACLE["multi_view_pairs"] = f"""WITH {VIEWROWS}, {DOCIDS}
-SELECT v.view, coalesce(v.text, '') AS text, i.docid AS text_id, {bucket(seeded(42, 'v.doc_id'))} AS split
-FROM vr v JOIN ids i USING (doc_id)"""
+ORACLE["multi_view_pairs"] = f"""WITH {VIEWROWS}
+SELECT v.view, coalesce(v.text, '') AS text, coalesce(i.docid, '') AS text_id, {bucket(seeded(42, 'v.doc_id'))} AS split
+FROM vr v LEFT JOIN ids i USING (doc_id)"""
+ORACLE["multi_view_pairs_textrank"] = ORACLE["multi_view_pairs"] + " WHERE v.view <> 'doctoquery'"
 ORACLE["dense_ids"] = f"""SELECT doc_id, CAST(row_number() OVER (ORDER BY {seeded(313, 'doc_id')}, doc_id) - 1 AS BIGINT) AS rand_id
 FROM documents"""
 ORACLE["quota_fill"] = f"""WITH pref AS (SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
@@ -294,12 +377,23 @@ top AS (SELECT doc_id, 1 AS copy FROM labels ORDER BY {seeded(313, 'doc_id')}, d
 u AS (SELECT doc_id, 0 AS copy FROM labels UNION ALL SELECT * FROM top),
 r AS (SELECT doc_id, copy, row_number() OVER (ORDER BY copy, doc_id) AS rn FROM u)
 SELECT doc_id, CAST(copy AS BIGINT) AS copy, CAST(floor((rn - 1) / ((SELECT target FROM n) // 8)) AS BIGINT) AS shard FROM r"""
+ORACLE["shard_rows_inference"] = """SELECT doc_id, CAST(least((row_number() OVER (ORDER BY doc_id) - 1)
+  // greatest(1, (SELECT count(*) FROM labels) // 8), 7) AS BIGINT) AS shard FROM labels"""
 ORACLE["mix_sources"] = """WITH s AS (SELECT source, count(*) AS n_rows FROM documents GROUP BY source),
 t AS (SELECT *, sum(n_rows) OVER () AS total, row_number() OVER (ORDER BY source) AS pos, count(*) OVER () AS n_src FROM s),
-u AS (SELECT *, floor(total / 4) AS total_steps, round_even(n_rows / total * floor(total / 4), 0) AS share_steps FROM t),
-v AS (SELECT *, CASE WHEN pos = n_src THEN total_steps - sum(CASE WHEN pos < n_src THEN share_steps END) OVER ()
-       ELSE share_steps END AS steps FROM u)
-SELECT source, n_rows, CAST(steps AS BIGINT) AS steps, CAST(steps * 4 AS BIGINT) AS n_samples FROM v"""
+u AS (SELECT *, floor(total * 2 / 4) AS total_steps, round_even(n_rows / total * floor(total * 2 / 4), 0) AS share FROM t),
+v AS (SELECT source, CAST(CASE WHEN pos = n_src THEN total_steps - coalesce(sum(CASE WHEN pos < n_src THEN share END) OVER (), 0)
+       ELSE share END AS BIGINT) AS steps, n_rows // 4 AS per_pass FROM u),
+w AS (SELECT *, CAST(ceil(steps / per_pass) AS BIGINT) AS passes FROM v WHERE per_pass > 0 AND steps > 0),
+x AS (SELECT d.source, d.doc_id, w.steps, w.per_pass, unnest(range(w.passes)) AS pass FROM documents d JOIN w USING (source)),
+y AS (SELECT *, row_number() OVER (PARTITION BY source, pass
+        ORDER BY md5('313:' || CAST(pass AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS i FROM x),
+z AS (SELECT source, pass, doc_id, i % 4 AS slot, pass * per_pass + i // 4 AS batch, steps FROM y WHERE i // 4 < per_pass),
+c AS (SELECT * FROM z WHERE batch < steps),
+o AS (SELECT source, batch, row_number() OVER (ORDER BY md5('313:' || source || ':' || CAST(batch AS VARCHAR)), source, batch) - 1 AS step
+      FROM c WHERE slot = 0)
+SELECT source, CAST(pass AS BIGINT) AS pass, CAST(batch AS BIGINT) AS batch, CAST(slot AS BIGINT) AS slot, doc_id,
+  CAST(step AS BIGINT) AS step FROM c JOIN o USING (source, batch)"""
 ORACLE["generation_input"] = f"""WITH {CORPUS}
 SELECT 'email' AS kind, mid AS doc_id, NULL::VARCHAR AS lang, 'subject: ' || subject || ' body: ' || body_clean AS text FROM corpus
 UNION ALL
@@ -307,54 +401,75 @@ SELECT 'multilingual', c.mid, l.lang, 'Generate a ' || l.language || ' question
 FROM corpus c, {LANGS}
 UNION ALL
 SELECT 'monolingual', mid, NULL::VARCHAR, body_clean FROM corpus"""
-QAD = f"""{QR},
-fq AS (SELECT split, docid, qid FROM qr QUALIFY row_number() OVER (PARTITION BY split, docid ORDER BY pos) = 1),
-tr AS (SELECT f.docid, a.question, b.passage FROM fq f JOIN qa a ON a.qid = f.qid JOIN qa b ON b.docid = f.docid
-       WHERE f.split = 'train'),
-dv AS (SELECT f.docid, a.question, b.passage FROM fq f JOIN qa a ON a.qid = f.qid JOIN qa b ON b.docid = f.docid
-       WHERE f.split = 'dev' AND f.docid NOT IN (SELECT docid FROM fq WHERE split = 'train')),
-pool AS (SELECT doc_id + 1000000000000 AS docid, NULL::VARCHAR AS question, coalesce(text, '') AS passage FROM documents
-         WHERE doc_id + 1000000000000 NOT IN (SELECT docid FROM tr)),
-fl AS (SELECT docid, question, passage, 0 AS priority FROM tr UNION ALL SELECT docid, question, passage, 1 FROM pool),
+
+
+def positioned(train: str, pool: str, dev: str) -> str:
+    """CTE ``pos_`` (docid, priority, phase, text_id): train ids filled from the
+    pool up to 1.2 x, then dev ids, with seeded dense ids."""
+    return f"""pl AS (SELECT docid FROM ({pool}) WHERE docid NOT IN (SELECT docid FROM ({train})) AND docid NOT IN (SELECT docid FROM ({dev}))),
+fl AS (SELECT docid, 0 AS priority FROM ({train}) UNION ALL SELECT docid, 1 FROM pl),
 filled AS (SELECT *, row_number() OVER (ORDER BY priority, {seeded(313, 'docid')}, docid) AS fill_rank, 0 AS phase FROM fl
-           QUALIFY fill_rank <= (SELECT count(*) * 12 // 10 FROM tr)),
-dev AS (SELECT docid, question, passage, 2 AS priority,
-          row_number() OVER (ORDER BY {seeded(313, 'docid')}, docid) AS fill_rank, 1 AS phase FROM dv),
+           QUALIFY fill_rank <= (SELECT count(*) * 12 // 10 FROM ({train}))),
+held AS (SELECT docid, 2 AS priority, row_number() OVER (ORDER BY {seeded(313, 'docid')}, docid) AS fill_rank, 1 AS phase FROM ({dev})),
 allr AS (SELECT *, row_number() OVER (ORDER BY phase, fill_rank) AS position
-         FROM (SELECT * FROM filled UNION ALL SELECT * FROM dev)),
+         FROM (SELECT * FROM filled UNION ALL SELECT * FROM held)),
 vals AS (SELECT unnest(range((SELECT count(*) FROM allr))) AS v),
 perm AS (SELECT v, row_number() OVER (ORDER BY {seeded(313, 'v')}, v) AS position FROM vals),
-qad AS (SELECT a.*, p.v AS text_id FROM allr a JOIN perm p USING (position))"""
+pos_ AS (SELECT a.docid, a.priority, a.phase, p.v AS text_id FROM allr a JOIN perm p USING (position))"""
+
+
+QAD = f"""{QR},
+fq AS (SELECT split, docid, qid FROM qr QUALIFY row_number() OVER (PARTITION BY split, docid ORDER BY pos) = 1),
+tr AS (SELECT docid, qid FROM fq WHERE split = 'train' AND qid IN (SELECT qid FROM qa)),
+dv AS (SELECT docid, qid FROM fq WHERE split = 'dev' AND qid IN (SELECT qid FROM qa) AND docid NOT IN (SELECT docid FROM tr)),
+pas AS (SELECT docid, passage FROM qa UNION ALL SELECT 'd' || CAST(doc_id AS VARCHAR), coalesce(text, '') FROM documents),
+{positioned('SELECT docid FROM tr', 'SELECT docid FROM pas', 'SELECT docid FROM dv')},
+asked AS (SELECT x.docid, qa.question FROM (SELECT * FROM tr UNION ALL SELECT * FROM dv) x JOIN qa USING (qid)),
+qad AS (SELECT p.*, s.passage, CASE WHEN p.priority <> 1 THEN k.question END AS question
+        FROM pos_ p JOIN pas s USING (docid) LEFT JOIN asked k USING (docid))"""
 ORACLE["qa_dataset_train"] = f"""WITH {QAD}
 SELECT text_id, 'Passage: ' || passage AS text FROM qad
 UNION ALL SELECT text_id, 'Question: ' || question FROM qad WHERE phase = 0 AND question IS NOT NULL"""
 ORACLE["qa_dataset_dev"] = f"WITH {QAD} SELECT text_id, 'Question: ' || question AS text FROM qad WHERE phase = 1"
 ORACLE["qa_dataset_corpus"] = f"WITH {QAD} SELECT text_id, CAST(text_id AS VARCHAR) || chr(9) || passage AS line FROM qad"
 ML = f"""{QR},
-ml0 AS (SELECT r.split, r.qid, r.docid, r.pos, a.question,
+ml0 AS (SELECT r.split, r.qid, r.docid, a.question,
    replace(regexp_replace(a.passage, '^\\s+|\\s+$', '', 'g'), chr(10), ' ') AS passage,
-   regexp_replace(regexp_extract(a.passage, '^\\s*(\\S+(?:\\s+\\S+){{0,2}})', 1), '\\s+', ' ', 'g') AS title,
+   replace(regexp_replace(a.question, '^\\s+|\\s+$', '', 'g'), chr(10), ' ') AS title,
    ['en', 'fr', 'de', 'es'][a.conv_id % 4 + 1] AS lang
    FROM qr r JOIN qa a ON a.qid = r.qid
    QUALIFY row_number() OVER (PARTITION BY r.qid ORDER BY CASE WHEN r.split = 'train' THEN 0 ELSE 1 END, r.pos) = 1),
-ml AS (SELECT ml0.*, l.language FROM ml0 JOIN {LANGS} ON l.lang = ml0.lang)"""
-ORACLE["multiling_train"] = f"""WITH {ML}
-SELECT docid AS text_id, 'Passage: ' || title || '</s>' || passage AS text FROM ml WHERE split = 'train'
-UNION ALL SELECT docid, 'Question: ' || question FROM ml WHERE split = 'train'"""
-ORACLE["multiling_dev"] = f"WITH {ML} SELECT docid AS text_id, 'Question: ' || question AS text FROM ml WHERE split = 'dev'"
+ml AS (SELECT ml0.* EXCLUDE (title), substr('title:' || title || '_parentSection', 7,
+         greatest(strpos('title:' || title || '_parentSection', '_parentSection') - 7, 0)) AS title,
+       coalesce(l.language, ml0.lang) AS language FROM ml0 LEFT JOIN {LANGS} ON l.lang = ml0.lang)"""
+MLSET = f"""{ML}, {PAGES},
+mi AS (SELECT 'q' || qid AS docid, split, question, passage, title FROM ml),
+mp AS (SELECT 'p' || CAST(page_id AS VARCHAR) AS docid, NULL::VARCHAR AS question, replace(passage, chr(10), ' ') AS passage,
+         regexp_replace(title, '^\\s+|\\s+$', '', 'g') AS title FROM pf),
+{positioned("SELECT docid FROM mi WHERE split = 'train'", 'SELECT docid FROM mp', "SELECT docid FROM mi WHERE split = 'dev'")},
+mset AS (SELECT p.*, x.question, x.passage, x.title FROM pos_ p
+         JOIN (SELECT docid, question, passage, title FROM mi UNION ALL SELECT * FROM mp) x USING (docid))"""
+ORACLE["multiling_train"] = f"""WITH {MLSET}
+SELECT text_id, 'Passage: ' || title || '</s>' || passage AS text FROM mset
+UNION ALL SELECT text_id, 'Question: ' || question FROM mset WHERE priority = 0"""
+ORACLE["multiling_dev"] = f"WITH {MLSET} SELECT text_id, 'Question: ' || question AS text FROM mset WHERE phase = 1"
+ORACLE["multiling_corpus"] = f"WITH {MLSET} SELECT text_id, CAST(text_id AS VARCHAR) || chr(9) || passage || chr(9) || title AS line FROM mset"
 ORACLE["generator_pairs"] = f"""WITH {ML}
-SELECT qid, question AS text_id, 'Generate a ' || language || ' question for this passage: ' || title || ' ' || passage AS text FROM ml"""
+SELECT split, qid, question AS text_id, CASE WHEN split = 'train'
+  THEN 'Generate a ' || language || ' question for this passage: ' || title || ' ' || passage
+  ELSE 'Generate ' || language || ' question: ' || title || '</s>' || passage END AS text FROM ml"""
 ORACLE["ranker_groups"] = f"""WITH {RANKER}
 SELECT source, question, CAST(sum(CAST(is_positive AS INT)) AS BIGINT) AS n_pos,
   CAST(sum(CAST(NOT is_positive AS INT)) AS BIGINT) AS n_neg
 FROM rk GROUP BY source, question HAVING n_pos > 0 AND n_neg > 0"""
 
 # ------------------------------------------------------------------ trie / evidence / beam (U: unrolled)
-TRIE = f"""{INDEX}, {DOCIDS},
-sq AS (SELECT doc_id, list_append(string_split(docid, ' '), '</s>') AS seq FROM ids),
+TRIE_BODY = f"""{DOCIDS},
+sq AS (SELECT doc_id, list_append(list_filter(string_split(docid, ' '), lambda x: x <> ''), '</s>') AS seq FROM ids),
 st0 AS (SELECT doc_id, seq, unnest(seq) AS token, generate_subscripts(seq, 1) AS i FROM sq),
 st AS (SELECT doc_id, array_to_string(seq[1:i - 1], ' ') AS prefix, token, CAST(i - 1 AS BIGINT) AS depth FROM st0),
 edges AS (SELECT prefix, token, depth, count(*) AS n_seq FROM st GROUP BY ALL)"""
+TRIE = f"{TEXTRANK}, {TRIE_BODY}"
 ORACLE["trie_edges"] = f"WITH {TRIE} SELECT prefix, token, depth, n_seq FROM edges"
 ORACLE["trie_next"] = f"""WITH {TRIE},
 probes AS (SELECT DISTINCT prefix FROM st
@@ -364,7 +479,7 @@ SELECT p.prefix, e.token AS next_token FROM probes p LEFT JOIN edges e ON e.pref
 
 def _trie_of(name, src, bos):
     head = "['<s>'] || " if bos else ""
-    return f"""{name}_sq AS (SELECT doc_id, {head}list_append(string_split(docid, ' '), '</s>') AS seq FROM {src}),
+    return f"""{name}_sq AS (SELECT doc_id, {head}list_append(list_filter(string_split(docid, ' '), lambda x: x <> ''), '</s>') AS seq FROM {src}),
 {name}_st0 AS (SELECT doc_id, seq, unnest(seq) AS token, generate_subscripts(seq, 1) AS i FROM {name}_sq),
 {name}_st AS (SELECT array_to_string(seq[1:i - 1], ' ') AS prefix, token, CAST(i - 1 AS BIGINT) AS depth FROM {name}_st0),
 {name}_e AS (SELECT DISTINCT prefix, token, depth FROM {name}_st),
@@ -390,28 +505,27 @@ miss AS (SELECT pm.prefix, e.token AS next_token FROM pm
 res AS (SELECT DISTINCT * FROM (SELECT * FROM hit WHERE next_token <> '<s>' UNION ALL SELECT * FROM swapped
         UNION ALL SELECT * FROM miss))
 SELECT p.prefix, r.next_token FROM probes p LEFT JOIN res r USING (prefix)"""
-ORACLE["trie_leaves"] = f"""WITH {INDEX}, {DOCIDS},
-sq AS (SELECT string_split(docid, ' ') AS seq FROM ids),
+ORACLE["trie_leaves"] = f"""WITH {TEXTRANK}, {DOCIDS},
+sq AS (SELECT list_filter(string_split(docid, ' '), lambda x: x <> '') AS seq FROM ids),
 full_ AS (SELECT DISTINCT array_to_string(seq, ' ') AS sequence FROM sq),
 proper AS (SELECT DISTINCT array_to_string(seq[1:k], ' ') AS sequence
            FROM (SELECT seq, unnest(range(1, len(seq))) AS k FROM sq))
 SELECT sequence FROM full_ WHERE sequence NOT IN (SELECT sequence FROM proper)"""
-EVID = """ev AS (SELECT st.depth, st.prefix, st.token, dt.term, count(*) AS weight
-       FROM st JOIN (SELECT DISTINCT doc_id, term FROM po) dt USING (doc_id) GROUP BY ALL)"""
+EVID = """ev AS MATERIALIZED (SELECT st.depth, st.prefix, st.token, dt.term, count(*) AS weight
+       FROM st JOIN (SELECT po.doc_id, po.term FROM po JOIN corpus1 c ON c.mid = po.doc_id ANTI JOIN stop s
+                     ON s.lang = c.lang AND s.term = po.term) dt USING (doc_id) GROUP BY ALL)"""
 ORACLE["index_evidence"] = f"WITH {TRIE}, {EVID} SELECT depth, prefix, token, term, weight FROM ev"
 
 
-def beam_sql(steps: int = 5, beams: int = 20) -> str:
-    parts = [f"""{TRIE}, {EVID},
-kids AS (SELECT prefix, token, count(*) OVER (PARTITION BY prefix) AS n_children FROM (SELECT DISTINCT prefix, token FROM edges)),
-ki AS (SELECT b.item_id, b.text AS query,
-              (SELECT min(d.doc_id) FROM documents d WHERE contains(d.text, b.text)) AS target FROM benchmark b),
-bq AS (SELECT 'k' || CAST(item_id AS VARCHAR) AS query_id, query, target FROM ki WHERE query IS NOT NULL AND query <> ''),
+def beam_sql(steps: int = 9, beams: int = 20) -> str:
+    parts = [f"""{QUERIES}, {TRIE_BODY}, {EVID},
+kids AS MATERIALIZED (SELECT prefix, token, count(*) OVER (PARTITION BY prefix) AS n_children FROM (SELECT DISTINCT prefix, token FROM edges)),
+bq AS (SELECT query_id, query_type, query, target FROM q2),
 qterm AS (SELECT DISTINCT query_id, unnest({toks('query')}) AS term FROM bq),
 s0 AS (SELECT DISTINCT query_id, '' AS prefix, 0.0::DOUBLE AS lp, CAST(0 AS BIGINT) AS len, false AS done FROM qterm)"""]
     for i in range(steps):
         parts.append(f"""live{i} AS (SELECT query_id, prefix, lp, len FROM s{i} WHERE NOT done),
-hits{i} AS (SELECT l.query_id, l.prefix, e.token, sum(e.weight) AS ev FROM live{i} l JOIN qterm q USING (query_id)
+hits{i} AS MATERIALIZED (SELECT l.query_id, l.prefix, e.token, sum(e.weight) AS ev FROM live{i} l JOIN qterm q USING (query_id)
             JOIN ev e ON e.prefix = l.prefix AND e.term = q.term GROUP BY ALL),
 tot{i} AS (SELECT query_id, prefix, sum(ev) AS ev_total FROM hits{i} GROUP BY ALL),
 cand{i} AS (SELECT l.query_id, l.prefix, l.lp, l.len, k.token, k.n_children, coalesce(t.ev_total, 0) AS ev_total,
@@ -423,13 +537,13 @@ pool{i} AS (SELECT query_id, CASE WHEN prefix = '' THEN token ELSE prefix || ' '
               round(lp + ln((1.0::DOUBLE + ev) / (1.0::DOUBLE * n_children + ev_total)), 6) AS lp,
               len + 1 AS len, token = '</s>' AS done FROM cand{i}
             UNION ALL SELECT * FROM s{i} WHERE done),
-s{i + 1} AS (SELECT * FROM pool{i}
+s{i + 1} AS MATERIALIZED (SELECT * FROM pool{i}
            QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(lp / len, 6) DESC, prefix) <= {beams})""")
     parts.append(f"""beams AS (SELECT query_id,
   CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(lp / len, 6) DESC, prefix) AS BIGINT) AS rank,
   regexp_replace(prefix, '( |^)</s>$', '') AS docid, round(lp / len, 6) AS score FROM s{steps} WHERE done),
-tg AS (SELECT bq.query_id, i.docid AS target FROM bq LEFT JOIN ids i ON i.doc_id = bq.target),
-branks AS (SELECT tg.query_id, tg.target, min(b.rank) AS rank FROM tg
+tg AS (SELECT query_id, query_type, target FROM bq),
+branks AS MATERIALIZED (SELECT tg.query_id, tg.query_type, tg.target, min(b.rank) AS rank FROM tg
            LEFT JOIN beams b ON b.query_id = tg.query_id AND b.docid = tg.target GROUP BY ALL)""")
     return ",\n".join(parts)
 
@@ -437,7 +551,13 @@ branks AS (SELECT tg.query_id, tg.target, min(b.rank) AS rank FROM tg
 BEAM = beam_sql()
 ORACLE["beam_retrieve"] = f"WITH {BEAM} SELECT query_id, rank, docid, score FROM beams"
 ORACLE["beam_eval"] = f"""WITH {BEAM}
-SELECT 'DSI-base' AS system, 'known_item' AS query_type, count(*) AS n_queries, {metric_cols()} FROM branks"""
+SELECT 'DSI-base' AS system, query_type, n_queries, mrr_3, mrr_20, hits_1, hits_10
+FROM ({per_type('branks')} UNION ALL {macro('branks')})"""
+_BM25_TAIL = BM25[len(QUERIES):]
+ORACLE["saved_results"] = f"""WITH {BEAM} {_BM25_TAIL},
+sz AS (SELECT 'N' || CAST(count(*) AS VARCHAR) AS size FROM prep)
+SELECT x.system, size, 'text_rank_d2q_q1' AS experiment_type, 'v1.0' AS version, mrr_3, mrr_20, hits_1, hits_10
+FROM (SELECT 'BM25-base' AS system, * FROM ({macro()}) UNION ALL SELECT 'DSI-base', * FROM ({macro('branks')})) x, sz"""
 ORACLE["beam_hits"] = f"""WITH {BEAM},
 vd AS (SELECT query_id, docid, min(rank) AS r FROM beams WHERE docid IN (SELECT docid FROM ids) GROUP BY ALL),
 rr AS (SELECT query_id, docid, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM vd),
@@ -465,8 +585,7 @@ scored AS (SELECT pp.source, pp.doc_id, round(coalesce(psc.score, 0.0::DOUBLE),
 ORACLE["score_pairs"] = f"WITH {INDEX}, {PAIRS} SELECT source, doc_id, score FROM scored"
 ORACLE["rerank_queries"] = f"""WITH {INDEX},
 ss AS (SELECT mid AS doc_id, body_clean, regexp_extract_all(body_clean, {SENT}) AS s FROM corpus),
-cq AS (SELECT DISTINCT doc_id, body_clean, q AS query FROM (SELECT doc_id, body_clean, unnest([s[1], s[2], s[3], s[4], s[5], s[1]]) AS q FROM ss)
-       WHERE q IS NOT NULL),
+cq AS (SELECT DISTINCT doc_id, unnest(s) AS query FROM ss),
 qt AS (SELECT DISTINCT doc_id, query, unnest({toks('query')}) AS term FROM cq),
 ct AS (SELECT DISTINCT doc_id, unnest({toks('body_clean')}) AS term FROM ss),
 rsc AS (SELECT doc_id, query, sum(ts.idf) AS score FROM qt JOIN ct USING (doc_id, term) JOIN ts USING (term) GROUP BY ALL),
@@ -505,6 +624,11 @@ pr2 AS (SELECT 'subject: ' || coalesce(subject, '') || ' body: ' || regexp_repla
 ORACLE["jsonl_roundtrip"] = f"WITH {PAIRS_SQL} SELECT text, text_id FROM pr2"
 ORACLE["pairs_to_json"] = f"WITH {PAIRS_SQL} SELECT CAST(to_json(struct_pack(text := text, text_id := text_id)) AS VARCHAR) AS line FROM pr2"
 ORACLE["tsv_roundtrip"] = f"WITH {QR} SELECT qid, docid FROM qr"
+ORACLE["query_tsv"] = f"WITH {QR} SELECT qid, trim(regexp_replace(question, '\\s+', ' ', 'g')) AS text FROM qa"
+ORACLE["corpus_tsv_read"] = f"""WITH {PAGES}
+SELECT page_id AS docid, passage, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title FROM pf"""
+ORACLE["run_log"] = """SELECT count(*) AS n_rows, CAST(floor(count(*) * 0.8::DOUBLE + 1e-9::DOUBLE) AS BIGINT) AS n_train,
+  CAST(ceil(floor(count(*) * 0.8::DOUBLE + 1e-9::DOUBLE) / 32) AS BIGINT) AS batches, 1.0::DOUBLE AS final_epoch FROM documents"""
 ORACLE["corpus_tsv"] = f"""WITH {PAGES}
 SELECT CAST(page_id AS VARCHAR) || chr(9) || passage || chr(9) || regexp_replace(title, '\\s+', ' ', 'g') AS line FROM pf"""
 ORACLE["nested_qa_flatten"] = f"""WITH {PAGES}
@@ -512,68 +636,9 @@ SELECT pf.title, pf.passage AS context, coalesce(regexp_extract_all(pf.passage,
   regexp_extract(p.html, '<html lang="([^"]*)"', 1) AS lang, CAST(pf.page_id AS VARCHAR) AS qid
 FROM pf JOIN pages p USING (page_id)"""
 ORACLE["multi_source_cap"] = f"""WITH {RANKER}
-SELECT source, doc_id, question FROM rk WHERE is_positive
+SELECT doc_id, question FROM rk WHERE is_positive
 QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10"""
 
-# ------------------------------------------------------------------ TextRank (U: unrolled)
-def textrank_sql(iterations: int = 5) -> str:
-    parts = [f"""{INDEX},
-stop AS (SELECT term FROM ts WHERE df > 0.1::DOUBLE * (SELECT n FROM sc)),
-tri AS (SELECT mid AS doc_id, coalesce(subject, '') || ' ' || chr(10) || ' ' || coalesce(body_clean, '') AS text FROM corpus1),
-sn0 AS (SELECT doc_id, regexp_extract_all(text, {SENT}) AS ss FROM tri),
-sn1 AS (SELECT doc_id, unnest(ss) AS raw, CAST(generate_subscripts(ss, 1) - 1 AS BIGINT) AS pos FROM sn0),
-sn AS (SELECT doc_id, pos, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS sentence FROM sn1),
-so AS (SELECT DISTINCT doc_id, pos, unnest({toks('sentence')}) AS term FROM sn),
-so2 AS (SELECT * FROM so WHERE term NOT IN (SELECT term FROM stop)),
-nn AS (SELECT doc_id, pos, count(*) AS n FROM so2 GROUP BY ALL),
-nodes AS (SELECT sn.doc_id, sn.pos, sn.sentence, len(regexp_extract_all(sn.sentence, {WORD})) AS words, nn.n
-          FROM sn JOIN nn USING (doc_id, pos)),
-pe AS (SELECT a.doc_id, a.pos AS i, b.pos AS j, count(*) AS shared FROM so2 a JOIN so2 b
-       ON a.doc_id = b.doc_id AND a.term = b.term AND a.pos <> b.pos GROUP BY ALL),
-ew AS (SELECT pe.doc_id, i, j, shared / (ln(na.n) + ln(nb.n)) AS w FROM pe
-       JOIN nn na ON na.doc_id = pe.doc_id AND na.pos = i JOIN nn nb ON nb.doc_id = pe.doc_id AND nb.pos = j
-       WHERE ln(na.n) + ln(nb.n) > 0),
-wo AS (SELECT doc_id, i, sum(w) AS wsum FROM ew GROUP BY ALL),
-r0 AS (SELECT doc_id, pos, 1.0::DOUBLE AS score FROM nodes)"""]
-    for k in range(iterations):
-        parts.append(f"""r{k + 1} AS (SELECT n.doc_id, n.pos,
-  (1.0::DOUBLE - 0.85::DOUBLE) + 0.85::DOUBLE * coalesce(x.acc, 0.0::DOUBLE) AS score FROM nodes n LEFT JOIN
-  (SELECT ew.doc_id, ew.j, sum(ew.w * r.score / wo.wsum) AS acc FROM ew
-   JOIN r{k} r ON r.doc_id = ew.doc_id AND r.pos = ew.i JOIN wo ON wo.doc_id = ew.doc_id AND wo.i = ew.i GROUP BY ALL) x
-  ON x.doc_id = n.doc_id AND x.j = n.pos)""")
-    parts.append(f"""trs AS (SELECT n.*, round(r.score, 6) AS score FROM nodes n JOIN r{iterations} r USING (doc_id, pos)),
-trg AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY score DESC, pos
-          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM trs),
-trg2 AS (SELECT *, max(CASE WHEN abs(15 - before - words) > abs(15 - before) THEN 1 ELSE 0 END)
-          OVER (PARTITION BY doc_id ORDER BY score DESC, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stp FROM trg),
-summ AS (SELECT doc_id, string_agg(sentence, chr(10) ORDER BY pos) AS summary FROM trg2 WHERE stp = 0 GROUP BY doc_id),
-kl AS (SELECT doc_id, {toks('text')} AS tl FROM tri),
-kt0 AS (SELECT doc_id, unnest(tl) AS term, generate_subscripts(tl, 1) AS p FROM kl),
-kt AS (SELECT * FROM kt0 WHERE term NOT IN (SELECT term FROM stop)),
-kp AS (SELECT doc_id, term, lead(term) OVER (PARTITION BY doc_id ORDER BY p) AS nxt FROM kt),
-ku AS (SELECT DISTINCT doc_id, u, v FROM (SELECT doc_id, term AS u, nxt AS v FROM kp WHERE nxt IS NOT NULL AND term <> nxt
-       UNION ALL SELECT doc_id, nxt, term FROM kp WHERE nxt IS NOT NULL AND term <> nxt)),
-kd AS (SELECT doc_id, u, count(*) AS deg FROM ku GROUP BY ALL),
-kn AS (SELECT DISTINCT doc_id, term FROM kt),
-k0 AS (SELECT doc_id, term, 1.0::DOUBLE AS score FROM kn)""")
-    for k in range(iterations):
-        parts.append(f"""k{k + 1} AS (SELECT kn.doc_id, kn.term,
-  (1.0::DOUBLE - 0.85::DOUBLE) + 0.85::DOUBLE * coalesce(x.acc, 0.0::DOUBLE) AS score FROM kn LEFT JOIN
-  (SELECT ku.doc_id, ku.v AS term, sum(k.score / kd.deg) AS acc FROM ku
-   JOIN k{k} k ON k.doc_id = ku.doc_id AND k.term = ku.u JOIN kd ON kd.doc_id = ku.doc_id AND kd.u = ku.u GROUP BY ALL) x
-  USING (doc_id, term))""")
-    parts.append(f"""ktop AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, term) AS r
-         FROM k{iterations} QUALIFY r <= 8),
-kw AS (SELECT doc_id, string_agg(term, ' ' ORDER BY r) AS keywords FROM ktop GROUP BY doc_id),
-prep AS (SELECT c.mid AS doc_id, c.subject, c.body_clean,
-   'subject: ' || coalesce(c.subject, '') || ' body: ' || regexp_replace(coalesce(c.body_clean, ''), '[\\n\\r\\t]', ' ', 'g') AS body_clean_and_subject,
-   CAST(length(regexp_replace(c.body_clean, '[\\n\\r\\t]', ' ', 'g')) AS BIGINT) AS clean_length_character,
-   coalesce(s.summary, '') AS text_rank_query, coalesce(kw.keywords, '') AS elaborative_description
-   FROM corpus1 c LEFT JOIN summ s ON s.doc_id = c.mid LEFT JOIN kw ON kw.doc_id = c.mid)""")
-    return ",\n".join(parts)
-
-
-TEXTRANK = textrank_sql()
 ORACLE["textrank_summary"] = f"WITH {TEXTRANK} SELECT doc_id, text_rank_query FROM prep"
 ORACLE["textrank_keywords"] = f"WITH {TEXTRANK} SELECT doc_id, elaborative_description FROM prep"
 ORACLE["prepare_corpus"] = f"WITH {TEXTRANK} SELECT * FROM prep"

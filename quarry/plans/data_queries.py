@@ -7,27 +7,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators import bm25, generate, metrics, split
-from quarry.operators.docids import tfidf_docids
+from quarry.operators import split
 from quarry.operators.order import global_row_number, seeded_key
 from quarry.operators.ranking import first_per_key
-from quarry.plans import evaluation, fixtures
+from quarry.plans import evaluation, fixtures, prepared
 from quarry.plans.registry import register
+from quarry.plans.text_queries import DEV_PROMPT_TEMPLATE, PROMPT_TEMPLATE
 from quarry.sources.tables import read_table
 
 SEED = 42           # split seed (reference default)
 SHUFFLE_SEED = 313  # dataset-builder shuffle seed (reference default)
-VIEWS = ("body_clean_and_subject", "doctoquery")
+VIEWS = ("body_clean_and_subject", "text_rank_query", "doctoquery")
+#: The views that each ``query_type`` option trains on.
+QUERY_TYPE_VIEWS = {"mixed": VIEWS, "textrank": VIEWS[:2], "d2q": (VIEWS[0], VIEWS[2])}
 
 
 # ------------------------------------------------------------------ joins
 @register("attach_queries")
 def q_attach_queries(spark, sf):
     """Corpus LEFT JOIN generated queries (2 per doc) on mid."""
-    corp, idx = evaluation.corpus_index(spark, sf)
-    gen = generate.extractive_queries(corp.select(F.col("mid").alias("doc_id"), "body_clean"),
-                                      idx.term_stats, bm25.hot_terms(idx), n=2, text_col="body_clean")
-    return corp.select("mid").join(gen.withColumnRenamed("doc_id", "mid"), "mid", "left").select(
+    gen = evaluation.generated_queries(spark, sf, 2)
+    return prepared.corpus(spark, sf).select("mid").join(gen.withColumnRenamed("doc_id", "mid"), "mid", "left").select(
         "mid", "q_rank", F.col("query").alias("doctoquery"))
 
 
@@ -67,7 +67,7 @@ def q_prompt_cross_lang(spark, sf):
                       for k, v in fixtures.LANGUAGES])
     x = c.select("mid", "subject", "body_clean", F.explode(langs).alias("l"))
     return x.select(F.col("mid").alias("doc_id"), F.col("l.code").alias("lang"),
-                    F.format_string("Generate a %s question for this passage: %s %s",
+                    F.format_string(PROMPT_TEMPLATE,
                                     F.col("l.name"), "subject", "body_clean").alias("prompt"))
 
 
@@ -103,9 +103,8 @@ def q_qrel_invert(spark, sf):
 
 @register("distinct_ids")
 def q_distinct_ids(spark, sf):
-    """The set of valid docids (semantic ids of the corpus)."""
-    _, idx = evaluation.corpus_index(spark, sf)
-    return tfidf_docids(idx).select(F.col("docid").alias("text_id")).distinct()
+    """The set of valid docids (TextRank keyword ids of the corpus)."""
+    return prepared.docids(spark, sf).select(F.col("docid").alias("text_id")).distinct()
 
 
 @register("source_sizes")
@@ -142,42 +141,46 @@ def q_split_bucket(spark, sf):
     return split.split_bucket(d, seeded_key(SEED, "doc_id"), 0.8, 0.1, 0.1)
 
 
-def view_rows(spark, sf) -> DataFrame:
+def view_rows(spark, sf, query_type: str = "mixed") -> DataFrame:
     """(doc_id, view, text): the indexing views of every document."""
-    corp, idx = evaluation.corpus_index(spark, sf)
-    gen = generate.extractive_queries(corp.select(F.col("mid").alias("doc_id"), "body_clean"),
-                                      idx.term_stats, bm25.hot_terms(idx), n=1, text_col="body_clean")
-    wide = (corp.select(F.col("mid").alias("doc_id"),
-                        tx.compose_subject_body("subject", "body_clean").alias("body_clean_and_subject"))
-            .join(gen.select("doc_id", F.col("query").alias("doctoquery")), "doc_id", "left"))
-    long = wide.unpivot("doc_id", list(VIEWS), "view", "text")
-    return long, idx
+    gen = evaluation.generated_queries(spark, sf, 1).select("doc_id", F.col("query").alias("doctoquery"))
+    wide = prepared.prepared(spark, sf).select("doc_id", *VIEWS[:2]).join(gen, "doc_id", "left")
+    return wide.unpivot("doc_id", list(QUERY_TYPE_VIEWS[query_type]), "view", "text")
 
 
 @register("split_by_doc")
 def q_split_by_doc(spark, sf):
     """All views of a document fall in the same split."""
-    v, _ = view_rows(spark, sf)
-    return split.split_bucket(v.select("doc_id", "view"), seeded_key(SEED, "doc_id"))
+    return split.split_bucket(view_rows(spark, sf).select("doc_id", "view"), seeded_key(SEED, "doc_id"))
 
 
 @register("split_by_query")
 def q_split_by_query(spark, sf):
     """Each (document, view) row is split on its own."""
-    v, _ = view_rows(spark, sf)
+    v = view_rows(spark, sf)
     key = seeded_key(SEED, F.concat_ws(":", F.col("doc_id").cast("string"), F.col("view")))
     return split.split_bucket(v.select("doc_id", "view"), key)
 
 
+def multi_view(spark, sf, query_type: str = "mixed") -> DataFrame:
+    """(view, text, text_id, split) per document view; text_id = TextRank
+    keyword docid ('' where a document has none); null views become '' (our
+    null rule); split by document."""
+    ids = prepared.docids(spark, sf)
+    pairs = view_rows(spark, sf, query_type).join(ids, "doc_id", "left").select(
+        "doc_id", "view", tx.null_to_empty("text").alias("text"), tx.null_to_empty("docid").alias("text_id"))
+    return split.split_bucket(pairs, seeded_key(SEED, "doc_id")).drop("doc_id")
+
+
 @register("multi_view_pairs")
 def q_multi_view_pairs(spark, sf):
-    """(text, text_id) per document view; text_id = semantic docid;
-    null views become '' (our null rule); split by document."""
-    v, idx = view_rows(spark, sf)
-    ids = tfidf_docids(idx)
-    pairs = v.join(ids, "doc_id").select("doc_id", "view", tx.null_to_empty("text").alias("text"),
-                                         F.col("docid").alias("text_id"))
-    return split.split_bucket(pairs, seeded_key(SEED, "doc_id")).drop("doc_id")
+    return multi_view(spark, sf)
+
+
+@register("multi_view_pairs_textrank")
+def q_multi_view_pairs_textrank(spark, sf):
+    """The ``query_type`` option restricts the query views."""
+    return multi_view(spark, sf, "textrank")
 
 
 @register("dense_ids")
@@ -202,24 +205,17 @@ def q_shard_rows(spark, sf):
     return split.shard_rows(lab, "doc_id", 8, SHUFFLE_SEED)
 
 
+@register("shard_rows_inference")
+def q_shard_rows_inference(spark, sf):
+    """X8, inference form: the last of 8 workers takes the remainder."""
+    return split.shard_contiguous(read_table(spark, sf, "labels").select("doc_id"), "doc_id", 8)
+
+
 @register("mix_sources")
 def q_mix_sources(spark, sf):
-    """Steps per source proportional to its size (half-even rounding,
-    the last source takes the remainder); total = rows / batch of 4."""
+    """Two epochs in batches of 4, proportional to the sources' sizes."""
     d = read_table(spark, sf, "documents")
-    sizes = d.groupBy("source").agg(F.count("*").alias("n_rows"))
-    total_rows = F.sum("n_rows").over(Window.partitionBy(F.lit(1)))     # one row per source
-    batch = 4
-    w_all = Window.partitionBy(F.lit(1))
-    order = Window.partitionBy(F.lit(1)).orderBy("source")
-    s = (sizes.withColumn("total_steps", F.floor(total_rows / batch))
-         .withColumn("share_steps", F.bround(F.col("n_rows") / total_rows * F.col("total_steps"), 0))
-         .withColumn("pos", F.row_number().over(order))
-         .withColumn("n_src", F.count("*").over(w_all)))
-    before_last = F.sum(F.when(F.col("pos") < F.col("n_src"), F.col("share_steps"))).over(w_all)
-    steps = F.when(F.col("pos") == F.col("n_src"), F.col("total_steps") - before_last).otherwise(F.col("share_steps"))
-    return s.select("source", "n_rows", steps.cast("bigint").alias("steps"),
-                    (steps * batch).cast("bigint").alias("n_samples"))
+    return split.mixed_batches(d, "source", "doc_id", batch=4, epochs=2, seed=SHUFFLE_SEED)
 
 
 # ------------------------------------------------------------------ builders
@@ -232,44 +228,50 @@ def q_generation_input(spark, sf):
     langs = F.array(*[F.struct(F.lit(k).alias("code"), F.lit(v).alias("name")) for k, v in fixtures.LANGUAGES])
     multi = c.select("mid", "subject", "body_clean", F.explode(langs).alias("l")).select(
         F.lit("multilingual").alias("kind"), F.col("mid").alias("doc_id"), F.col("l.code").alias("lang"),
-        F.format_string("Generate a %s question for this passage: %s %s", F.col("l.name"), "subject",
+        F.format_string(PROMPT_TEMPLATE, F.col("l.name"), "subject",
                         "body_clean").alias("text"))
     mono = c.select(F.lit("monolingual").alias("kind"), F.col("mid").alias("doc_id"),
                     F.lit(None).cast("string").alias("lang"), F.col("body_clean").alias("text"))
     return email.unionByName(multi).unionByName(mono)
 
 
-def qa_dataset(spark, sf):
+def positioned(spark, train: DataFrame, pool: DataFrame, dev: DataFrame, quota: int, id_col: str = "docid",
+               allow_duplicates: bool = False) -> DataFrame:
+    """(id, priority, phase, text_id): training ids filled from the pool up to
+    ``quota``, then the held-out ids, each with a seeded dense id.  Only ids
+    are sorted."""
+    filled = split.quota_fill(train, pool, id_col, quota, SHUFFLE_SEED, exclude=dev,
+                              allow_duplicates=allow_duplicates).withColumn("phase", F.lit(0))
+    held = dev.select(id_col).withColumn("priority", F.lit(2).cast("bigint")).withColumn("_k", seeded_key(SHUFFLE_SEED, id_col))
+    held = global_row_number(held, ["_k", id_col], "fill_rank").drop("_k").withColumn("phase", F.lit(1))
+    ordered = global_row_number(filled.unionByName(held), ["phase", "fill_rank"], "position")
+    m = ordered.count()
+    perm = split.dense_ids(spark.range(m).select(F.col("id").alias("v")), "v", SHUFFLE_SEED, "p")
+    return ordered.join(perm.select((F.col("p") + 1).alias("position"), F.col("v").alias("text_id")), "position") \
+        .select(id_col, "priority", "phase", "text_id")
+
+
+def qa_dataset(spark, sf, allow_duplicates: bool = False):
     """Single-language retrieval dataset from the question/passage pairs.
-    train: labelled train docs in seeded order, then unlabelled documents
-    (shuffled) up to 1.2x the labelled count; dev: dev docs not in train.
-    Each position gets a seeded dense id; dev passages are indexed too."""
+    train: labelled train docs in seeded order, then documents of the shared
+    pool (shuffled) up to 1.2x the labelled count; dev: dev docs not in train.
+    The pool holds all passages and documents, so labelled and held-out ones
+    are kept out by id.  Dev passages are indexed too.  Texts are joined to
+    the chosen ids at the end."""
     qr = fixtures.qrels(spark, sf)
     pairs = fixtures.qa_pairs(spark, sf)
-    first_q = {s: first_per_key(qr.where(F.col("split") == s), "docid", "pos").select("docid", "qid")
-               for s in ("train", "dev")}
-    train_docs = first_q["train"].join(pairs.select("qid", "question"), "qid").join(
-        pairs.select("docid", "passage"), "docid")
-    dev_docs = (first_q["dev"].join(first_q["train"].select("docid"), "docid", "left_anti")
-                .join(pairs.select("qid", "question"), "qid")
-                .join(pairs.select("docid", "passage"), "docid"))
-    n_train = train_docs.count()
-    quota = (n_train * 12) // 10
-    pool = read_table(spark, sf, "documents").select(
-        (F.col("doc_id") + F.lit(10 ** 12)).alias("docid"), F.lit(None).cast("string").alias("question"),
-        tx.null_to_empty("text").alias("passage"))
-    filled = split.quota_fill(train_docs.select("docid", "question", "passage"), pool, "docid", quota,
-                              SHUFFLE_SEED).withColumn("phase", F.lit(0))
-    dev = dev_docs.select("docid", "question", "passage").withColumn(
-        "priority", F.lit(2)).withColumn("_k", seeded_key(SHUFFLE_SEED, "docid"))
-    dev = global_row_number(dev, ["_k", "docid"], "fill_rank").drop("_k").withColumn("phase", F.lit(1))
-    rows = filled.unionByName(dev)
-    ordered = global_row_number(rows, ["phase", "fill_rank"], "position")
-    m = ordered.count()
-    perm = split.dense_ids(spark.range(m).select(F.col("id").alias("v")), "v", SHUFFLE_SEED, "p")
-    ids = ordered.join(perm.select((F.col("p") + 1).alias("position"), F.col("v").alias("text_id")),
-                       "position")
-    return ids
+    train, dev = (first_per_key(qr.where(F.col("split") == s), "docid", "pos").select("docid", "qid")
+                  for s in ("train", "dev"))
+    known = pairs.select("qid")
+    train, dev = train.join(known, "qid", "left_semi"), dev.join(known, "qid", "left_semi")
+    dev = dev.join(train.select("docid"), "docid", "left_anti")
+    docs = read_table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("docid"),
+                                                     tx.null_to_empty("text").alias("passage"))
+    passages = pairs.select("docid", "passage").unionByName(docs)
+    ids = positioned(spark, train, passages, dev, (train.count() * 12) // 10, allow_duplicates=allow_duplicates)
+    asked = train.unionByName(dev).join(pairs.select("qid", "question"), "qid").select("docid", "question")
+    return ids.join(passages, "docid").join(asked, "docid", "left").withColumn(
+        "question", F.when(F.col("priority") != 1, F.col("question")))
 
 
 @register("qa_dataset_train")
@@ -294,44 +296,66 @@ def q_qa_dataset_corpus(spark, sf):
 
 
 def multiling(spark, sf):
-    """D3: pairs with a title and a language; qid de-duplicated across
-    train then dev (first occurrence wins)."""
+    """Items of the multilingual set: (split, qid, question, passage, title,
+    language), one per qid, the first across train then dev in seeded order.
+    Titles carry the section marker and are cut (P8); a language without a
+    name keeps its code."""
     qr = fixtures.qrels(spark, sf)
     pairs = fixtures.qa_pairs(spark, sf)
     langs = F.array(*[F.lit(k) for k, _ in fixtures.LANGUAGES])
+    raw = F.concat(F.lit("title:"), tx.flatten_newlines("question"), F.lit(tx.SECTION_MARKER), "docid")
     rows = (qr.join(pairs.select("qid", "question", "passage", "conv_id"), "qid")
-            .select("split", "qid", "docid", "pos", "question",
-                    tx.flatten_newlines("passage").alias("passage"),
-                    tx.subject_of("passage", 3).alias("title"),
+            .select("split", "qid", "pos", "question", tx.flatten_newlines("passage").alias("passage"),
+                    tx.title_slice(raw).alias("title"),
                     F.element_at(langs, (F.col("conv_id") % 4 + 1).cast("int")).alias("lang")))
     order = F.when(F.col("split") == "train", 0).otherwise(1)
     w = Window.partitionBy("qid").orderBy(order, "pos")
-    first = rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    return first.join(F.broadcast(fixtures.languages(spark)), "lang")
+    first = rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "pos")
+    return first.join(F.broadcast(fixtures.languages(spark)), "lang", "left").withColumn(
+        "language", F.coalesce("language", "lang"))
+
+
+def multiling_set(spark, sf):
+    """D3: (text_id, phase, priority, question, passage, title): train items in
+    seeded order filled from the pages up to 1.2x, then the dev items; dense
+    seeded ids."""
+    m = multiling(spark, sf)
+    items = m.select(F.concat(F.lit("q"), "qid").alias("docid"), "split", "question", "passage", "title")
+    pages = fixtures.page_fields(spark, sf).select(
+        F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("docid"), F.lit(None).cast("string").alias("question"),
+        F.regexp_replace("passage", "\n", " ").alias("passage"), tx.strip_ws("title").alias("title"))
+    train, dev = (items.where(F.col("split") == s) for s in ("train", "dev"))
+    ids = positioned(spark, train, pages, dev, (train.count() * 12) // 10)
+    return ids.join(items.drop("split").unionByName(pages), "docid")
 
 
 @register("multiling_train")
 def q_multiling_train(spark, sf):
-    m = multiling(spark, sf).where(F.col("split") == "train")
-    return (m.select(F.col("docid").alias("text_id"),
-                     tx.role_prefix(tx.PASSAGE_PROMPT, "title", "passage").alias("text"))
-            .unionByName(m.select(F.col("docid").alias("text_id"),
-                                  tx.role_prefix(tx.QUESTION_PROMPT, "question").alias("text"))))
+    """Passages of all documents, dev ones included, and the train questions."""
+    m = multiling_set(spark, sf)
+    return (m.select("text_id", tx.role_prefix(tx.PASSAGE_PROMPT, "title", "passage").alias("text"))
+            .unionByName(m.where("priority = 0").select("text_id", tx.role_prefix(tx.QUESTION_PROMPT, "question").alias("text"))))
 
 
 @register("multiling_dev")
 def q_multiling_dev(spark, sf):
-    m = multiling(spark, sf).where(F.col("split") == "dev")
-    return m.select(F.col("docid").alias("text_id"), tx.role_prefix(tx.QUESTION_PROMPT, "question").alias("text"))
+    m = multiling_set(spark, sf).where("phase = 1")
+    return m.select("text_id", tx.role_prefix(tx.QUESTION_PROMPT, "question").alias("text"))
+
+
+@register("multiling_corpus")
+def q_multiling_corpus(spark, sf):
+    m = multiling_set(spark, sf)
+    return m.select("text_id", F.concat_ws("\t", F.col("text_id").cast("string"), "passage", "title").alias("line"))
 
 
 @register("generator_pairs")
 def q_generator_pairs(spark, sf):
-    """Language prompt -> question, one per unique qid."""
+    """Prompt -> question, one per unique qid; train and dev templates."""
     m = multiling(spark, sf)
-    return m.select("qid", F.col("question").alias("text_id"),
-                    F.format_string("Generate a %s question for this passage: %s %s", "language", "title",
-                                    "passage").alias("text"))
+    prompt = F.when(F.col("split") == "train", F.format_string(PROMPT_TEMPLATE, "language", "title", "passage")) \
+        .otherwise(F.format_string(DEV_PROMPT_TEMPLATE, "language", "title", "passage"))
+    return m.select("split", "qid", F.col("question").alias("text_id"), prompt.alias("text"))
 
 
 @register("ranker_groups")

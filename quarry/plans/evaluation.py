@@ -1,10 +1,11 @@
-"""BM25 evaluation - corpus -> index -> queries of two types ->
-top-20 retrieval -> rank of the target -> metrics per type + macro.
-
-Query types on the driver tables: ``known_item`` (benchmark passages,
-target = the containing document) and ``d2q`` (one generated query per
-document, target = that document).  Hits are mapped mid -> text_id (J6)
-before matching, so documents sharing a text_id count as the same target.
+"""BM25 evaluation - corpus -> index -> queries of three types ->
+top-20 retrieval -> rank of the target -> metrics per type + macro, saved.
+
+Query types: ``textrank`` (the TextRank sentences of a document) and ``d2q``
+(one generated query per document), which make up the macro row, and
+``known_item`` (benchmark passages, target = the containing document).  Hits
+and targets are docids (J6: TextRank keywords), so documents that share a
+docid count as the same target.
 """
 
 from __future__ import annotations
@@ -14,73 +15,89 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import text as tx
 from quarry.operators import bm25, generate, metrics
-from quarry.operators.index import Index, build_index
-from quarry.operators.ranking import first_hit_rank, first_per_key
-from quarry.plans import fixtures
-from quarry.session import materialize
-
-EVAL_TYPES = ("known_item", "d2q")
-# System labels written to the results table.
+from quarry.operators.index import Index
+from quarry.operators.metrics import QUERY_TYPES
+from quarry.operators.ranking import first_hit_rank
+from quarry.plans import fixtures, prepared
+from quarry.plans.prepared import corpus_index
+from quarry.session import written
+from quarry.sources import io
+
+EVAL_TYPES = QUERY_TYPES
+# System labels and the key written to the results table.
 BM25_SYSTEM = "BM25-base"
 DSI_SYSTEM = "DSI-base"
+EXPERIMENT, VERSION = "text_rank_d2q_q1", "v1.0"
 
 
 @dataclass
 class Bm25Run:
     index: Index
-    corpus: DataFrame
     queries: DataFrame
     hits: DataFrame
     ranks: DataFrame
 
 
-def corpus_index(spark: SparkSession, sf_dir: str, path: str | None = None):
-    corp = materialize(first_per_key(fixtures.corpus(spark, sf_dir), "mid", "mid"))
-    docs = corp.select(F.col("mid").alias("doc_id"),
-                       tx.compose_contents("subject", "body_clean").alias("contents"))
-    # first_per_key hash-partitions the corpus by mid: the index reuses it
-    return corp, build_index(docs, path=path, prepartitioned=True)
-
-
-def evaluation_queries(spark: SparkSession, sf_dir: str, corp: DataFrame, index: Index) -> DataFrame:
-    """(query_id, query_type, query, target) with F1 applied."""
-    ki = fixtures.known_items(spark, sf_dir, index.postings.select("term", "doc_id"),
-                              index.term_stats.select("term", "df")).select(
-        F.concat(F.lit("k"), F.col("item_id").cast("string")).alias("query_id"),
-        (F.col("item_id") * 2 + 1).alias("qkey"),
-        F.lit("known_item").alias("query_type"), "query",
-        F.col("target").cast("string").alias("target"))
-    gen = generate.extractive_queries(corp.select(F.col("mid").alias("doc_id"), "body_clean"),
-                                      index.term_stats, bm25.hot_terms(index), n=1,
-                                      text_col="body_clean")
-    d2q = (gen.join(corp.select(F.col("mid").alias("doc_id"), "text_id"), "doc_id")
-           .select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("query_id"),
-                   (F.col("doc_id") * 2).alias("qkey"), F.lit("d2q").alias("query_type"), "query", F.col("text_id").alias("target")))
-    q = ki.unionByName(d2q)
+def generated_queries(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """(doc_id, q_rank, query): the best ``n`` extractive queries per document."""
+    corp, index = corpus_index(spark, sf_dir)
+    return generate.extractive_queries(corp.select(F.col("mid").alias("doc_id"), "body_clean"),
+                                       index.term_stats, bm25.hot_terms(index), n=n, text_col="body_clean")
+
+
+def evaluation_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, qkey, query_type, query, target) with F1 applied."""
+    _, index = corpus_index(spark, sf_dir)
+    ids = prepared.docids(spark, sf_dir)
+
+    def typed(rows: DataFrame, prefix: str, key: str, kind: str, bit: int) -> DataFrame:
+        return rows.select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("query_id"),
+                           (F.col(key) * 3 + bit).alias("qkey"), F.lit(kind).alias("query_type"), "query", "target")
+    items = fixtures.known_items(spark, sf_dir, index.postings.select("term", "doc_id"),
+                                 index.term_stats.select("term", "df"))
+    items = items.join(ids.select(F.col("doc_id").alias("target"), "docid"), "target", "left").select(
+        "item_id", "query", F.col("docid").alias("target"))
+    d2q = generated_queries(spark, sf_dir, 1).join(ids, "doc_id").select("doc_id", "query", F.col("docid").alias("target"))
+    rank = prepared.prepared(spark, sf_dir).select("doc_id", F.col("text_rank_query").alias("query"),
+                                                   F.col("elaborative_description").alias("target"))
+    q = typed(items, "k", "item_id", "known_item", 1).unionByName(typed(d2q, "d", "doc_id", "d2q", 0)) \
+        .unionByName(typed(rank, "t", "doc_id", "textrank", 2))
     return q.where(F.col("query").isNotNull() & (F.col("query") != ""))
 
 
+def query_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepared.once(spark, sf_dir, "queries", lambda: written(evaluation_queries(spark, sf_dir), "queries"),
+                         ("documents", "benchmark"))
+
+
 def bm25_run(spark: SparkSession, sf_dir: str, k: int = bm25.DEPTH) -> Bm25Run:
-    corp, index = corpus_index(spark, sf_dir)
-    queries = materialize(evaluation_queries(spark, sf_dir, corp, index))
-    # an exact numeric key (2*id + type bit) keeps the (query, doc) shuffle
-    # narrow; the string id is joined back after the top-k cut
-    keyed = queries.select("query_id", "query", "qkey")
-    hits = bm25.bm25_search(index, keyed.select(F.col("qkey").alias("query_id"), "query"), k=k)
-    hits = hits.withColumnRenamed("query_id", "qkey").join(
-        keyed.select("qkey", "query_id"), "qkey").drop("qkey")
-    hits = hits.join(corp.select(F.col("mid").alias("doc_id"), F.col("text_id").alias("item")),
-                     "doc_id")
-    ranks = materialize(first_hit_rank(hits, queries.select("query_id", "query_type", "target")))
-    return Bm25Run(index, corp, queries, hits, ranks)
+    def run():
+        _, index = corpus_index(spark, sf_dir)
+        queries = query_table(spark, sf_dir)
+        # an exact numeric key (3 * id + type) keeps the (query, doc) shuffle
+        # narrow; the string id is joined back after the top-k cut
+        hits = bm25.bm25_search(index, queries.select(F.col("qkey").alias("query_id"), "query"), k=k)
+        hits = hits.withColumnRenamed("query_id", "qkey").join(queries.select("qkey", "query_id"), "qkey").drop("qkey")
+        hits = written(hits.join(prepared.docids(spark, sf_dir).withColumnRenamed("docid", "item"), "doc_id"), "bm25-hits")
+        return Bm25Run(index, queries, hits, first_hit_rank(hits, queries.select("query_id", "query_type", "target")))
+    return prepared.once(spark, sf_dir, f"bm25-{k}", run, ("documents", "benchmark"))
+
+
+def summary_rows(ranks: DataFrame, system: str) -> DataFrame:
+    """Per-type metric rows plus the macro row."""
+    per = written(metrics.metrics_by_type(ranks, digits=None), "metrics")
+    return metrics.round_metrics(per).unionByName(metrics.macro_of(per, EVAL_TYPES)).select(
+        F.lit(system).alias("system"), "query_type", "n_queries", "mrr_3", "mrr_20", "hits_1", "hits_10")
+
+
+def save_macro(spark: SparkSession, rows: DataFrame, size: str, table: str, staging: str) -> DataFrame:
+    """IO3: upsert the macro row of an evaluation into a results table."""
+    row = rows.where(F.col("query_type") == "macro").select(
+        "system", F.lit(size).alias("size"), F.lit(EXPERIMENT).alias("experiment_type"), F.lit(VERSION).alias("version"),
+        "mrr_3", "mrr_20", "hits_1", "hits_10", F.lit(0).alias("seq"))
+    return io.upsert_table(spark, table, staging, row)
 
 
 def bm25_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-type metric rows plus the macro row."""
-    run = bm25_run(spark, sf_dir)
-    per = materialize(metrics.metrics_by_type(run.ranks, digits=None))
-    macro = metrics.macro_of(per, EVAL_TYPES)
-    return metrics.round_metrics(per).unionByName(macro).select(F.lit(BM25_SYSTEM).alias("system"), "query_type",
-                                         "n_queries", "mrr_3", "mrr_20", "hits_1", "hits_10")
+    return summary_rows(bm25_run(spark, sf_dir).ranks, BM25_SYSTEM)

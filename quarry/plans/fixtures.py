@@ -6,7 +6,7 @@ downstream work grows with them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
@@ -17,7 +17,6 @@ TITLE_REGEX = r"<title>([^<]*)</title>"
 SCRIPT_STYLE_REGEX = r"(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
 TAG_REGEX = r"<[^>]*>"
 LANGUAGES = [("en", "English"), ("fr", "French"), ("de", "German"), ("es", "Spanish")]
-SHORT_ITEM_LIMIT = 10_000   # bound on items that need the full containment scan
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +38,8 @@ def known_items(spark: SparkSession, sf_dir: str, doc_terms: DataFrame | None =
     Exact without a cross product: a token strictly inside the passage is a
     whole token of any text containing it, so candidates come from an
     equi-join on the passage's rarest interior token, then ``contains``
-    verifies.  Passages with fewer than three tokens have no interior token;
-    their (size-checked) set is matched by a conditional broadcast join.
+    verifies.  Passages with fewer than three tokens have no interior token:
+    ``short_matches`` joins their pieces.
     ``doc_terms`` (term, doc_id) / ``term_df`` (term, df) reuse an index
     built over the documents (any superset of each text's tokens works).
     """
@@ -65,52 +64,54 @@ def known_items(spark: SparkSession, sf_dir: str, doc_terms: DataFrame | None =
             .where(F.col("text").contains(F.col("query")))
             .select("item_id", "doc_id"))
 
-    short = toks.where(F.size("toks") < 3).select("item_id", "query")
-    n_short = short.count()
-    if n_short > SHORT_ITEM_LIMIT:
-        raise ValueError(f"{n_short} benchmark items without interior tokens")
-    hits = cand
-    if n_short:
-        hits = cand.unionByName(substring_scan(docs, short.collect()))
+    short = toks.where(F.size("toks") < 3)
+    hits = cand.unionByName(short_matches(docs, short, doc_terms))
     target = hits.groupBy("item_id").agg(F.min("doc_id").alias("target"))
     return (bench.join(target, "item_id", "left")
             .select("item_id", "query", F.col("target").cast("bigint").alias("target")))
 
 
-def substring_scan(docs: DataFrame, patterns) -> DataFrame:
-    """(item_id, doc_id): for each pattern, the smallest doc_id per batch
-    whose text contains it.  One Aho-Corasick pass per document over a
-    pattern list of checked size; linear in the corpus, no pair product."""
-    pats = [(int(r["item_id"]), r["query"]) for r in patterns]
-
-    def scan(batches):
-        import ahocorasick
-        import pandas as pd
-        auto = ahocorasick.Automaton()
-        empty = []
-        for item_id, q in pats:
-            if q == "":
-                empty.append(item_id)
-                continue
-            auto.add_word(q, auto.get(q, ()) + (item_id,))
-        if len(auto):
-            auto.make_automaton()
-        for pdf in batches:
-            best: dict[int, int] = {}
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                if text is None:
-                    continue
-                found = set(empty)
-                if len(auto):
-                    for _, items in auto.iter(text):
-                        found.update(items)
-                for item in found:
-                    if item not in best or doc_id < best[item]:
-                        best[item] = int(doc_id)
-            yield pd.DataFrame({"item_id": list(best.keys()), "doc_id": list(best.values())},
-                               dtype="int64")
-
-    return docs.select("doc_id", "text").mapInPandas(scan, "item_id long, doc_id long")
+def _pieces(col: str, lengths: list[int]) -> Column:
+    """All substrings of ``col`` that have one of the given lengths."""
+    def of(n: int) -> Column:
+        return F.when(F.length(col) >= n, F.transform(
+            F.sequence(F.lit(1), F.length(col) - n + 1), lambda i: F.substring(F.col(col), i, F.lit(n))))
+    empty = F.array().cast("array<string>")
+    return F.array_distinct(F.flatten(F.array(*[F.coalesce(of(n), empty) for n in lengths])))
+
+
+def short_matches(docs: DataFrame, short: DataFrame, doc_terms: DataFrame) -> DataFrame:
+    """(item_id, doc_id): documents that contain a passage of fewer than three
+    tokens, exactly and without pairing passages with documents.
+
+    The longest token of a passage lies within one term of any text that
+    contains it: the distinct terms' substrings of the tokens' lengths are
+    equi-joined with the tokens, then terms with postings, and ``contains``
+    verifies.  A passage without a token lies within one run of other signs,
+    whose substrings are joined likewise.  The empty passage is in every
+    text.  Only the distinct lengths reach the driver."""
+    sized = F.array_sort(F.transform("toks", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
+    worded = short.where(F.size("toks") > 0).select("item_id", "query", F.get(sized, F.lit(0))["t"].alias("piece"))
+    bare = short.where((F.size("toks") == 0) & (F.col("query") != "")).select("item_id", F.col("query").alias("piece"))
+    found = []
+    lengths = sorted(r[0] for r in worded.select(F.length("piece")).distinct().collect())
+    if lengths:
+        terms = doc_terms.select("term").distinct()
+        inside = terms.select("term", F.explode(_pieces("term", lengths)).alias("piece"))
+        found.append(worded.join(inside, "piece").select("item_id", "query", "term")
+                     .join(doc_terms.select("term", "doc_id"), "term").select("item_id", "query", "doc_id").distinct()
+                     .join(docs, "doc_id").where(F.col("text").contains(F.col("query"))).select("item_id", "doc_id"))
+    lengths = sorted(r[0] for r in bare.select(F.length("piece")).distinct().collect())
+    if lengths:
+        runs = docs.select("doc_id", F.explode(F.array_distinct(
+            F.regexp_extract_all("text", F.lit(tx.NON_TOKEN_PATTERN), 0))).alias("run"))
+        inside = runs.select("doc_id", F.explode(_pieces("run", lengths)).alias("piece"))
+        found.append(bare.join(inside, "piece").select("item_id", "doc_id").distinct())
+    first = docs.where(F.col("text").isNotNull()).agg(F.min("doc_id")).first()[0]
+    every = short.where(F.col("query") == "").select("item_id", F.lit(first).cast("bigint").alias("doc_id"))
+    for f in found:
+        every = every.unionByName(f)
+    return every.where(F.col("doc_id").isNotNull())
 
 
 def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +125,8 @@ def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("conv_id", "turn",
                     F.concat_ws(":", F.col("conv_id").cast("string"),
                                 F.col("turn").cast("string")).alias("qid"),
-                    (F.col("conv_id") * 100 + F.col("turn")).alias("docid"),
+                    F.concat_ws(":", F.col("conv_id").cast("string"),
+                                F.col("turn").cast("string")).alias("docid"),
                     tx.null_to_empty("text").alias("question"),
                     tx.null_to_empty("next_text").alias("passage")))
 
@@ -133,7 +135,7 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qrels (split, qid, docid, pos): one qid per pair, a second qid for
     turn-0 pairs; train = conv_id % 5 < 4, dev = the rest plus a repeat of
     the train pairs with conv_id % 7 = 0 (leakage the guards must remove).
-    ``pos`` is the line order inside the split file."""
+    ``pos`` orders the lines inside the split file."""
     p = qa_pairs(spark, sf_dir)
     base = p.select("conv_id", "turn", "qid", "docid", F.lit(0).alias("k"))
     extra = p.where("turn = 0").select("conv_id", "turn", F.concat("qid", F.lit("b")).alias("qid"),
@@ -145,7 +147,7 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
            .withColumn("split", F.lit("dev")))
     return (train.unionByName(dev)
             .select("split", "qid", "docid",
-                    (F.col("conv_id") * 1000 + F.col("turn") * 10 + F.col("k")).alias("pos")))
+                    F.struct("conv_id", "turn", "k").alias("pos")))
 
 
 def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators import bm25, generate, metrics
+from quarry.operators import metrics
 from quarry.operators.index import analyze, postings_of
 from quarry.operators.ranking import first_per_key
-from quarry.plans import evaluation, fixtures
+from quarry.plans import evaluation, fixtures, prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -36,8 +36,7 @@ def q_scan_corpus(spark, sf):
 
 # --------------------------------------------------------------- index
 def _contents(spark, sf):
-    corp = first_per_key(fixtures.corpus(spark, sf), "mid", "mid")
-    return corp.select(F.col("mid").alias("doc_id"),
+    return prepared.corpus(spark, sf).select(F.col("mid").alias("doc_id"),
                        tx.compose_contents("subject", "body_clean").alias("contents"))
 
 
@@ -54,24 +53,19 @@ def q_doc_stats(spark, sf):
 
 @register("term_stats")
 def q_term_stats(spark, sf):
-    _, idx = evaluation.corpus_index(spark, sf)
+    _, idx = prepared.corpus_index(spark, sf)
     return idx.term_stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 # --------------------------------------------------------------- BM25
 @register("query_set")
 def q_query_set(spark, sf):
-    corp, idx = evaluation.corpus_index(spark, sf)
-    return evaluation.evaluation_queries(spark, sf, corp, idx).select(
-        "query_id", "query_type", "query", "target")
+    return evaluation.query_table(spark, sf).select("query_id", "query_type", "query", "target")
 
 
 @register("generate_queries")
 def q_generate_queries(spark, sf):
-    corp, idx = evaluation.corpus_index(spark, sf)
-    return generate.extractive_queries(
-        corp.select(F.col("mid").alias("doc_id"), "body_clean"), idx.term_stats,
-        bm25.hot_terms(idx), n=3, text_col="body_clean")
+    return evaluation.generated_queries(spark, sf, 3)
 
 
 @register("bm25_topk")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import sequences as sq
 from quarry.functions import text as tx
-from quarry.plans import fixtures
+from quarry.plans import fixtures, prepared
 from quarry.plans.registry import register
 from quarry.sources.tables import read_table
 
@@ -39,10 +39,11 @@ def q_compose_contents(spark, sf):
 
 @register("prompt_by_lang")
 def q_prompt_by_lang(spark, sf):
-    """P5: language name from the 4-row lookup (broadcast), two templates."""
+    """P5: language name from the 4-row lookup (broadcast), two templates; a
+    language that is not listed keeps its code."""
     c = fixtures.corpus(spark, sf)
     langs = F.broadcast(fixtures.languages(spark))
-    j = c.join(langs, "lang")
+    j = c.join(langs, "lang", "left").withColumn("language", F.coalesce("language", "lang", F.lit("")))
     return j.select(F.col("mid").alias("doc_id"), "lang",
                     F.format_string(PROMPT_TEMPLATE, "language", "subject", "body_clean").alias("prompt"),
                     F.format_string(DEV_PROMPT_TEMPLATE, "language", "subject", "body_clean")
@@ -117,14 +118,16 @@ def q_token_truncate(spark, sf):
 @register("max_id_length")
 def q_max_id_length(spark, sf):
     """Longest docid in tokens (+1 for the end marker) over the corpus."""
-    c = fixtures.corpus(spark, sf)
-    return c.agg((F.max(F.size(tx.tokens("subject"))) + 1).cast("bigint").alias("max_id_length"))
+    return prepared.docids(spark, sf).agg((F.max(F.size(tx.tokens("docid"))) + 1).cast("bigint").alias("max_id_length"))
+
+
+PAD_LENGTH = 128    # fixed: maximal input length in tokens
 
 
 def label_sequences(spark, sf):
-    """Token sequences with the ignore marker on every third document."""
+    """Token sequences of the texts, the ignore marker on every third document."""
     c = fixtures.corpus(spark, sf)
-    toks = tx.tokens("subject")
+    toks = tx.tokens("body_clean")
     seq = F.when(F.col("mid") % 3 == 0, F.concat(toks, F.array(F.lit(sq.IGNORE)))).otherwise(toks)
     return c.select(F.col("mid").alias("doc_id"), seq.alias("seq"))
 
@@ -132,7 +135,7 @@ def label_sequences(spark, sf):
 @register("pad_sequences")
 def q_pad_sequences(spark, sf):
     s = label_sequences(spark, sf)
-    return s.select("doc_id", F.array_join(sq.pad_to(sq.unmask("seq"), 8), " ").alias("padded"))
+    return s.select("doc_id", F.array_join(sq.pad_to(sq.unmask("seq"), PAD_LENGTH), " ").alias("padded"))
 
 
 @register("batch_pad")
@@ -146,7 +149,7 @@ def q_batch_pad(spark, sf):
 @register("decode_tokens")
 def q_decode_tokens(spark, sf):
     s = label_sequences(spark, sf)
-    padded = F.concat(sq.pad_to(sq.unmask("seq"), 8), F.array(F.lit(tx.EOS)))
+    padded = F.concat(sq.pad_to(sq.unmask("seq"), PAD_LENGTH), F.array(F.lit(tx.EOS)))
     return s.select("doc_id", sq.decode(padded).alias("decoded"))
 
 
@@ -154,7 +157,7 @@ def q_decode_tokens(spark, sf):
 def q_pair_input(spark, sf):
     """The four ranker input forms (answer / title flags)."""
     r = fixtures.ranker_contexts(spark, sf)
-    answer = tx.subject_of("text", 3)
+    answer = tx.strip_ws(F.coalesce(F.try_element_at(tx.sentences("text"), F.lit(1)), F.lit("")))
     out = [F.col("source"), F.col("doc_id")]
     for use_answer in (False, True):
         for no_title in (False, True):
@@ -180,7 +183,7 @@ def q_numeric_vocab(spark, sf):
 @register("id_kind")
 def q_id_kind(spark, sf):
     """Are all ids of a set non-numeric strings (semantic ids)?"""
-    c = fixtures.corpus(spark, sf)
-    sets = (c.select(F.lit("doc_id").alias("id_set"), F.col("text_id").alias("id"))
-            .unionByName(c.select(F.lit("subject").alias("id_set"), F.col("subject").alias("id"))))
+    ids = prepared.docids(spark, sf)
+    sets = (ids.select(F.lit("doc_id").alias("id_set"), F.col("doc_id").cast("string").alias("id"))
+            .unionByName(ids.select(F.lit("docid").alias("id_set"), F.col("docid").alias("id"))))
     return sets.groupBy("id_set").agg(sq.all_semantic(F.col("id")).alias("semantic_ids"))

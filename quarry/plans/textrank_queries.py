@@ -1,61 +1,27 @@
-"""Registered TextRank queries (R4, R5, D7).  The registered keys run 5
-iterations (the library default is 10) so the unrolled oracle stays small."""
+"""Registered TextRank queries."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from quarry.functions import text as tx
-from quarry.operators import textrank as tr
-from quarry.plans import evaluation
+from quarry.plans import prepared
 from quarry.plans.registry import register
 from quarry.session import scratch_path
 from quarry.sources import io
 
-KEY_ITERATIONS = 5
-
-
-def textrank_input(spark, sf):
-    corp, idx = evaluation.corpus_index(spark, sf)
-    docs = corp.select(F.col("mid").alias("doc_id"),
-                       tx.compose_textrank_input("subject", "body_clean").alias("text"))
-    return corp, docs, tr.stop_terms(idx)
-
-
-def summaries(spark, sf, iterations=KEY_ITERATIONS):
-    corp, docs, stops = textrank_input(spark, sf)
-    nodes, occ = tr.sentence_nodes(docs, stops)
-    s = tr.summarize(nodes, tr.sentence_rank(nodes, occ, iterations))
-    return corp.select(F.col("mid").alias("doc_id")).join(s, "doc_id", "left").select(
-        "doc_id", F.coalesce("summary", F.lit("")).alias("text_rank_query"))
-
-
-def keyword_ids(spark, sf, iterations=KEY_ITERATIONS):
-    corp, docs, stops = textrank_input(spark, sf)
-    k = tr.keywords(tr.keyword_rank(docs, stops, iterations=iterations))
-    return corp.select(F.col("mid").alias("doc_id")).join(k, "doc_id", "left").select(
-        "doc_id", F.coalesce("keywords", F.lit("")).alias("elaborative_description"))
-
 
 @register("textrank_summary")
 def q_textrank_summary(spark, sf):
-    return summaries(spark, sf)
+    return prepared.summaries(spark, sf)
 
 
 @register("textrank_keywords")
 def q_textrank_keywords(spark, sf):
-    return keyword_ids(spark, sf)
+    return prepared.keyword_ids(spark, sf)
 
 
 @register("prepare_corpus")
 def q_prepare_corpus(spark, sf):
     """Composed view, TextRank query and keyword docid written back
     (replace) and read from the new table."""
-    corp, _, _ = textrank_input(spark, sf)
-    out = (corp.select(F.col("mid").alias("doc_id"), "subject", "body_clean",
-                       tx.compose_subject_body("subject", "body_clean").alias("body_clean_and_subject"),
-                       tx.char_count(tx.clean_control("body_clean")).alias("clean_length_character"))
-           .join(summaries(spark, sf), "doc_id").join(keyword_ids(spark, sf), "doc_id"))
-    path = scratch_path(spark, "prepared")
-    io.write_replace(out, path)
+    path = scratch_path(spark, "prepared-copy")
+    io.write_replace(prepared.prepared(spark, sf), path)
     return spark.read.parquet(path)

@@ -14,7 +14,9 @@ SF_CHECK = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
+    import tempfile
     s = (SparkSession.builder.master("local[*]")
+         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-tests-"))
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC")

@@ -19,6 +19,26 @@ def test_shares_guard():
     split.check_shares(0.88, 0.05, 0.05)
 
 
+def test_all_rows_in_train(spark):
+    d = spark.range(20).withColumnRenamed("id", "doc_id")
+    for s in (split.split_exact(d, "doc_id", 42, 1.0, 0.0, 0.0), split.split_bucket(d, split.seeded_key(42, "doc_id"), 1.0, 0.0, 0.0)):
+        assert {r["split"] for r in s.collect()} == {"train"} and s.count() == 20
+
+
+def test_quota_fill_guards(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "docid string")
+    pref, pool, dev = ids("a", "b"), ids("a", "b", "c", "d", "e"), ids("d")
+    got = {r["docid"]: r["priority"] for r in split.quota_fill(pref, pool, "docid", 10, exclude=dev).collect()}
+    assert got == {"a": 0, "b": 0, "c": 1, "e": 1}
+    assert split.quota_fill(pref, pool, "docid", 10, allow_duplicates=True).count() == 7
+    assert split.quota_fill(pref, pool, "docid", 3).count() == 3
+
+
+def test_shards_of_inference(spark):
+    s = split.shard_contiguous(spark.range(10).withColumnRenamed("id", "doc_id"), "doc_id", 4)
+    assert [r["count"] for r in s.groupBy("shard").count().orderBy("shard").collect()] == [2, 2, 2, 4]
+
+
 def test_exact_split_disjoint_complete(spark):
     d = read_table(spark, SF_SMALL, "documents").select("doc_id")
     s = split.split_exact(d, "doc_id")

@@ -6,20 +6,42 @@ from conftest import SF_SMALL
 from quarry.plans.io_queries import result_rows
 from quarry.session import scratch_path
 from quarry.sources import io
-from quarry.streaming.results_sink import read_latest, start_results_upsert
+from quarry.streaming.results_sink import read_latest, start_results_upsert, versions
+
+
+def run_stream(spark, rows, table, checkpoint, src=None):
+    src = src or scratch_path(spark, "updates-src")
+    rows.repartition(7).write.mode("append").parquet(src)       # many small files, in an arbitrary order
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    start_results_upsert(stream, table, checkpoint).awaitTermination(300)
+    return src
+
+
+def same(got, want):
+    assert got.count() == want.count()
+    assert got.exceptAll(want.select(got.columns)).count() == 0
 
 
 def test_stream_upsert_matches_batch(spark):
     base, upd = result_rows(spark, SF_SMALL)
-    src = scratch_path(spark, "updates-src")
     rows = base.withColumn("seq", F.lit("")).unionByName(upd)
-    # result rows landing as many small files, in an arbitrary order
-    rows.repartition(7).write.mode("overwrite").parquet(src)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
     table = scratch_path(spark, "results-table")
-    q = start_results_upsert(stream, table, scratch_path(spark, "results-ckpt"))
-    q.awaitTermination(300)
-    got = read_latest(spark, table)
-    want = io.upsert(spark.createDataFrame([], io.RESULT_SCHEMA), rows)
-    assert got.count() == want.count()
-    assert got.exceptAll(want.select(got.columns)).count() == 0
+    run_stream(spark, rows, table, scratch_path(spark, "results-ckpt"))
+    same(read_latest(spark, table), io.upsert(spark.createDataFrame([], io.RESULT_SCHEMA), rows))
+
+
+def test_stream_keeps_the_sequence_type_over_epochs_and_restarts(spark):
+    """A bigint sequence (9 < 10), several epochs, a restart from the same
+    checkpoint and a stream from a new one."""
+    def rows(*seqs):
+        return spark.createDataFrame([("s", "n", "e", "v", float(q), 0.0, 0.0, 0.0, q) for q in seqs],
+                                     "system string, size string, experiment_type string, version string, "
+                                     "mrr_3 double, mrr_20 double, hits_1 double, hits_10 double, seq bigint")
+    table, checkpoint = scratch_path(spark, "results-table"), scratch_path(spark, "results-ckpt")
+    src = run_stream(spark, rows(9, 10, 2), table, checkpoint)
+    assert [r["mrr_3"] for r in read_latest(spark, table).collect()] == [10.0]
+    run_stream(spark, rows(11, 3), table, checkpoint, src)
+    assert [r["mrr_3"] for r in read_latest(spark, table).collect()] == [11.0]
+    run_stream(spark, rows(8), table, scratch_path(spark, "results-ckpt-2"))
+    assert [r["mrr_3"] for r in read_latest(spark, table).collect()] == [11.0]
+    assert len(versions(spark, table)) <= 2
