@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ship_package
+from quarry.llm.common import serve, ship_package
 
 MARK = "▁"
 CACHE_UNITS = 400_000
@@ -155,9 +155,14 @@ def _units(marked: str) -> Iterator[str]:
 
 
 @functools.lru_cache(1)
+def _counts(path: str) -> UnitCounts:
+    return UnitCounts(read_pieces(path))
+
+
 def worker_counts(path: str) -> UnitCounts:
     """One per Python worker; its units serve the worker's later tasks too."""
-    return UnitCounts(read_pieces(path))
+    serve("token counts", _counts.cache_clear)
+    return _counts(path)
 
 
 def token_counts(df: DataFrame, path: str, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:

@@ -4,6 +4,8 @@ that never leave the cluster."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import os
 import zipfile
@@ -41,6 +43,24 @@ def ship_package(spark: SparkSession) -> None:
     sc._quarry_shipped = sc.applicationId
 
 
+_SERVED: list = [None, None]
+
+
+def serve(operator: str, release=None) -> None:
+    """Called by an operator's tasks: a Python worker that served another
+    operator before releases what it cached for that one."""
+    name, drop = _SERVED
+    if name is not None and name != operator:
+        if drop is not None:
+            drop()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):       # another C library: nothing to trim
+            pass
+    _SERVED[:] = [operator, release]
+
+
 def order_id(col: str | Column) -> Column:
     """The id as a non-null sort key."""
     c = F.col(col) if isinstance(col, str) else col

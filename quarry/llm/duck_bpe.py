@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ship_package
+from quarry.llm.common import serve, ship_package
 from quarry.llm.pretokens import WordIds, chunks
 
 #: Bytes beyond which a word is contracted at all places of a pair at once.
@@ -163,9 +163,14 @@ class DuckBpe:
 
 
 @functools.lru_cache(1)
+def _bpe(path: str) -> DuckBpe:
+    return DuckBpe(path)
+
+
 def worker_bpe(path: str) -> DuckBpe:
     """One per Python worker: its words serve the worker's later tasks too."""
-    return DuckBpe(path)
+    serve("byte BPE", _bpe.cache_clear)
+    return _bpe(path)
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:

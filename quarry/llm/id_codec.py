@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bucket_of, id_cuts, order_id, ship_package
+from quarry.llm.common import bucket_of, id_cuts, order_id, serve, ship_package
 from quarry.llm.pretokens import WordIds, chunks
 from quarry.session import scratch_path
 
@@ -312,10 +312,16 @@ class Encoder:
 
 
 @functools.lru_cache(1)
-def worker_encoder(path: str) -> Encoder:
+def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def worker_encoder(path: str) -> Encoder:
+    """One per Python worker; its words serve the worker's later tasks too."""
+    serve("id files", _encoder.cache_clear)
+    return _encoder(path)
+
+
 def _segment(bucket, start, doc_ids, parts) -> pa.RecordBatch:
     ids = np.concatenate(parts)
     words, sums, payload = encode_blocks(ids)

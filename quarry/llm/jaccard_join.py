@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import connected_components, order_id, ship_package
-from quarry.llm.shingles import shingle_sets
+from quarry.llm.common import connected_components, order_id, serve, ship_package
+from quarry.llm.shingles import release, shingle_sets
 from quarry.session import written
 
 PAIRS_UP_TO = 64
@@ -65,6 +65,7 @@ def text_hash() -> Column:
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
+    serve("Jaccard join", release)
     return shingle_sets([t.encode() for t in batch.column("text").to_pylist()], size)
 
 

@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ship_package
+from quarry.llm.common import serve, ship_package
 
 HASH_BITS = 15
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Steepness of the loss over mean log ratios and of the score over losses.
 SHARPNESS, CONTRAST = 4.0, 6.0
 #: Two best scores closer than this make a document ambiguous.
@@ -91,6 +91,7 @@ def count_trigrams(train: DataFrame, lang_col: str, text_col: str) -> dict[str,
     ship_package(train.sparkSession)
 
     def count(batches):
+        serve("language ID")
         total: dict[str, np.ndarray] = {}
         for pdf in batches:
             for lang, part in pdf.groupby("lang"):
@@ -201,6 +202,7 @@ def identify(df: DataFrame, model: LanguageModel | None, text_col: str = "text")
 
         @F.arrow_udf(out)
         def predict(texts: pa.Array) -> pa.Array:
+            serve("language ID")
             m = shared.value
             at, score, near = m.predict([(t or "").encode() for t in texts.to_pylist()])
             return pa.StructArray.from_arrays([pa.array([m.languages[k] for k in at], pa.string()),

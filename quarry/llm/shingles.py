@@ -14,7 +14,7 @@ import functools
 
 import numpy as np
 
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 20
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _ORDER = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -39,6 +39,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
+def release() -> None:
+    _powers.cache_clear()
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word in order, index of each text's first word, with
     the end)."""
