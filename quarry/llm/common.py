@@ -61,6 +61,14 @@ def serve(operator: str, release=None) -> None:
     _SERVED[:] = [operator, release]
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in slices of a few rows, so that a task holds Python
+    copies of these only."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def order_id(col: str | Column) -> Column:
     """The id as a non-null sort key."""
     c = F.col(col) if isinstance(col, str) else col

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import serve, ship_package
+from quarry.llm.common import serve, ship_package, slices
 from quarry.llm.pretokens import WordIds, chunks
 
 #: Bytes beyond which a word is contracted at all places of a pair at once.
@@ -208,7 +208,7 @@ def round_trip(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(path)
-        for batch in batches:
+        for batch in slices(batches):
             at, doc_ids = 0, batch.column(0)
             for some in chunks(batch.column(1).to_pylist()):
                 ids, n = bpe.words.ids(some)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import connected_components, order_id, serve, ship_package
+from quarry.llm.common import connected_components, order_id, serve, ship_package, slices
 from quarry.llm.shingles import release, shingle_sets
 from quarry.session import written
 
@@ -81,7 +81,7 @@ def shingle_counts(docs: DataFrame, size: int, bits: int) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(1 << bits, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for s in _sets(batch, size):
                 np.add.at(total, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
         yield pa.RecordBatch.from_arrays([
@@ -112,7 +112,7 @@ def prefixes(docs: DataFrame, size: int, percent: int, counts: np.ndarray) -> Da
 
     def run(batches):
         table = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             keys, sizes, rare, common = [], [], [], []
             for s in _sets(batch, size):
                 n = len(s)
@@ -284,7 +284,7 @@ def exact_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, size:
     texts = _text_rows(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("k", "text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = _sets(batch, size)
             right = [i for i, (k, s) in enumerate(zip(batch.column("k").to_pylist(), sets)) if set_key(s) == k]
             yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(right, pa.int64())),

@@ -204,7 +204,11 @@ def identify(df: DataFrame, model: LanguageModel | None, text_col: str = "text")
         def predict(texts: pa.Array) -> pa.Array:
             serve("language ID")
             m = shared.value
-            at, score, near = m.predict([(t or "").encode() for t in texts.to_pylist()])
+            if not len(texts):
+                return pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())]))
+            parts = [m.predict([(t or "").encode() for t in texts.slice(k, 512).to_pylist()])
+                     for k in range(0, len(texts), 512)]
+            at, score, near = (np.concatenate(x) for x in zip(*parts))
             return pa.StructArray.from_arrays([pa.array([m.languages[k] for k in at], pa.string()),
                                                pa.array(score), pa.array(near)], ["lang_pred", "score", "ambiguous"])
 
