@@ -43,6 +43,8 @@ PAIRS_UP_TO = 64
 BLOCK_DOCS = 256
 BLOCK_SHINGLES = 1 << 20
 TOKENS_PER_TASK = 500_000
+#: Pairs that a task holds at once; their counts are added up by the next grouping.
+PAIRS_PER_STEP = 1 << 20
 #: Broadcast the list of candidate documents up to this many rows (16 bytes each).
 BROADCAST_ROWS = 1_000_000
 SLICE = 4096
@@ -165,32 +167,43 @@ def _overlaps(tokens: DataFrame, percent: int) -> DataFrame:
             none = pa.array([None] * len(stars), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(stars[:, 0]), pa.array(stars[:, 1]), none.cast(pa.int32()),
                                               none.cast(pa.int32()), none], ["a", "b", "na", "nb", "shared"])
-        # pairs of the others, by distance in the run of one shingle
-        left, right = [], []
-        small = np.flatnonzero((count > 1) & (count <= PAIRS_UP_TO))
-        for gap in range(1, PAIRS_UP_TO):
-            i = small[place[small] + gap < count[small]]
-            if not len(i):
-                break
-            j = i + gap
-            fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-            left.append(i[fits])
-            right.append(j[fits])
-        if left:
-            i, j = np.concatenate(left), np.concatenate(right)
-            order = np.lexsort((k[j], k[i]))
-            i, j = i[order], j[order]
-            if len(i):
-                new = np.flatnonzero(np.r_[True, (k[i[1:]] != k[i[:-1]]) | (k[j[1:]] != k[j[:-1]])])
-                sums = np.diff(np.r_[new, len(i)])
-                i, j = i[new], j[new]
-                yield pa.RecordBatch.from_arrays([pa.array(k[i]), pa.array(k[j]), pa.array(n[i].astype(np.int32)),
-                                                  pa.array(n[j].astype(np.int32)), pa.array(sums.astype(np.int64))],
-                                                 ["a", "b", "na", "nb", "shared"])
+        # pairs of the others: runs of whole shingles that give about PAIRS_PER_STEP
+        paired = np.where(count <= PAIRS_UP_TO, place, 0)
+        step = np.cumsum(paired)[head] // PAIRS_PER_STEP
+        some = np.flatnonzero((count > 1) & (count <= PAIRS_UP_TO))
+        for small in np.split(some, np.flatnonzero(np.diff(step[some])) + 1):
+            found = _pairs(small, place, count, k, n, percent)
+            if found is not None:
+                yield found
 
     return tokens.mapInArrow(run, schema)
 
 
+def _pairs(small: np.ndarray, place, count, k, n, percent: int) -> pa.RecordBatch | None:
+    """Overlap counts of the pairs among the entries ``small``, by distance
+    in the run of one shingle."""
+    left, right = [], []
+    for gap in range(1, PAIRS_UP_TO):
+        i = small[place[small] + gap < count[small]]
+        if not len(i):
+            break
+        j = i + gap
+        fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+        left.append(i[fits])
+        right.append(j[fits])
+    if not sum(map(len, left)):
+        return None
+    i, j = np.concatenate(left), np.concatenate(right)
+    order = np.lexsort((k[j], k[i]))
+    i, j = i[order], j[order]
+    new = np.flatnonzero(np.r_[True, (k[i[1:]] != k[i[:-1]]) | (k[j[1:]] != k[j[:-1]])])
+    sums = np.diff(np.r_[new, len(i)])
+    i, j = i[new], j[new]
+    return pa.RecordBatch.from_arrays([pa.array(k[i]), pa.array(k[j]), pa.array(n[i].astype(np.int32)),
+                                       pa.array(n[j].astype(np.int32)), pa.array(sums.astype(np.int64))],
+                                      ["a", "b", "na", "nb", "shared"])
+
+
 def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between classes that may link: pairs that keep to the
     bounds, and stars of frequent shingles."""

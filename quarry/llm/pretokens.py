@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pyarrow as pa
 
 LETTER, NUMBER, SPACE, OTHER, END = 1, 2, 3, 4, 0
 CHUNK = 1 << 20
@@ -23,7 +24,7 @@ def classes() -> np.ndarray:
     """Code point -> class, from the ``regex`` library's Unicode tables."""
     import regex
     out = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    every = np.r_[:0xD800, 0xE000:0x110000].astype("<u4").tobytes().decode("utf-32-le")
     for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
         for m in regex.finditer(pattern, every):
             a, b = (x + (0x800 if x >= 0xD800 else 0) for x in (m.start(), m.end() - 1))
@@ -125,18 +126,30 @@ class WordIds:
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, number of ids of each text)."""
-        data, begin, end, per_text = split(texts)
-        words = [data[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+        data, begin, _, per_text = split(texts)
+        words, which = distinct(data, begin)
         if len(self.at) > self.limit:
             self._empty()
-        get = self.at.get
-        at = [get(w) for w in words]
-        if None in at:
-            self._add(list(dict.fromkeys(w for w, k in zip(words, at) if k is None)))
-            at = [self.at[w] for w in words]
-        at = np.array(at, np.int64)
+        new = [w for w in words if w not in self.at]
+        if new:
+            self._add(new)
+        at = np.fromiter((self.at[w] for w in words), np.int64, len(words))[which]
         n = self.count[at]
         total = np.concatenate([[0], np.cumsum(n)])
         ids = self.pool[np.repeat(self.first[at] - total[:-1], n) + np.arange(total[-1])]
         word_stop = np.concatenate([[0], np.cumsum(per_text)])
         return ids, np.diff(total[word_stop])
+
+
+def distinct(data: bytes, begin: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct tokens of ``data``, cut at ``begin``, and for each token
+    which of them it is."""
+    ends = pa.py_buffer(np.append(begin, len(data)))
+    tokens = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, ends, pa.py_buffer(data)]).dictionary_encode()
+    return tokens.dictionary.to_pylist(), tokens.indices.to_numpy()
+
+
+def parts(values: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Consecutive parts of ``values`` of the given sizes."""
+    ends = np.cumsum(sizes).tolist()
+    return [values[a:b] for a, b in zip([0, *ends], ends)]

@@ -67,6 +67,17 @@ def test_word_cache_is_emptied_without_effect(tiktoken_ids):
         assert bpe.words.ids([t or ""])[0].tolist() == tiktoken_ids(t or "")
 
 
+def test_long_words_and_long_texts_take_several_queries(tiktoken_ids, monkeypatch):
+    rng = np.random.default_rng(5)
+    word = "".join(rng.choice(list("etaoinshr"), 6_000))
+    text = " ".join(["x" * 5_000, word, word[:47], word[:49], "the end"] * 3)
+    bpe = duck_bpe.DuckBpe(RANKS)
+    monkeypatch.setattr(duck_bpe, "TOKENS_PER_QUERY", 1_000)
+    ids = bpe.words.ids(["", text, "a"])[0]
+    assert ids.tolist() == tiktoken_ids(text) + tiktoken_ids("a")
+    assert bpe.decode([ids[:0], ids[:-1], ids[-1:], ids[:0]]) == [b"", text.encode(), b"a", b""] and bpe.decode([]) == []
+
+
 def test_counts_equal_sentencepiece(spark):
     import sentencepiece
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
