@@ -11,6 +11,7 @@ import os
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,9 @@ from quarry.session import cut_lineage
 #: A null id takes this place in every order (after all others, descending).
 NULL_ID = -(1 << 63)
 MAX_BUCKETS = 1 << 16
+BATCH_ROWS = 1_000
+TRIM_BYTES = 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per
     application, so that functions named in a task can be imported there."""
+    small_batches(spark)
     sc = spark.sparkContext
     if getattr(sc, "_quarry_shipped", None) == sc.applicationId:
         return
@@ -54,19 +59,39 @@ def serve(operator: str, release=None) -> None:
         if drop is not None:
             drop()
         gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):       # another C library: nothing to trim
-            pass
+        trim()
     _SERVED[:] = [operator, release]
 
 
+def trim() -> None:
+    """Give memory that Python and Arrow have freed back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):       # another C library: nothing to trim
+        pass
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts hold ``BATCH_ROWS`` rows, unless the
+    session sets another number: several batches of 10,000 long texts for
+    every task, in the JVM and in Python, are most of an executor's memory."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def slices(batches, rows: int = 512):
     """Arrow batches in slices of a few rows, so that a task holds Python
-    copies of these only."""
+    copies of these only; freed memory goes back after every ``TRIM_BYTES``."""
+    size = 0
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        size += batch.nbytes
+        if size > TRIM_BYTES:
+            size = 0
+            del batch
+            trim()
 
 
 def order_id(col: str | Column) -> Column:

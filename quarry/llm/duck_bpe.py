@@ -33,7 +33,7 @@ from quarry.llm.pretokens import WordIds, chunks, parts
 
 #: Bytes beyond which a word is contracted at all places of a pair at once.
 LONG = 48
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 WORDS_PER_QUERY = 8_000
 TOKENS_PER_QUERY = 1 << 18
 #: Steps of a recursive query, all of whose rows DuckDB keeps; words not ended go into another query.
