@@ -34,6 +34,7 @@ from quarry.llm.pretokens import WordIds, chunks, parts
 #: Bytes beyond which a word is contracted at all places of a pair at once.
 LONG = 48
 WORDS_KEPT = 250_000
+CHUNK = 1 << 18
 WORDS_PER_QUERY = 8_000
 TOKENS_PER_QUERY = 1 << 18
 #: Steps of a recursive query, all of whose rows DuckDB keeps; words not ended go into another query.
@@ -198,7 +199,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out_col: str = "ids
     def ids_of(texts):
         import pandas as pd
         bpe, found = worker_bpe(path), []
-        for run in chunks(texts.fillna("").tolist()):
+        for run in chunks(texts.fillna("").tolist(), CHUNK):
             ids, n = bpe.words.ids(run)
             found += parts(ids.astype(np.int32), n)
         return pd.Series(found)
@@ -226,7 +227,7 @@ def round_trip(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         bpe = worker_bpe(path)
         for batch in slices(batches):
             at, doc_ids = 0, batch.column(0)
-            for some in chunks(batch.column(1).to_pylist()):
+            for some in chunks(batch.column(1).to_pylist(), CHUNK):
                 ids, n = bpe.words.ids(some)
                 lists = parts(ids.astype("<u4"), n)
                 texts = bpe.decode(lists)
