@@ -8,6 +8,11 @@ the margin that the bit has for that language in training and takes the
 codeword of least loss; when the two best are close the document is flagged
 ambiguous.
 
+Each language is smoothed on its own, and margins are scaled by the mean margin
+of the training trigrams.  A language counts in a bit's class distributions, and
+its own margins in its bit weights, only as far as its counts outweigh what the
+smoothing adds, so a rare or stray label does not decide on the others.
+
 Training counts trigrams over all training rows, in tasks: only one count
 vector per language reaches the driver (``1 << HASH_BITS`` numbers each).
 Whole texts are read, in pieces of ``PIECE`` bytes.  Null texts and texts
@@ -34,8 +39,10 @@ from quarry.llm.common import serve, ship_package
 
 HASH_BITS = 15
 PIECE = 1 << 19
-#: Steepness of the loss over mean log ratios and of the score over losses.
-SHARPNESS, CONTRAST = 4.0, 6.0
+#: Steepness of the loss over scaled margins and of the score over losses.
+SHARPNESS, CONTRAST = 10.0, 6.0
+#: Added to every trigram count of a language.
+SMOOTHING = 0.5
 #: Two best scores closer than this make a document ambiguous.
 AMBIGUOUS_GAP = 0.2
 MAX_WEIGHT = 4.0
@@ -142,7 +149,7 @@ class LanguageModel:
     languages: list[str]
     code: np.ndarray            # language x bit, +1 or -1
     bit_weight: np.ndarray      # language x bit, rows sum to 1
-    weights: np.ndarray         # trigram x bit
+    weights: np.ndarray         # trigram x bit, over the mean margin in training
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
         sums, n = np.zeros((len(texts), self.code.shape[1])), np.zeros(len(texts))
@@ -178,15 +185,21 @@ def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Lan
         return None
     languages = sorted(counts)
     c = np.stack([counts[x] for x in languages]).astype(float)
-    p = c / c.sum(1, keepdims=True)
-    floor = 2.0 / c.sum(1).min() + 1e-7
     code = codewords(len(languages))
-    weights = np.empty((c.shape[1], code.shape[1]), np.float32)
+    if len(languages) == 1:
+        return LanguageModel(languages, code, np.ones((1, 0)), np.zeros((c.shape[1], 0), np.float32))
+    total = c.sum(1, keepdims=True)
+    p = (c + SMOOTHING) / (total + SMOOTHING * c.shape[1])
+    known = total / (total + SMOOTHING * c.shape[1])
+    weights = np.empty((c.shape[1], code.shape[1]))
     for b in range(code.shape[1]):
-        one = code[:, b] > 0
-        weights[:, b] = np.clip(np.log((p[one].mean(0) + floor) / (p[~one].mean(0) + floor)), -MAX_WEIGHT, MAX_WEIGHT)
-    expected = np.maximum((p @ weights) * code, 1e-3)
-    return LanguageModel(languages, code, expected / np.maximum(expected.sum(1, keepdims=True), 1e-9), weights)
+        one, zero = (np.average(p[side], axis=0, weights=known[side, 0]) for side in (code[:, b] > 0, code[:, b] < 0))
+        weights[:, b] = np.clip(np.log(one / zero), -MAX_WEIGHT, MAX_WEIGHT)
+    expected = np.maximum((c / total @ weights) * code, 1e-3)
+    usual = (expected * total).sum(0) / total.sum()
+    bit_weight = known * expected + (1 - known) * usual
+    return LanguageModel(languages, code, bit_weight / bit_weight.sum(1, keepdims=True),
+                         (weights / usual.mean()).astype(np.float32))
 
 
 def identify(df: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:

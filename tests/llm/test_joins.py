@@ -209,6 +209,18 @@ def test_language_id_with_few_languages(spark):
     assert {r.lang_pred for r in langid.identify(docs, None).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("stray", [["Dobrý den"], ["Dobrý den, jak se máte?", "la", "日本語"], ["copy"]])
+def test_rare_labels_leave_the_others_alone(spark, stray):
+    rows = language_rows()
+    texts = [rows[1][1] if t == "copy" else t for t in stray]     # a wrong label on a text of another language
+    docs = frame(spark, rows)
+    learn = frame(spark, rows + [(900 + k, t, f"x{k}", "s") for k, t in enumerate(texts)])
+    want = {i: ["en", "fr", "de", "es"][i % 4] for i in range(600)}
+    out = langid.identify(docs, langid.fit(learn.select("lang", "text"))).collect()
+    assert sum(r.ambiguous for r in out) <= 3
+    assert np.mean([r.lang_pred == want[r.doc_id] for r in out]) > 0.99
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 5, 9, 40])
 def test_codewords(n):
     code = langid.codewords(n)
