@@ -1,9 +1,11 @@
 """Secret scans: candidates by shape, false positives removed by a random
 forest that is trained from labelled findings.
 
-A candidate is a word with a digit whose value (what follows a leading name
-with = or :, without signs around it) has at least ``LEAST_LENGTH`` characters.
-Its key is the name before the sign, or before a lone = or :.  Features: its
+A candidate is a word whose value (what follows a leading name with = or :,
+without signs around it) has a digit and at least ``LEAST_LENGTH`` characters,
+or has the shape of a known key, or whose key names a secret, whatever the
+value's length and digits.  The key is the name before the sign, or before a
+lone = or :.  Features: its
 length, the shares of character classes, the transitions between classes,
 distinct characters, how much of it words of the dictionary cover, the path,
 and the neighbouring words.  The dictionary is the ``DICTIONARY`` most
@@ -18,6 +20,10 @@ Null and empty texts have no finding.  Texts of any length are scanned whole.
 Null paths count as ''.  Without labelled findings nothing is a secret; with
 labels of one kind only, every candidate gets that label.  Repeated rows give
 equal findings; columns that clash with the results are replaced.
+
+Masking replaces a secret everywhere in its text; one of under ``LEAST_LENGTH``
+characters only where it is the whole value of a word, and, if it has only
+letters, where it was found, as it may be a common word elsewhere.
 """
 
 from __future__ import annotations
@@ -38,12 +44,20 @@ THRESHOLD = 0.5
 MASK = "[SECRET]"
 
 # fixed values: names and words that speak for or against a secret
-SECRET_WORDS = r"(?i)(passw|passwd|pwd|secret|token|api_?key|apikey|access_?key|private|credential|auth)"
+SECRET_WORDS = (r"(?i)(passw|passwd|pwd|secret(?!ar)|token(?!i[sz])|api_?key|apikey|access_?key|private|credential"
+                r"|auth(?!or(?!i[sz])))")
 PLAIN_WORDS = r"(?i)(example|sample|test|dummy|mail|phone|call|tel|sha|hash|checksum|commit|uuid|version|isbn|ip|address|card)"
 # fixed values: shapes that settle a label without a model
 KNOWN_SECRET = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[0-9A-Za-z]{36}$|^xox[abprs]-[0-9A-Za-z-]{10,}$|^sk_live_[0-9A-Za-z]{16,}$"
 KNOWN_PLAIN = (r"^[^@\s]+@[^@\s]+\.[A-Za-z]+$|^[0-9]{1,3}(\.[0-9]{1,3}){3}$|^[-+0-9().,/]+$|^[a-z]+://"
                r"|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^v?[0-9]+(\.[0-9]+)+")
+# fixed values: what stands after a secret's name in prose and code without being one
+PLAIN_VALUE = (r"(?i)^(null|none|nil|undefined|true|false|yes|no|not|string|str|int|bool|boolean|bytes|void|required|optional"
+               r"|the|an?|is|are|was|and|or|of|for|to|in|on|by|if|it|we|you|with|from|this|that|see|your|my|new|self|await)$"
+               r"|^[A-Za-z_][0-9A-Za-z_]*(\.[A-Za-z_][0-9A-Za-z_]*)*[(\[]")
+# a word that may hold the shape of a known key, a name with its sign, a text that may hold either
+KEY_STARTS = r"(AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_|xox[abprs]-|sk_live_"
+NAME = r"(?s)^(?:[A-Za-z_][A-Za-z0-9_.-]*[=:]+)?"
 FEATURES = ["length", "digits", "uppers", "lowers", "others", "transitions", "distinct", "hex", "longest_run",
             "covered", "named", "near_secret", "near_plain", "path_depth", "path_test"]
 
@@ -53,14 +67,28 @@ def _bound(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def value_in(word: Column) -> Column:
+    """What follows a leading name with = or :, without signs around it."""
+    return F.regexp_replace(F.regexp_extract(word, NAME + "(.*)$", 1), r"^[^0-9A-Za-z+/_]+|[^0-9A-Za-z+/=_]+$", "")
+
+
+def long_with_digit(value: Column) -> Column:
+    return (F.length(value) >= LEAST_LENGTH) & value.rlike("[0-9]")
+
+
 def candidates(text: Column, path: Column) -> Column:
     """array<struct<word_no, value, key, before, after, path>> of a text."""
     def at(words, i, k):
         return F.coalesce(F.get(words, i + k), F.lit(""))
 
+    def may_be(words, i):
+        word, last = F.get(words, i), at(words, i, -1)
+        named = (word.rlike("[=:]") & word.rlike(SECRET_WORDS)) | (last.rlike("[=:]$") & (
+            last.rlike(SECRET_WORDS) | (last.rlike("^[=:]+$") & at(words, i, -2).rlike(SECRET_WORDS))))
+        return long_with_digit(word) | word.rlike(KEY_STARTS) | named
+
     def within(words):
-        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (F.length(F.get(words, i)) >= LEAST_LENGTH)
-                          & F.get(words, i).rlike("[0-9]"))
+        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: may_be(words, i))
         raw = F.transform(places, lambda i: F.struct(
             i.alias("word_no"), F.get(words, i).alias("word"),
             F.concat_ws(" ", *[at(words, i, -k) for k in range(NEIGHBOURS, 0, -1)]).alias("before"),
@@ -68,15 +96,17 @@ def candidates(text: Column, path: Column) -> Column:
             F.when(at(words, i, -1).rlike("^[=:]+$"), at(words, i, -2)).otherwise(
                 F.when(at(words, i, -1).rlike("[=:]$"), at(words, i, -1)).otherwise(F.lit(""))).alias("name")))
         cut = F.transform(raw, lambda c: F.struct(
-            c["word_no"].alias("word_no"),
-            F.regexp_replace(F.regexp_extract(c["word"], r"^(?:[A-Za-z_][A-Za-z0-9_.-]*[=:]+)?(.*)$", 1),
-                             r"^[^0-9A-Za-z+/_]+|[^0-9A-Za-z+/=_]+$", "").alias("value"),
+            c["word_no"].alias("word_no"), value_in(c["word"]).alias("value"),
             F.concat(F.regexp_extract(c["word"], r"^([A-Za-z_][A-Za-z0-9_.-]*)[=:]+", 1), c["name"]).alias("key"),
-            c["before"].alias("before"), c["after"].alias("after"), F.coalesce(path, F.lit("")).alias("path")))
-        return F.filter(cut, lambda c: (F.length(c["value"]) >= LEAST_LENGTH) & c["value"].rlike("[0-9]"))
+            c["before"].alias("before"), c["after"].alias("after"), F.coalesce(path, F.lit("")).alias("path"),
+            F.contains(c["word"], F.lit(MASK)).alias("masked")))
+        kept = F.filter(cut, lambda c: long_with_digit(c["value"]) | c["value"].rlike(KNOWN_SECRET) | (
+            c["key"].rlike(SECRET_WORDS) & (c["value"] != "") & ~c["masked"]))
+        return F.transform(kept, lambda c: F.struct(*[c[x].alias(x) for x in ("word_no", "value", "key", "before", "after", "path")]))
 
-    # the digit test keeps texts without a candidate from being cut into words
-    return F.when(text.rlike("[0-9]"), _bound(F.split(text, r"\s+"), within))
+    # the test of the whole text keeps texts without a candidate from being cut into words
+    some = text.rlike("[0-9]") | text.rlike(SECRET_WORDS) | text.rlike(KEY_STARTS)
+    return F.when(some, _bound(F.split(text, r"\s+"), within))
 
 
 def features(c: Column, words: Column) -> Column:
@@ -117,8 +147,10 @@ def frequent_words(found: DataFrame, size: int = DICTIONARY) -> list[str]:
 def known_labels(found: DataFrame) -> DataFrame:
     """Labelled findings among the candidates: 1 where the shape or the key
     settles that it is a secret, 0 where the shape settles that it is none."""
-    secret = F.col("c.value").rlike(KNOWN_SECRET) | (F.col("c.key").rlike(SECRET_WORDS) & ~F.col("c.value").rlike(KNOWN_PLAIN))
-    return found.withColumn("label", F.when(secret, 1.0).when(F.col("c.value").rlike(KNOWN_PLAIN), 0.0)) \
+    value, key = F.col("c.value"), F.col("c.key")
+    plain = value.rlike(KNOWN_PLAIN) | (~long_with_digit(value) & value.rlike(PLAIN_VALUE))
+    secret = value.rlike(KNOWN_SECRET) | (key.rlike(SECRET_WORDS) & ~plain)
+    return found.withColumn("label", F.when(secret, 1.0).when(plain, 0.0)) \
         .where("label IS NOT NULL").select("c", "label")
 
 
@@ -195,12 +227,32 @@ def redact(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: st
            threshold: float = THRESHOLD) -> DataFrame:
     """The table with every secret in ``text_col`` replaced by ``MASK``; texts
     without one stay as they are, null stays null."""
-    secret = F.array_distinct(F.transform(F.filter(F.col("findings"), lambda x: x["score"] >= threshold), lambda x: x["value"]))
-    longest = F.sort_array(F.transform(secret, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v"))))
-    clean = F.aggregate(longest, F.col(text_col), lambda t, s: F.replace(t, s["v"], F.lit(MASK)))
+    secret = F.filter(F.col("findings"), lambda x: x["score"] >= threshold)
+    short = F.filter(secret, lambda x: F.length(x["value"]) < LEAST_LENGTH)
+    text = F.when(F.size(short) > 0, _masked_words(F.col(text_col), short)).otherwise(F.col(text_col))
+    wide = F.filter(F.array_distinct(F.transform(secret, lambda x: x["value"])), lambda v: F.length(v) >= LEAST_LENGTH)
+    longest = F.sort_array(F.transform(wide, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v"))))
+    clean = F.aggregate(longest, text, lambda t, s: F.replace(t, s["v"], F.lit(MASK)))
     return scan(docs, forest, text_col, path_col).withColumn(text_col, clean).drop("findings")
 
 
+def _masked_words(text: Column, found: Column) -> Column:
+    """The text with the values of ``found`` masked in their words, and those
+    with more than letters in every word of that value; white space stays."""
+    places = F.transform(found, lambda x: x["word_no"])
+    values = F.filter(F.transform(found, lambda x: x["value"]), lambda v: v.rlike("[^A-Za-z]"))
+
+    def masked(word, i):
+        value, name = value_in(word), F.regexp_extract(word, NAME, 0)
+        rest = F.substr(word, F.length(name) + 1)
+        hit = F.array_contains(places, i) | F.array_contains(values, value)
+        return F.when(hit, F.concat(name, F.replace(rest, value, F.lit(MASK)))).otherwise(word)
+
+    gaps = F.regexp_extract_all(text, F.lit(r"\s+"), F.lit(0))
+    return F.array_join(F.transform(F.split(text, r"\s+"), lambda w, i: F.concat(
+        masked(w, i), F.coalesce(F.get(gaps, i), F.lit("")))), "")
+
+
 def findings(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, word_no, length, value_sha256, score, secret): every candidate of the table."""
     forest = train_on(docs, labelled)
