@@ -18,7 +18,9 @@ carry place and length and a hash of the value, never the value.
 
 Null and empty texts have no finding.  Texts of any length are scanned whole.
 Null paths count as ''.  Without labelled findings nothing is a secret; with
-labels of one kind only, every candidate gets that label.  Repeated rows give
+given labels of one kind only, every candidate gets that label; where the
+table's own settled findings are of one kind, the settling rules decide and
+unsettled candidates are no secrets.  Repeated rows give
 equal findings; columns that clash with the results are replaced.
 
 Masking replaces a secret everywhere in its text; one of under ``LEAST_LENGTH``
@@ -147,24 +149,31 @@ def frequent_words(found: DataFrame, size: int = DICTIONARY) -> list[str]:
 def known_labels(found: DataFrame) -> DataFrame:
     """Labelled findings among the candidates: 1 where the shape or the key
     settles that it is a secret, 0 where the shape settles that it is none."""
-    value, key = F.col("c.value"), F.col("c.key")
+    return found.withColumn("label", settled(F.col("c"))).where("label IS NOT NULL").select("c", "label")
+
+
+def settled(c: Column) -> Column:
+    """The label of a candidate that its shape or key settles, else null."""
+    value, key = c["value"], c["key"]
     plain = value.rlike(KNOWN_PLAIN) | (~long_with_digit(value) & value.rlike(PLAIN_VALUE))
     secret = value.rlike(KNOWN_SECRET) | (key.rlike(SECRET_WORDS) & ~plain)
-    return found.withColumn("label", F.when(secret, 1.0).when(plain, 0.0)) \
-        .where("label IS NOT NULL").select("c", "label")
+    return F.when(secret, 1.0).when(plain, 0.0)
 
 
 class Forest:
-    """Trees as CASE expressions over the features, the dictionary beside."""
+    """Trees as CASE expressions over the features, the dictionary beside.
+    Without trees a constant, or for None the label that the rules settle."""
 
-    def __init__(self, words: list[str], trees: list, constant: float = 0.0):
+    def __init__(self, words: list[str], trees: list, constant: float | None = 0.0):
         self.words, self.trees, self.constant = words, trees, constant
 
     def dictionary(self) -> Column:
         return F.split(F.lit(" ".join(self.words)), " ")
 
-    def score(self, f: Column) -> Column:
-        """Share of the trees that call a candidate a secret."""
+    def score(self, f: Column, c: Column) -> Column:
+        """Share of the trees that call candidate c with features f a secret."""
+        if not self.trees and self.constant is None:
+            return F.coalesce(settled(c), F.lit(0.0))
         if not self.trees:
             return F.lit(float(self.constant))
 
@@ -209,7 +218,10 @@ def train_on(docs: DataFrame, labelled: DataFrame | None = None, **columns: str)
     """The forest for a table: from given labelled findings, else from the
     table's candidates whose label their shape or key settles."""
     found = found_in(docs, **columns)
-    return train(labelled if labelled is not None else known_labels(found), frequent_words(found))
+    if labelled is not None:
+        return train(labelled, frequent_words(found))
+    forest = train(known_labels(found), frequent_words(found))
+    return forest if forest.trees else Forest(forest.words, [], None)
 
 
 def scan(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str = "source") -> DataFrame:
@@ -217,8 +229,8 @@ def scan(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str
     words = forest.dictionary()
     scored = F.transform(
         F.transform(candidates(F.col(text_col), F.col(path_col)),
-                    lambda c: F.struct(c["word_no"].alias("word_no"), c["value"].alias("value"), features(c, words).alias("f"))),
-        lambda c: F.struct(c["word_no"].alias("word_no"), c["value"].alias("value"), forest.score(c["f"]).alias("score")))
+                    lambda c: F.struct(c["word_no"].alias("word_no"), c["value"].alias("value"), c["key"].alias("key"), features(c, words).alias("f"))),
+        lambda c: F.struct(c["word_no"].alias("word_no"), c["value"].alias("value"), forest.score(c["f"], c).alias("score")))
     empty = F.array().cast("array<struct<word_no:int,value:string,score:double>>")
     return docs.withColumn("findings", F.coalesce(scored, empty))
 
@@ -257,6 +269,6 @@ def findings(docs: DataFrame, labelled: DataFrame | None = None, threshold: floa
     """(doc_id, word_no, length, value_sha256, score, secret): every candidate of the table."""
     forest = train_on(docs, labelled)
     f = found_in(docs).withColumn("f", features(F.col("c"), forest.dictionary()))
-    score = F.round(forest.score(F.col("f")), 6)
+    score = F.round(forest.score(F.col("f"), F.col("c")), 6)
     return f.select("doc_id", F.col("c.word_no").alias("word_no"), F.length("c.value").cast("bigint").alias("length"),
                     F.sha2("c.value", 256).alias("value_sha256"), score.alias("score"), (score >= threshold).alias("secret"))

@@ -233,3 +233,10 @@ def test_short_secrets_and_known_keys_are_candidates(spark):
     assert text[1005] == f"password={m}" and text[1006] == f"token={m}" and text[1007] == f"pwd={m}\u0085"
     assert all(text[i] == t for i, t, *_ in rows if i < 500 or i >= 2000)
     assert {r.doc_id: r.text for r in secrets_scan.redact(once, forest).collect()} == text
+
+
+def test_settled_labels_of_one_kind_leave_other_candidates_alone(spark):
+    rows = [(1, "token = 0641917ea4e9feb9cda83477b57a", "en", "a"), (2, "checksum 9f86d081884c7d659a2feaa0c55a of https://a.example/x123456", "en", "a")]
+    docs = frame(spark, rows)
+    text = {r.doc_id: r.text for r in secrets_scan.redact(docs, secrets_scan.train_on(docs)).collect()}
+    assert text == {1: f"token = {secrets_scan.MASK}", 2: rows[1][1]}
