@@ -1,7 +1,8 @@
 """Corpus pipeline: documents through five operators of ``quarry.llm``.
 
 1. language ID: texts without a letter and texts whose language is ambiguous
-   go; a missing ``lang`` is filled in.
+   go; a missing ``lang`` is filled in.  Where no row has both a language and
+   a text with letters, every text with a letter stays, its ``lang`` as it is.
 2. n-gram Jaccard join, five words, 0.8: one document of each group stays.
 3. secret scans: secrets in the text are masked; no document goes.
 4. mixing sources to target weights: each document as often as the mix takes it.
@@ -25,6 +26,8 @@ from quarry.session import written
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.select("lang", "text"))
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = langid.identify(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous"))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 

@@ -1,0 +1,16 @@
+"""Stages of the corpus pipeline on odd rows against plain Python."""
+
+from collections import Counter
+
+import corpus_pipeline
+from tests.llm.llm_fixtures import frame, odd_rows
+
+
+def test_language_id_without_any_label_keeps_texts_with_letters(spark):
+    rows = [(i, t, None, s) for i, t, _, s in odd_rows(seed=8)] + [(4000, None, "en", "a"), (4001, "12 ??", "fr", "a")]
+    docs = frame(spark, rows)
+    out = corpus_pipeline.language_id(spark, docs, "")
+    assert out.columns == docs.columns
+    want = Counter((i, t, None, s) for i, t, _, s in rows if any(c.isalpha() for c in t or ""))
+    assert Counter((r.doc_id, r.text, r.lang, r.source) for r in out.collect()) == want
+    assert corpus_pipeline.language_id(spark, docs.limit(0), "").count() == 0
