@@ -7,7 +7,7 @@ kept, and in each a vector also visits the buckets next in likelihood
 (multiprobe: the second coordinate in the hash of smallest gap).  Vectors
 that meet in a bucket, one of them at home there, are compared by cosine in
 double precision, so every link is verified; only the recall is a matter of
-chance (over 0.99 at cosine 0.9 with the defaults, see the tests).
+chance (a trial of pairs at cosine 0.9 sets the number of tables).
 
 Equal vectors form a class with its number of members and are hashed once.  A
 bucket of more than ``BLOCK`` classes is cut into blocks, every pair of
@@ -23,6 +23,7 @@ own.  Labels and other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
@@ -39,17 +40,38 @@ BLOCK = 1024
 ROWS_PER_TASK = 40_000
 PAIRS_AT_ONCE = 100_000
 PROBES = 2
-#: Chance (measured, at cosine 0.9) that one hash of a table agrees.
-AGREE = 0.65
 MISSED = 0.004
+#: No higher chance than this (to the power of the hashes) is taken from the trial.
+AGREE = 0.65
+#: Random pairs at cosine 0.9, and tables, of the trial that sets the number of tables.
+TRIAL_PAIRS, TRIAL_TABLES = 200, 24
 
 
-def plan(n: int, dim: int) -> tuple[int, int]:
+def plan(n: int, dim: int, probes: int = PROBES) -> tuple[int, int]:
     """(hashes per table, tables): about as many buckets as a few vectors
     each, and tables enough to miss a share of ``MISSED`` at cosine 0.9."""
     side = 2 << max(0, (dim - 1).bit_length())
     functions = max(1, math.ceil(math.log(max(2, n / 8)) / math.log(side)))
-    return functions, math.ceil(math.log(MISSED) / math.log(1 - AGREE ** functions))
+    return functions, max(1, math.ceil(math.log(MISSED) / math.log(1 - meeting_chance(functions, dim, probes))))
+
+
+@functools.lru_cache(maxsize=64)
+def meeting_chance(functions: int, dim: int, probes: int = PROBES) -> float:
+    """Chance that two vectors at cosine 0.9 meet in a table, from a seeded
+    trial of random pairs, less two standard errors (0.01 at least)."""
+    rng = np.random.default_rng([7, functions, dim])
+    a = rng.normal(size=(TRIAL_PAIRS, dim))
+    a /= np.sqrt((a * a).sum(1, keepdims=True))
+    b = rng.normal(size=a.shape)
+    if dim > 1:
+        b -= (a * b).sum(1, keepdims=True) * a
+        b = 0.9 * a + math.sqrt(0.19) * b / np.sqrt((b * b).sum(1, keepdims=True))
+    else:
+        b = a
+    sa, sb = (signatures(x, functions, TRIAL_TABLES, probes, seed=9) for x in (a, b))
+    met = ((sa[:, :, :1] == sb) | (sb[:, :, :1] == sa)).any(2)
+    error = max(met.mean(0).std() / math.sqrt(TRIAL_TABLES), met.mean(1).std() / math.sqrt(TRIAL_PAIRS))
+    return float(max(0.01, min(met.mean() - 2 * error, AGREE ** functions)))
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -184,7 +206,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     classes = written(base.where("k IS NOT NULL").groupBy("k").agg(
         F.first("vec").alias("vec"), F.count("*").alias("members"), F.min("id").alias("least")), "polytope-classes")
     n, width = classes.agg(F.count("*"), F.coalesce(F.max(F.length("vec")), F.lit(4))).first()
-    functions, tables = plan(n, width // 4)
+    functions, tables = plan(n, width // 4, probes)
 
     def sign(batches):
         for batch in batches:

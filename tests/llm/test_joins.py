@@ -142,6 +142,18 @@ def test_recall_at_the_threshold(n):
     assert met.mean() >= 0.99
 
 
+@pytest.mark.parametrize("n,dim", [(30_000_000, 64), (30_000_000, 384), (100_000, 1024), (30_000_000, 1024)])
+def test_recall_of_long_vectors_and_many_hashes(n, dim):
+    rng = np.random.default_rng(21)
+    a, b = rng.normal(size=(2, 400, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(0.19) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    functions, tables = cross_polytope.plan(n, dim)
+    sa, sb = (cross_polytope.signatures(x, functions, tables) for x in (a, b))
+    assert ((sa[:, :, :1] == sb) | (sb[:, :, :1] == sa)).any((1, 2)).mean() > 0.98
+
+
 def test_hadamard_is_a_rotation():
     x = np.random.default_rng(0).normal(size=(5, 32))
     y = cross_polytope.hadamard(x)
