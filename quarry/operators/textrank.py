@@ -31,21 +31,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
+from quarry.functions.stopwords import stop_words
 from quarry.session import cut_lineage, materialize
 
 DAMPING = 0.85
 ITERATIONS = 10
 SUMMARY_WORDS = 15
 KEYWORDS = 8
-# documents' language codes and the names of their stop lists.
-STOP_LISTS = {"en": "english", "fr": "french", "de": "german", "es": "spanish"}
 
 
 def stop_terms(spark: SparkSession) -> DataFrame:
     """(lang, term): the stop lists, under a thousand rows."""
-    from pyspark.ml.feature import StopWordsRemover
-    rows = sorted({(lang, w) for lang, name in STOP_LISTS.items() for w in StopWordsRemover.loadDefaultStopWords(name)})
-    return spark.createDataFrame(rows, "lang string, term string")
+    return spark.createDataFrame(stop_words(), "lang string, term string")
 
 
 def sentence_nodes(docs: DataFrame, stops: DataFrame, id_col: str = "doc_id",

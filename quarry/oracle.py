@@ -9,12 +9,8 @@ Literals are typed DOUBLE so DuckDB does not switch to DECIMAL math.
 from __future__ import annotations
 
 import functools
-import zipfile
-from pathlib import Path
 
-import pyspark
-
-from quarry.operators.textrank import STOP_LISTS
+from quarry.functions.stopwords import stop_words
 
 TOKEN = r"'[\p{L}\p{N}]+'"
 SENT = r"'[^.!?\n]+[.!?]*'"
@@ -27,13 +23,8 @@ def toks(x: str) -> str:
 
 @functools.lru_cache(1)
 def stop_rows() -> str:
-    """SQL rows (lang, term): the stop lists as Spark ML ships them."""
-    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
-    rows = set()
-    with zipfile.ZipFile(jar) as z:
-        for lang, name in STOP_LISTS.items():
-            text = z.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt").decode()
-            rows |= {(lang, w.replace("'", "''")) for w in text.split("\n") if w}
+    """SQL rows (lang, term): the stop lists of the repository."""
+    rows = {(lang, w.replace("'", "''")) for lang, w in stop_words()}
     return ", ".join(f"('{a}', '{b}')" for a, b in sorted(rows))
 
 
