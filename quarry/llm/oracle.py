@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import mixing
+from quarry.llm import fm_index, mixing
 
 _SENT = r"[^.!?\n]*[.!?\n]|[^.!?\n]+"
 
@@ -80,7 +80,28 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target,
 FROM r
 """
 
+_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+DECONTAMINATION = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS} AS w FROM benchmark),
+v AS (SELECT DISTINCT item, least(len(w), {fm_index.WINDOW}) AS n,
+             array_to_string(list_slice(w, k, k + least(len(w), {fm_index.WINDOW}) - 1), ' ') AS g
+      FROM (SELECT item, w, unnest(generate_series(1, greatest(1, len(w) - {fm_index.WINDOW} + 1))) AS k FROM b WHERE len(w) > 0)),
+s AS (SELECT r, k, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS g
+      FROM (SELECT d.r, d.w, l.n, unnest(generate_series(1, len(d.w) - l.n + 1)) AS k FROM d, (SELECT DISTINCT n FROM v) l
+            WHERE len(d.w) >= l.n)),
+h AS (SELECT s.r, s.k, s.n, v.item FROM s JOIN v ON s.n = v.n AND s.g = v.g),
+c AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(k, k + n - 1)) AS p FROM h) GROUP BY r),
+i AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN i USING (r)
+"""
+
 ORACLE = {
+    "op13_decontamination": DECONTAMINATION,
     "op1_fingerprints": FINGERPRINTS,
     "op2_mixing": MIXING,
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quarry.llm import bpe_count, cross_polytope, duck_bpe, fingerprints, id_codec, jaccard_join, langid, mixing, reshard, secrets_scan
+from quarry.llm import (bpe_count, cross_polytope, duck_bpe, fingerprints, fm_index, id_codec, jaccard_join, langid, mixing,
+                        reshard, secrets_scan, turn_repair, whitening)
 from quarry.llm.common import table
 
 TOKEN_LIMIT = 4096
@@ -51,6 +52,18 @@ def op10_byte_bpe(spark, sf_dir):
     return duck_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op11_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_turn_repair(spark, sf_dir):
+    return turn_repair.repair(turn_repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_decontamination(spark, sf_dir):
+    return fm_index.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_mixing": op2_mixing,
@@ -62,4 +75,7 @@ QUERIES = {
     "op8_resharding": op8_resharding,
     "op9_language_id": op9_language_id,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_whitening": op11_whitening,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_decontamination": op13_decontamination,
 }
