@@ -8,11 +8,16 @@ largest saturated tf of its postings (``impact``).  So a query need not read
 the postings of its common terms:
 
 1. Its terms of largest bound are scored first, until their postings can fill
-   the list; the k-th partial score is a lower bound for the k-th score.
-2. Terms whose bounds together stay below it are optional: a document that has
-   only those cannot enter the list.  The postings of the other terms are
-   joined, documents that cannot reach the bound any more are dropped, and
-   the rest is completed by an equi-join on (doc_id, term).
+   the list a few times; the best documents found get their full scores by
+   look-ups.  The k-th of these is a lower bound ``theta`` for the k-th score.
+2. Terms are taken by rising bound.  Those whose bounds together stay below
+   theta are optional: a document that has only those cannot enter the list.
+   A posting of a later term matters only if it and all smaller terms together
+   can reach theta, which is a least impact per term; postings lie in blocks of
+   falling impact, and blocks below it are not read.
+3. Documents found that cannot reach theta any more are dropped; the rest look
+   up their unread terms by an equi-join on (doc_id, term), those of largest
+   bound first, with a second cut in between.
 
 Scores are rounded to 6 decimals, so bounds are compared with a margin and
 ties at the cut survive.  No term and no document is dropped that could change
@@ -27,13 +32,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators.index import B, K1, Index, saturated
+from quarry.operators.index import B, K1, Index, blocks_of, saturated
 from quarry.session import written
 
 DEPTH = 20
 MARGIN = 3e-6               # three roundings to 6 decimals
 POSTINGS_PER_TASK = 200_000
 FILL = 10                   # postings scored first, in lists of k
+TRIED = 3                   # documents that get full scores for theta, in lists of k
+EARLY = 2                   # unread terms looked up before the second cut
 
 
 def query_terms(queries: DataFrame, qid: str = "query_id", text: str = "query",
@@ -57,23 +64,37 @@ def _salts(index: Index, max_hot: int = 10_000) -> DataFrame:
 
 
 def contributions(index: Index, weighted: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, doc_id, part): ``weighted`` (query_id, term, qw) joined with
-    the postings of its terms."""
+    """(query_id, doc_id, part): ``weighted`` (query_id, term, qw, need) joined
+    with the blocks of its terms; postings of less impact than ``need`` are
+    left out, and so are whole blocks of them."""
+    blocks = index.blocks if (k1, b) == (K1, B) else blocks_of(index.postings, index.avgdl, k1, b)
     salts = F.broadcast(_salts(index))
     n = F.coalesce("salts", F.lit(1))
     qt = weighted.join(salts, "term", "left").select(
-        "query_id", "term", "qw", F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"))
-    post = index.postings.join(salts, "term", "left").select(
-        "term", "doc_id", "tf", "dl", F.pmod(F.xxhash64("doc_id"), n).cast("int").alias("salt"))
-    return qt.join(post, ["term", "salt"]).select(
-        "query_id", "doc_id", (F.col("qw") * saturated(index.avgdl, k1, b)).alias("part"))
+        "query_id", "term", "qw", "need", F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"))
+    held = blocks.join(salts, "term", "left").select("term", "top", "docs", F.pmod("block", n).cast("int").alias("salt"))
+    met = qt.alias("q").join(held.alias("h"), (F.col("q.term") == F.col("h.term")) & (F.col("q.salt") == F.col("h.salt"))
+                             & (F.col("h.top") >= F.col("q.need")))
+    rows = met.select("query_id", "qw", "need", F.explode("docs").alias("d")).select("query_id", "qw", "need", "d.*")
+    rows = rows.withColumn("impact", saturated(index.avgdl, k1, b)).where("impact >= need")
+    return rows.select("query_id", "doc_id", (F.col("qw") * F.col("impact")).alias("part"))
+
+
+def looked_up(index: Index, pairs: DataFrame, weighted: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, doc_id, part): what the terms of ``weighted`` (query_id,
+    term, qw, below) add to the documents of ``pairs`` (query_id, doc_id) by
+    postings of less impact than ``below`` (null: by any)."""
+    rows = pairs.join(weighted, "query_id").join(index.postings, ["doc_id", "term"])
+    impact = saturated(index.avgdl, k1, b)
+    return rows.where(F.col("below").isNull() | (impact < F.col("below"))).select(
+        "query_id", "doc_id", (F.col("qw") * impact).alias("part"))
 
 
 def bm25_scores(index: Index, queries: DataFrame, qid: str = "query_id", text: str = "query",
                 k1: float = K1, b: float = B, tokenizer=tx.tokens) -> DataFrame:
     """All (query_id, doc_id, score) with score > 0: every posting is read."""
     qt = query_terms(queries, qid, text, tokenizer).join(index.term_stats.select("term", "idf"), "term").select(
-        "query_id", "term", (F.col("qf") * F.col("idf")).alias("qw"))
+        "query_id", "term", (F.col("qf") * F.col("idf")).alias("qw"), F.lit(0.0).alias("need"))
     return contributions(index, qt, k1, b).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
 
 
@@ -88,9 +109,10 @@ def top_k(scores: DataFrame, k: int = DEPTH, key: str = "query_id", item: str =
 
 def required_terms(index: Index, queries: DataFrame, k: int, qid: str = "query_id", text: str = "query",
                    k1: float = K1, b: float = B, tokenizer=tx.tokens) -> DataFrame:
-    """(query_id, term, qw, required, theta, optional): which terms' postings
-    have to be read, the lower bound of the k-th score, and what the
-    optional terms can add at most."""
+    """(query_id, term, qw, required, need, unread, u_rank, theta, optional):
+    which terms' postings have to be read and from what impact on, the lower
+    bound of the k-th score, and what the unread postings can add at most, of
+    this term (``u_rank``: its place by that) and of all."""
     stats = index.term_stats
     if (k1, b) != (K1, B):
         stats = stats.drop("impact").join(
@@ -98,28 +120,48 @@ def required_terms(index: Index, queries: DataFrame, k: int, qid: str = "query_i
     qt = query_terms(queries, qid, text, tokenizer).join(stats.select("term", "idf", "df", "impact"), "term").select(
         "query_id", "term", "df", (F.col("qf") * F.col("idf")).alias("qw"),
         (F.col("qf") * F.col("idf") * F.col("impact")).alias("most"))
-    qt = written(qt, "bm25-terms")
     down = Window.partitionBy("query_id").orderBy(F.col("most").desc(), "term").rowsBetween(Window.unboundedPreceding, -1)
-    first = qt.withColumn("ahead", F.coalesce(F.sum("df").over(down), F.lit(0))).where(F.col("ahead") < FILL * k)
-    partial = contributions(index, first, k1, b).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
-    theta = top_k(partial, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("theta"))
-    up = Window.partitionBy("query_id").orderBy("most", "term")
-    qt = qt.join(theta, "query_id", "left").withColumn("theta", F.coalesce("theta", F.lit(0.0)))
-    qt = qt.withColumn("required", F.sum("most").over(up) >= F.col("theta") - MARGIN)
-    optional = F.sum(F.when(F.col("required"), F.lit(0.0)).otherwise(F.col("most"))).over(Window.partitionBy("query_id"))
-    return written(qt.select("query_id", "term", "qw", "required", "theta", optional.alias("optional")), "bm25-required")
+    qt = written(qt.withColumn("first", F.coalesce(F.sum("df").over(down), F.lit(0)) < FILL * k), "bm25-terms")
+    partial = contributions(index, qt.where("first").withColumn("need", F.lit(0.0)), k1, b) \
+        .groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+    tried = written(top_k(partial, TRIED * k).select("query_id", "doc_id", F.col("score").alias("part")), "bm25-tried")
+    rest = qt.where("NOT first").select("query_id", "term", "qw", F.lit(None).cast("double").alias("below"))
+    full = tried.unionByName(looked_up(index, tried.select("query_id", "doc_id"), rest, k1, b)) \
+        .groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+    theta = top_k(full, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("theta"))
+    up = F.sum("most").over(Window.partitionBy("query_id").orderBy("most", "term"))
+    least = F.col("theta") - MARGIN
+    qt = qt.join(theta, "query_id", "left").withColumn("theta", F.coalesce("theta", F.lit(0.0))).withColumn("up", up)
+    qt = qt.withColumn("required", F.col("up") >= least)
+    qt = qt.withColumn("need", F.when(F.col("required"), F.greatest(F.lit(0.0), (least - F.col("up") + F.col("most")) / F.col("qw"))))
+    qt = qt.withColumn("unread", F.when(~F.col("required"), F.col("most")).otherwise(
+        F.least(F.col("most"), F.col("need") * F.col("qw"))))
+    per = Window.partitionBy("query_id")
+    return written(qt.select("query_id", "term", "df", "qw", "required", "need", "unread", "theta",
+                             F.row_number().over(per.orderBy(F.col("unread").desc(), "term")).alias("u_rank"),
+                             F.sum("unread").over(per).alias("optional")), "bm25-required")
+
+
+def postings_read(index: Index, terms: DataFrame) -> DataFrame:
+    """(query_id, read, all): postings in the blocks that the reading join
+    takes for ``required_terms`` rows, and in all blocks of their terms."""
+    met = terms.join(index.blocks.select("term", "n", "top"), "term")
+    return met.groupBy("query_id").agg(
+        F.sum(F.when(F.col("required") & (F.col("top") >= F.col("need")), F.col("n")).otherwise(0)).alias("read"), F.sum("n").alias("all"))
 
 
 def bm25_search(index: Index, queries: DataFrame, k: int = DEPTH, qid: str = "query_id", text: str = "query",
                 k1: float = K1, b: float = B, tokenizer=tx.tokens) -> DataFrame:
     """(query_id, rank, doc_id, score) for the top ``k`` hits per query."""
     qt = required_terms(index, queries, k, qid, text, k1, b, tokenizer)
+    left = qt.where("unread > 0").select("query_id", "term", "qw", F.col("need").alias("below"), "u_rank")
+    early = F.sum(F.when(F.col("u_rank") <= EARLY, F.col("unread")).otherwise(F.lit(0.0)))
+    bounds = qt.groupBy("query_id").agg(F.first("theta").alias("theta"), F.first("optional").alias("optional"), early.alias("early"))
     found = contributions(index, qt.where("required"), k1, b).groupBy("query_id", "doc_id").agg(F.sum("part").alias("part"))
-    bounds = qt.groupBy("query_id").agg(F.first("theta").alias("theta"), F.first("optional").alias("optional"))
-    alive = found.join(bounds, "query_id").where(F.col("part") + F.col("optional") >= F.col("theta") - MARGIN) \
-        .select("query_id", "doc_id", "part")
-    rest = alive.select("query_id", "doc_id").join(qt.where("NOT required").select("query_id", "term", "qw"), "query_id")
-    rest = rest.join(index.postings, ["doc_id", "term"]).select(
-        "query_id", "doc_id", (F.col("qw") * saturated(index.avgdl, k1, b)).alias("part"))
-    scores = alive.unionByName(rest).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
-    return top_k(scores, k).select("query_id", "rank", "doc_id", "score")
+    for now, later, terms in ((F.col("optional"), "bm25-alive", left.where(F.col("u_rank") <= EARLY)),
+                              (F.col("optional") - F.col("early"), "bm25-left", left.where(F.col("u_rank") > EARLY))):
+        alive = found.join(bounds, "query_id").where(F.col("part") + now >= F.col("theta") - MARGIN).select("query_id", "doc_id", "part")
+        alive = written(alive, later)
+        more = looked_up(index, alive.select("query_id", "doc_id"), terms.drop("u_rank"), k1, b)
+        found = alive.unionByName(more).groupBy("query_id", "doc_id").agg(F.sum("part").alias("part"))
+    return top_k(found.withColumnRenamed("part", "score"), k).select("query_id", "rank", "doc_id", "score")

@@ -1,6 +1,9 @@
 """Inverted index as tables.
 
 postings(term, doc_id, tf, dl)  - one row per distinct (doc, term)
+blocks(term, block, n, top, docs) - the same postings by falling saturated tf,
+                                  up to ``BLOCK_POSTINGS`` a row; ``top`` is the
+                                  largest saturated tf of the block
 doc_stats(doc_id, dl)           - analyzed length per document
 term_stats(term, df, idf, impact) - document frequency, BM25 idf and the largest
                                   saturated tf of the term's postings
@@ -22,12 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
+from quarry.operators.order import global_row_number
 from quarry.session import materialize
 
 
 # The reference's BM25 settings.
 K1 = 0.9
 B = 0.4
+BLOCK_POSTINGS = 64
 
 
 def saturated(avgdl: float, k1: float = K1, b: float = B) -> Column:
@@ -39,6 +44,7 @@ def saturated(avgdl: float, k1: float = K1, b: float = B) -> Column:
 @dataclass
 class Index:
     postings: DataFrame
+    blocks: DataFrame
     doc_stats: DataFrame
     term_stats: DataFrame
     n_docs: int
@@ -62,6 +68,17 @@ def postings_of(analyzed: DataFrame, with_positions: bool = False) -> DataFrame:
     return ex.groupBy("doc_id", "term", "dl").agg(*aggs)
 
 
+def blocks_of(postings: DataFrame, avgdl: float, k1: float = K1, b: float = B) -> DataFrame:
+    """Postings in blocks of falling impact.  The order over all terms is the
+    distributed one, so a term with any number of postings is spread over
+    tasks; a block ends with its term, or every ``BLOCK_POSTINGS`` places."""
+    keyed = postings.select("term", (-saturated(avgdl, k1, b)).alias("_down"), "doc_id", "tf", "dl")
+    numbered = global_row_number(keyed, ["term", "_down", "doc_id"])
+    return numbered.groupBy("term", F.floor(F.col("rn") / BLOCK_POSTINGS).alias("block")).agg(
+        F.count("*").alias("n"), (-F.min("_down")).alias("top"),
+        F.collect_list(F.struct("doc_id", "tf", "dl")).alias("docs"))
+
+
 def idf_expr(df: Column, n_docs: Column) -> Column:
     """BM25 idf = ln(1 + (N - df + 0.5) / (df + 0.5))."""
     return F.log(F.lit(1.0) + (n_docs - df + F.lit(0.5)) / (df + F.lit(0.5)))
@@ -94,9 +111,13 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "conten
     avgdl = (float(total) / n_docs) if n_docs else 0.0
     term_stats = (postings.groupBy("term").agg(F.count("*").alias("df"), F.max(saturated(avgdl or 1.0)).alias("impact"))
                   .withColumn("idf", idf_expr(F.col("df"), F.lit(float(n_docs)))))
+    blocks = blocks_of(postings, avgdl or 1.0)
     if path:
         term_stats.write.mode("overwrite").parquet(f"{path}/terms")
         term_stats = spark.read.parquet(f"{path}/terms")
+        blocks.write.mode("overwrite").parquet(f"{path}/blocks")
+        blocks = spark.read.parquet(f"{path}/blocks")
     else:
         term_stats = materialize(term_stats)     # read by several plan branches
-    return Index(postings, doc_stats, term_stats, n_docs, avgdl, total)
+        blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    return Index(postings, blocks, doc_stats, term_stats, n_docs, avgdl, total)
