@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.operators import textrank as tr
+from quarry.operators import textrank_local
 from quarry.operators.index import Index, build_index
 from quarry.operators.ranking import first_per_key
 from quarry.plans import fixtures
@@ -56,34 +57,26 @@ def corpus_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Index]:
     return corp, once(spark, sf_dir, "index", lambda: build_index(docs, path=scratch_path(spark, "index")))
 
 
-def textrank_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    corp = corpus(spark, sf_dir)
-    return corp, corp.select(F.col("mid").alias("doc_id"), "lang",
-                             tx.compose_textrank_input("subject", "body_clean").alias("text"))
+def ranked_corpus(spark: SparkSession, sf_dir: str, iterations: int = tr.ITERATIONS) -> DataFrame:
+    """The corpus with its TextRank ``summary`` and ``keywords``."""
+    return textrank_local.summaries_and_keywords(corpus(spark, sf_dir), tx.compose_textrank_input("subject", "body_clean"), "mid", iterations)
 
 
 def summaries(spark: SparkSession, sf_dir: str, iterations: int = tr.ITERATIONS) -> DataFrame:
-    corp, docs = textrank_input(spark, sf_dir)
-    nodes, occ = tr.sentence_nodes(docs, tr.stop_terms(spark))
-    s = tr.summarize(nodes, tr.sentence_rank(nodes, occ, iterations))
-    return corp.select(F.col("mid").alias("doc_id")).join(s, "doc_id", "left").select(
-        "doc_id", F.coalesce("summary", F.lit("")).alias("text_rank_query"))
+    return ranked_corpus(spark, sf_dir, iterations).select(F.col("mid").alias("doc_id"), F.col("summary").alias("text_rank_query"))
 
 
 def keyword_ids(spark: SparkSession, sf_dir: str, iterations: int = tr.ITERATIONS) -> DataFrame:
-    corp, docs = textrank_input(spark, sf_dir)
-    k = tr.keywords(tr.keyword_rank(docs, tr.stop_terms(spark), iterations=iterations))
-    return corp.select(F.col("mid").alias("doc_id")).join(k, "doc_id", "left").select(
-        "doc_id", F.coalesce("keywords", F.lit("")).alias("elaborative_description"))
+    return ranked_corpus(spark, sf_dir, iterations).select(F.col("mid").alias("doc_id"), F.col("keywords").alias("elaborative_description"))
 
 
 def prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composed view, TextRank query and keyword docid of every document."""
-    corp = corpus(spark, sf_dir)
-    return (corp.select(F.col("mid").alias("doc_id"), "subject", "body_clean",
-                        tx.compose_subject_body("subject", "body_clean").alias("body_clean_and_subject"),
-                        tx.char_count(tx.clean_control("body_clean")).alias("clean_length_character"))
-            .join(summaries(spark, sf_dir), "doc_id").join(keyword_ids(spark, sf_dir), "doc_id"))
+    return ranked_corpus(spark, sf_dir).select(
+        F.col("mid").alias("doc_id"), "subject", "body_clean",
+        tx.compose_subject_body("subject", "body_clean").alias("body_clean_and_subject"),
+        tx.char_count(tx.clean_control("body_clean")).alias("clean_length_character"),
+        F.col("summary").alias("text_rank_query"), F.col("keywords").alias("elaborative_description"))
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import os
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark import StorageLevel
+from pyspark import SparkFiles, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -96,3 +98,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per
+    application, so that functions named in a task can be imported there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quarry_shipped", None) == sc.applicationId:
+        return
+    root = Path(__file__).resolve().parent
+    folder = os.path.join(SparkFiles.getRootDirectory(), "quarry-source")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, "quarry_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted([*root.rglob("*.py"), *root.rglob("stopwords/*.txt")]):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(path)
+    sc._quarry_shipped = sc.applicationId
