@@ -5,6 +5,12 @@ of its tokens, the best ``n`` sentences (ties: earlier first) become
 queries, cut to ``q_max_length`` tokens.  All of it is column work plus
 one join to the term statistics (hot terms split off, see ``skew``).
 
+``sampled_queries`` draws instead of taking the best: of the ``top_k`` best
+sentences, ``n`` without replacement with chances in proportion to
+exp(score / temperature).  Ranking score / temperature plus a Gumbel variate
+per sentence is that draw, and the variates come from md5 of seed, document
+and sentence, so a draw is the same in every run, engine and partitioning.
+
 A model generator plugs in through ``generate_with`` - a ``mapInPandas``
 function over (doc_id, text) batches that yields (doc_id, q_rank, query);
 Spark partitions the documents and runs the model per batch.
@@ -20,7 +26,9 @@ from pyspark.sql import functions as F
 from quarry.functions import text as tx
 from quarry.operators.skew import split_hot_join
 
-Q_MAX_LENGTH = 32   # fixed value: the reference's default query length
+# The reference's default query length and number of choices.
+Q_MAX_LENGTH = 32
+TOP_K = 10
 
 
 def sentence_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -36,18 +44,47 @@ def extractive_queries(docs: DataFrame, term_stats: DataFrame, hot_terms: DataFr
                        n: int = 1, q_max_length: int = Q_MAX_LENGTH,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     sents = sentence_table(docs, id_col, text_col)
+    return with_text(best_sentences(sents, term_stats, hot_terms, n), sents, q_max_length).select("doc_id", "q_rank", "query")
+
+
+def best_sentences(sents: DataFrame, term_stats: DataFrame, hot_terms: DataFrame, n: int) -> DataFrame:
+    """(doc_id, sent_pos, score, q_rank): the ``n`` sentences of highest mean
+    idf per document."""
     occ = sents.select("doc_id", "sent_pos", F.explode("toks").alias("term"))
     scored = (split_hot_join(occ, term_stats.select("term", "idf"), "term", hot_terms)
               .groupBy("doc_id", "sent_pos")
               .agg(F.round(F.avg("idf"), 6).alias("score")))
     w = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), F.col("sent_pos"))
-    best = (scored.withColumn("q_rank", F.row_number().over(w).cast("bigint"))
+    return (scored.withColumn("q_rank", F.row_number().over(w).cast("bigint"))
             .where(F.col("q_rank") <= n))
+
+
+def with_text(best: DataFrame, sents: DataFrame, q_max_length: int) -> DataFrame:
     # the text of the chosen sentences only: re-deriving it is cheaper than
     # carrying every sentence's text through the token-level shuffle
     text = sents.select("doc_id", "sent_pos",
                         F.array_join(F.slice("toks", 1, q_max_length), " ").alias("query"))
-    return best.join(text, ["doc_id", "sent_pos"]).select("doc_id", "q_rank", "query")
+    return best.join(text, ["doc_id", "sent_pos"])
+
+
+def gumbel(seed: int, *keys) -> F.Column:
+    """A Gumbel variate from md5 of seed and keys: 52 bits make a uniform."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(1 << 52))
+    return -F.log(-F.log(u))
+
+
+def sampled_queries(docs: DataFrame, term_stats: DataFrame, hot_terms: DataFrame, n: int = 1, top_k: int = TOP_K,
+                    temperature: float = 1.0, seed: int = 313, q_max_length: int = Q_MAX_LENGTH,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, q_rank, query): ``n`` seeded draws from each document's
+    ``top_k`` best sentences (fewer where it has fewer)."""
+    sents = sentence_table(docs, id_col, text_col)
+    some = best_sentences(sents, term_stats, hot_terms, top_k).drop("q_rank")
+    drawn = some.withColumn("draw", F.round(F.col("score") / temperature + gumbel(seed, "doc_id", "sent_pos"), 6))
+    w = Window.partitionBy("doc_id").orderBy(F.col("draw").desc(), F.col("sent_pos"))
+    drawn = drawn.withColumn("q_rank", F.row_number().over(w).cast("bigint")).where(F.col("q_rank") <= n)
+    return with_text(drawn, sents, q_max_length).select("doc_id", "q_rank", "query")
 
 
 def generate_with(docs: DataFrame, fn: Callable[[Iterator], Iterator],

@@ -25,6 +25,62 @@ def seeded_key(seed: int | str, id_col) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")))
 
 
+BUCKET_DIGITS = 4           # 65,536 buckets: their counts are all that the driver sees
+
+
+def _bucketed(df: DataFrame, id_col: str, seed: int | str) -> DataFrame:
+    key = seeded_key(seed, id_col)
+    return df.withColumn("_k", key).withColumn("_b", F.conv(F.substring("_k", 1, BUCKET_DIGITS), 16, 10).cast("int"))
+
+
+def _bucket_starts(keyed: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """(rows before, rows) of every bucket of the seeded order."""
+    counts = {r["_b"]: r["count"] for r in keyed.groupBy("_b").count().collect()}
+    starts, at = {}, 0
+    for b in sorted(counts, key=lambda b: (b is not None, b)):      # a null id has a null key, which comes first
+        starts[b] = at
+        at += counts[b]
+    return starts, counts
+
+
+def seeded_parts(df: DataFrame, id_col: str, cuts: list[int], seed: int | str, name: str = "part") -> DataFrame:
+    """``name``: how many of the ascending ``cuts`` are below a row's place in
+    the seeded order (md5, then id).  The buckets of the first digits are
+    counted; only the rows of the buckets that a cut falls into are numbered,
+    all others tell their part from their bucket, so nothing else moves."""
+    keyed = _bucketed(df, id_col, seed)
+    starts, counts = _bucket_starts(keyed)
+    torn = sorted({b for b in starts for c in cuts if starts[b] < c < starts[b] + counts[b]}, key=lambda b: (b is not None, b))
+    bucket = F.coalesce(F.col("_b"), F.lit(-1))
+    part = F.lit(0)
+    for c in cuts:
+        later = [b for b in starts if starts[b] >= c]
+        first = min((-1 if b is None else b) for b in later) if later else 1 << 4 * BUCKET_DIGITS
+        part = part + F.when(bucket >= first, 1).otherwise(0)
+    ids = [-1 if b is None else b for b in torn]
+    whole = keyed.where(~bucket.isin(ids)) if ids else keyed
+    out = whole.withColumn(name, part)
+    if ids:
+        begin = F.element_at(F.create_map(*[F.lit(x) for b, i in zip(torn, ids) for x in (i, starts[b])]), bucket)
+        place = begin + F.row_number().over(Window.partitionBy("_b").orderBy("_k", id_col))
+        split = keyed.where(bucket.isin(ids)).withColumn("_place", place)
+        split = split.withColumn(name, sum((F.when(F.col("_place") > c, 1).otherwise(0) for c in cuts), F.lit(0))).drop("_place")
+        out = out.unionByName(split)
+    return out.drop("_k", "_b")
+
+
+def seeded_rank(df: DataFrame, id_col: str, seed: int | str, name: str) -> DataFrame:
+    """``name``: 1-based place in the seeded order.  One hash Exchange by
+    bucket, whose rows are numbered on their own and shifted by the counts
+    before (at most 65,536 rows, broadcast): no range sampling, no checkpoint."""
+    keyed = _bucketed(df, id_col, seed)
+    starts, _ = _bucket_starts(keyed)
+    table = df.sparkSession.createDataFrame([(b, s) for b, s in starts.items()], "_b int, _start long")
+    numbered = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy("_k", id_col)))
+    joined = numbered.alias("n").join(F.broadcast(table.alias("t")), F.col("n._b").eqNullSafe(F.col("t._b")))
+    return joined.select(*[F.col(f"n.`{c}`") for c in df.columns], (F.col("t._start") + F.col("n._n")).cast("bigint").alias(name))
+
+
 def global_row_number(df: DataFrame, order: list[str], name: str = "rn",
                       partitions: int | None = None) -> DataFrame:
     """Append a 1-based ``name`` following ``order`` (must be a total order)."""

@@ -1,8 +1,9 @@
 """Seeded splits, dense ids, samples, quota fill, shards.
 
 Every seeded order is md5('<seed>:<id>') then id, so results are stable
-across runs, engines and partitionings.  Exact cut-offs use the distributed
-``global_row_number``; bucket mode needs no global order at all.
+across runs, engines and partitionings.  Exact cut-offs count buckets of the
+order and number only the bucket that a cut falls into (``seeded_parts``);
+bucket mode needs no global order at all.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.order import global_row_number, seeded_key
+from quarry.operators.order import global_row_number, seeded_key, seeded_parts, seeded_rank
 
 SLACK = 1e-9
 SPLITS = ("train", "validate", "test")
@@ -33,17 +34,13 @@ def split_exact(df: DataFrame, id_col: str, seed: int = 42, train: float = 0.8,
                 validate: float = 0.1, test: float = 0.1) -> DataFrame:
     """Exact sizes: n_train = floor(N*train), n_val = floor((N-n_train)*v/(v+t))."""
     check_shares(train, validate, test)
-    keyed = df.withColumn("_k", seeded_key(seed, id_col))
-    numbered = global_row_number(keyed, ["_k", id_col])
     n = df.count()
     n_train = int(n * train + SLACK)
     n_val = int((n - n_train) * _validate_share(validate, test) + SLACK)
     if validate + test <= 0:
         n_train = n
-    rn = F.col("rn")
-    split = (F.when(rn <= n_train, "train").when(rn <= n_train + n_val, "validate")
-             .otherwise("test"))
-    return numbered.withColumn("split", split).drop("_k", "rn")
+    parts = seeded_parts(df, id_col, [n_train, n_train + n_val], seed, "split")
+    return parts.withColumn("split", F.when(F.col("split") == 0, "train").when(F.col("split") == 1, "validate").otherwise("test"))
 
 
 def unit_fraction(key: Column) -> Column:
@@ -65,18 +62,18 @@ def split_bucket(df: DataFrame, key: Column, train: float = 0.8, validate: float
 
 def dense_ids(df: DataFrame, id_col: str, seed: int = 313, name: str = "rand_id") -> DataFrame:
     """A seeded permutation of 0..N-1."""
-    keyed = df.withColumn("_k", seeded_key(seed, id_col))
-    out = global_row_number(keyed, ["_k", id_col], "_rn")
-    return out.withColumn(name, F.col("_rn") - 1).drop("_k", "_rn")
+    return seeded_rank(df, id_col, seed, name).withColumn(name, F.col(name) - 1)
+
+
+def seeded_head(df: DataFrame, id_col: str, n: int, seed: int = 313) -> DataFrame:
+    """The first ``n`` rows of the seeded shuffle, in no order."""
+    return seeded_parts(df, id_col, [n], seed, "_part").where("_part = 0").drop("_part")
 
 
 def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = 313) -> DataFrame:
-    """The first ``n`` rows of the seeded shuffle.  The cut is a
-    distributed top-n and the ranks come from the distributed numbering, so
-    ``n`` may be large."""
-    keyed = df.withColumn("_k", seeded_key(seed, id_col))
-    head = keyed.orderBy("_k", id_col).limit(n)
-    return global_row_number(head, ["_k", id_col], "sample_rank").drop("_k")
+    """The first ``n`` rows of the seeded shuffle with their ranks.
+    Only rows that are chosen are dealt out and numbered, so ``n`` may be large."""
+    return seeded_rank(seeded_head(df, id_col, n, seed), id_col, seed, "sample_rank")
 
 
 def quota_fill(preferred: DataFrame, pool: DataFrame, id_col: str, quota: int, seed: int = 313,
@@ -84,18 +81,18 @@ def quota_fill(preferred: DataFrame, pool: DataFrame, id_col: str, quota: int, s
     """(id, priority, fill_rank) - preferred ids first, then pool ids, each
     in seeded order, up to ``quota``.  Pool ids that are preferred already are
     left out unless ``allow_duplicates``; ids in ``exclude`` (held-out
-    documents) never come from the pool.  Only ids are sorted and numbered:
+    documents) never come from the pool.  Only ids that are taken are numbered:
     join the texts to the result."""
     preferred, pool = preferred.select(id_col), pool.select(id_col)
     if not allow_duplicates:
         pool = pool.join(preferred, id_col, "left_anti")
     if exclude is not None:
         pool = pool.join(exclude.select(id_col), id_col, "left_anti")
-    rows = (preferred.withColumn("priority", F.lit(0).cast("bigint"))
-            .unionByName(pool.withColumn("priority", F.lit(1).cast("bigint")))
-            .withColumn("_k", seeded_key(seed, id_col)))
-    numbered = global_row_number(rows, ["priority", "_k", id_col], "fill_rank")
-    return numbered.where(F.col("fill_rank") <= quota).drop("_k")
+    first = min(quota, preferred.count())
+    out = seeded_rank(seeded_head(preferred, id_col, first, seed), id_col, seed, "fill_rank").withColumn("priority", F.lit(0).cast("bigint"))
+    more = seeded_rank(seeded_head(pool, id_col, quota - first, seed), id_col, seed, "fill_rank")
+    more = more.withColumn("fill_rank", F.col("fill_rank") + first).withColumn("priority", F.lit(1).cast("bigint"))
+    return out.unionByName(more).select(id_col, "priority", "fill_rank")
 
 
 def nth_smallest(df: DataFrame, order: list[str], n: int) -> DataFrame:

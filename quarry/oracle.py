@@ -196,6 +196,13 @@ ORACLE["doc_stats"] = f"WITH {INDEX} SELECT doc_id, dl FROM ds"
 ORACLE["term_stats"] = f"WITH {INDEX} SELECT term, df, round(idf, 6) AS idf FROM ts"
 ORACLE["query_set"] = f"WITH {BM25} SELECT query_id, query_type, query, target FROM q2"
 ORACLE["generate_queries"] = f"WITH {INDEX}, {generated(3)} SELECT doc_id, q_rank, query FROM gen"
+ORACLE["sample_queries"] = f"""WITH {INDEX}, {generated(10)},
+sc10 AS (SELECT doc_id, sent_pos, query, score FROM ss
+         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sent_pos) <= 10),
+dr AS (SELECT *, round(score - ln(-ln((('0x' || substr(md5('313:' || doc_id || ':' || sent_pos), 1, 13))::BIGINT + 0.5::DOUBLE)
+              / 4503599627370496.0::DOUBLE)), 6) AS draw FROM sc10)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY draw DESC, sent_pos) AS BIGINT) AS q_rank, query
+FROM dr QUALIFY q_rank <= 3"""
 ORACLE["bm25_topk"] = f"WITH {BM25} SELECT query_id, rank, doc_id, score FROM topk"
 ORACLE["bm25_rank"] = f"WITH {BM25} SELECT query_id, query_type, target, rank FROM ranks"
 ORACLE["metrics_by_type"] = f"WITH {BM25} {per_type()}"

@@ -46,6 +46,13 @@ def generated_queries(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
                                        index.term_stats, bm25.hot_terms(index), n=n, text_col="body_clean")
 
 
+def drawn_queries(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """(doc_id, q_rank, query): ``n`` seeded draws per document."""
+    corp, index = corpus_index(spark, sf_dir)
+    return generate.sampled_queries(corp.select(F.col("mid").alias("doc_id"), "body_clean"),
+                                    index.term_stats, bm25.hot_terms(index), n=n, text_col="body_clean")
+
+
 def evaluation_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, qkey, query_type, query, target) with F1 applied."""
     _, index = corpus_index(spark, sf_dir)

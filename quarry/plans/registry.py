@@ -68,6 +68,12 @@ def q_generate_queries(spark, sf):
     return evaluation.generated_queries(spark, sf, 3)
 
 
+@register("sample_queries")
+def q_sample_queries(spark, sf):
+    """Three seeded draws per document from its ten best sentences."""
+    return evaluation.drawn_queries(spark, sf, 3)
+
+
 @register("bm25_topk")
 def q_bm25_topk(spark, sf):
     return evaluation.bm25_run(spark, sf).hits.select("query_id", "rank", "doc_id", "score")
