@@ -37,9 +37,10 @@ def pad_to(seq, length: int, pad: str = PAD) -> Column:
 def batch_pad(df: DataFrame, order: str, seq: str, batch_size: int) -> DataFrame:
     """Consecutive rows (by ``order``) form batches; inputs padded to
     the batch's longest with the pad token, labels with the ignore marker.
-    Batch ids come from a global row number (no single-task window)."""
-    numbered = global_row_number(df, [order])
-    b = numbered.withColumn("batch", F.floor((F.col("rn") - 1) / batch_size).cast("bigint"))
+    Only the ``order`` ids are numbered (no single-task window); sequences are
+    joined to their numbers."""
+    numbered = global_row_number(df.select(order), [order])
+    b = df.join(numbered, order).withColumn("batch", F.floor((F.col("rn") - 1) / batch_size).cast("bigint"))
     longest = F.max(F.size(seq)).over(Window.partitionBy("batch"))
     b = b.withColumn("_len", longest)
     fill = F.col("_len") - F.size(seq)

@@ -192,6 +192,17 @@ FROM (SELECT doc_id, unnest(toks) AS term, CAST(generate_subscripts(toks, 1) - 1
 GROUP BY ALL"""
 ORACLE["postings"] = "WITH " + ORACLE["postings"].lstrip()
 
+ORACLE["doc_vectors"] = f"""WITH {INDEX},
+dv AS (SELECT doc_id, term, count(*) AS tf, array_to_string(list_sort(list(pos)), ',') AS positions
+       FROM (SELECT doc_id, unnest(toks) AS term, CAST(generate_subscripts(toks, 1) - 1 AS BIGINT) AS pos FROM an) GROUP BY doc_id, term)
+SELECT dv.doc_id, ds.dl, md5(string_agg(term || ':' || tf || ':' || positions, ' ' ORDER BY term)) AS terms_md5
+FROM dv JOIN ds USING (doc_id) GROUP BY dv.doc_id, ds.dl"""
+ORACLE["phrase_match"] = f"""WITH {INDEX},
+ph AS (SELECT item_id, {toks('text')} AS t FROM benchmark),
+tp AS (SELECT doc_id, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos FROM an),
+ps AS (SELECT ph.item_id, ph.t, tp.doc_id, tp.pos FROM ph JOIN tp ON tp.term = ph.t[1])
+SELECT item_id, ps.doc_id, count(*) AS n_matches, CAST(min(pos) - 1 AS BIGINT) AS first_pos
+FROM ps JOIN an ON an.doc_id = ps.doc_id WHERE an.toks[pos:pos + len(t) - 1] = t GROUP BY ALL"""
 ORACLE["doc_stats"] = f"WITH {INDEX} SELECT doc_id, dl FROM ds"
 ORACLE["term_stats"] = f"WITH {INDEX} SELECT term, df, round(idf, 6) AS idf FROM ts"
 ORACLE["query_set"] = f"WITH {BM25} SELECT query_id, query_type, query, target FROM q2"
@@ -581,6 +592,12 @@ psc AS (SELECT source, doc_id, sum(ts.idf) AS score FROM pq JOIN pc USING (sourc
 scored AS (SELECT pp.source, pp.doc_id, round(coalesce(psc.score, 0.0::DOUBLE), 6) AS score
            FROM pp LEFT JOIN psc USING (source, doc_id))"""
 ORACLE["score_pairs"] = f"WITH {INDEX}, {PAIRS} SELECT source, doc_id, score FROM scored"
+ORACLE["rerank_with_scorer"] = f"""WITH {QR},
+cq AS (SELECT DISTINCT b.docid, a.question AS query, b.passage FROM qa a JOIN qa b USING (conv_id)),
+ct AS (SELECT docid, query, {toks('query')} AS q, {toks('passage')} AS c FROM cq),
+cs AS (SELECT docid, query, CASE WHEN len(q) = 0 THEN 0.0::DOUBLE ELSE
+              round(len(list_filter(q, lambda x: list_contains(c, x)))::DOUBLE / len(q), 6) END AS score FROM ct)
+SELECT docid, CAST(row_number() OVER (PARTITION BY docid ORDER BY score DESC, query) AS BIGINT) AS rank, query, score FROM cs"""
 ORACLE["rerank_queries"] = f"""WITH {INDEX},
 ss AS (SELECT mid AS doc_id, body_clean, regexp_extract_all(body_clean, {SENT}) AS s FROM corpus),
 cq AS (SELECT DISTINCT doc_id, unnest(s) AS query FROM ss),
@@ -625,8 +642,13 @@ ORACLE["tsv_roundtrip"] = f"WITH {QR} SELECT qid, docid FROM qr"
 ORACLE["query_tsv"] = f"WITH {QR} SELECT qid, trim(regexp_replace(question, '\\s+', ' ', 'g')) AS text FROM qa"
 ORACLE["corpus_tsv_read"] = f"""WITH {PAGES}
 SELECT page_id AS docid, passage, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title FROM pf"""
-ORACLE["run_log"] = """SELECT count(*) AS n_rows, CAST(floor(count(*) * 0.8::DOUBLE + 1e-9::DOUBLE) AS BIGINT) AS n_train,
-  CAST(ceil(floor(count(*) * 0.8::DOUBLE + 1e-9::DOUBLE) / 32) AS BIGINT) AS batches, 1.0::DOUBLE AS final_epoch FROM documents"""
+_LOGGED = """count(*) AS n_rows, count(rank) AS n_found, CAST(ceil(count(*) / 32.0) AS BIGINT) AS batches,
+  CASE WHEN count(*) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS final_epoch"""
+ORACLE["run_log"] = f"""(WITH {BM25} SELECT 'bm25_eval' AS job, {_LOGGED} FROM ranks)
+UNION ALL (WITH {BEAM} SELECT 'beam_eval' AS job, {_LOGGED} FROM branks)"""
+ORACLE["ordered_shards"] = f"""WITH {CORPUS},
+o AS (SELECT mid, row_number() OVER (ORDER BY subject, mid) AS rank, count(*) OVER () AS n FROM corpus)
+SELECT mid, CAST(floor((rank - 1) / ceil(n / 8.0)) AS BIGINT) AS shard, CAST(rank AS BIGINT) AS rank FROM o"""
 ORACLE["corpus_tsv"] = f"""WITH {PAGES}
 SELECT CAST(page_id AS VARCHAR) || chr(9) || passage || chr(9) || regexp_replace(title, '\\s+', ' ', 'g') AS line FROM pf"""
 ORACLE["nested_qa_flatten"] = f"""WITH {PAGES}
@@ -639,4 +661,5 @@ QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10"""
 
 ORACLE["textrank_summary"] = f"WITH {TEXTRANK} SELECT doc_id, text_rank_query FROM prep"
 ORACLE["textrank_keywords"] = f"WITH {TEXTRANK} SELECT doc_id, elaborative_description FROM prep"
+ORACLE["unique_docids"] = f"WITH {TEXTRANK} SELECT doc_id, trim(elaborative_description || ' ' || doc_id) AS docid FROM prep"
 ORACLE["prepare_corpus"] = f"WITH {TEXTRANK} SELECT * FROM prep"

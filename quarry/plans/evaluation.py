@@ -98,12 +98,12 @@ def summary_rows(ranks: DataFrame, system: str) -> DataFrame:
         F.lit(system).alias("system"), "query_type", "n_queries", "mrr_3", "mrr_20", "hits_1", "hits_10")
 
 
-def save_macro(spark: SparkSession, rows: DataFrame, size: str, table: str, staging: str) -> DataFrame:
+def save_macro(spark: SparkSession, rows: DataFrame, size: str, table: str) -> DataFrame:
     """IO3: upsert the macro row of an evaluation into a results table."""
     row = rows.where(F.col("query_type") == "macro").select(
         "system", F.lit(size).alias("size"), F.lit(EXPERIMENT).alias("experiment_type"), F.lit(VERSION).alias("version"),
         "mrr_3", "mrr_20", "hits_1", "hits_10", F.lit(0).alias("seq"))
-    return io.upsert_table(spark, table, staging, row)
+    return io.upsert_table(spark, table, row)
 
 
 def bm25_eval(spark: SparkSession, sf_dir: str) -> DataFrame:

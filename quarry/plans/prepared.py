@@ -16,6 +16,7 @@ from quarry.functions import text as tx
 from quarry.operators import textrank as tr
 from quarry.operators import textrank_local
 from quarry.operators.index import Index, build_index
+from quarry.operators.phrases import PositionIndex, build_positions
 from quarry.operators.ranking import first_per_key
 from quarry.plans import fixtures
 from quarry.session import scratch_path, written
@@ -28,8 +29,10 @@ def _stamp(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> tuple:
     """Identity of the application and of the input files."""
     marks: list = [spark.sparkContext.applicationId, sf_dir]
     for t in tables:
-        files = spark.read.parquet(table_path(sf_dir, t)).select("_metadata.file_path", "_metadata.file_modification_time")
-        marks += list(files.agg(F.count("*"), F.max("file_modification_time"), F.min("file_path")).first())
+        files = spark.read.parquet(table_path(sf_dir, t)).select(
+            "_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct()
+        one = F.xxhash64("file_path", "file_modification_time", "file_size")
+        marks += list(files.agg(F.count("*"), F.sum(one.cast("decimal(38,0)")), F.bit_xor(one)).first())
     return tuple(marks)
 
 
@@ -57,6 +60,12 @@ def corpus_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Index]:
     return corp, once(spark, sf_dir, "index", lambda: build_index(docs, path=scratch_path(spark, "index")))
 
 
+def position_index(spark: SparkSession, sf_dir: str) -> PositionIndex:
+    """Positional postings and document vectors of the corpus."""
+    docs = corpus(spark, sf_dir).select(F.col("mid").alias("doc_id"), tx.compose_contents("subject", "body_clean").alias("contents"))
+    return once(spark, sf_dir, "positions", lambda: build_positions(docs))
+
+
 def ranked_corpus(spark: SparkSession, sf_dir: str, iterations: int = tr.ITERATIONS) -> DataFrame:
     """The corpus with its TextRank ``summary`` and ``keywords``."""
     return textrank_local.summaries_and_keywords(corpus(spark, sf_dir), tx.compose_textrank_input("subject", "body_clean"), "mid", iterations)
@@ -83,6 +92,10 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "prepared", lambda: written(prepare(spark, sf_dir), "prepared"))
 
 
-def docids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, docid): TextRank keywords; '' where a document has none."""
-    return prepared(spark, sf_dir).select("doc_id", F.col("elaborative_description").alias("docid"))
+def docids(spark: SparkSession, sf_dir: str, unique_ids: bool = False) -> DataFrame:
+    """(doc_id, docid): TextRank keywords; '' where a document has none.
+    Equal keywords are one docid, unless ``unique_ids`` appends the id."""
+    docid = F.col("elaborative_description")
+    if unique_ids:
+        docid = F.trim(F.concat_ws(" ", docid, F.col("doc_id").cast("string")))
+    return prepared(spark, sf_dir).select("doc_id", docid.alias("docid"))

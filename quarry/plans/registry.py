@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators import metrics
+from quarry.operators import metrics, phrases
 from quarry.operators.index import analyze, postings_of
 from quarry.operators.ranking import first_per_key
 from quarry.plans import evaluation, fixtures, prepared
+from quarry.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -46,6 +47,20 @@ def q_postings(spark, sf):
     return p.select("term", "doc_id", "tf", F.array_join("positions", ",").alias("positions"))
 
 
+@register("doc_vectors")
+def q_doc_vectors(spark, sf):
+    """R1, forward form: each document's terms in order with tf and positions."""
+    vectors = prepared.position_index(spark, sf).vectors
+    entry = F.transform("terms", lambda t: F.concat_ws(":", t["term"], t["tf"].cast("string"), F.array_join(t["positions"].cast("array<string>"), ",")))
+    return vectors.select("doc_id", "dl", F.md5(F.array_join(entry, " ")).alias("terms_md5"))
+
+
+@register("phrase_match")
+def q_phrase_match(spark, sf):
+    """Documents that hold a benchmark passage as a phrase, by positions."""
+    return phrases.phrase_matches(prepared.position_index(spark, sf), read_table(spark, sf, "benchmark"))
+
+
 @register("doc_stats")
 def q_doc_stats(spark, sf):
     return analyze(_contents(spark, sf)).select("doc_id", "dl")

@@ -3,13 +3,16 @@ resolution and partition sizing.
 
 Library code never builds its own session; it receives one.  Intermediate
 tables and lineage cuts go to the shared folder named by
-``spark.checkpoint.dir``; where it is unset (tests, a plain local session)
-a folder inside the session's warehouse directory is used, which on a
-cluster is shared as well.  No machine-local temporary folder is ever used.
+``spark.checkpoint.dir``.  Where it is unset, a session in one process (tests,
+a plain local session) uses a folder inside its warehouse directory; a cluster
+session must name one, unless its warehouse lies in a store that all machines
+share.  An application's intermediate tables are one folder, which goes when
+the application ends or calls ``release_scratch``.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
 import zipfile
@@ -56,7 +59,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quarry_checkpoints"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        one_process = sc.master.startswith("local[") or sc.master == "local"
+        if not one_process and (warehouse.startswith("file:") or ":" not in warehouse):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        conf_dir = warehouse + "/_quarry_checkpoints"
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
 
@@ -85,11 +92,28 @@ def materialize(df: DataFrame) -> DataFrame:
     return df
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/quarry-io/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory (never a
-    machine-local temp dir)."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/quarry-io/{name}-{uuid.uuid4().hex}"
+    """A fresh folder of this application under the shared checkpoint
+    directory (never a machine-local temp dir)."""
+    sc, root = spark.sparkContext, _scratch_root(spark)
+    if getattr(sc, "_quarry_scratch", None) != sc.applicationId:
+        sc._quarry_scratch = sc.applicationId
+        atexit.register(release_scratch, spark)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables; frames that read them
+    can't be used any more.  Does nothing once the session has ended."""
+    sc = spark.sparkContext
+    if sc._jsc is None or sc._jsc.sc().isStopped():
+        return
+    path = sc._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
