@@ -4,11 +4,18 @@ A section is what stands between blank lines, a paragraph one line of it.
 A paragraph's hash is the sha256 of its text, a section's the sha256 of its
 paragraphs' hashes, the root the sha256 of the sections' hashes, so equal
 roots mean equal texts and differing branches lead to the edited lines.
-Below the paragraphs lie sentence hashes; the share of them that two trees
-have in common is the likeness of the two fingerprints.
+Below the paragraphs lie leaves: a word (or line end), or each eight characters
+of a longer one, together with the one before it.  The share of distinct
+leaves that two trees have in common is the likeness of the two fingerprints,
+so a text without sentence marks, line ends or even spaces is compared by its
+parts as well, and common words alone make no likeness.
 
 Null text counts as empty.  The empty text has one empty section with one
-empty paragraph and no sentence.  Repeated rows get equal fingerprints.
+empty paragraph and one leaf.  A very long text is one row all the way, as
+many leaves as it has words.  Repeated rows and ties of ids get fingerprints
+of their own rows; the next document of a tie goes by text.  An empty table
+gives no rows.  Columns other than id and text are ignored, but kept by
+``fingerprint``, which replaces columns named ``fingerprint`` and ``leaves``.
 All expressions are built-in functions and higher-order functions.
 """
 
@@ -19,8 +26,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import bucket_of, id_cuts, long_array, order_id
 
-SENTENCE = r"[^.!?\n]*[.!?\n]|[^.!?\n]+"
-#: Likeness of two different texts whose sentence sets are equal.
+UNIT = r"\n|[^\x20\x09-\x0D]{1,8}"
+#: Likeness of two different texts whose leaf sets are equal.
 BELOW_ONE = 0.999
 
 
@@ -47,14 +54,15 @@ def merkle_root(text: Column) -> Column:
         F.transform(F.split(s, "\n"), lambda p: F.sha2(p, 256)))))
 
 
-def sentence_hashes(text: Column) -> Column:
-    """Distinct 64-bit hashes of the sentences with their end marks."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)),
-                                        lambda s: F.xxhash64(s)))
+def leaf_hashes(text: Column) -> Column:
+    """Distinct 64-bit hashes of neighbouring units, the ends of the text
+    included."""
+    units, end = F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), F.array(F.lit(""))
+    return F.array_distinct(F.zip_with(F.concat(end, units), F.concat(units, end), lambda a, b: F.xxhash64(a, b)))
 
 
 def likeness(root_a: Column, leaves_a: Column, root_b: Column, leaves_b: Column) -> Column:
-    """1 for equal roots, else twice the common sentences over all (0 to 0.999)."""
+    """1 for equal roots, else twice the common leaves over all (0 to 0.999)."""
     total = F.size(leaves_a) + F.size(leaves_b)
     common = F.size(F.array_intersect(leaves_a, leaves_b))
     share = F.when(total > 0, 2.0 * common / total).otherwise(F.lit(0.0))
@@ -81,9 +89,9 @@ def differing_branches(tree_a: Column, tree_b: Column) -> Column:
 
 
 def fingerprint(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Append ``fingerprint`` (the root) and ``sentences`` to any table."""
+    """Append ``fingerprint`` (the root) and ``leaves`` to any table."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.withColumns({"fingerprint": merkle_root(text), "sentences": sentence_hashes(text)})
+    return df.withColumns({"fingerprint": merkle_root(text), "leaves": leaf_hashes(text)})
 
 
 def dealt_by_id(df: DataFrame, id_col: str = "doc_id", rows_per_bucket: int = 2048):
@@ -124,7 +132,7 @@ def edited_fingerprints(docs: DataFrame, rows_per_bucket: int = 2048) -> DataFra
     the next document, with their likeness and that to the next document."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     dealt, w = dealt_by_id(base, rows_per_bucket=rows_per_bucket)
-    own = dealt.withColumns({"root": merkle_root(F.col("text")), "leaves": sentence_hashes(F.col("text"))})
+    own = dealt.withColumns({"root": merkle_root(F.col("text")), "leaves": leaf_hashes(F.col("text"))})
     nxt = F.lead(F.struct("text", "root", "leaves")).over(w)
     rows = own.withColumn("nxt", nxt).where("_g = 0")
     n = F.length("text")
@@ -133,7 +141,7 @@ def edited_fingerprints(docs: DataFrame, rows_per_bucket: int = 2048) -> DataFra
     rows = rows.select("doc_id", n.cast("bigint").alias("n_chars"), "root", "leaves", "nxt", edited.alias("edited"))
     e_root, e_leaves = F.col("e.root"), F.col("e.leaves")
     rows = rows.withColumn("e", F.struct(merkle_root(F.col("edited")).alias("root"),
-                                         sentence_hashes(F.col("edited")).alias("leaves")))
+                                         leaf_hashes(F.col("edited")).alias("leaves")))
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("root").alias("fingerprint"),
         e_root.alias("edited_fingerprint"),

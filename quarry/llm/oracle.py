@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quarry.llm import fm_index, mixing
 
-_SENT = r"[^.!?\n]*[.!?\n]|[^.!?\n]+"
+_UNIT = r"\n|[^\x20\x09-\x0D]{1,8}"
 
 
 def _root(t: str) -> str:
@@ -12,6 +12,13 @@ def _root(t: str) -> str:
             f"sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), ''))")
 
 
+def _leaves(t: str) -> str:
+    """Distinct pairs of neighbouring units; no unit holds the joining sign."""
+    units = f"regexp_extract_all({t}, '{_UNIT}')"
+    return (f"list_distinct(list_transform(list_zip(list_concat([''], {units}), list_concat({units}, [''])), "
+            f"lambda x: x[1] || chr(32) || x[2]))")
+
+
 def _near(ra: str, la: str, rb: str, lb: str) -> str:
     return (f"round(CASE WHEN {ra} = {rb} THEN 1.0 WHEN len({la}) + len({lb}) = 0 THEN 0.0 "
             f"ELSE least(2.0::DOUBLE * len(list_intersect({la}, {lb})) / (len({la}) + len({lb})), 0.999) END, 6)::DOUBLE")
@@ -24,9 +31,7 @@ n AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS nxt, le
                           ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 e AS (SELECT *, substring(text, 1, n - n // 2) || substring(nxt, 1, n // 2) AS edited FROM n),
 f AS (SELECT doc_id, n, sha256(edited) AS edited_sha256, {_root('text')} AS r, {_root('edited')} AS er, {_root('nxt')} AS nr,
-             list_distinct(regexp_extract_all(text, '{_SENT}')) AS l,
-             list_distinct(regexp_extract_all(edited, '{_SENT}')) AS el,
-             list_distinct(regexp_extract_all(nxt, '{_SENT}')) AS nl FROM e)
+             {_leaves('text')} AS l, {_leaves('edited')} AS el, {_leaves('nxt')} AS nl FROM e)
 SELECT doc_id, n AS n_chars, edited_sha256, r AS fingerprint, er AS edited_fingerprint,
        {_near('r', 'l', 'er', 'el')} AS near_edited, {_near('r', 'l', 'nr', 'nl')} AS near_next FROM f
 """

@@ -4,7 +4,10 @@ import hashlib
 import zlib
 from collections import Counter, defaultdict
 
+import re
+
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +54,41 @@ def test_fingerprints_equal_the_oracle(spark):
     same_as_oracle(fingerprints.edited_fingerprints(frame(spark, rows), rows_per_bucket=16), rows, oracle.FINGERPRINTS, spark)
 
 
+def plain_leaves(text):
+    units = re.findall(r"\n|[^\x20\x09-\x0D]{1,8}", text)
+    return set(zip(["", *units], [*units, ""]))
+
+
+def test_likeness_equals_plain_leaves(spark):
+    rows = odd_rows(seed=6)
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1] or ""))
+    want = Counter()
+    for k, (i, t, *_) in enumerate(order):
+        t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
+        edited = t[:len(t) - len(t) // 2] + nxt[:len(t) // 2]
+
+        def near(a, b):
+            x, y = plain_leaves(a), plain_leaves(b)
+            return 1.0 if a == b else round(min(0.999, 2 * len(x & y) / (len(x) + len(y))), 6)
+        want[i, near(t, edited), near(t, nxt)] += 1
+    out = fingerprints.edited_fingerprints(frame(spark, rows), rows_per_bucket=12).collect()
+    assert Counter((r.doc_id, r.near_edited, r.near_next) for r in out) == want
+
+
+def test_half_kept_texts_stay_near(spark):
+    """No sentence marks, no line ends, no spaces: half of the leaves remain."""
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    word = lambda: "".join(rng.choice(letters, rng.integers(2, 9)))
+    texts = [" ".join(word() for _ in range(n)) for n in (4, 6, 10, 50, 2000)] + ["".join(rng.choice(letters, n)) for n in (20, 30, 400, 5000)]
+    texts += ["".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 5000, n)) for n in (20, 300)] + ["x" * 20 + str(rng.random())]
+    out = fingerprints.edited_fingerprints(frame(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        n = len(texts[r.doc_id])
+        assert r.near_edited >= (0.3 if n >= 200 else 0.1) and r.near_next <= 0.1, (texts[r.doc_id][:50], r)
+
+
 def test_one_and_no_document(spark):
     assert fingerprints.edited_fingerprints(frame(spark, [])).count() == 0
     r = fingerprints.edited_fingerprints(frame(spark, [(5, "abcd", None, None)])).collect()
@@ -152,6 +190,45 @@ def test_resharding_balances_and_keeps_rows(spark):
     assert max(rest) - min(rest) <= 0.05 * sum(rest) / len(rest)     # one text is larger than a shard's share
 
 
+def test_equal_texts_stay_together(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, f"text {i} " + "x" * int(rng.integers(1, 400)), "en", "a") for i in range(3000)]
+    rows += [(10_000 + 100 * g + j, f"group {g} " + "y" * (300 + g), "en", "a") for g in range(40) for j in range(2 + g % 9)]
+    rows += [(50_000 + j, "hot " * 60, "en", "a") for j in range(900)]              # more than two shards of one text
+    out = reshard.balanced(frame(spark, rows)).collect()
+    size = lambda t: len(t.encode()) + 1
+    text_of = {i: t for i, t, *_ in rows}
+    shards, total, held = defaultdict(set), 0, Counter()
+    for r in out:
+        shards[text_of[r.doc_id]].add(r.shard)
+        held[r.shard] += r["size"]
+        total += r["size"]
+    torn = [t for t, s in shards.items() if len(s) > 1]
+    copies = Counter(t for _, t, *_ in rows)
+    assert all(copies[t] * size(t) > total / 16 / reshard.TORN for t in torn)
+    assert max(held.values()) - min(held.values()) <= 0.01 * total / 16
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_moves_are_near_the_optimum(seed):
+    """Bytes moved against what no plan can avoid: all above a capacity."""
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, 1000, 2000).tolist()
+    old = rng.integers(0, 6, 2000).tolist() if seed else [0] * 2000
+    capacity = [sum(sizes) // 8 + 1] * 8
+    new = reshard.choose_blocks([(s, k) for k, s in enumerate(old)], old, sizes, 8, capacity)
+    held = Counter()
+    for s, b in zip(old, sizes):
+        held[s] += b
+    least = sum(max(0, held[s] - capacity[s]) for s in held)
+    moved = sum(b for a, z, b in zip(old, new, sizes) if a != z)
+    assert least <= moved <= least * 1.02 + 8000
+    got = Counter()
+    for z, b in zip(new, sizes):
+        got[z] += b
+    assert max(got.values()) - min(got[j] for j in range(8)) <= 10
+
+
 def test_resharding_of_few_rows(spark):
     assert reshard.balanced(frame(spark, [])).count() == 0
     assert reshard.balanced(frame(spark, [(1, "a", None, None)] * 3)).count() == 3
