@@ -1,10 +1,12 @@
 """Resharding by minimum-cost flow.
 
 An old layout of shards is to become a new one with given capacities.  The
-rows of a shard are grouped into at most ``BLOCKS`` blocks by a hash of the
-text (equal texts share a block); a block too large to balance with is cut
-further by a hash of the id.  Only block sizes reach the driver, whose number
-is bounded whatever the data (``BLOCKS`` + 2 * shards * ``FINE``).  A minimum
+rows of a shard are grouped into ``BLOCKS`` blocks (sixteen a shard at least)
+by a hash of the text (equal texts share a block); a block too large to
+balance with is cut further by another hash of the text.  Only a text whose
+copies fill more than 1 / ``TORN`` of a shard is cut by a hash of the id.  Only
+block sizes reach the driver, whose number is bounded whatever the data
+(``BLOCKS`` + 4 * shards * ``FINE``).  A minimum
 cost flow from old shard sizes to new capacities, where staying is free and a
 byte moved costs 1, tells how many bytes go from which shard to which; blocks
 are chosen to make up those amounts.  Shards that lose blocks are rewritten
@@ -32,6 +34,8 @@ from quarry.session import scratch_path
 BLOCKS = 4096
 #: A block above 1 / FINE of a shard is cut further.
 FINE = 64
+#: Equal texts above 1 / TORN of a shard together are cut by id.
+TORN = 2
 
 
 def row_size() -> Column:
@@ -121,16 +125,17 @@ def choose_blocks(blocks: list[tuple], old: list[int], sizes: list[int], n_new:
     return level(new, sizes, capacity)
 
 
-def level(new: list[int], sizes: list[int], capacity: list[int], rounds: int = 2000) -> list[int]:
+def level(new: list[int], sizes: list[int], capacity: list[int]) -> list[int]:
     """Move a block from a fuller to an emptier shard, or swap two, as long as
-    that brings both nearer to their capacities."""
+    that brings both nearer to their capacities (their squares shrink with
+    every change, so it ends)."""
     n = len(capacity)
     held = [-c for c in capacity]
     inside: list[list[int]] = [[] for _ in range(n)]
     for k, s in enumerate(new):
         held[s] += sizes[k]
         inside[s].append(k)
-    for _ in range(rounds):
+    while True:
         order = sorted(range(n), key=held.__getitem__)
         # the widest pair of shards that a change brings together; one huge block may hold up the widest
         pairs = sorted(((a, b) for b in order for a in order if held[a] - held[b] > 1), key=lambda p: held[p[1]] - held[p[0]])
@@ -189,7 +194,8 @@ def write_layout(docs: DataFrame, n_shards: int, id_col: str = "doc_id") -> Layo
     shard.  Sizes, checksums and blocks are kept in the files."""
     crc = text_crc32()
     rows = docs.withColumns({"_size": row_size(), "_crc32": crc})
-    rows = rows.withColumn("_block", (F.col("_crc32") % BLOCKS).cast("int"))
+    rows = rows.withColumn("_block", (F.col("_crc32") % max(BLOCKS, 16 * n_shards)).cast("int"))
+    rows = rows.withColumn("_text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     rows = rows.withColumn("_part", F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)).cast("int"))
     rows = rows.withColumn("_shard", (F.col("_block") % n_shards).cast("int"))
     path = scratch_path(docs.sparkSession, "shards-old")
@@ -197,17 +203,29 @@ def write_layout(docs: DataFrame, n_shards: int, id_col: str = "doc_id") -> Layo
     return Layout(docs.sparkSession, n_shards, [(path, None)], rows.schema)
 
 
-def _block_sizes(rows: DataFrame, limit: int) -> list[tuple]:
-    """[(shard, block, cuts, cut, bytes)]: blocks above ``limit`` bytes by cuts."""
-    whole = rows.groupBy("_shard", "_block").agg(F.sum("_size").alias("b")).collect()
-    out = [(r["_shard"], r["_block"], 1, 0, r["b"]) for r in whole if r["b"] <= limit]
-    large = [(r["_shard"], r["_block"], min(FINE * 4, math.ceil(r["b"] / limit) * 2)) for r in whole if r["b"] > limit]
-    if large:
-        cuts = F.broadcast(rows.sparkSession.createDataFrame(large, "_shard int, _block int, cuts int"))
-        cut = F.pmod(F.col("_part"), F.col("cuts"))
-        out += [tuple(r) for r in rows.join(cuts, ["_shard", "_block"]).groupBy("_shard", "_block", "cuts", cut.alias("cut"))
-                .agg(F.sum("_size")).collect()]
-    return sorted(out)
+_CUT = ["_shard", "_block", "_big", "_cuts", "_cut"]
+
+
+def _cuts(rows: DataFrame, limit: int, torn: int) -> DataFrame:
+    """``rows`` with _big (the hash of a text that is cut by id, else 0),
+    _cuts and _cut.  At most total / torn texts and total / limit blocks are
+    broadcast."""
+    spark = rows.sparkSession
+    whole = [r["_block"] for r in rows.groupBy("_shard", "_block").agg(F.sum("_size").alias("b")).where(F.col("b") > limit)
+             .select("_block").distinct().collect()]
+    if not whole:
+        return rows.withColumns({"_big": F.lit(0).cast("bigint"), "_cuts": F.lit(1), "_cut": F.lit(0)})
+    large = rows.join(F.broadcast(spark.createDataFrame([(b,) for b in whole], "_block int")), "_block", "left_semi")
+    texts = [(r["_block"], r["_text"], 2 * -(-r["b"] // limit)) for r in large.groupBy("_block", "_text").agg(F.sum("_size").alias("b"))
+             .where(F.col("b") > torn).collect()]
+    big = F.broadcast(spark.createDataFrame(texts, "_block int, _text bigint, _pieces int"))
+    rest = large.join(big, ["_block", "_text"], "left_anti").groupBy("_block").agg(F.sum("_size").alias("b")).collect()
+    cuts = F.broadcast(spark.createDataFrame([(r["_block"], 2 * -(-r["b"] // limit)) for r in rest], "_block int, _cuts int"))
+    found = rows.join(big, ["_block", "_text"], "left").join(cuts, "_block", "left")
+    is_big = F.col("_pieces").isNotNull()
+    n = F.when(is_big, F.col("_pieces")).otherwise(F.coalesce("_cuts", F.lit(1)))
+    return found.withColumn("_cuts", n).withColumn("_big", F.when(is_big, F.col("_text")).otherwise(F.lit(0).cast("bigint"))) \
+        .withColumn("_cut", F.pmod(F.when(is_big, F.col("_part")).otherwise(F.shiftright("_text", 20)), F.col("_cuts")).cast("int")).drop("_pieces")
 
 
 def reshard(layout: Layout, n_shards: int, capacity: list[int] | None = None) -> Layout:
@@ -217,18 +235,15 @@ def reshard(layout: Layout, n_shards: int, capacity: list[int] | None = None) ->
     total = rows.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
     if capacity is None:
         capacity = [total // n_shards + (j < total % n_shards) for j in range(n_shards)]
-    blocks = _block_sizes(rows.select("_shard", "_block", "_part", "_size"), max(1, total // (n_shards * FINE)))
-    new = choose_blocks(blocks, [b[0] for b in blocks], [b[4] for b in blocks], n_shards, capacity)
-    moved = [(*b[:4], j) for b, j in zip(blocks, new) if b[0] != j]
+    cut = _cuts(rows, max(1, total // (n_shards * FINE)), max(1, total // (n_shards * TORN)))
+    blocks = sorted(tuple(r) for r in cut.groupBy(*_CUT).agg(F.sum("_size").alias("bytes")).collect())
+    new = choose_blocks(blocks, [b[0] for b in blocks], [b[5] for b in blocks], n_shards, capacity)
+    moved = [(*b[:5], j) for b, j in zip(blocks, new) if b[0] != j]
     if not moved:
         return Layout(spark, n_shards, layout.parts, layout.schema)
     losing = sorted({b[0] for b in moved})
-    goes = F.broadcast(spark.createDataFrame(moved, "_shard int, _block int, cuts int, cut int, goes int"))
-    cuts = F.broadcast(spark.createDataFrame(sorted({b[:3] for b in blocks if b[2] > 1}), "_shard int, _block int, cuts int"))
-    affected = rows.where(F.col("_shard").isin(losing)).join(cuts, ["_shard", "_block"], "left")
-    affected = affected.withColumn("cuts", F.coalesce("cuts", F.lit(1))).withColumn("cut", F.pmod(F.col("_part"), F.col("cuts")))
-    affected = affected.join(goes, ["_shard", "_block", "cuts", "cut"], "left").withColumn(
-        "_shard", F.coalesce("goes", "_shard")).drop("cuts", "cut", "goes")
+    goes = F.broadcast(spark.createDataFrame(moved, "_shard int, _block int, _big bigint, _cuts int, _cut int, _goes int"))
+    affected = cut.where(F.col("_shard").isin(losing)).join(goes, _CUT, "left").withColumn("_shard", F.coalesce("_goes", "_shard"))
     path = scratch_path(spark, "shards-new")
     affected.select(*rows.columns).write.partitionBy("_shard").parquet(path)
     parts = []
