@@ -94,6 +94,17 @@ def slices(batches, rows: int = 512):
             trim()
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns as one struct ``row``, so that columns an operator adds
+    beside it clash with none of them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of ``row`` again, in order, some of them changed."""
+    return rows.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in columns])
+
+
 def order_id(col: str | Column) -> Column:
     """The id as a non-null sort key."""
     c = F.col(col) if isinstance(col, str) else col

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import connected_components, order_id, serve, ship_package, slices
+from quarry.llm.common import connected_components, order_id, packed, serve, ship_package, slices, unpacked
 from quarry.llm.shingles import release, shingle_sets
 from quarry.session import written
 
@@ -358,6 +358,6 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     stays.  The text moves once, by id."""
     kept = jaccard_groups(docs, size, percent).where("kept").select(
         order_id("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    rows = docs.withColumns({"_id": order_id("doc_id"), "_h": text_hash()}).join(kept, ["_id", "_h"])
+    rows = docs.select(packed(docs), order_id("doc_id").alias("_id"), text_hash().alias("_h")).join(kept, ["_id", "_h"])
     one = Window.partitionBy("_id", "_h").orderBy(F.lit(0))
-    return rows.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(docs.columns)
+    return unpacked(rows.withColumn("_n", F.row_number().over(one)).where("_n = 1"), docs.columns)

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import order_id
+from quarry.llm.common import order_id, packed, unpacked
 from quarry.session import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,11 +32,11 @@ SEED = 7
 
 
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, text_key, sk, size, h): word count and seeded hash of
+    """(doc_id, source, text_key, source_key, sk, size, h): word count and seeded hash of
     each row.  ``sk`` is the source as a join key that null has too, text_key
-    tells rows with the same id apart."""
+    and source_key tell rows with the same id apart."""
     return docs.select(
-        "doc_id", "source", F.xxhash64("text").alias("text_key"),
+        "doc_id", "source", F.xxhash64("text").alias("text_key"), F.xxhash64("source").alias("source_key"),
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("sk"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"))
@@ -89,7 +89,7 @@ def sainte_lague(parties: DataFrame, group: str, votes: str, seats: str, key: st
 
 def mixed_rows(docs: DataFrame, weights=WEIGHTS, repeat_limit: int = REPEAT_LIMIT, block_words: int = BLOCK_WORDS,
         rows_per_shard: int = ROWS_PER_SHARD, seed: int = SEED) -> DataFrame:
-    """(doc_id, text_key, size, source_size, target, taken) for every row of
+    """(doc_id, text_key, source_key, size, source_size, target, taken) for every row of
     ``docs``."""
     base = written(sized(docs, seed), "mix-sizes")
     n, total = base.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -110,18 +110,25 @@ def mixed_rows(docs: DataFrame, weights=WEIGHTS, repeat_limit: int = REPEAT_LIMI
     w = Window.partitionBy("sk", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = base.join(quotas, ["sk", "shard"]).withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)))
     taken = F.col("passes") * F.col("size") + F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before")))
-    return rows.select("doc_id", "text_key", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    return rows.select("doc_id", "text_key", "source_key", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of ``docs``."""
-    return mixed_rows(docs, **settings).drop("text_key")
+    return mixed_rows(docs, **settings).drop("text_key", "source_key")
 
 
 def repeat_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix as documents: each as often as its taken words fill it, begun
     ones included; those with no word taken go.  The text moves once, by id."""
-    taken = mixed_rows(docs, **settings).where("taken > 0").groupBy(order_id("doc_id").alias("_id"), "text_key").agg(
-        F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    rows = docs.withColumns({"_id": order_id("doc_id"), "text_key": F.xxhash64("text")}).join(taken, ["_id", "text_key"])
-    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
+    taken = mixed_rows(docs, **settings).where("taken > 0").groupBy(order_id("doc_id").alias("_id"), "text_key", "source_key").agg(
+        F.sum(F.ceil(F.col("taken") / F.col("size"))).alias("_times"), F.count("*").alias("_rows"))
+    rows = docs.select(packed(docs), order_id("doc_id").alias("_id"), F.xxhash64("text").alias("text_key"),
+                       F.xxhash64("source").alias("source_key")).join(taken, ["_id", "text_key", "source_key"])
+    # rows that repeat an id, text and source share their copies, the first ones take what is left over
+    lone = rows.where("_rows = 1").withColumn("_place", F.lit(1))
+    place = F.row_number().over(Window.partitionBy("_id", "text_key", "source_key").orderBy(F.lit(0)))
+    rows = lone.unionByName(rows.where("_rows > 1").withColumn("_place", place))
+    times = F.floor(F.col("_times") / F.col("_rows")) + F.when(F.col("_place") <= F.col("_times") % F.col("_rows"), 1).otherwise(0)
+    rows = rows.withColumn("_t", times.cast("int")).where("_t > 0")
+    return unpacked(rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_t")))), docs.columns)

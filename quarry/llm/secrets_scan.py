@@ -37,6 +37,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import packed, unpacked
+
 LEAST_LENGTH = 12
 NEIGHBOURS = 3
 DICTIONARY = 2000
@@ -241,11 +243,13 @@ def redact(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: st
     without one stay as they are, null stays null."""
     secret = F.filter(F.col("findings"), lambda x: x["score"] >= threshold)
     short = F.filter(secret, lambda x: F.length(x["value"]) < LEAST_LENGTH)
-    text = F.when(F.size(short) > 0, _masked_words(F.col(text_col), short)).otherwise(F.col(text_col))
+    text = F.when(F.size(short) > 0, _masked_words(F.col("text"), short)).otherwise(F.col("text"))
     wide = F.filter(F.array_distinct(F.transform(secret, lambda x: x["value"])), lambda v: F.length(v) >= LEAST_LENGTH)
     longest = F.sort_array(F.transform(wide, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v"))))
     clean = F.aggregate(longest, text, lambda t, s: F.replace(t, s["v"], F.lit(MASK)))
-    return scan(docs, forest, text_col, path_col).withColumn(text_col, clean).drop("findings")
+    others = docs.select([F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    rows = docs.select(packed(others), F.col(text_col).alias("text"), F.col(path_col).alias("path"))
+    return unpacked(scan(rows, forest, "text", "path").withColumn("clean", clean), docs.columns, **{text_col: F.col("clean")})
 
 
 def _masked_words(text: Column, found: Column) -> Column:
