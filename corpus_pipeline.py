@@ -9,8 +9,8 @@
 5. byte-level BPE: every text is encoded and its ids decoded; the rows carry the
    digests of both.
 
-Null texts go in stage 1.  Extra columns pass through stages 1 to 4.  An empty
-table gives no rows.
+Null texts go in stage 1.  Extra columns pass through stages 1 to 4, whatever
+their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import duck_bpe, jaccard_join, langid, mixing, secrets_scan
-from quarry.llm.common import table
+from quarry.llm.common import packed, table, unpacked
 from quarry.session import written
 
 
@@ -28,8 +28,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.select("lang", "text"))
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = langid.identify(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous"))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    rows = docs.select(packed(docs), "text")
+    found = langid.identify(rows, model).where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous"))
+    return unpacked(found, docs.columns, lang=F.coalesce(F.col("row")["lang"], F.col("lang_pred")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +38,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    forest = secrets_scan.train_on(docs)
-    clean = secrets_scan.redact(docs, forest)
+    clean = secrets_scan.redact(docs, secrets_scan.train_on(docs))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast("bigint"))
-    return clean.select(docs.columns)
+    return clean
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
