@@ -15,16 +15,20 @@ A block holds ``BLOCK_IDS`` ids (the last one fewer) and is coded with models
 reset at its start, so each can be decoded alone and a damaged one is found
 by its checksum.
 
-Model.  Three predictions of the next id are looked up: the id last seen
-after the two ids before (order 2), after the id before (order 1), and the
-most frequent id so far (order 0).  Which of them holds, or none, is coded
-with a mixture of adaptive counts, of the block and of the state of the
-predictions, whose weight follows how well each did; an id that none foretold is coded by adaptive order-0 counts
-of its upper byte and a flat lower byte.  Range coder: 64-bit carryless, 16
-bits at a time.  The blocks of a segment advance in step as rows of arrays.
-
-Ids must be below 65536.  Null and empty texts are the end id alone.  Repeated
-rows are documents of their own; null ids come first.
+Model.  Four predictions of the next id are mixed: the id that last followed
+the two ids before (order 2), the one that last followed the id before
+(order 1), the counts of the block's ids so far (order 0), and for ids that the
+block has not had a fixed law, falling with the id as merge ranks do.  Which
+one codes the id follows from adaptive counts of the block and of the state
+that the contexts are in (how often each was right in a row, whether they
+agree, how many ids the block has had), mixed with a weight that follows how
+well each of the two did.  Range coder: 64-bit carryless, 16 bits at a time.
+The blocks of a segment advance in step as rows of arrays.
+
+Ids must be below 2**20.  Null and empty texts are the end id alone.  Repeated
+rows are documents of their own; null ids come first, ties go by text.  An
+empty table makes an empty file set, read as no rows.  Columns other than id
+and text are not written.
 """
 
 from __future__ import annotations
@@ -48,15 +52,34 @@ LANES = 4096
 SEGMENT_IDS = BLOCK_IDS * LANES
 ROWS_PER_BUCKET = 2048
 WORDS_KEPT = 600_000
-SLOTS = 1024
-DECAY, SHARE = 0.96, 0.02
+MAX_ID = 1 << 20
+SLOTS2, SLOTS1 = 2048, 1024             # contexts of a block, by hash
+PLACES = 2 * BLOCK_IDS                  # of a block's table of its ids (open addressing)
+GROUP, GROUPS = 16, BLOCK_IDS // 16     # counts of order 0 and their sums
+LEVELS = 6                              # of ids that the block has had
+DECAY, SHARE = 0.99, 0.02
 
 SCHEMA = ("bucket int, start bigint, doc_ids array<bigint>, doc_lens array<bigint>, n_ids bigint, "
           "block_words array<int>, block_crc32 array<bigint>, payload binary")
 
 _16, _48 = np.uint64(16), np.uint64(48)
 _LOW32 = np.uint64((1 << 32) - 1)
-_STEP16 = np.arange(16, dtype=np.int64)
+_STEP = np.arange(max(GROUP, GROUPS), dtype=np.int64)
+
+
+@functools.lru_cache(1)
+def unseen_law() -> np.ndarray:
+    """Sums of the weights 2**20 // (id + 256) + 1 of all ids before each."""
+    return np.concatenate([[0], np.cumsum((1 << 20) // (np.arange(MAX_ID) + 256) + 1)])
+
+
+def _start_counts() -> np.ndarray:
+    """First counts of the four kinds by state (order 2, order 1, agree)."""
+    out = np.full((4, 4, 2, LEVELS, 4), 0.6, np.float32)
+    out[..., :2] = 0.01
+    out[1:, :, :, :, 0] = 0.4
+    out[:, 1:, 0, :, 1] = 0.4
+    return out.reshape(-1, 4)
 
 
 class Model:
@@ -64,17 +87,20 @@ class Model:
 
     def __init__(self, n: int):
         self.row = np.arange(n)
-        self.after2 = np.full(n * SLOTS, -1, np.int32)
-        self.after1 = np.full(n * SLOTS, -1, np.int32)
-        self.sure = np.zeros(n * SLOTS, np.int8)
-        self.seen = np.zeros(n * SLOTS, np.int16)
-        self.most, self.most_seen = np.full(n, -2, np.int64), np.zeros(n, np.int16)
-        self.count0 = np.full((n, 4), 0.5, np.float32)
-        self.count2 = np.full((n * 16, 4), 0.3, np.float32)
-        self.weight = np.full(n, 0.5, np.float32)
-        self.coarse = np.full((n, 16), 16, np.int32)
-        self.fine = np.ones((n * 16, 16), np.int32)
+        self.after2, self.sure2 = np.full(n * SLOTS2, -1, np.int32), np.zeros(n * SLOTS2, np.int8)
+        self.after1, self.sure1 = np.full(n * SLOTS1, -1, np.int32), np.zeros(n * SLOTS1, np.int8)
+        start = _start_counts()
+        self.states = len(start)
+        self.by_state = np.tile(start, (n, 1))
+        self.by_block = np.full((n, 4), 0.5, np.float32)
+        self.weight = np.full(n, 0.2, np.float32)
+        self.seen = np.full((n, BLOCK_IDS), -1, np.int32)       # ids of the block in order of arrival
+        self.key, self.put = np.full(n * PLACES, -1, np.int32), np.zeros(n * PLACES, np.int16)
+        self.count = np.zeros((n * GROUPS, GROUP), np.int32)
+        self.sums = np.zeros((n, GROUPS), np.int32)
+        self.used = np.zeros(n, np.int64)
         self.last = np.zeros((2, n), np.int64)
+        self.step = self.width = 0
 
     def narrow(self, n: int) -> None:
         """Go on with the first n blocks only."""
@@ -87,52 +113,77 @@ class Model:
 
     def predict(self) -> None:
         row, (b, a) = self.row, self.last                   # a: the id before, b: the one before it
-        self.at2 = row * SLOTS + (((b * 40503 + a * 10007) >> 3) & (SLOTS - 1))
-        self.at1 = row * SLOTS + (a & (SLOTS - 1))
-        self.p2, self.p1, self.p0 = self.after2[self.at2], self.after1[self.at1], self.most
-        # how sure order 2 is, and which predictions agree
-        self.c2 = row * 16 + np.where(self.p2 < 0, 0, self.sure[self.at2] + 1) * 4 \
-            + (self.p2 == self.p1) * 2 + (self.p1 == self.p0)
-        self.n2 = self.count2[self.c2]
-        self.e0, self.e2 = (x / (x[:, 0] + x[:, 1] + x[:, 2] + x[:, 3])[:, None] for x in (self.count0, self.n2))
-        self.mixed = self.e2 + self.weight[:, None] * (self.e0 - self.e2)
-        share = np.maximum(self.mixed * np.float32(65000), 0).astype(np.int32) + 1
+        self.at2 = row * SLOTS2 + (((b * 40503 + a * 10007) >> 3) & (SLOTS2 - 1))
+        self.at1 = row * SLOTS1 + (a & (SLOTS1 - 1))
+        self.p2, self.p1 = self.after2[self.at2], self.after1[self.at1]
+        s2 = np.where(self.p2 < 0, 0, self.sure2[self.at2] + 1)
+        s1 = np.where(self.p1 < 0, 0, self.sure1[self.at1] + 1)
+        level = np.minimum(LEVELS - 1, np.frexp(self.used + 1.0)[1] >> 1)
+        self.state = row * self.states + (((s2 * 4 + s1) * 2 + ((self.p2 == self.p1) & (self.p2 >= 0))) * LEVELS + level)
+        self.held = self.by_state[self.state]
+        self.e0, self.e2 = (x / (x[:, 0] + x[:, 1] + x[:, 2] + x[:, 3])[:, None] for x in (self.by_block, self.held))
+        mixed = self.e2 + self.weight[:, None] * (self.e0 - self.e2)
+        share = np.maximum(mixed * np.float32(65000), 0).astype(np.int32) + 1
         share[:, 3] += 65536 - (share[:, 0] + share[:, 1] + share[:, 2] + share[:, 3])
         self.share = share
 
-    def kind_of(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids == self.p2, 0, np.where(ids == self.p1, 1, np.where(ids == self.p0, 2, 3)))
-
-    def update(self, kind: np.ndarray, ids: np.ndarray) -> None:
+    def place_of(self, ids: np.ndarray) -> np.ndarray:
+        """Where the block has each id, -1 for a new one."""
+        at = self.row * PLACES + ((ids * 40503 >> 4) & (PLACES - 1))
+        key = self.key[at]
+        miss = np.flatnonzero((key != ids) & (key >= 0))
+        while len(miss):
+            on = at[miss] + 1
+            on = np.where(on & (PLACES - 1) == 0, on - PLACES, on)
+            at[miss], key[miss] = on, self.key[on]
+            miss = miss[(key[miss] != ids[miss]) & (key[miss] >= 0)]
+        self.slot = at
+        return np.where(key == ids, self.put[at], -1)
+
+    def kind_of(self, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return np.where(ids == self.p2, 0, np.where(ids == self.p1, 1, np.where(place >= 0, 2, 3)))
+
+    def update(self, kind: np.ndarray, ids: np.ndarray, place: np.ndarray) -> None:
         row = self.row
         a, b = self.weight * self.e0[row, kind], (1 - self.weight) * self.e2[row, kind]
         self.weight = np.clip(a / (a + b), np.float32(SHARE), np.float32(1 - SHARE))
-        self.count0 *= np.float32(DECAY)
-        self.count0[row, kind] += np.float32(1)
-        self.n2 *= np.float32(DECAY)
-        self.n2[row, kind] += np.float32(1)
-        self.count2[self.c2] = self.n2
-        self.sure[self.at2] = np.where(self.p2 == ids, np.minimum(self.sure[self.at2] + 1, 2), 0)
-        self.after2[self.at2] = ids
-        self.after1[self.at1] = ids
-        at0 = row * SLOTS + (ids & (SLOTS - 1))
-        n = self.seen[at0] + 1
-        self.seen[at0] = n
-        lead = n > self.most_seen
-        self.most = np.where(lead, ids, self.most)
-        self.most_seen = np.maximum(n, self.most_seen)
+        self.by_block *= np.float32(DECAY)
+        self.by_block[row, kind] += np.float32(1)
+        self.held *= np.float32(DECAY)
+        self.held[row, kind] += np.float32(1)
+        self.by_state[self.state] = self.held
+        for after, sure, at, had in ((self.after2, self.sure2, self.at2, self.p2), (self.after1, self.sure1, self.at1, self.p1)):
+            right, trust = had == ids, sure[at]
+            sure[at] = np.where(right, np.minimum(trust + 1, 2), 0)
+            after[at] = np.where(right | (trust > 0), had, ids)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place = place.copy()
+            place[new] = self.used[new]
+            self.seen[new, place[new]] = ids[new]
+            self.key[self.slot[new]], self.put[self.slot[new]] = ids[new], place[new]
+            self.used[new] += 1
+            self.width = int(self.used.max())
+        self.count[row * GROUPS + place // GROUP, place % GROUP] += 1
+        self.sums[row, place // GROUP] += 1
+        self.step += 1
         self.last = np.stack([self.last[1], ids])
 
-    def learn_upper(self, rows: np.ndarray, upper: np.ndarray) -> None:
-        self.coarse[rows, upper >> 4] += 32
-        self.fine[rows * 16 + (upper >> 4), upper & 15] += 32
-
+    def before(self, rows: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(counts before, count) of places in the blocks ``rows``."""
+        group, inside = place // GROUP, place % GROUP
+        n = self.width // GROUP + 1
+        c = self.count[rows * GROUPS + group]
+        ahead = (self.sums[rows, :n] * (_STEP[:n] < group[:, None])).sum(1) + (c * (_STEP[:GROUP] < inside[:, None])).sum(1)
+        return ahead, c[np.arange(len(rows)), inside].astype(np.int64)
 
-def _upper_range(m: Model, rows: np.ndarray, upper: np.ndarray):
-    """(before, count, total) of an upper byte in the order-0 counts."""
-    c, f = m.coarse[rows], m.fine[rows * 16 + (upper >> 4)]
-    before = (c * (_STEP16 < (upper >> 4)[:, None])).sum(1) + (f * (_STEP16 < (upper & 15)[:, None])).sum(1)
-    return before, f[np.arange(len(rows)), upper & 15].astype(np.int64), c.sum(1)
+    def place_at(self, rows: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The place whose counts hold ``v`` in each block."""
+        own, n = np.arange(len(rows)), self.width // GROUP + 1
+        c = np.cumsum(self.sums[rows, :n], 1, dtype=np.int64)
+        group = (c <= v[:, None]).sum(1)
+        left = v - np.where(group > 0, c[own, group - 1], 0)
+        return group * GROUP + (np.cumsum(self.count[rows * GROUPS + group], 1) <= left[:, None]).sum(1)
 
 
 def _shift(low: np.ndarray, span: np.ndarray) -> np.ndarray:
@@ -147,8 +198,9 @@ def _shift(low: np.ndarray, span: np.ndarray) -> np.ndarray:
 
 def encode_blocks(ids: np.ndarray) -> tuple[list[int], list[int], bytes]:
     """(words of each block, crc32 of each block, codes) of a run of ids."""
-    if len(ids) and int(ids.max()) > 0xFFFF:
-        raise ValueError("ids must be below 65536")
+    if len(ids) and int(ids.max()) >= MAX_ID:
+        raise ValueError(f"ids must be below {MAX_ID}")
+    law = unseen_law()
     words, sums, codes = [], [], []
     for at in range(0, len(ids), BLOCK_IDS * LANES):
         part = ids[at:at + BLOCK_IDS * LANES].astype(np.int64)
@@ -172,6 +224,12 @@ def encode_blocks(ids: np.ndarray) -> tuple[list[int], list[int], bytes]:
                 span[r] = span_[k] << _16
                 rows = r
 
+        def narrowed(rows, before, count, whole):
+            unit = span[rows] // np.uint64(whole)
+            low[rows] += unit * before.astype(np.uint64)
+            span[rows] = unit * count.astype(np.uint64)
+            put(rows)
+
         for step in range(BLOCK_IDS):
             if step == tail and n > 0 and len(m.row) == n:
                 if n == 1:
@@ -180,23 +238,17 @@ def encode_blocks(ids: np.ndarray) -> tuple[list[int], list[int], bytes]:
             rows = m.row
             x = table[rows, step]
             m.predict()
-            kind = m.kind_of(x)
+            place = m.place_of(x)
+            kind = m.kind_of(x, place)
             total = np.cumsum(m.share, 1, dtype=np.int64)
-            unit = span[rows] >> _16
             freq = m.share[rows, kind]
-            low[rows] += unit * (total[rows, kind] - freq).astype(np.uint64)
-            span[rows] = unit * freq.astype(np.uint64)
-            put(rows)
-            lit = rows[kind == 3]
-            if len(lit):
-                upper = x[lit] >> 8
-                before, count, whole = _upper_range(m, lit, upper)
-                unit = span[lit] // (whole << 8).astype(np.uint64)
-                low[lit] += unit * ((before << 8) + count * (x[lit] & 255)).astype(np.uint64)
-                span[lit] = unit * count.astype(np.uint64)
-                put(lit)
-                m.learn_upper(lit, upper)
-            m.update(kind, x)
+            narrowed(rows, total[rows, kind] - freq, freq, 65536)
+            known, new = rows[kind == 2], rows[kind == 3]
+            if len(known):
+                narrowed(known, *m.before(known, place[known]), m.step)
+            if len(new):
+                narrowed(new, law[x[new]], law[x[new] + 1] - law[x[new]], law[-1])
+            m.update(kind, x, place)
         for k in range(4):
             out[np.arange(n), used] = (low >> _48).astype(np.uint16)
             used += 1
@@ -211,7 +263,7 @@ def encode_blocks(ids: np.ndarray) -> tuple[list[int], list[int], bytes]:
 
 def decode_blocks(n_ids: int, words: list[int], sums: list[int], payload: bytes) -> np.ndarray:
     """The ids of consecutive blocks; raises ValueError where a checksum differs."""
-    parts = []
+    parts, law = [], unseen_law()
     code_at = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
     data = np.frombuffer(payload, "<u2")
     for first in range(0, len(words), LANES):
@@ -242,6 +294,16 @@ def decode_blocks(n_ids: int, words: list[int], sums: list[int], payload: bytes)
                 span[r] = span_[k] << _16
                 rows = r
 
+        def value(rows, whole):
+            got = (code[rows] - low[rows]) // (span[rows] // np.uint64(whole))
+            return np.minimum(got, np.uint64(int(whole) - 1)).astype(np.int64)
+
+        def narrowed(rows, before, count, whole):
+            unit = span[rows] // np.uint64(whole)
+            low[rows] += unit * before.astype(np.uint64)
+            span[rows] = unit * count.astype(np.uint64)
+            take(rows)
+
         for step in range(BLOCK_IDS):
             if step == tail and len(m.row) == n:
                 if n == 1:
@@ -250,33 +312,19 @@ def decode_blocks(n_ids: int, words: list[int], sums: list[int], payload: bytes)
             rows = m.row
             m.predict()
             total = np.cumsum(m.share, 1, dtype=np.int64)
-            unit = span[rows] >> _16
-            v = np.minimum((code[rows] - low[rows]) // unit, np.uint64(65535)).astype(np.int64)
-            kind = (total <= v[:, None]).sum(1)
+            kind = (total <= value(rows, 65536)[:, None]).sum(1)
             freq = m.share[rows, kind]
-            low[rows] += unit * (total[rows, kind] - freq).astype(np.uint64)
-            span[rows] = unit * freq.astype(np.uint64)
-            take(rows)
-            x = np.where(kind == 0, m.p2, np.where(kind == 1, m.p1, m.p0)).astype(np.int64)
-            lit = rows[kind == 3]
-            if len(lit):
-                c = np.cumsum(m.coarse[lit], 1, dtype=np.int64)
-                whole = c[:, -1]
-                unit = span[lit] // (whole << 8).astype(np.uint64)
-                v = np.minimum(((code[lit] - low[lit]) // unit).astype(np.int64), (whole << 8) - 1)
-                hi = (c <= (v >> 8)[:, None]).sum(1)
-                own = np.arange(len(lit))
-                left = (v >> 8) - np.where(hi > 0, c[own, hi - 1], 0)
-                f = np.cumsum(m.fine[lit * 16 + hi], 1, dtype=np.int64)
-                lo = (f <= left[:, None]).sum(1)
-                upper = hi * 16 + lo
-                before, count, _ = _upper_range(m, lit, upper)
-                x[lit] = (upper << 8) + (v - (before << 8)) // count
-                low[lit] += unit * ((before << 8) + count * (x[lit] & 255)).astype(np.uint64)
-                span[lit] = unit * count.astype(np.uint64)
-                take(lit)
-                m.learn_upper(lit, upper)
-            m.update(kind, x)
+            narrowed(rows, total[rows, kind] - freq, freq, 65536)
+            x = np.where(kind == 0, m.p2, m.p1).astype(np.int64)
+            known, new = rows[kind == 2], rows[kind == 3]
+            if len(known):
+                at = m.place_at(known, value(known, m.step))
+                narrowed(known, *m.before(known, at), m.step)
+                x[known] = m.seen[known, at]
+            if len(new):
+                x[new] = np.searchsorted(law, value(new, law[-1]), side="right") - 1
+                narrowed(new, law[x[new]], law[x[new] + 1] - law[x[new]], law[-1])
+            m.update(kind, x, m.place_of(x))
             table[rows, step] = x
         got = table.ravel()[:size].astype("<u4")
         raw = got.tobytes()
