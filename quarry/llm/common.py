@@ -11,6 +11,7 @@ import os
 import zipfile
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,7 @@ NULL_ID = -(1 << 63)
 MAX_BUCKETS = 1 << 16
 BATCH_ROWS = 1_000
 TRIM_BYTES = 16 << 20
+FAN_IN = 64
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -105,6 +107,24 @@ def unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFram
     return rows.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in columns])
 
 
+def added_up(parts: DataFrame, key: str, kind: str) -> DataFrame:
+    """(key, counts): the sum of the int64 vectors ``counts`` (binary) of each
+    key, whose parts the tasks of a narrow plan made.  A tree over the tasks:
+    ``FAN_IN`` neighbours meet in a group on two levels, and the last one has a
+    vector per ``FAN_IN`` ** 2 tasks (25 at 100,000 tasks)."""
+    schema = f"{key} {kind}, slot int, counts binary"
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b.as_py(), np.int64) for b in group.column("counts"))
+        return pa.table({key: group.column(key)[:1], "slot": group.column("slot")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    tree = parts.withColumn("slot", F.spark_partition_id())
+    for level in range(3):
+        tree = tree.withColumn("slot", F.floor(F.col("slot") / FAN_IN).cast("int") if level < 2 else F.lit(0))
+        tree = tree.groupBy(key, "slot").applyInArrow(lambda group: add(group), schema)
+    return tree.select(key, "counts")
+
+
 def order_id(col: str | Column) -> Column:
     """The id as a non-null sort key."""
     c = F.col(col) if isinstance(col, str) else col

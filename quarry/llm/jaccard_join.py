@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import connected_components, order_id, packed, serve, ship_package, slices, unpacked
+from quarry.llm.common import added_up, connected_components, order_id, packed, serve, ship_package, slices, unpacked
 from quarry.llm.shingles import release, shingle_sets
 from quarry.session import written
 
@@ -78,7 +78,7 @@ def set_key(s: np.ndarray) -> int:
 
 def shingle_counts(docs: DataFrame, size: int, bits: int) -> np.ndarray:
     """Documents per hashed shingle, over all rows: ``1 << bits`` counters,
-    added up in two levels of tasks; only the sum reaches the driver."""
+    added up in levels of tasks; only the sum reaches the driver."""
     step = min(SLICE, 1 << bits)
 
     def count(batches):
@@ -90,16 +90,9 @@ def shingle_counts(docs: DataFrame, size: int, bits: int) -> np.ndarray:
             pa.array(range(0, 1 << bits, step), pa.int32()),
             pa.array([total[k:k + step].tobytes() for k in range(0, 1 << bits, step)])], ["part", "counts"])
 
-    def add(pdf):
-        total = sum((np.frombuffer(b, np.int64) for b in pdf["counts"]), np.int64(0))
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "counts": [np.asarray(total).tobytes()]})
-
-    schema = "part int, counts binary"
-    parts = _text_rows(docs).select("text").mapInArrow(count, schema)
-    some = parts.withColumn("salt", F.spark_partition_id() % 16).groupBy("part", "salt").applyInPandas(
-        lambda pdf: add(pdf), schema)
+    parts = _text_rows(docs).select("text").mapInArrow(count, "part int, counts binary")
     out = np.zeros(1 << bits, np.int64)
-    for r in some.groupBy("part").applyInPandas(lambda pdf: add(pdf), schema).collect():
+    for r in added_up(parts, "part", "int").collect():
         out[r["part"]:r["part"] + step] = np.frombuffer(r["counts"], np.int64)
     return out
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import serve, ship_package
+from quarry.llm.common import added_up, serve, ship_package
 
 HASH_BITS = 15
 PIECE = 1 << 19
@@ -112,21 +112,10 @@ def count_trigrams(train: DataFrame, lang_col: str, text_col: str) -> dict[str,
         if total:
             yield pd.DataFrame({"lang": list(total), "counts": [v.tobytes() for v in total.values()]})
 
-    def add(pdf):
-        if not len(pdf):
-            return pdf[["lang", "counts"]]
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]],
-                             "counts": [sum(np.frombuffer(b, np.int64) for b in pdf["counts"]).tobytes()]})
-
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()) \
         .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    schema = "lang string, counts binary"
-    parts = rows.mapInPandas(count, schema)
-    # two levels, so that no task adds up more than a share of the vectors
-    some = parts.withColumn("salt", F.spark_partition_id() % 32).groupBy("lang", "salt").applyInPandas(
-        lambda pdf: add(pdf), schema)
-    return {r["lang"]: np.frombuffer(r["counts"], np.int64)
-            for r in some.groupBy("lang").applyInPandas(lambda pdf: add(pdf), schema).collect()}
+    parts = rows.mapInPandas(count, "lang string, counts binary")
+    return {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in added_up(parts, "lang", "string").collect()}
 
 
 def codewords(n: int, seed: int = 11) -> np.ndarray:
