@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import packed, unpacked
+from quarry.session import written
 
 LEAST_LENGTH = 12
 NEIGHBOURS = 3
@@ -218,8 +219,13 @@ def train(labelled: DataFrame, words: list[str], rows: int = TRAINING_ROWS) -> F
 
 def train_on(docs: DataFrame, labelled: DataFrame | None = None, **columns: str) -> Forest:
     """The forest for a table: from given labelled findings, else from the
-    table's candidates whose label their shape or key settles."""
-    found = found_in(docs, **columns)
+    table's candidates whose label their shape or key settles.  The texts are
+    read once: the candidates are written and read again."""
+    return forest_of(written(found_in(docs, **columns), "secret-candidates"), labelled)
+
+
+def forest_of(found: DataFrame, labelled: DataFrame | None = None) -> Forest:
+    """The forest for a table of candidates (c)."""
     if labelled is not None:
         return train(labelled, frequent_words(found))
     forest = train(known_labels(found), frequent_words(found))
@@ -271,8 +277,9 @@ def _masked_words(text: Column, found: Column) -> Column:
 
 def findings(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, word_no, length, value_sha256, score, secret): every candidate of the table."""
-    forest = train_on(docs, labelled)
-    f = found_in(docs).withColumn("f", features(F.col("c"), forest.dictionary()))
+    found = written(found_in(docs), "secret-candidates")
+    forest = forest_of(found, labelled)
+    f = found.withColumn("f", features(F.col("c"), forest.dictionary()))
     score = F.round(forest.score(F.col("f"), F.col("c")), 6)
     return f.select("doc_id", F.col("c.word_no").alias("word_no"), F.length("c.value").cast("bigint").alias("length"),
                     F.sha2("c.value", 256).alias("value_sha256"), score.alias("score"), (score >= threshold).alias("secret"))

@@ -1,6 +1,8 @@
 """Fingerprints, mixing, resharding, secrets: odd rows against brute force."""
 
 import hashlib
+import random
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import fingerprints, mixing, oracle, reshard, secrets_scan
-from tests.llm.llm_fixtures import frame, odd_rows
+from tests.llm.llm_fixtures import WORDS, frame, odd_rows
 
 
 def sha(x):
@@ -317,3 +319,56 @@ def test_settled_labels_of_one_kind_leave_other_candidates_alone(spark):
     docs = frame(spark, rows)
     text = {r.doc_id: r.text for r in secrets_scan.redact(docs, secrets_scan.train_on(docs)).collect()}
     assert text == {1: f"token = {secrets_scan.MASK}", 2: rows[1][1]}
+
+
+def planted(seed, n=400):
+    """[(doc_id, text, lang, source)] and the truth of every planted value:
+    secrets with and without telling names, and long values that are none."""
+    rng = random.Random(seed)
+    pick = lambda signs, k: "".join(rng.choice(signs) for _ in range(k))
+    mixed = string.ascii_letters + string.digits
+    rows, truth = [], {}
+    for i in range(n):
+        secret = i % 2 == 0
+        if secret:
+            value = pick(mixed, rng.randint(20, 40)) + str(i)
+            lead = rng.choice(["password is", "use the secret", "with token", "login credential", "my api_key"])
+        else:
+            value = rng.choice([lambda: pick("0123456789abcdef", 40), lambda: "report-" + pick(string.digits, 8) + "-final-version",
+                                lambda: "chapter" + pick(string.digits, 3) + "section" + pick(string.digits, 4)])() + str(i)
+            lead = rng.choice(["see file", "the checksum", "commit", "the version", "sample page"])
+        text = " ".join(rng.choice(WORDS) for _ in range(20)) + f" {lead} {value} " + " ".join(rng.choice(WORDS) for _ in range(20))
+        rows.append((i, text, "en", "src/tests" if not secret and i % 3 else "src/main"))
+        truth[value] = secret
+    return rows, truth
+
+
+def test_precision_and_recall_on_a_held_out_third(spark):
+    rows, truth = planted(3)
+    docs = frame(spark, rows)
+    held = {i for i, *_ in rows if i % 3 == 0}
+    label = spark.createDataFrame([(v, float(s)) for v, s in truth.items()], "value string, label double")
+    learnt = secrets_scan.found_in(docs.where("doc_id % 3 <> 0")).join(label, F.col("c.value") == label["value"]).select("c", "label")
+    got = {r["value_sha256"]: r["secret"] for r in secrets_scan.findings(docs, learnt).collect() if r["doc_id"] in held}
+    want = {sha(v): s for (i, *_), (v, s) in zip(rows, truth.items()) if i in held}
+    hits = sum(want[k] and got.get(k, False) for k in want)
+    assert hits / sum(want.values()) >= 0.95                                            # recall
+    assert hits / max(1, sum(v for k, v in got.items() if k in want)) >= 0.95           # precision
+
+
+def test_scores_equal_a_plain_walk_of_the_trees(spark):
+    """The CASE expressions against the same trees walked in Python."""
+    docs = frame(spark, planted(4, 120)[0] + odd_rows(seed=2))
+    found = secrets_scan.found_in(docs)
+    forest = secrets_scan.train_on(docs)
+    rows = found.withColumn("f", secrets_scan.features(F.col("c"), forest.dictionary())).select(
+        "f", F.round(forest.score(F.col("f"), F.col("c")), 6).alias("s")).collect()
+
+    def walk(node, f):
+        while isinstance(node, tuple):
+            feature, limit, low, high = node
+            node = low if f[secrets_scan.FEATURES[feature]] <= limit else high
+        return node
+    assert rows and forest.trees
+    for r in rows:
+        assert r["s"] == pytest.approx(sum(walk(t, r["f"]) for t in forest.trees) / len(forest.trees), abs=1e-6)
