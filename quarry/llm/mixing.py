@@ -4,20 +4,28 @@ Sources weigh 5, 2, 1, 5, 2, 1, ... in code point order (null last) and share
 the whole size; no source goes above ``repeat_limit`` times its own size, the
 excess is shared again by weight.  The mix is cut into equal blocks of
 ``block_words`` words.  Highest quotients v / (2k + 1) give every source, and
-within it every shard, an integer number of blocks; inside a shard whole
-passes come first and the rest of the blocks is laid over the documents in a
-seeded order.
-
-Null or empty texts have size 0 and are taken 0 times.  Repeated rows are
-documents of their own.  An empty table gives no rows.  Only built-in
-functions are used; text is read once and never shuffled.
+within it every shard, an integer number of blocks; a shard takes none beyond
+``repeat_limit`` times its own blocks, the next quotient does.
+
+Inside a shard the documents stand in a seeded order and their words are cut
+into blocks.  Every block is taken in whole passes as often as the quota allows,
+and of the blocks of the last pass the quota left over is selected: every
+n / r-th block from a seeded place on, so that any r of n blocks are spread
+over all of the shard, and how many of the blocks before a place are selected
+is one division.  A document takes the words that it has in selected blocks.
+
+Null or empty texts have size 0 and are taken 0 times; a very long text is cut
+into blocks like any other.  Repeated rows are documents of their own, ties of
+the order go by size.  An empty table gives no rows.  Columns other than id,
+text and source are ignored, by ``repeat_documents`` kept, whatever their
+names.  Only built-in functions are used; text is read once and never shuffled.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import order_id, packed, unpacked
@@ -63,10 +71,11 @@ def targets(sources: DataFrame, weights=WEIGHTS, repeat_limit: int = REPEAT_LIMI
         F.least("cap", F.col("level") * F.col("w"))).alias("target"))
 
 
-def sainte_lague(parties: DataFrame, group: str, votes: str, seats: str, key: str) -> DataFrame:
+def sainte_lague(parties: DataFrame, group: str, votes: str, seats: str, key: str, most: str | None = None) -> DataFrame:
     """Seats of each party by highest quotients votes / (2k + 1): append
     ``won``.  ``seats`` holds the group's number of seats on each of its
-    rows; ties go to the smaller ``key``.
+    rows; ties go to the smaller ``key``; a party has no quotients beyond its
+    ``most`` seats.
 
     Only seats near the exact share are in question: with m parties the
     divisor moves a share by at most share * m / 2 + 1, so a group emits
@@ -77,8 +86,10 @@ def sainte_lague(parties: DataFrame, group: str, votes: str, seats: str, key: st
     slack = F.col("_share") * F.count("*").over(g) / 2 + 1
     p = p.withColumns({"_low": F.greatest(F.floor(F.col("_share") * F.col(seats) - slack), F.lit(0)).cast("bigint"),
                        "_high": F.ceil(F.col("_share") * F.col(seats) + slack).cast("bigint")})
+    if most is not None:
+        p = p.withColumns({"_low": F.least("_low", most), "_high": F.least("_high", F.col(most) - 1)})
     p = p.withColumn("_open", F.col(seats) - F.sum("_low").over(g))
-    q = p.where("_v > 0").select(group, key, "_open", F.explode(F.sequence("_low", "_high")).alias("_k"), "_v")
+    q = p.where("_v > 0 AND _low <= _high").select(group, key, "_open", F.explode(F.sequence("_low", "_high")).alias("_k"), "_v")
     rank = F.row_number().over(Window.partitionBy(group).orderBy(
         (F.col("_v") / (2 * F.col("_k") + 1)).desc(), F.col(key).asc(), F.col("_k").asc()))
     extra = q.withColumn("_r", rank).where("_r <= _open").groupBy(group, key).agg(F.count("*").alias("_n"))
@@ -101,18 +112,30 @@ def mixed_rows(docs: DataFrame, weights=WEIGHTS, repeat_limit: int = REPEAT_LIMI
     blocks = sources.withColumns({"_all": F.lit(0), "_seats": F.lit(math.ceil(total / block_words)).cast("bigint")})
     blocks = sainte_lague(blocks, "_all", "target", "_seats", "sk").select(
         "sk", "source_size", "target", F.col("won").alias("source_blocks"))
-    quotas = sainte_lague(cells.select("sk", "shard", "cell_size").join(blocks, "sk"),
-                          "sk", "cell_size", "source_blocks", "shard")
-    words = F.least(F.col("won") * block_words, F.col("cell_size") * repeat_limit)
-    quotas = quotas.select("sk", "shard", "source_size", "target",
-                           F.when(F.col("cell_size") > 0, F.floor(words / F.col("cell_size"))).otherwise(F.lit(0)).cast("bigint").alias("passes"),
-                           F.when(F.col("cell_size") > 0, words % F.col("cell_size")).otherwise(F.lit(0)).cast("bigint").alias("rest"))
+    n_blocks = F.ceil(F.col("cell_size") / block_words).cast("bigint")
+    parties = cells.select("sk", "shard", "cell_size", n_blocks.alias("n")).join(blocks, "sk").withColumn("most", F.col("n") * repeat_limit)
+    quotas = sainte_lague(parties, "sk", "cell_size", "source_blocks", "shard", "most")
+    place = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "sk", F.lit(":"), F.col("shard").cast("string"))), 1, 8), 16, 10).cast("bigint")
+    some = F.col("n") > 0
+    quotas = quotas.select("sk", "shard", "source_size", "target", "n",
+                           F.when(some, F.floor(F.col("won") / F.col("n"))).otherwise(F.lit(0)).cast("bigint").alias("passes"),
+                           F.when(some, F.col("won") % F.col("n")).otherwise(F.lit(0)).cast("bigint").alias("r"),
+                           F.when(some, place % F.col("n")).otherwise(F.lit(0)).alias("c"))
     w = Window.partitionBy("sk", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = base.join(quotas, ["sk", "shard"]).withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)))
-    taken = F.col("passes") * F.col("size") + F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before")))
+    last = selected_before(F.col("before") + F.col("size"), block_words) - selected_before(F.col("before"), block_words)
+    taken = F.when(F.col("n") > 0, F.col("passes") * F.col("size") + last).otherwise(F.lit(0))
     return rows.select("doc_id", "text_key", "source_key", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
+def selected_before(words: Column, block_words: int) -> Column:
+    """Words in selected blocks before a place of a shard: block b is selected
+    where (b * r + c) / n passes a whole number on the way to b + 1."""
+    block, inside = F.floor(words / block_words), words % block_words
+    passed = lambda b: F.floor((b * F.col("r") + F.col("c")) / F.col("n"))
+    return passed(block) * block_words + (passed(block + 1) - passed(block)) * inside
+
+
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of ``docs``."""
     return mixed_rows(docs, **settings).drop("text_key", "source_key")

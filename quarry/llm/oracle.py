@@ -39,22 +39,29 @@ SELECT doc_id, n AS n_chars, edited_sha256, r AS fingerprint, er AS edited_finge
 _W = ", ".join(str(float(x)) for x in mixing.WEIGHTS)
 
 
-def _seats(name: str, frm: str, group: str, votes: str, seats: str, key: str) -> str:
+def _seats(name: str, frm: str, group: str, votes: str, seats: str, key: str, most: str = "(1::BIGINT << 60)") -> str:
     """CTEs that give ``{name}`` = the rows of ``frm`` with ``won``."""
     return f"""
 {name}0 AS (SELECT *, {votes}::DOUBLE AS v, CASE WHEN sum({votes}::DOUBLE) OVER (PARTITION BY {group}) > 0
             THEN {votes}::DOUBLE / sum({votes}::DOUBLE) OVER (PARTITION BY {group}) ELSE 0 END AS share,
             count(*) OVER (PARTITION BY {group}) AS m FROM {frm}),
-{name}1 AS (SELECT *, greatest(floor(share * {seats} - (share * m / 2 + 1)), 0)::BIGINT AS low,
-            ceil(share * {seats} + (share * m / 2 + 1))::BIGINT AS high FROM {name}0),
+{name}1 AS (SELECT *, least(greatest(floor(share * {seats} - (share * m / 2 + 1)), 0)::BIGINT, {most}) AS low,
+            least(ceil(share * {seats} + (share * m / 2 + 1))::BIGINT, {most} - 1) AS high FROM {name}0),
 {name}2 AS (SELECT *, {seats} - sum(low) OVER (PARTITION BY {group}) AS room FROM {name}1),
-{name}3 AS (SELECT {group}, {key}, v, room, unnest(generate_series(low, high)) AS k FROM {name}2 WHERE v > 0),
+{name}3 AS (SELECT {group}, {key}, v, room, unnest(generate_series(low, high)) AS k FROM {name}2 WHERE v > 0 AND low <= high),
 {name}4 AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY v / (2 * k + 1) DESC, {key}, k) AS r FROM {name}3),
 {name}5 AS (SELECT {group}, {key}, count(*) AS n FROM {name}4 WHERE r <= room GROUP BY ALL),
 {name} AS (SELECT a.*, CASE WHEN a.v > 0 THEN a.low + coalesce(x.n, 0) ELSE 0 END AS won
            FROM {name}2 a LEFT JOIN {name}5 x ON a.{group} = x.{group} AND a.{key} = x.{key})"""
 
 
+def _picked(x: str) -> str:
+    """Words in selected blocks before place ``x``."""
+    n = mixing.BLOCK_WORDS
+    at = f"(({x} // {n}) * r + c) // nb"
+    return f"({at}) * {n} + ((({x} // {n} + 1) * r + c) // nb - ({at})) * ({x} % {n})"
+
+
 MIXING = rf"""
 WITH d AS (SELECT doc_id, source, coalesce('=' || source, '') AS sk,
                   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -72,16 +79,18 @@ lv AS (SELECT min_by(remains / rest, cap / w) AS level FROM s2 WHERE cap / w > r
 s AS (SELECT sk, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * w) END AS target,
              0 AS al, ceil((SELECT total FROM t) / {mixing.BLOCK_WORDS}.0)::BIGINT AS seats FROM s2, lv),
 {_seats('p', 's', 'al', 'target', 'seats', 'sk')},
-cs AS (SELECT c.sk, c.shard, c.cell_size, p.source_size, p.target, p.won AS blocks FROM c JOIN p USING (sk)),
-{_seats('q', 'cs', 'sk', 'cell_size', 'blocks', 'shard')},
-z AS (SELECT sk, shard, source_size, target, cell_size,
-             least(won * {mixing.BLOCK_WORDS}, cell_size * {mixing.REPEAT_LIMIT})::BIGINT AS words FROM q),
-r AS (SELECT b.doc_id, b.size, z.source_size, z.target, z.cell_size, z.words,
+cs AS (SELECT c.sk, c.shard, c.cell_size, ceil(c.cell_size / {mixing.BLOCK_WORDS}.0)::BIGINT AS nb,
+              {mixing.REPEAT_LIMIT} * ceil(c.cell_size / {mixing.BLOCK_WORDS}.0)::BIGINT AS most,
+              p.source_size, p.target, p.won AS blocks FROM c JOIN p USING (sk)),
+{_seats('q', 'cs', 'sk', 'cell_size', 'blocks', 'shard', 'most')},
+z AS (SELECT sk, shard, source_size, target, nb, won // greatest(nb, 1) AS passes, won % greatest(nb, 1) AS r,
+             ('0x' || substr(md5('{mixing.SEED}:' || sk || ':' || shard), 1, 8))::BIGINT % greatest(nb, 1) AS c FROM q),
+r AS (SELECT b.doc_id, b.size, z.source_size, z.target, z.nb, z.passes, z.r, z.c,
              coalesce(sum(b.size) OVER (PARTITION BY b.sk, b.shard ORDER BY b.h, b.doc_id, b.size
-                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
       FROM b JOIN z USING (sk, shard))
 SELECT doc_id, size, source_size::BIGINT AS source_size, target,
-       (CASE WHEN cell_size > 0 THEN (words // cell_size) * size + greatest(0, least(size, words % cell_size - before)) ELSE 0 END)::BIGINT AS taken
+       (CASE WHEN nb > 0 THEN passes * size + ({_picked('(before + size)')}) - ({_picked('before')}) ELSE 0 END)::BIGINT AS taken
 FROM r
 """
 

@@ -144,6 +144,31 @@ def test_mix_meets_targets(spark):
     assert sorted(out, key=str) == sorted(again, key=str)
 
 
+def test_selected_blocks_are_whole_and_as_many_as_the_quota(spark):
+    """One source of one shard: words of every block counted in Python."""
+    rng = random.Random(6)
+    rows = [(i, " ".join("w" for _ in range(rng.choice([0, 1, 5, 16, 40, 333]))), "en", s) for i, s in enumerate(["a"] * 60 + ["b"] * 200)]
+    got = {r["doc_id"]: r for r in mixing.mix(frame(spark, rows)).collect()}
+    for source in "ab":
+        mine = sorted((sha_key(i), i, len(t.split())) for i, t, _, s in rows if s == source)
+        words = [i for _, i, n in mine for _ in range(n)]
+        blocks = [words[k:k + 16] for k in range(0, len(words), 16)]
+        least = {i: min(got[i]["taken"] // got[i]["size"] for _, i, n in mine if n) for _, i, n in mine if n}
+        passes = min(least.values())
+        left = Counter({i: got[i]["taken"] - passes * got[i]["size"] for i in least})
+        c = int(hashlib.md5(f"{mixing.SEED}:={source}:0".encode()).hexdigest()[:8], 16) % len(blocks)
+        # the quota: whichever number of selected blocks gives these words
+        quota = [r for r in range(len(blocks) + 1) if +left == sum((Counter(b) for k, b in enumerate(blocks)
+                 if ((k + 1) * r + c) // len(blocks) > (k * r + c) // len(blocks)), Counter())]
+        assert quota
+        target = next(iter(got[i]["target"] for i in least))
+        assert abs(sum(got[i]["taken"] for i in least) - target) <= 2 * mixing.BLOCK_WORDS
+
+
+def sha_key(i):
+    return hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()
+
+
 def test_mix_equals_the_oracle(spark):
     rows = odd_rows(seed=9)
     same_as_oracle(mixing.mix(frame(spark, rows)), rows, oracle.MIXING, spark)
