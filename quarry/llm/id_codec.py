@@ -48,7 +48,7 @@ from quarry.session import scratch_path
 
 END_ID = 0
 BLOCK_IDS = 1024
-LANES = 4096
+LANES = 2048
 SEGMENT_IDS = BLOCK_IDS * LANES
 ROWS_PER_BUCKET = 2048
 WORDS_KEPT = 600_000
