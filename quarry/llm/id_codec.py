@@ -53,10 +53,10 @@ SEGMENT_IDS = BLOCK_IDS * LANES
 ROWS_PER_BUCKET = 2048
 WORDS_KEPT = 600_000
 MAX_ID = 1 << 20
-SLOTS2, SLOTS1 = 2048, 1024             # contexts of a block, by hash
+SLOTS2, SLOTS1 = 1024, 1024             # contexts of a block, by hash
 PLACES = 2 * BLOCK_IDS                  # of a block's table of its ids (open addressing)
 GROUP, GROUPS = 16, BLOCK_IDS // 16     # counts of order 0 and their sums
-LEVELS = 6                              # of ids that the block has had
+LEVELS = 3                              # of ids that the block has had: below 16, below 128, more
 DECAY, SHARE = 0.99, 0.02
 
 SCHEMA = ("bucket int, start bigint, doc_ids array<bigint>, doc_lens array<bigint>, n_ids bigint, "
@@ -87,17 +87,17 @@ class Model:
 
     def __init__(self, n: int):
         self.row = np.arange(n)
-        self.after2, self.sure2 = np.full(n * SLOTS2, -1, np.int32), np.zeros(n * SLOTS2, np.int8)
-        self.after1, self.sure1 = np.full(n * SLOTS1, -1, np.int32), np.zeros(n * SLOTS1, np.int8)
+        # the id that followed each context, times 4, plus how often it was right in a row (0 to 2); -1: none
+        self.after2, self.after1 = np.full(n * SLOTS2, -1, np.int32), np.full(n * SLOTS1, -1, np.int32)
         start = _start_counts()
         self.states = len(start)
         self.by_state = np.tile(start, (n, 1))
         self.by_block = np.full((n, 4), 0.5, np.float32)
         self.weight = np.full(n, 0.2, np.float32)
         self.seen = np.full((n, BLOCK_IDS), -1, np.int32)       # ids of the block in order of arrival
-        self.key, self.put = np.full(n * PLACES, -1, np.int32), np.zeros(n * PLACES, np.int16)
-        self.count = np.zeros((n * GROUPS, GROUP), np.int32)
-        self.sums = np.zeros((n, GROUPS), np.int32)
+        self.places = np.full(n * PLACES, -1, np.int32)         # id * BLOCK_IDS + place; -1: free
+        self.count = np.zeros((n * GROUPS, GROUP), np.int16)
+        self.sums = np.zeros((n, GROUPS), np.int16)
         self.used = np.zeros(n, np.int64)
         self.last = np.zeros((2, n), np.int64)
         self.step = self.width = 0
@@ -115,10 +115,10 @@ class Model:
         row, (b, a) = self.row, self.last                   # a: the id before, b: the one before it
         self.at2 = row * SLOTS2 + (((b * 40503 + a * 10007) >> 3) & (SLOTS2 - 1))
         self.at1 = row * SLOTS1 + (a & (SLOTS1 - 1))
-        self.p2, self.p1 = self.after2[self.at2], self.after1[self.at1]
-        s2 = np.where(self.p2 < 0, 0, self.sure2[self.at2] + 1)
-        s1 = np.where(self.p1 < 0, 0, self.sure1[self.at1] + 1)
-        level = np.minimum(LEVELS - 1, np.frexp(self.used + 1.0)[1] >> 1)
+        self.v2, self.v1 = self.after2[self.at2], self.after1[self.at1]
+        self.p2, self.p1 = self.v2 >> 2, self.v1 >> 2
+        s2, s1 = np.where(self.v2 < 0, 0, (self.v2 & 3) + 1), np.where(self.v1 < 0, 0, (self.v1 & 3) + 1)
+        level = (self.used >= 16).astype(np.int64) + (self.used >= 128)
         self.state = row * self.states + (((s2 * 4 + s1) * 2 + ((self.p2 == self.p1) & (self.p2 >= 0))) * LEVELS + level)
         self.held = self.by_state[self.state]
         self.e0, self.e2 = (x / (x[:, 0] + x[:, 1] + x[:, 2] + x[:, 3])[:, None] for x in (self.by_block, self.held))
@@ -130,15 +130,15 @@ class Model:
     def place_of(self, ids: np.ndarray) -> np.ndarray:
         """Where the block has each id, -1 for a new one."""
         at = self.row * PLACES + ((ids * 40503 >> 4) & (PLACES - 1))
-        key = self.key[at]
-        miss = np.flatnonzero((key != ids) & (key >= 0))
+        held = self.places[at]
+        miss = np.flatnonzero((held // BLOCK_IDS != ids) & (held >= 0))
         while len(miss):
             on = at[miss] + 1
             on = np.where(on & (PLACES - 1) == 0, on - PLACES, on)
-            at[miss], key[miss] = on, self.key[on]
-            miss = miss[(key[miss] != ids[miss]) & (key[miss] >= 0)]
+            at[miss], held[miss] = on, self.places[on]
+            miss = miss[(held[miss] // BLOCK_IDS != ids[miss]) & (held[miss] >= 0)]
         self.slot = at
-        return np.where(key == ids, self.put[at], -1)
+        return np.where(held < 0, -1, held % BLOCK_IDS)
 
     def kind_of(self, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
         return np.where(ids == self.p2, 0, np.where(ids == self.p1, 1, np.where(place >= 0, 2, 3)))
@@ -152,16 +152,17 @@ class Model:
         self.held *= np.float32(DECAY)
         self.held[row, kind] += np.float32(1)
         self.by_state[self.state] = self.held
-        for after, sure, at, had in ((self.after2, self.sure2, self.at2, self.p2), (self.after1, self.sure1, self.at1, self.p1)):
-            right, trust = had == ids, sure[at]
-            sure[at] = np.where(right, np.minimum(trust + 1, 2), 0)
-            after[at] = np.where(right | (trust > 0), had, ids)
+        fresh = ids << 2
+        for after, at, had in ((self.after2, self.at2, self.v2), (self.after1, self.at1, self.v1)):
+            # right: surer; wrong but sure before: keeps its place unsure; else the new id
+            trust = had & 3
+            after[at] = np.where(had >> 2 == ids, fresh | np.minimum(trust + 1, 2), np.where((trust > 0) & (had >= 0), had - trust, fresh))
         new = np.flatnonzero(place < 0)
         if len(new):
             place = place.copy()
             place[new] = self.used[new]
             self.seen[new, place[new]] = ids[new]
-            self.key[self.slot[new]], self.put[self.slot[new]] = ids[new], place[new]
+            self.places[self.slot[new]] = ids[new] * BLOCK_IDS + place[new]
             self.used[new] += 1
             self.width = int(self.used.max())
         self.count[row * GROUPS + place // GROUP, place % GROUP] += 1
