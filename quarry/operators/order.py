@@ -74,8 +74,9 @@ def seeded_rank(df: DataFrame, id_col: str, seed: int | str, name: str) -> DataF
     bucket, whose rows are numbered on their own and shifted by the counts
     before (at most 65,536 rows, broadcast): no range sampling, no checkpoint."""
     keyed = _bucketed(df, id_col, seed)
-    starts, _ = _bucket_starts(keyed)
-    table = df.sparkSession.createDataFrame([(b, s) for b, s in starts.items()], "_b int, _start long")
+    sizes = keyed.groupBy("_b").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.orderBy(F.col("_b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+    table = sizes.select("_b", F.coalesce(before, F.lit(0)).alias("_start"))
     numbered = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy("_k", id_col)))
     joined = numbered.alias("n").join(F.broadcast(table.alias("t")), F.col("n._b").eqNullSafe(F.col("t._b")))
     return joined.select(*[F.col(f"n.`{c}`") for c in df.columns], (F.col("t._start") + F.col("n._n")).cast("bigint").alias(name))
