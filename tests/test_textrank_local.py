@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -58,3 +60,16 @@ def test_no_exchange(spark):
     corpus = prepared.fixtures.corpus(spark, SF_SMALL)
     p = plan(local.summaries_and_keywords(corpus, tx.compose_textrank_input("subject", "body_clean"), "mid"))
     assert "Exchange" not in p and p.count("ArrowEvalPython") >= 1 and "Join" not in p
+
+
+def test_groups_are_small_and_sentences_cut_once(spark):
+    """The arrays of a group stay small, and a summary's sentences are taken in
+    one pass: the plan cuts the text for tokens, word counts and the summary."""
+    tokens = pa.array([[["a"] * 1000] * 10] * 40)
+    runs = list(local.groups(tokens, local.GROUP_TOKENS))
+    assert [a for a, _ in runs] == [0] + [z for _, z in runs[:-1]] and runs[-1][1] == 40
+    assert max(z - a for a, z in runs) * 10_000 <= 1 << 17
+    x = np.array([3, 1, 3, 0, 1])
+    assert local.distinct(x).tolist() == [0, 1, 3] and local.distinct(x[:0]).tolist() == []
+    docs = spark.createDataFrame([(1, "en", "One cat sat. Two cats ran. One dog ran.")], "doc_id long, lang string, text string")
+    assert "get(transform(" not in plan(local.ranked(docs, F.col("text")))
