@@ -37,6 +37,9 @@ from quarry.session import materialize
 K1 = 0.9
 B = 0.4
 BLOCK_POSTINGS = 64
+#: Characters of text that a task of the index gets at most, so that the memory
+#: of its counting does not grow with the corpus.
+TASK_CHARS = 16_000_000
 
 
 def saturated(avgdl: float, k1: float = K1, b: float = B) -> Column:
@@ -92,19 +95,26 @@ def idf_expr(df: Column, n_docs: Column) -> Column:
     return F.log(F.lit(1.0) + (n_docs - df + F.lit(0.5)) / (df + F.lit(0.5)))
 
 
+def index_tasks(docs: DataFrame, text_col: str, task_chars: int = TASK_CHARS) -> int:
+    """Number of tasks of about ``task_chars`` characters of text (a scan)."""
+    chars = docs.agg(F.sum(F.length(text_col).cast("bigint"))).first()[0] or 0
+    return -(-int(chars) // task_chars)
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "contents",
                 tokenizer=tx.tokens, path: str | None = None,
-                prepartitioned: bool = False) -> Index:
+                prepartitioned: bool = False, tasks: int = 0) -> Index:
     """Tokenize once; postings are hash-partitioned by doc_id so the per-doc
     statistics need no further shuffle.  Postings are persisted, or written
-    to ``path`` (a shared folder) when given.
+    to ``path`` (a shared folder) when given.  There are ``tasks`` partitions,
+    or the session's number of them if that is more.
 
     N and avgdl follow Lucene's collection statistics: documents with at
     least one term, and total term frequency / N."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if not prepartitioned:          # caller did not hash-partition by the id yet
-        docs = docs.repartition(parts, id_col)
+        docs = docs.repartition(max(parts, tasks), id_col)
     analyzed = analyze(docs, id_col, text_col, tokenizer)
     postings = postings_of(analyzed)
     if path:

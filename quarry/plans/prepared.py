@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as tx
 from quarry.operators import textrank as tr
 from quarry.operators import textrank_local
-from quarry.operators.index import Index, build_index
+from quarry.operators.index import Index, build_index, index_tasks
 from quarry.operators.phrases import PositionIndex, build_positions
 from quarry.operators.ranking import first_per_key
 from quarry.plans import fixtures
@@ -57,7 +57,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Index]:
     corp = corpus(spark, sf_dir)
     docs = corp.select(F.col("mid").alias("doc_id"), tx.compose_contents("subject", "body_clean").alias("contents"))
-    return corp, once(spark, sf_dir, "index", lambda: build_index(docs, path=scratch_path(spark, "index")))
+
+    def build() -> Index:
+        return build_index(docs, path=scratch_path(spark, "index"), tasks=index_tasks(fixtures.corpus(spark, sf_dir), "body_clean"))
+    return corp, once(spark, sf_dir, "index", build)
 
 
 def position_index(spark: SparkSession, sf_dir: str) -> PositionIndex:

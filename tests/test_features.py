@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry import session
 from quarry.operators import batch_scorer, phrases, rerank, trie
+from quarry.operators.index import build_index, index_tasks
 from quarry.plans import run_log
 from quarry.session import scratch_path
 from quarry.sources import io
@@ -114,6 +115,17 @@ def test_phrases_by_position(spark):
     assert "contents" not in p and "CartesianProduct" not in p
 
 
+def test_index_tasks_grow_with_the_text(spark):
+    """A task of the index gets a bounded text, whatever the session's number
+    of partitions; the postings are the same."""
+    docs = spark.createDataFrame([(i, "some word " * 10) for i in range(30)], "doc_id long, contents string")
+    n = index_tasks(docs, "contents", 50)
+    assert n == 60 and index_tasks(docs.where("false"), "contents") == 0
+    dealt, plain = build_index(docs, tasks=n), build_index(docs)
+    assert dealt.postings.rdd.getNumPartitions() == n
+    assert sorted(dealt.postings.collect()) == sorted(plain.postings.collect())
+
+
 def test_docids_are_cut_to_the_limit(spark):
     ids = spark.createDataFrame([(1, " ".join(map(str, range(200)))), (2, "a b")], "doc_id long, docid string")
     got = {r["doc_id"]: r["seq"] for r in trie.sequences(ids, bos=True).collect()}
