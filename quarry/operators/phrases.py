@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators.index import analyze, postings_of
+from quarry.operators.index import analyze, document_terms, postings_of
 from quarry.session import written
 
 
@@ -28,15 +28,22 @@ class PositionIndex:
     term_df: DataFrame
 
 
-def build_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "contents", tokenizer=tx.tokens) -> PositionIndex:
-    """Both forms from one tokenisation.  Documents are dealt out by id once;
-    postings and vectors then need no further shuffle."""
+def build_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "contents", tokenizer=tx.tokens,
+                    distinct_ids: bool = False) -> PositionIndex:
+    """Both forms from one tokenisation: the vectors are written, the postings
+    are their entries.  With ``distinct_ids`` (no id but null comes twice) a
+    document's vector is made where it is; other documents are dealt out by id."""
+    analyzed = analyze(docs, id_col, text_col, tokenizer)
+    shared = analyzed.where("doc_id IS NULL") if distinct_ids else analyzed
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings = written(postings_of(analyze(docs.repartition(parts, id_col), id_col, text_col, tokenizer), with_positions=True), "positions")
     entry = F.struct("term", "tf", "positions")
-    vectors = written(postings.groupBy("doc_id", "dl").agg(F.sort_array(F.collect_list(entry)).alias("terms")), "vectors")
-    term_df = written(postings.groupBy("term").agg(F.count("*").alias("df")), "position-df")
-    return PositionIndex(postings.select("term", "doc_id", "tf", "positions"), vectors, term_df)
+    vectors = postings_of(shared.repartition(parts, "doc_id"), with_positions=True).groupBy("doc_id", "dl").agg(
+        F.sort_array(F.collect_list(entry)).alias("terms"))
+    if distinct_ids:
+        vectors = document_terms(analyzed.where("doc_id IS NOT NULL"), with_positions=True).unionByName(vectors)
+    vectors = written(vectors, "vectors")
+    term_df = written(vectors.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "position-df")
+    return PositionIndex(vectors.select("doc_id", F.explode("terms").alias("t")).select("t.term", "doc_id", "t.tf", "t.positions"), vectors, term_df)
 
 
 def phrase_matches(index: PositionIndex, phrases: DataFrame, id_col: str = "item_id", text_col: str = "text",
