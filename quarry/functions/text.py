@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 # Fixed values (must stay as written for parity with the oracle and the
 # reference's text handling).
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"          # analyzer: letters/digits runs, lower-cased
-NON_TOKEN_PATTERN = r"[^\p{L}\p{N}]+"     # its complement (split form, same tokens)
+NON_TOKEN_PATTERN = r"[^a-zA-Z0-9\p{L}\p{N}]+"    # its complement (split form, same tokens; ASCII is tried first)
 SENTENCE_PATTERN = r"[^.!?\n]+[.!?]*"     # sentence = run up to terminal punctuation
 WORD_PATTERN = r"\S+"                     # whitespace word
 CONTROL_PATTERN = r"[\n\r\t]"             # each control char -> one space
@@ -25,6 +25,8 @@ BODY_PREFIX = " body: "
 SECTION_MARKER = "_parentSection"
 TITLE_SKIP = 6                            # title[6:...] in the title slice
 EOS = "</s>"
+ASCII_SPACE = " \t\n\x0b\f\r"             # what \\s matches
+LINE_ENDS = ("\u0085", "\u2028", "\u2029")  # before which $ matches, and that \\s does not
 
 
 def _c(c) -> Column:
@@ -114,6 +116,14 @@ def strip_ws(c) -> Column:
     return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
 
 
+def strip_ends(c) -> Column:
+    """``strip_ws`` of a plain column by looking at its ends only; the expression
+    takes the texts where ``$`` stands before the end."""
+    c = _c(c)
+    before_end = c.endswith(LINE_ENDS[0]) | c.endswith(LINE_ENDS[1]) | c.endswith(LINE_ENDS[2])
+    return F.when(before_end, strip_ws(c)).otherwise(F.trim(c, F.lit(ASCII_SPACE)))
+
+
 def flatten_newlines(c) -> Column:
     """``s.strip().replace('\\n', ' ')``."""
     return F.regexp_replace(strip_ws(c), "\n", " ")

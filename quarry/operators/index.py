@@ -87,14 +87,16 @@ def document_terms(analyzed: DataFrame, with_positions: bool = False) -> DataFra
         entry.append(T.StructField("positions", T.ArrayType(T.LongType())))
     schema = T.StructType([analyzed.schema["doc_id"], T.StructField("dl", T.LongType()), T.StructField("terms", T.ArrayType(T.StructType(entry)))])
 
+    # empty rows leave here: a filter on dl would cut every text once more
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pc.greater(batch["dl"], 0))
             sizes = np.asarray(batch["dl"], np.int64)
             cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BATCH_TOKENS)) + 1
             for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-                if sizes[a:z].any():
+                if z > a:
                     yield counted(batch.slice(a, z - a), with_positions)
-    return analyzed.where("dl > 0").select("doc_id", "dl", "tokens").mapInArrow(run, schema)
+    return analyzed.select("doc_id", "dl", "tokens").mapInArrow(run, schema)
 
 
 def counted(batch: pa.RecordBatch, with_positions: bool) -> pa.RecordBatch:

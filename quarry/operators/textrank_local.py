@@ -196,7 +196,7 @@ def rank_udf(iterations: int = ITERATIONS, damping: float = DAMPING, n_words: in
 
 
 def raw_sentences(text: Column) -> Column:
-    return F.transform(tx.sentences(F.coalesce(text, F.lit(""))), tx.strip_ws)
+    return F.transform(tx.sentences(F.coalesce(text, F.lit(""))), tx.strip_ends)
 
 
 def ranked(docs: DataFrame, text: Column, lang: str = "lang", iterations: int = ITERATIONS, damping: float = DAMPING,
@@ -205,11 +205,11 @@ def ranked(docs: DataFrame, text: Column, lang: str = "lang", iterations: int =
     Documents without a kept term get empty ones."""
     ship_package(docs.sparkSession)
     rank = rank_udf(iterations, damping, n_words, n_keywords)
-    held = raw_sentences(text)
-    out = docs.withColumn("_rank", rank(F.transform(held, tx.tokens), F.transform(held, tx.word_count), F.col(lang)))
-    # one pass over the sentences: looked up one by one, each would cut the text again
-    chosen = F.filter(held, lambda _, i: F.array_contains("_rank.picked", i))
-    return out.withColumn("summary", F.array_join(chosen, "\n")).withColumn("keywords", F.col("_rank.keywords")).drop("_rank")
+    # the text is cut once: tokens, words and the summary are taken from the column
+    out = docs.withColumn("_held", raw_sentences(text))
+    out = out.withColumn("_rank", rank(F.transform("_held", tx.tokens), F.transform("_held", tx.word_count), F.col(lang)))
+    chosen = F.filter("_held", lambda _, i: F.array_contains("_rank.picked", i))
+    return out.withColumn("summary", F.array_join(chosen, "\n")).withColumn("keywords", F.col("_rank.keywords")).drop("_rank", "_held")
 
 
 def summaries_and_keywords(docs: DataFrame, text: Column, id_col: str, iterations: int = ITERATIONS,
